@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, language, mixing, quality, toxicity, warc
+from . import decontamination, extraction, language, mixing, outliers, pii, quality, toxicity, warc
 from .quality import held_out
 
 
@@ -29,10 +29,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judged(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found_spans(_read(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     field = toxicity.toxicity_model(docs, _read(spark, sf_dir, "labels"))
@@ -57,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op4_mixing, op6_toxicity, op7_quality, op9_extraction, op10_language)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op9_extraction, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
