@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, language, mixing, outliers, pii, quality, toxicity, warc
+from . import decontamination, extraction, jaccard, language, mixing, outliers, pii, quality, toxicity, warc
 from .quality import held_out
 
 
@@ -56,6 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, model, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_read(spark, sf_dir, "pages"))
 
@@ -67,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op9_extraction, op10_language)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard, op9_extraction, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
