@@ -423,3 +423,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
     rows = light.join(found, ["k1", "k2"], "left")
     return rows.select(F.col("doc_id"), "n_shingles", F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs, all columns, with one row of each component: that with the least id, the first by its other columns where an id is repeated.
+
+    Only rows whose id may have to go are shuffled: a bitmap of hashed ids, of fixed size, tells the others, which stay where they are. Rows with a null id
+    stay, as nothing tells them apart.
+    """
+    found = table(near_duplicates(docs, doc_id, text, **options), "components")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone = found.where("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct()
+    gone = table(gone.select("doc_id", F.xxhash64("doc_id").alias("k1")), "gone")
+    marks = _member_map(gone, MAP_BITS)
+    rows_of = 4096
+    spark = docs.sparkSession
+    # the bitmap as a small table: a row for each 32,768 positions, at most 2 ** (MAP_BITS - 15) of them
+    parts = [(i, bytearray(marks[i * rows_of : (i + 1) * rows_of].tobytes())) for i in range(len(marks) // rows_of) if marks[i * rows_of : (i + 1) * rows_of].any()]
+    at = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - MAP_BITS)
+    columns = docs.columns
+    bitmap = F.broadcast(spark.createDataFrame(parts, "__row long, __map binary"))
+    marked = docs.withColumn("__at", at).withColumn("__row", F.floor(F.col("__at") / 32768)).join(bitmap, "__row", "left")
+    byte = F.conv(F.hex(F.substring("__map", (F.floor((F.col("__at") % 32768) / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1, F.lit(False)) & F.col(doc_id).isNotNull()
+    marked = marked.withColumn("__maybe", bit)
+    stay = marked.where(~F.col("__maybe")).select(*columns)
+    removed = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    maybe = marked.where("__maybe").select(*columns).join(removed, doc_id, "left_anti")
+    twice = repeated.withColumnRenamed("doc_id", doc_id)
+    first = maybe.join(twice, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*columns)).alias("__first")).select("__first.*")
+    return stay.unionByName(maybe.join(twice, doc_id, "left_anti")).unionByName(first)

@@ -165,8 +165,8 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), 2**31 - 1)))
 
 
-def mask_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with personal data in the text masked; all other columns stay. Texts without candidates aren't shuffled. A null text stays null."""
+def mask_documents(docs: DataFrame, text: str = "text", length: str | None = None, **options) -> DataFrame:
+    """docs with personal data in the text masked and, if named, the column of its length; all other columns stay. Texts without candidates aren't shuffled. A null text stays null."""
     columns = docs.columns
     scanned = table(scan(docs, [], text), "pii-scan")
     added = table(added_spans(scanned, table(discovered(scanned, **options), "pii-found")), "pii-added")
@@ -179,4 +179,5 @@ def mask_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     known = added.select(F.col("th").alias("__th"), F.col("loose").alias("__loose"), F.col("added").alias("__added"))
     rest = rows.where(undecided).withColumn("__th", F.xxhash64(t)).join(known, ["__th", "__loose"], "left")
     rest = rest.withColumn("__all", F.sort_array(F.concat("__base", F.coalesce("__added", F.array().cast(_NONE)))))
-    return plain.unionByName(rest.withColumn(text, hide(F.col("__all"))).select(*columns))
+    out = plain.unionByName(rest.withColumn(text, hide(F.col("__all"))).select(*columns))
+    return out.withColumn(length, F.coalesce(F.length(text), F.col(length)).cast(docs.schema[length].dataType)) if length in columns else out
