@@ -14,9 +14,12 @@ def comparable(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
 
 
-@F.pandas_udf("string")
-def decomposed(texts: pd.Series) -> pd.Series:
-    """NFKD without combining marks U+0300 to U+036F."""
+def decomposed(c: Column) -> Column:
+    """NFKD without combining marks U+0300 to U+036F, by an Arrow UDF: Spark has no such function."""
+    return F.pandas_udf(_without_marks, "string")(c)
+
+
+def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not 0x300 <= ord(c) <= 0x36F))
 
 

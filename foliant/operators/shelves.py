@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import normalize_identifier
 from ..functions.shelves import canonical_status
 from ..schemas import TABLES
+from ..shipping import ship
 from .joins import update_conflicts
 
 
@@ -118,6 +119,7 @@ def upsert_entries(entries: DataFrame, requests: DataFrame) -> DataFrame:
     Keys may change with a request, so order matters and a user is replayed in one task; users go in parallel. Where keys are stable, windows.fold_entries
     gives the same without Python.
     """
+    ship(entries.sparkSession)
     wanted = [c.split()[0] for c in TABLES["book_entries"].replace("decimal(38,18)", "decimal").split(", ")]
     e = entries.select(*wanted)
     return e.groupBy("user_id").cogroup(prepared(requests).groupBy("user_id")).applyInPandas(_replay, e.schema)

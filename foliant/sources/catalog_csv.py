@@ -8,6 +8,8 @@ import io
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 COLUMNS = ("isbn", "title", "author")
 #: A larger file isn't a catalogue; uploads are held to it.
 MOST_BYTES = 2 * 1024 * 1024
@@ -41,6 +43,7 @@ def parse_catalog(content: bytes) -> tuple[list[tuple[int, str, str, str]], list
 
 def read_catalog_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of all files under a path, one file a row of work; rows: file, row, isbn, title, author; errors: file, row, field, message."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
 
     def rows(batches):

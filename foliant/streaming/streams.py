@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.audit import audit_project, expire
 from ..operators.shelves import upsert_entries
+from ..shipping import ship
 
 
 def stream_audit(calls: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
@@ -62,6 +63,7 @@ class _Recent(StatefulProcessor):
 
 def stream_recent(views: DataFrame, n: int = 12) -> DataFrame:
     """Each user's n books viewed last after each batch (update mode). views: user_id, book (string), ts, view_id. State is n rows a user and needs the RocksDB provider."""
+    ship(views.sparkSession)
     rows = views.select(F.col("user_id").cast("long"), F.col("book").cast("string"), F.col("ts").cast("timestamp"), F.col("view_id").cast("long"))
     return rows.groupBy("user_id").transformWithStateInPandas(_Recent(n), "user_id long, book string, ts timestamp, position int", "Update", "None")
 
