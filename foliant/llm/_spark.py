@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shipping
+
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 2_000_000
 
@@ -51,21 +50,16 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_shipped: set[str] = set()
+#: Texts may be long: batches of fewer rows than Spark's usual 10,000 keep the buffers of JVM and Python small.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, wherever the driver has imported it from."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="foliant-zip-"), "foliant_code.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in root.rglob("*.py"):
-            z.write(f, str(Path(root.name) / f.relative_to(root)))
-    sc.addPyFile(out)
-    _shipped.add(sc.applicationId)
+    """Makes the package importable on executors, and batches small unless the session has a size of its own."""
+    shipping.ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def ddl(fields: str) -> T.StructType:

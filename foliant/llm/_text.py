@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 
 #: Bytes of words that white space ends (0x20, 0x09 to 0x0D).
 NON_SPACE = np.ones(256, bool)

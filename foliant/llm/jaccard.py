@@ -28,7 +28,9 @@ from .components import components
 WIDTH, BIG, SAMPLE_EVERY, FREQUENT, MOST_FREQUENT = 5, 4_000_000, 32, 3, 1_000_000
 #: Bits of the map of names that have a block; a set bit only means that a document's set is worth sending.
 MAP_BITS = 26
-LEAF, FAN = 8, 8
+LEAF, FAN = 16, 8
+#: Bytes of text that are shingled at a time.
+SLICE = 500_000
 
 
 def sets_of(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -49,12 +51,19 @@ def sets_of(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def name_of(s: np.ndarray) -> tuple[int, int]:
-    """A 128-bit name of a set, as two signed longs."""
-    with np.errstate(over="ignore"):
-        a = mix(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))]))
-        b = mix(np.array([mix(s * np.uint64(0xDA942042E4DD58B5) + np.uint64(1)).sum(dtype=np.uint64)]))
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+def names_of(sets: list[np.ndarray]) -> list[tuple[int, int] | None]:
+    """A 128-bit name of each set, as two signed longs; none for an empty set."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    out: list[tuple[int, int] | None] = [None] * len(sets)
+    if full:
+        size = np.array([len(sets[i]) for i in full])
+        at = np.cumsum(size) - size
+        h = np.concatenate([sets[i] for i in full])
+        a = mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + size.astype(np.uint64)).view(np.int64)
+        b = mix(np.add.reduceat(mix(h * np.uint64(0xDA942042E4DD58B5) + np.uint64(1)), at)).view(np.int64)
+        for i, x, y in zip(full, a.tolist(), b.tolist(), strict=True):
+            out[i] = (x, y)
+    return out
 
 
 def _each_set(width: int):
@@ -62,8 +71,9 @@ def _each_set(width: int):
     seen: set[tuple[int, int]] = set()
 
     def new(texts: pa.Array) -> Iterator[tuple[int, tuple[int, int], np.ndarray]]:
-        for i, s in enumerate(sets_of(texts, width)):
-            if len(s) and (name := name_of(s)) not in seen:
+        sets = sets_of(texts, width)
+        for i, (name, s) in enumerate(zip(names_of(sets), sets, strict=True)):
+            if name is not None and name not in seen:
                 seen.add(name)
                 yield i, name, s
 
@@ -80,7 +90,7 @@ def _stream(df: DataFrame, schema: str, start) -> DataFrame:
     def run(batches):
         fn = start()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 yield pa.RecordBatch.from_arrays(fn(part.column(0)), names=names)
 
     return df.mapInArrow(run, schema)
@@ -91,10 +101,10 @@ def named(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 
     def names(texts: pa.Array) -> dict:
         sets = sets_of(texts, width)
-        both = [name_of(s) if len(s) else (None, None) for s in sets]
+        both = [name or (None, None) for name in names_of(sets)]
         return {"n_shingles": np.array([len(s) for s in sets], np.int64), "k1": [x[0] for x in both], "k2": [x[1] for x in both]}
 
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], "n_shingles long, k1 long, k2 long", names)
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], "n_shingles long, k1 long, k2 long", names, SLICE)
 
 
 def frequent_shingles(body: DataFrame, width: int, every: int = SAMPLE_EVERY, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
