@@ -51,7 +51,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 #: Texts may be long: batches of fewer rows than Spark's usual 10,000 keep the buffers of JVM and Python small.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 4_000
 
 
 def ship(spark: SparkSession) -> None:

@@ -2,9 +2,10 @@
 
 1. Each text becomes the set of its shingle hashes, named by a 128-bit hash of the set; equal sets are one class from here on.
 2. Candidates. All sets are read in one order of shingles: frequent ones (from a sample of documents; any choice is right) last, else by hash. Two sets
-   of a similarity of 3/4 share one of the first quarter of the larger and of the first seventh of the smaller. These rows meet by shingle, sorted by
-   size, and each is tied to the one before it that may be similar by size: a chain instead of all pairs. Components of these ties are blocks;
-   no link leaves its block.
+   of a similarity of 3/4 share at least a fifth of the smaller one's shingles among the first 45 % of each (see `long_prefix`). So a set stays only
+   if it shares as many of its own first 45 % with any sets of a fitting size; most sets don't. Of those that stay, two similar ones share one of the
+   first quarter of the larger and of the first seventh of the smaller. These rows meet by shingle, sorted by size, and each is tied to the one
+   before it that may be similar by size: a chain instead of all pairs. Components of these ties are blocks; no link leaves its block.
 3. Links. Sets of a block are put into a signature tree: a node holds the OR of its sets' bitmaps and their range of sizes. The tree is traversed against
    itself; pairs of nodes whose greatest possible overlap, by common bits and sizes, is too small are left out, and so are nodes that are already in one
    component. What is left is compared by the sets themselves.
@@ -131,35 +132,107 @@ def frequent_shingles(body: DataFrame, width: int, every: int = SAMPLE_EVERY, le
     return np.sort(got.view(np.uint64))
 
 
+def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A sorted set in the order of all: frequent shingles last."""
+    if not len(frequent):
+        return s
+    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+    return np.concatenate([s[~late], s[late]])
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first shingles of a set, and how many of them a larger set may meet."""
+    """The first quarter of a set, of which a similar set has one, and how many of them a larger set may meet."""
     n = len(s)
-    if len(frequent):
-        i = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        late = frequent[i] == s
-        s = np.concatenate([s[~late], s[late]])
-    return s[: n - (3 * n + 3) // 4 + 1], n - (6 * n + 6) // 7 + 1
+    return _ordered(s, frequent)[: n - (3 * n + 3) // 4 + 1], n - (6 * n + 6) // 7 + 1
 
 
-def ties(body: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
-    """Edges a, b (first halves of names) that tie each set to others which share a first shingle and may be similar by size."""
-    shared = body.sparkSession.sparkContext.broadcast(frequent)
+def fifth(n: int) -> int:
+    return 1 + n // 5
+
+
+def long_prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first n - ceil(3 n / 4) + fifth(n) shingles of a set of n.
+
+    Sets a and b of a similarity of 3/4 have 3/4 of the larger in common. Say a's prefix ends first in the order. All but ceil(3 |a| / 4) - fifth(|a|) of
+    what they share is in a's prefix and so in b's: fifth(|a|) shingles or more. As |b| is 3/4 of |a| or more, either set shares
+    fifth(ceil(3 n / 4)) shingles of its prefix at least.
+    """
+    n = len(s)
+    return _ordered(s, frequent)[: n - (3 * n + 3) // 4 + fifth(n)]
+
+
+def _prefix_rows(body: DataFrame, width: int, frequent: np.ndarray, wanted: np.ndarray | None) -> DataFrame:
+    """Rows h (shingle), n, k (first half of the name), sorted by shingle, size and name: long prefixes of all sets (n: size), or the short ones of sets that the
+    map `wanted` has (n: 2 x size, + 1 for shingles that a larger set may meet)."""
+    shared = body.sparkSession.sparkContext.broadcast((frequent, wanted))
 
     def start():
         new = _each_set(width)
 
         def fn(texts):
+            often, names = shared.value
             h, k, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, (k1, _), s in new(texts):
-                p, first = prefix(s, shared.value)
+                if names is None:
+                    p = long_prefix(s, often)
+                    n.append(np.full(len(p), len(s)))
+                elif on_map(names, k1):
+                    p, first = prefix(s, often)
+                    n.append(2 * len(s) + (np.arange(len(p)) < first))
+                else:
+                    continue
                 h.append(p)
                 k.append(np.full(len(p), k1))
-                n.append(2 * len(s) + (np.arange(len(p)) < first))
             return [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(n)), pa.array(np.concatenate(k))]
 
         return fn
 
-    rows = _stream(body, "h long, n long, k long", start).repartition("h").sortWithinPartitions("h", "n", "k")
+    return _stream(body, "h long, n long, k long", start).repartition("h").sortWithinPartitions("h", "n", "k")
+
+
+def survivors(body: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
+    """Names (k1) of sets that share enough of their long prefix with sets of a fitting size."""
+    rows = _prefix_rows(body, width, frequent, None)
+
+    def run(batches):
+        counts: dict[int, list[int]] = {}
+
+        def out():
+            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["k1", "n", "shared"])
+            counts.clear()
+            return got
+
+        def count(h, n, k, since, to):
+            same = (h[1:] == h[:-1]) & (4 * n[:-1] >= 3 * n[1:])  # a row and the next one fit
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            mine = np.arange(len(h))
+            on = shared & (mine >= since) & (mine < to)
+            keys, first, many = np.unique(k[on], return_index=True, return_counts=True)
+            for key, size, c in zip(keys.tolist(), n[on][first].tolist(), many.tolist(), strict=True):
+                counts.setdefault(key, [size, 0])[1] += c
+
+        held, done = None, 0  # rows of the batch before: the last two, of which the last one still waits for its next
+        for batch in batches:
+            h, n, k = (batch.column(i).to_numpy() for i in range(3))
+            if held is not None:
+                h, n, k = (np.concatenate([a, b]) for a, b in zip(held, (h, n, k), strict=True))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (k[1:] != k[:-1])])  # tasks send copies of a set each
+            h, n, k = h[new], n[new], k[new]
+            count(h, n, k, done, len(h) - 1)
+            held, done = (h[-2:], n[-2:], k[-2:]), min(1, len(h) - 1)
+            if len(counts) > 200_000:
+                yield out()
+        if held is not None:
+            count(*held, done, len(held[0]))
+        yield out()
+
+    counted = rows.mapInArrow(run, "k1 long, n long, shared long").groupBy("k1").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    return counted.where(F.col("shared") >= 1 + F.floor(F.ceil(3 * F.col("n") / 4) / 5)).select("k1")
+
+
+def ties(body: DataFrame, width: int, frequent: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """Edges a, b (first halves of names) that tie each set to others which share a first shingle and may be similar by size."""
+    rows = _prefix_rows(body, width, frequent, wanted)
 
     def run(batches):
         joined = Forest()
@@ -356,12 +429,18 @@ def _member_map(blocks: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def on_map(names: np.ndarray, k1: int) -> bool:
+    at = (k1 % 2**64) >> (64 - MAP_BITS)
+    return bool((int(names[at >> 3]) >> (at & 7)) & 1)
+
+
 def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
     """Edges a, b between least document ids of classes, enough to span all components of links. light: named(docs) as a table."""
     body = docs.select(F.col(text).cast("string").alias("text"))
     classes = light.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("n"))
     frequent = frequent_shingles(body, width)
-    blocks = components(ties(body, width, frequent)).select(F.col("node").alias("k1"), F.col("root").alias("block"))
+    stay = table(survivors(body, width, frequent), "survivors")
+    blocks = components(ties(body, width, frequent, _member_map(stay, MAP_BITS))).select(F.col("node").alias("k1"), F.col("root").alias("block"))
     blocks = table(blocks, "blocks")
     members = table(classes.join(blocks, "k1").select("k1", "k2", "rep", "n", "block"), "members")
     sums = members.groupBy("block").agg(F.sum("n").alias("sum"))
@@ -380,15 +459,11 @@ def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: in
 
         def fn(texts):
             k1, k2, grams = [], [], []
-            fresh = list(new(texts))
-            if fresh:
-                at = np.array([k for _, (k, _), _ in fresh], np.int64).view(np.uint64) >> np.uint64(64 - MAP_BITS)
-                on = (wanted.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                for (_, (a, b), s), yes in zip(fresh, on.tolist(), strict=True):
-                    if yes:
-                        k1.append(a)
-                        k2.append(b)
-                        grams.append(s.tobytes())
+            for _, (a, b), s in new(texts):
+                if on_map(wanted.value, a):
+                    k1.append(a)
+                    k2.append(b)
+                    grams.append(s.tobytes())
             return [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(grams, pa.binary())]
 
         return fn
