@@ -91,8 +91,8 @@ def entry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.match_entries(_order_requests(spark, sf_dir), v.entries_by_order(spark, sf_dir)).select("request_id", "match_id")
 
 
-def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.shelf_requests(spark, sf_dir)
+def event_requests(rows: DataFrame) -> DataFrame:
+    """Shelf requests with all columns of entry requests."""
     none = F.lit(None).cast("string")
     return rows.select(
         "request_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.lit(None).cast("long").alias("entry_id"), F.lit(" events ").alias("source"), F.col("k").cast("string").alias("source_book_id"), F.concat(F.lit("Book "), "k").alias("title"), none.alias("authors"),
@@ -102,7 +102,7 @@ def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(v.FOLDED + f"SELECT user_id, k::varchar AS source_book_id, status, page_count, pages_completed, percent_completed, {sql_stamp('start_date')} AS start_date, {sql_stamp('end_date')} AS end_date FROM folded")
 def entry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, _ = validation.validate_entries(_event_requests(spark, sf_dir))
+    valid, _ = validation.validate_entries(event_requests(v.shelf_requests(spark, sf_dir)))
     empty = spark.createDataFrame([], TABLES["book_entries"])
     out = shelves.upsert_entries(empty, valid)
     return out.select("user_id", "source_book_id", "status", "page_count", "pages_completed", "percent_completed", stamp("start_date").alias("start_date"), stamp("end_date").alias("end_date"))

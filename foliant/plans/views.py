@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import ean_check_digit, named_identifiers
+from ..functions.identifiers import ean_check_digit, let, named_identifiers
 from ..schemas import IDENTIFIERS
 
 
@@ -22,17 +22,17 @@ def stamp(c: Column | str) -> Column:
 
 
 def isbn13(k: Column) -> Column:
-    twelve = F.concat(F.lit("978"), F.lpad(k.cast("string"), 9, "0"))
-    return F.concat(twelve, ean_check_digit(twelve))
+    return let(F.concat(F.lit("978"), F.lpad(k.cast("string"), 9, "0")), lambda twelve: F.concat(twelve, ean_check_digit(twelve)))
 
 
 def isbn10(k: Column) -> Column:
-    body = F.lpad(k.cast("string"), 9, "0")
-    total = F.lit(0)
-    for i in range(9):
-        total = total + F.substring(body, i + 1, 1).cast("int") * (10 - i)
-    check = F.pmod(11 - F.pmod(total, F.lit(11)), F.lit(11))
-    return F.concat(body, F.when(check == 10, "X").otherwise(check.cast("string")))
+    def whole(body: Column) -> Column:
+        total = F.lit(0)
+        for i in range(9):
+            total = total + F.substring(body, i + 1, 1).cast("int") * (10 - i)
+        return let(F.pmod(11 - F.pmod(total, F.lit(11)), F.lit(11)), lambda check: F.concat(body, F.when(check == 10, "X").otherwise(check.cast("string"))))
+
+    return let(F.lpad(k.cast("string"), 9, "0"), whole)
 
 
 def sql_isbn13(k: str) -> str:
@@ -57,9 +57,13 @@ SQL_STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 
 def shelf_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as shelf requests: the book is props.k, the event's type the status."""
+    return shelf_requests_of(read(spark, sf_dir, "events"))
+
+
+def shelf_requests_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_OF.items() for x in kv]), F.col("event_type"))
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("int").alias("user_id"), k.alias("k"), status.alias("status"), (k * 3).alias("page_count"),
         F.when(F.col("event_id") % 2 == 0, F.least(k * 3, F.floor("value").cast("int"))).alias("pages_completed"), F.when(F.col("event_id") % 3 != 0, F.least(F.lit(100), F.floor("value").cast("int"))).alias("percent_completed"),
     )
