@@ -1,0 +1,526 @@
+"""Operators against brute-force versions on small tables with nulls, empty and long texts, repeated rows and columns of clashing names."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.llm import components, decontamination, extraction, jaccard, language, mixing, outliers, pii, quality, toxicity, warc
+from foliant.llm import queries as registered
+from foliant.llm._spark import table
+from foliant.llm._text import ALNUM, NON_SPACE, Words
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, rank int, pattern string, k1 long, score double"
+
+
+def docs_of(spark, texts, **more):
+    rows = [(i, t, "en", "s" if i % 3 else None, None, 1, "x", 5, 0.5) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def some_texts(n=60, seed=1):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 120))) for _ in range(n)]
+    out = [None, "", " \n\t", "one", "two words", "two words", base[0], base[0].upper()]
+    for t in base:
+        w = t.split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        out += [t, " ".join(w), " ".join(w[: len(w) * 9 // 10])]
+    return [*out, " ".join(rng.choice(words) for _ in range(20_000))]
+
+
+# text helpers
+
+
+@pytest.mark.parametrize(("table_", "pattern"), [(NON_SPACE, rb"[^\x20\x09-\x0D]+"), (ALNUM, rb"[0-9A-Za-z\x80-\xff]+")])
+def test_words(table_, pattern):
+    texts = [None, "", "a", "é b\n", " x", "y", "ab cd  ef", "ü" * 5000]
+    w = Words(pa.array(texts, pa.string()), table_)
+    want = [re.findall(pattern, (t or "").encode()) for t in texts]
+    assert w.n.tolist() == [len(x) for x in want]
+    assert [w.buf[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)] == [x for y in want for x in y]
+    same = collections.defaultdict(set)
+    for h, x in zip(w.hash.tolist(), [x for y in want for x in y], strict=True):
+        same[x].add(h)
+    assert all(len(v) == 1 for v in same.values())
+    assert len({next(iter(v)) for v in same.values()}) == len(same)
+
+
+# 1
+
+
+@pytest.mark.parametrize("smallest", [0, 8])
+def test_warc_round_trip(spark, smallest):
+    html = ["<p>a</p>", "", None, "ü" * 3000, "<p>a</p>", "tiny", "tiny", "<p>a</p>"]
+    rows = [(i, f"http://www.h{i % 2}.example.org/p{i % 3}?q=1", h, "x", "y") for i, h in enumerate(html)] + [(7, "http://www.h1.example.org/p1?q=1", "<p>a</p>", "x", "y"), (9, None, "null url", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, key string")
+    captures, index = warc.archive(pages, smallest)
+    assert captures.count() == len(rows)
+    got = sorted((int(r["id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["ok"]) for r in warc.read_back(pages, index).collect())
+    top = collections.defaultdict(int)
+    for i, _, h, *_ in rows:
+        top[h or ""] = max(top[h or ""], i)
+    want = []
+    for i, _, h, *_ in rows:
+        b = (h or "").encode()
+        refers = top[h or ""] if len(b) >= smallest and top[h or ""] != i else None
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if refers is not None else "response", None if refers is None else str(refers), True))
+    assert [tuple(map(str, x)) for x in got] == [tuple(map(str, x)) for x in sorted(want, key=lambda x: tuple(map(str, x)))] or sorted(map(str, got)) == sorted(map(str, want))
+    assert warc.read_records(warc.lookup(spark, spark.createDataFrame([("nowhere",)], "key string"), index)).count() == 0
+
+
+def test_index_blocks(spark):
+    """Keys that fill several blocks are found whole."""
+    rows = [(f"k{i % 7}", str(i), "f", i, 1) for i in range(200)]
+    captures = table(spark.createDataFrame(rows, "key string, id string, file string, offset long, length long"), "captures")
+    index = table(warc.write_index(captures, warc.new_path(spark, "index"), block=5), "level")
+    found = warc.lookup(spark, captures.select("key"), index)
+    assert sorted(r["id"] for r in found.collect()) == sorted(r[1] for r in rows)
+    assert spark.createDataFrame([("http://User@www2.Example.org:80/A?b#c",), (None,)], "u string").select(warc.url_key(F.col("u")).alias("k")).collect() == [("org,example):80/a?b",), ("",)]
+
+
+# 2
+
+
+def brute_contamination(texts, items, window=10):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = low(t)
+        for j in range(len(w) - min(window, len(w)) + 1):
+            if w:
+                windows[tuple(w[j : j + window])].add(i)
+    out = []
+    for t in texts:
+        w, hit, found = low(t), set(), set()
+        for k in {len(x) for x in windows}:
+            for j in range(len(w) - k + 1):
+                if (g := windows.get(tuple(w[j : j + k]))) is not None:
+                    hit |= set(range(j, j + k))
+                    found |= g
+        out.append((len(w), len(hit), sorted(str(x) for x in found if x is not None)))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [10**6, 40])
+def test_decontamination(spark, block_words):
+    texts = some_texts(25)
+    rng = random.Random(4)
+    items = [(i, " ".join((texts[rng.randrange(8, 80)] or "x").split()[2:30])) for i in range(12)] + [(50, "w1"), (51, "w3 W4"), (52, None), (53, "--"), (None, "w7"), (50, "w9 w9 w9")]
+    texts += ["W3, w4!", "a " * 30 + items[0][1] + "-é-", items[1][1] + " " + items[1][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contamination(docs_of(spark, texts), bench, ["doc_id"], block_words=block_words)
+    got = {r["doc_id"]: (r["n_words"], r["n"], r["items"]) for r in found.select("*", decontamination.hit_words(F.col("spans")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items)
+    clean = decontamination.remove_contaminated(docs_of(spark, texts), bench, block_words=block_words)
+    assert clean.columns == docs_of(spark, []).columns
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, x in enumerate(brute_contamination(texts, items)) if not x[1]}
+
+
+def test_decontamination_of_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.remove_contaminated(docs_of(spark, ["a", None]), none).count() == 2
+    assert decontamination.contamination(docs_of(spark, []), none, ["doc_id"]).count() == 0
+
+
+# 3
+
+
+def brute_base(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    covered = {i for j in range(len(w) - 4) if grams[tuple(w[j : j + 5])] > 1 for i in range(j, j + 5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+def numpy_estimate(x):
+    """The estimate of outliers.estimates, in numpy."""
+    low = lambda v, q: np.quantile(v, q, axis=0)
+    floors = np.diag(np.array(outliers.FLOORS) ** 2)
+    mean = low(x, 0.5)
+    cov = np.diag((1.4826 * low(np.abs(x - mean), 0.5)) ** 2) + floors
+    for _ in range(outliers.STEPS):
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        q = np.floor(np.log1p(d) * outliers.SCALE)
+        near = x[q <= np.quantile(q, outliers.SHARE)]
+        mean = near.mean(0)
+        cov = ((near.T @ near) / len(near) - np.outer(mean, mean)) * outliers.CORRECTION + floors
+    return mean, cov
+
+
+def test_outliers(spark):
+    rng = random.Random(2)
+    texts = [*some_texts(40), "# % &\n" * 3, "same line here now\n" * 30, "!! ".join(f"q{i}##" for i in range(80)), *[" ".join(f"v{rng.randrange(300)}" for _ in range(rng.randrange(60, 90))) for _ in range(80)]]
+    docs = docs_of(spark, texts)
+    rows = {r["doc_id"]: r for r in outliers.judged(docs, ["doc_id"], least=20).collect()}
+    assert [tuple(rows[i])[1:7] for i in range(len(texts))] == [brute_base(t) for t in texts]
+    light = {r["doc_id"]: [r[n] / outliers.SCALE for n in outliers.NAMES] for r in outliers.statistics(docs, ["doc_id"]).collect()}
+    for source in (0, 1):
+        ids = [i for i in range(len(texts)) if bool(i % 3) == bool(source)]
+        good = [i for i in ids if not brute_base(texts[i])[5]]
+        mean, cov = numpy_estimate(np.array([light[i] for i in good]))
+        for i in ids:
+            v = np.array(light[i]) - mean
+            assert rows[i]["distance"] == pytest.approx(float(v @ np.linalg.inv(cov) @ v), rel=1e-6)
+            assert rows[i]["kept"] == (i in good and rows[i]["distance"] <= outliers.CUTOFF)
+    assert not rows[texts.index("!! ".join(f"q{i}##" for i in range(80)))]["kept"]
+    assert outliers.judged(docs_of(spark, []), ["doc_id"]).count() == 0
+
+
+# 4
+
+
+def test_targets_and_flow():
+    assert mixing.targets({"0a": 10, "0b": 1000, "1": 100}, 1110) == {"0a": 20.0, "0b": pytest.approx(1445.0), "1": 200.0}
+    assert mixing.targets({}, 0) == {}
+    # two sources share one pattern; a's quota needs the shared tokens, so b's own are repeated
+    given = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 20, "b": 20})
+    assert given == {("a",): 10, ("a", "b"): 10, ("b",): 20} or sum(given.values()) == 40
+    assert all(given[p] <= 20 for p in given)
+    # straight filling gives the shared tokens to a; only giving them back lets b have its quota without repeats
+    given = mixing.route({("a", "b"): 10, ("a",): 10}, {"a": 10, "b": 10}, most=1)
+    assert given == {("a", "b"): 10, ("a",): 10}
+
+
+def test_mix(spark):
+    rng = random.Random(5)
+    texts = [None, "", *[" ".join("w" * (1 + i % 5) for _ in range(rng.randrange(1, 300))) for i in range(600)]]
+    rows = [(i, t, "en", rng.choice(["b", "a", None, "a", "a"]), None, 1, "x", 5, 0.5) for i, t in enumerate(texts)] + [(None, "no id", "en", "a", None, 1, "x", 5, 0.5)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    total = collections.Counter()
+    for r in rows:
+        total[r[3]] += size[r[0]]
+    taken, target = collections.Counter(), {}
+    for r in got:
+        s = r["sources"][0]
+        assert r["size"] == size[r["id"]]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[s] += r["taken"]
+        target[s] = (r["target"], r["source_size"])
+    name = {"0a": "a", "0b": "b", "1": None}
+    whole = sum(total.values()) * 1.5
+    assert sum(t for t, _ in target.values()) == pytest.approx(whole)
+    for s, (t, n) in target.items():
+        assert n == total[name[s]]
+        assert abs(taken[s] - t) <= max(2, 0.01 * t)
+    again = {r["id"]: r["taken"] for r in mixing.mix(docs.repartition(3)).collect()}
+    assert again == {r["id"]: r["taken"] for r in got}
+    chosen = mixing.mixed_documents(docs)
+    assert chosen.columns == [*docs.columns, "copies"]
+    assert {r["doc_id"]: r["copies"] for r in chosen.collect()} == {r["id"]: r["n_copies"] for r in got if r["taken"]}
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# 5
+
+PII = ["mail a.b@c-d.org_x@y.z, x@y@z.com", "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 or 010.0.0.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 123", "call +1 (743) 555-3824 now +12 or +1-2-3 +123456789012345678", "é😀 +44 20 7946 0958 é 192.168.0.1,a@b.co", None, "", "4111111111111111 4111111111111111", "1" * 3000, "a" * 5000 + "@x.y"]
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def brute_spans(t):
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    out = []
+    for rank, (kind, p) in enumerate(kinds):
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+                out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def test_pii_base(spark):
+    got = {r["doc_id"]: [(s["start"], s["rank"], s["end"], s["kind"]) for s in r["base"]] for r in pii.found_spans(docs_of(spark, PII), ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(PII))] == [brute_spans(t) for t in PII]
+    assert pii.found_spans(docs_of(spark, []), ["doc_id"]).count() == 0
+
+
+def test_pii_bootstrapping(spark):
+    """A context that seeds teach finds a number without a plus; one that precedes other things as often doesn't."""
+    taught = [f"please call tel.: +1 (743) 555-{1000 + i} today" for i in range(12)]
+    mixed = [f"the number is +1 (743) 555-{2000 + i}" if i % 2 else f"the number is (744) 555-{2000 + i}" for i in range(20)]
+    texts = [*taught, "please call tel.: (745) 555-9999 today", "elsewhere (745) 555-9999 again", "please call Jane", *mixed]
+    rows = {r["doc_id"]: r for r in pii.found_spans(docs_of(spark, texts), ["doc_id"]).collect()}
+    added = {i: [(s["start"], s["end"], s["kind"]) for s in r["spans"] if s not in r["base"]] for i, r in rows.items()}
+    assert added[12] == [(18, 32, "phone")]
+    assert added[13] == [(10, 24, "phone")]
+    assert not any(v for i, v in added.items() if i not in (12, 13))
+    masked = {r["doc_id"]: r for r in pii.mask_documents(docs_of(spark, [*texts, None, "a@b.org+1 (743) 555-1000"]).withColumn("n_chars", F.length("text").cast("long")), length="n_chars").collect()}
+    assert masked[12]["text"] == "please call tel.: [PHONE] today"
+    assert masked[12]["n_chars"] == len(masked[12]["text"])
+    assert masked[len(texts)]["text"] is None
+    assert masked[14]["text"] == "please call Jane"
+
+
+# 6, 7, 10
+
+
+def labelled(spark, n=240):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "do", "ki", "lu", "me"]) for _ in range(rng.randrange(1, 4)))
+    rows, labels = [], []
+    for i in range(n):
+        toxic, junk = i % 5 == 0, i % 7 == 0
+        w = [word() for _ in range(40)]
+        if toxic:
+            w[10:12] = ["vile" + word(), "vile" + word()]
+        if junk:
+            w = [x + "###" for x in w]
+        rows.append((i, " ".join(w) + ".", "xx" if i % 2 else "yy", "s"))
+        labels.append((i, int(not junk), int(toxic)))
+    rows += [(1000, None, "xx", "s"), (1001, "", "yy", "s"), (1002, "12 34", None, None), (0, rows[0][1], "yy", "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame([*labels, (5000, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_classifiers_on_held_out_rows(spark):
+    docs, labels = labelled(spark)
+    good = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    model = quality.quality_model(docs, labels)
+    scored = quality.quality_scores(docs, model, ["doc_id"]).withColumn("h", quality.held_out("doc_id")).collect()
+    assert len(scored) == docs.count()
+    test = [r for r in scored if r["h"] and r["doc_id"] < 1000]
+    assert len(test) > 30
+    assert np.mean([(r["score"] >= 0.7) == good[r["doc_id"]][0] for r in test]) > 0.95
+    kept = quality.remove_low_quality(docs, model)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(r["score"] >= 0.7 for r in scored)
+    field = toxicity.toxicity_model(docs, labels)
+    rows = toxicity.toxicity_scores(docs, field, ["doc_id", "text"]).withColumn("h", quality.held_out("doc_id")).collect()
+    test = [r for r in rows if r["h"] and r["doc_id"] < 1000]
+    assert np.mean([(r["score"] >= 0.3) == good[r["doc_id"]][1] for r in test]) > 0.95
+    assert all(r["text"][s["start"] :].startswith("vile") for r in test for s in r["spans"])
+    empty = docs.limit(0)
+    assert quality.quality_scores(empty, quality.quality_model(empty, labels.limit(0)), ["doc_id"]).count() == 0
+    assert all(r["score"] == 0.5 for r in toxicity.toxicity_scores(docs, toxicity.toxicity_model(empty, labels.limit(0)), ["doc_id"]).collect())
+
+
+def test_marginals_against_enumeration():
+    rng = np.random.default_rng(1)
+    e, step, chain = rng.normal(size=11), rng.normal(size=(2, 2)), np.array([0, 4, 5, 11])
+    odds = toxicity.marginals(e, chain, step)[0]
+    for a, b in zip(chain[:-1], chain[1:], strict=True):
+        n = b - a
+        p = np.zeros((n, 2))
+        for code in range(2**n):
+            y = [(code >> i) & 1 for i in range(n)]
+            weight = np.exp(sum(e[a + i] * y[i] for i in range(n)) + sum(step[y[i], y[i + 1]] for i in range(n - 1)))
+            for i in range(n):
+                p[i, y[i]] += weight
+        assert odds[a:b] == pytest.approx(np.log(p[:, 1] / p[:, 0]))
+
+
+def test_kneser_ney_sums_to_one(spark):
+    """Probabilities of all characters after a context sum to 1, but for the floor of unknown characters."""
+    docs = spark.createDataFrame([("ab ba abc cab", "x"), ("bb aa", "x"), ("cc cb", "y")], "text string, lang string")
+    m = language.train(docs)
+    total = 0.0
+    for c in "abc ":
+        word = "ab" + c if c != " " else "ab"
+        chars = language.Chars(pa.array([word]))
+        logs = {}
+        for upto in ("ab", word):
+            ch = language.Chars(pa.array([upto]))
+            logs[upto] = ch
+        n = 3 if c != " " else 3
+        h = [chars.ngrams(k)[0][n] for k in range(1, 5)]
+        p, back = 0.0, 0.0
+        for order in range(4, 0, -1):
+            keys, values = m.grams[order - 1]
+            if order <= n + 1 and (i := np.searchsorted(keys, h[order - 1])) < len(keys) and keys[i] == h[order - 1]:
+                p = float(np.exp(values[i][0] + back))
+                break
+            bk, bw = m.backs[order - 1]
+            ctx = chars.ngrams(order - 1)[0][n - 1] if order > 1 else 0
+            if order > 1 and (j := np.searchsorted(bk, ctx)) < len(bk) and bk[j] == ctx:
+                back += float(bw[j][0])
+        total += p
+    assert 0.9 < total <= 1.01
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    models = language.train(docs.where(~quality.held_out("doc_id")))
+    more = spark.createDataFrame([(-1, None, None), (-2, "", None), (-3, "123 !?", None)], "doc_id long, text string, lang string")
+    rows = language.predictions(docs.unionByName(more), models, ["doc_id", "lang"]).withColumn("h", quality.held_out("doc_id")).collect()
+    assert all((r["lang_pred"], r["score"]) == ("und", 0.0) for r in rows if r["doc_id"] < 0)
+    test = [r for r in rows if r["h"] and r["doc_id"] >= 0]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in test]) > 0.95
+    nothing = language.predictions(docs, language.train(docs.limit(0)), ["doc_id"]).collect()
+    assert all(r["lang_pred"] == "und" for r in nothing)
+
+
+# 8
+
+
+def brute_components(texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 75 * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    least = {}
+    for i in range(len(texts)):
+        least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [(len(sets[i]), least[find(i)]) for i in range(len(texts))]
+
+
+def edited(rng, words, n, k):
+    """A text and copies at distances around the limit."""
+    base = [rng.choice(words) for _ in range(n)]
+    out = [base]
+    for _ in range(k):
+        w = list(rng.choice(out))
+        for _ in range(rng.randrange(1, 1 + max(1, n // 25))):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        cut = rng.randrange(max(1, n // 8))
+        out.append(w[cut:] if rng.random() < 0.5 else w + base[:cut])
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize(("big", "seed"), [(jaccard.BIG, 1), (300, 2)])
+def test_near_duplicates(spark, big, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(50))
+    texts = [None, "", " ", "one", "ONE", "two words", "Two  words", passage]
+    for n in (6, 9, 20, 40, 80, 80, 200):
+        texts += edited(rng, words, n, 14)
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) + " " + passage for _ in range(40)]
+    texts += [texts[10]] * 5
+    docs = docs_of(spark, texts).repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, big=big).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len({c for _, c in want}) < len(texts) - 40
+    kept = jaccard.without_near_duplicates(docs, big=big)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want})
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "A b c d e f"), (3, "a b c d e f"), (None, None), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(7, 3), (7, 3), (None, 3), (3, 3), (None, None), (9, 9), (9, 9)], key=str)
+    kept = [r["doc_id"] for r in jaccard.without_near_duplicates(docs).collect()]
+    assert sorted(map(str, kept)) == ["3", "9", "None", "None"]
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_prefix_bound():
+    """Similar sets share as much of their long prefixes as survivors() asks for, at any frequent shingles."""
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randrange(1, 80)
+        a = set(rng.sample(range(1, 10**6), n))
+        b = set(rng.sample(sorted(a), rng.randrange(max(1, n * 3 // 4), n + 1))) | set(rng.sample(range(10**6, 2 * 10**6), rng.randrange(n // 4 + 1)))
+        frequent = np.array(sorted(rng.sample(sorted(a | b), rng.randrange(len(a | b)))), np.uint64)
+        sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
+        if jaccard.linked(*sets):
+            common = len(set(jaccard.long_prefix(sets[0], frequent).tolist()) & set(jaccard.long_prefix(sets[1], frequent).tolist()))
+            for s in sets:
+                assert common >= jaccard.fifth((3 * len(s) + 3) // 4)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for e in edges if e[1] is not None for x in e}
+    for _ in range(400):
+        changed = False
+        for a, b in edges:
+            if b is not None and up[a] != up[b]:
+                up[a] = up[b] = min(up[a], up[b])
+                changed = True
+        if not changed:
+            break
+    alone = {a for a, b in edges if a == b}
+    assert {k: v for k, v in got.items() if k not in alone} == {k: v for k, v in up.items() if k in got and k not in alone}
+    assert set(up) - set(got) <= alone
+
+
+# 9
+
+
+def page(body, head=""):
+    return f"<html><head><title>t</title>{head}</head><body><nav><a>menu</a></nav>{body}<footer>foot</footer></body></html>"
+
+
+def test_extraction_markup(spark):
+    article = page('<header>site</header><article class="ad"><p>not this</p></article><article><h1>A &amp; B</h1><script>"</p>"</script><p>one <b>two</b>\n three<br>four &#233;&nbsp;x<p>five<!-- <p>no</p> --></p><section class="user-comments"><p>reader</p></section><form>f</form></article><aside>side</aside>')
+    assert [t for t, _ in extraction.blocks_of(article)] == ["A & B", "one two three", "four é x", "five"]
+    rows = [(1, "http://a.org/1", article, "x"), (2, None, None, "x"), (3, "http://a.org/2", "", "x"), (1, "http://a.org/1", article, "x"), (4, "http://a.org/3", "<article><p>cut off &am", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in extraction.main_text(pages).collect())
+    text = "A & B\none two three\nfour é x\nfive"
+    assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "cut off &am", 11)]
+    assert extraction.main_text(pages.limit(0)).count() == 0
+
+
+def test_extraction_by_host(spark):
+    """Loose text that recurs over a host's pages goes, unique runs and copies of whole pages stay."""
+    notice = "all the usual words of this site stand on every page again"
+    rng = random.Random(9)
+    own = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(i, f"http://a.org/{i}", page(f"<div>{notice}</div><div>{t}</div>")) for i, t in enumerate(own)]
+    rows += [(10 + i, f"http://b.org/{i}", page(f"<div>{own[0]}</div>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == t for i, t in enumerate(own))
+    assert all(got[10 + i] == own[0] for i in range(5))
+
+
+def test_repeated_runs_against_brute_force():
+    rng = np.random.default_rng(2)
+    page_of = np.repeat(np.arange(12), 60)
+    tokens = rng.integers(0, 4, len(page_of))
+    got = extraction.repeated(tokens, page_of, 4, 3)
+    where = collections.defaultdict(set)
+    for i in range(len(tokens) - 3):
+        if page_of[i] == page_of[i + 3]:
+            where[tuple(tokens[i : i + 4])].add(int(page_of[i]))
+    want = np.zeros(len(tokens), bool)
+    for i in range(len(tokens) - 3):
+        if page_of[i] == page_of[i + 3] and len(where[tuple(tokens[i : i + 4])]) >= 3:
+            want[i : i + 4] = True
+    assert (got == want).all()
+
+
+# registered queries
+
+
+@pytest.mark.parametrize("name", sorted(registered.queries()))
+def test_registered_queries_cover_their_tables(spark, name):
+    rows = registered.queries()[name](spark, SF)
+    key = "page_id" if "page_id" in rows.columns else "doc_id"
+    want = spark.read.parquet(f"{SF}/{'pages' if key == 'page_id' else 'documents'}.parquet").select(key).collect()
+    assert sorted(r[0] for r in rows.select(key).collect()) == sorted(r[0] for r in want)
