@@ -28,7 +28,7 @@ from .components import components
 
 WIDTH, BIG, SAMPLE_EVERY, FREQUENT, MOST_FREQUENT = 5, 4_000_000, 32, 3, 1_000_000
 #: Bits of the map of names that have a block; a set bit only means that a document's set is worth sending.
-MAP_BITS = 26
+MAP_BITS = 24
 LEAF, FAN = 16, 8
 #: Bytes of text that are shingled at a time.
 SLICE = 500_000
@@ -195,21 +195,13 @@ def survivors(body: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
     rows = _prefix_rows(body, width, frequent, None)
 
     def run(batches):
-        counts: dict[int, list[int]] = {}
-
-        def out():
-            got = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["k1", "n", "shared"])
-            counts.clear()
-            return got
-
-        def count(h, n, k, since, to):
+        def fitting(h, n, k, since, to):
+            """A row for each shingle that a set shares; Spark counts them, on the map side first."""
             same = (h[1:] == h[:-1]) & (4 * n[:-1] >= 3 * n[1:])  # a row and the next one fit
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            mine = np.arange(len(h))
-            on = shared & (mine >= since) & (mine < to)
-            keys, first, many = np.unique(k[on], return_index=True, return_counts=True)
-            for key, size, c in zip(keys.tolist(), n[on][first].tolist(), many.tolist(), strict=True):
-                counts.setdefault(key, [size, 0])[1] += c
+            at = np.arange(len(h))
+            on = shared & (at >= since) & (at < to)
+            return pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(n[on])], names=["k1", "n"])
 
         held, done = None, 0  # rows of the batch before: the last two, of which the last one still waits for its next
         for batch in batches:
@@ -218,15 +210,12 @@ def survivors(body: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
                 h, n, k = (np.concatenate([a, b]) for a, b in zip(held, (h, n, k), strict=True))
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (k[1:] != k[:-1])])  # tasks send copies of a set each
             h, n, k = h[new], n[new], k[new]
-            count(h, n, k, done, len(h) - 1)
+            yield fitting(h, n, k, done, len(h) - 1)
             held, done = (h[-2:], n[-2:], k[-2:]), min(1, len(h) - 1)
-            if len(counts) > 200_000:
-                yield out()
         if held is not None:
-            count(*held, done, len(held[0]))
-        yield out()
+            yield fitting(*held, done, len(held[0]))
 
-    counted = rows.mapInArrow(run, "k1 long, n long, shared long").groupBy("k1").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    counted = rows.mapInArrow(run, "k1 long, n long").groupBy("k1").agg(F.max("n").alias("n"), F.count("*").alias("shared"))
     return counted.where(F.col("shared") >= 1 + F.floor(F.ceil(3 * F.col("n") / 4) / 5)).select("k1")
 
 
@@ -506,6 +495,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = table(components(links), "roots")
     classes = light.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
+    found = table(found, "classes")  # so that the next join has two plain inputs, and a class with a third of all rows is split
     rows = light.join(found, ["k1", "k2"], "left")
     return rows.select(F.col("doc_id"), "n_shingles", F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
