@@ -205,6 +205,8 @@ def survivors(body: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
 
         held, done = None, 0  # rows of the batch before: the last two, of which the last one still waits for its next
         for batch in batches:
+            if not batch.num_rows:
+                continue
             h, n, k = (batch.column(i).to_numpy() for i in range(3))
             if held is not None:
                 h, n, k = (np.concatenate([a, b]) for a, b in zip(held, (h, n, k), strict=True))
@@ -227,6 +229,8 @@ def ties(body: DataFrame, width: int, frequent: np.ndarray, wanted: np.ndarray)
         joined = Forest()
         last = None  # the last row that may be met, for a shingle that goes on in the next batch
         for batch in batches:
+            if not batch.num_rows:
+                continue
             h, n, k = (batch.column(i).to_numpy() for i in range(3))
             if last is not None:
                 h, n, k = (np.concatenate([[x], y]) for x, y in zip(last, (h, n, k), strict=True))
