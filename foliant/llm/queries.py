@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, jaccard, language, mixing, outliers, pii, quality, toxicity, warc
+from . import decontamination, extraction, jaccard, language, mixing, oracles, outliers, pii, quality, toxicity, warc
 from .quality import held_out
 
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op4_mixing": oracles.MIXING, "op8_jaccard": oracles.JACCARD}
