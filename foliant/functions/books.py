@@ -22,8 +22,18 @@ GENRE_RULES = {
     "young-adult": r"\b(young adult|teenagers?|high school|coming[- ]of[- ]age|sixteen-year-old|seventeen-year-old|eighteen-year-old)\b",
 }
 # The subjects that a genre's feed is asked for.
-GENRE_SUBJECTS = {"biography-memoir": ["biography", "memoir"], "young-adult": ["young adult fiction"]} | {
-    g: [g.replace("-", " ")] for g in ("fantasy", "science-fiction", "mystery", "thriller", "horror", "romance", "historical-fiction", "literary-fiction", "history")
+GENRE_SUBJECTS = {
+    "fantasy": ["fantasy"],
+    "science-fiction": ["science fiction"],
+    "mystery": ["mystery"],
+    "thriller": ["thriller"],
+    "horror": ["horror"],
+    "romance": ["romance"],
+    "historical-fiction": ["historical fiction"],
+    "literary-fiction": ["literary fiction"],
+    "biography-memoir": ["biography", "memoir"],
+    "history": ["history"],
+    "young-adult": ["young adult fiction"],
 }
 
 

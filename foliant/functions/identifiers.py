@@ -29,20 +29,30 @@ def _weighted(digits: Column, n: int, weight) -> Column:
     return total
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: as a column it would be repeated wherever body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ean_check_digit(digits: Column) -> Column:
     """The 13th digit for 12 digits."""
     return F.pmod(10 - F.pmod(_weighted(digits, 12, lambda i: 3 if i % 2 else 1), F.lit(10)), F.lit(10)).cast("string")
 
 
-def with_isbn13(df: DataFrame, column: str) -> DataFrame:
-    """Adds isbn13 and is_valid: a valid ISBN-13 stays, a valid ISBN-10 is rewritten with prefix 978, all else is kept as normalised and invalid."""
-    c = F.upper(normalize_isbn(F.coalesce(F.col(column), F.lit(""))))
+def _canonical(c: Column) -> Column:
+    """struct(isbn13, is_valid) of a normalised identifier."""
     is13 = c.rlike("^[0-9]{13}$") & (F.pmod(_weighted(c, 13, lambda i: 3 if i % 2 else 1), F.lit(10)) == 0)
     last = F.when(F.substring(c, 10, 1) == "X", F.lit(10)).otherwise(F.substring(c, 10, 1).try_cast("int"))
     is10 = c.rlike("^[0-9]{9}[0-9X]$") & (F.pmod(_weighted(c, 9, lambda i: 10 - i) + last, F.lit(11)) == 0)
-    twelve = F.concat(F.lit("978"), F.substring(c, 1, 9))
-    out = F.when(F.coalesce(is13, F.lit(False)), c).when(F.coalesce(is10, F.lit(False)), F.concat(twelve, ean_check_digit(twelve))).otherwise(c)
-    return df.withColumns({"isbn13": out, "is_valid": F.coalesce(is13, F.lit(False)) | F.coalesce(is10, F.lit(False))})
+    longer = let(F.concat(F.lit("978"), F.substring(c, 1, 9)), lambda t: F.concat(t, ean_check_digit(t)))
+    pair = lambda x, ok: F.struct(x.alias("isbn13"), F.lit(ok).alias("is_valid"))
+    return F.when(F.coalesce(is13, F.lit(False)), pair(c, True)).when(F.coalesce(is10, F.lit(False)), pair(longer, True)).otherwise(pair(c, False))
+
+
+def with_isbn13(df: DataFrame, column: str) -> DataFrame:
+    """Adds isbn13 and is_valid: a valid ISBN-13 stays, a valid ISBN-10 is rewritten with prefix 978, all else is kept as normalised and invalid."""
+    found = let(F.upper(normalize_isbn(F.coalesce(F.col(column), F.lit("")))), _canonical)
+    return df.withColumn("__isbn", found).withColumns({"isbn13": F.col("__isbn.isbn13"), "is_valid": F.col("__isbn.is_valid")}).drop("__isbn")
 
 
 def isbn_query(c: Column) -> Column:

@@ -98,25 +98,34 @@ def publish(batches: DataFrame, requests: DataFrame) -> DataFrame:
     return both.withColumns({"status": status, "published_at": F.when(mine, F.col("__at")).otherwise(F.col("published_at"))}).drop("__id", "__at").select(*batches.columns)
 
 
-def _error(df: DataFrame, keys: list[str], stage: int, rule: int, field: str, message: Column | str) -> DataFrame:
+def _said(broken: Column, stage: int, rule: int, field: str, message: Column | str) -> Column:
+    """An error as a struct where a row is broken, else null."""
     text = F.lit(message) if isinstance(message, str) else message
-    return df.select(*keys, F.col("row"), F.lit(stage).alias("stage"), F.lit(rule).alias("rule"), F.lit(field).alias("field"), text.alias("message"))
+    return F.when(broken, F.struct(F.lit(stage).alias("stage"), F.lit(rule).alias("rule"), F.lit(field).alias("field"), text.alias("message")))
+
+
+def _errors(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, "row", F.explode("__errors").alias("e")).select(*keys, "row", "e.*")
+
+
+def _all_said(*errors: Column) -> Column:
+    return F.filter(F.array(*errors), lambda x: x.isNotNull())
 
 
 def checked_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with isbn13 and position, errors) of parsed catalogue rows (keys, row, isbn, title, author): required fields, valid ISBN, first of each ISBN.
 
-    Positions count the kept rows of a file in order and aren't closed up after later rejections.
+    Positions count the kept rows of a file in order and aren't closed up after later rejections. All rules are judged in one pass over the rows.
     """
-    named = with_isbn13(rows, "isbn")
     blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
-    errors = _error(named.where(~F.col("is_valid")), keys, 1, 1, "isbn", "Enter a valid ISBN-10 or ISBN-13.")
-    errors = errors.unionByName(_error(named.where(blank("title")), keys, 1, 2, "title", "Title is required."))
-    errors = errors.unionByName(_error(named.where(blank("author")), keys, 1, 3, "author", "Author is required."))
-    good = named.where(F.col("is_valid") & ~blank("title") & ~blank("author")).drop("is_valid")
-    kept, again = keep_first(good, [*keys, "isbn13"], ["row"])
-    errors = errors.unionByName(_error(again, keys, 2, 1, "isbn", "ISBN is duplicated; the first occurrence was kept."))
-    return compact_positions(kept, keys, ["row"]), errors
+    named = with_isbn13(rows, "isbn").withColumn("__good", F.col("is_valid") & ~blank("title") & ~blank("author"))
+    ranked = named.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "isbn13", "__good").orderBy("row")))
+    judged = ranked.withColumn("__errors", _all_said(
+        _said(~F.col("is_valid"), 1, 1, "isbn", "Enter a valid ISBN-10 or ISBN-13."), _said(blank("title"), 1, 2, "title", "Title is required."), _said(blank("author"), 1, 3, "author", "Author is required."),
+        _said(F.col("__good") & (F.col("__n") > 1), 2, 1, "isbn", "ISBN is duplicated; the first occurrence was kept."),
+    ))
+    kept = judged.where(F.size("__errors") == 0).drop("__good", "__n", "__errors", "is_valid")
+    return compact_positions(kept, keys, ["row"]), _errors(judged, keys)
 
 
 def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame, published: DataFrame, keep_existing: bool = False, file_errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -129,31 +138,32 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
     keys = ["file", "slug", "section"]
     good, errors = checked_rows(rows, keys)
     if file_errors is not None:
-        errors = file_errors.select(*keys, "row", F.lit(0).alias("stage"), F.lit(0).alias("rule"), "field", "message").unionByName(errors)
+        errors = errors.unionByName(file_errors.select(*keys, "row", F.lit(0).alias("stage"), F.lit(0).alias("rule"), "field", "message"))
     resolved, new_rows, _ = resolve_metadata(good, cache, library, volumes)
-    files = rows.select(*keys).distinct()
     other = F.when(F.col("section") == "popular", "upcoming").otherwise("popular")
-    there = files.select("file", "slug", F.col("section").alias("target"), other.alias("section")).join(published, ["slug", "section"])
-    mine = good.withColumn("section", other)
-    clash, carried = split_conflicts(mine, there, ["file", "slug", "section", "isbn13"])
-    clash = clash.withColumn("section", F.when(F.col("section") == "popular", "upcoming").otherwise("popular"))
-    errors = errors.unionByName(_error(clash, keys, 3, 1, "isbn", F.concat(F.lit("This ISBN is already in the "), F.when(F.col("section") == "popular", "upcoming").otherwise("popular"), F.lit(" section."))))
+    there = published.select("slug", F.col("section").alias("__other"), "isbn13").distinct().withColumn("__clash", F.lit(True))
     meta = resolved.select("isbn13", F.struct(*[c for c in resolved.columns if c != "isbn13"]).alias("m"))
-    both = good.join(meta, "isbn13", "left")
-    errors = errors.unionByName(_error(both.where("m is null"), keys, 4, 1, "isbn13", "No book metadata was found for this ISBN."))
-    known = both.where("m is not null").withColumn("t", contains_either(comparable(F.col("m.title")), comparable(F.col("title")))).withColumn("a", F.exists("m.authors", lambda x: contains_either(comparable(x), comparable(F.col("author")))))
-    errors = errors.unionByName(_error(known.where("not t"), keys, 4, 2, "title", F.concat(F.lit("Resolved title '"), F.col("m.title"), F.lit("' does not match the CSV."))))
-    errors = errors.unionByName(_error(known.where("not a"), keys, 4, 3, "author", F.concat(F.lit("Resolved authors '"), F.array_join("m.authors", ", "), F.lit("' do not match the CSV."))))
-    fine = known.where("t and a").join(clash.select("file", "row"), ["file", "row"], "left_anti")
-    books = fine.select(
+    both = good.withColumn("__other", other).join(there, ["slug", "__other", "isbn13"], "left").join(meta, "isbn13", "left")
+    known = F.col("m").isNotNull()
+    title = contains_either(comparable(F.col("m.title")), comparable(F.col("title")))
+    author = F.exists("m.authors", lambda x: contains_either(comparable(x), comparable(F.col("author"))))
+    judged = both.withColumn("__errors", _all_said(
+        _said(F.col("__clash"), 3, 1, "isbn", F.concat(F.lit("This ISBN is already in the "), "__other", F.lit(" section."))), _said(~known, 4, 1, "isbn13", "No book metadata was found for this ISBN."),
+        _said(known & ~title, 4, 2, "title", F.concat(F.lit("Resolved title '"), F.col("m.title"), F.lit("' does not match the CSV."))),
+        _said(known & ~author, 4, 3, "author", F.concat(F.lit("Resolved authors '"), F.array_join("m.authors", ", "), F.lit("' do not match the CSV."))),
+    ))
+    books = judged.where(F.size("__errors") == 0).select(
         *keys, "position", "isbn13", "m.source_book_id", "m.title", "m.authors", "m.description", resolved_cover(F.col("m.cover_override_url"), F.col("m.cover_url")).alias("cover_url"), "m.publisher", "m.identifiers", "m.published_date",
         release_date(F.col("section"), F.col("m.published_date")).alias("release_date"),
     )
-    empty = files.join(books.select(*keys).distinct(), keys, "left_anti").withColumn("row", F.lit(1))
-    errors = errors.unionByName(_error(empty, keys, 5, 1, "file", "No valid rows were available to preview."))
-    kept = there if keep_existing else carried
-    carried_books = kept.join(books.select("file").distinct(), "file", "left_semi").select(*[c for c in books.columns if c != "release_date"], "release_date")
-    return books.unionByName(carried_books), errors.orderBy("file", "stage", "row", "rule"), new_rows
+    files = rows.select(*keys).distinct()
+    filled = books.select(*keys).distinct()
+    empty = files.join(filled, keys, "left_anti").select(*keys, F.lit(1).alias("row"), F.lit(5).alias("stage"), F.lit(1).alias("rule"), F.lit("file").alias("field"), F.lit("No valid rows were available to preview.").alias("message"))
+    errors = errors.unionByName(_errors(judged, keys)).unionByName(empty)
+    carried = filled.withColumn("section", other).join(published, ["slug", "section"])
+    if not keep_existing:
+        carried = split_conflicts(good.withColumn("section", other), carried, ["file", "slug", "section", "isbn13"])[1]
+    return books.unionByName(carried.select(*books.columns)), errors.orderBy("file", "stage", "row", "rule"), new_rows
 
 
 def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
