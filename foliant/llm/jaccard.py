@@ -217,7 +217,7 @@ def survivors(body: DataFrame, width: int, frequent: np.ndarray) -> DataFrame:
         if held is not None:
             yield fitting(*held, done, len(held[0]))
 
-    counted = rows.mapInArrow(run, "k1 long, n long").groupBy("k1").agg(F.max("n").alias("n"), F.count("*").alias("shared"))
+    counted = rows.mapInArrow(run, "k1 long, n long").groupBy("k1").agg(F.min("n").alias("n"), F.count("*").alias("shared"))
     return counted.where(F.col("shared") >= 1 + F.floor(F.ceil(3 * F.col("n") / 4) / 5)).select("k1")
 
 
