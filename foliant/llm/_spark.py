@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .. import shipping
 
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 _own_dirs: dict[str, str] = {}
