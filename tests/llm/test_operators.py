@@ -499,6 +499,18 @@ def test_extraction_by_host(spark):
     assert all(got[10 + i] == own[0] for i in range(5))
 
 
+def test_extraction_of_a_host_of_many_parts(spark):
+    """A notice on few of a host's pages goes, however the pages are dealt into parts."""
+    rng = random.Random(10)
+    notice = "these words of one notice stand on only four of the pages here"
+    own = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
+    rows = [(i, f"http://a.org/{i}", page(f"<div>{t}</div>" + (f"<div>{notice}</div>" if i % 30 == 0 else ""))) for i, t in enumerate(own)]
+    pages = spark.createDataFrame(rows * 2, "page_id long, url string, html string")
+    for shard in (400, 7):
+        got = sorted(tuple(r) for r in extraction.main_text(pages, shard=shard).select("page_id", "text").collect())
+        assert got == sorted([(i, t) for i, t in enumerate(own)] * 2)
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(2)
     page_of = np.repeat(np.arange(12), 60)
