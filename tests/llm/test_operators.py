@@ -511,6 +511,20 @@ def test_extraction_of_a_host_of_many_parts(spark):
         assert got == sorted([(i, t) for i, t in enumerate(own)] * 2)
 
 
+@pytest.mark.parametrize("shard", [400, 2])
+def test_extraction_of_short_pages_and_copies(spark, shard):
+    """A long template goes from pages with a short text of their own; an article on pages that differ in a word or two stays."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    menu, notice, own, article = words(60), words(40), [words(30) for _ in range(7)], words(80)
+    template = lambda t: page(f"<div>{menu}</div><div>{t}</div><div>{notice}</div>")
+    want = [*own, *[f"{article} part {i}" for i in "abcd"], "few words"]
+    rows = [(i, f"http://a.org/{i}", template(t)) for i, t in enumerate(want)]
+    rows += [(20 + i, f"http://b.org/{i}", page(f"<div>{article} part {i}</div>")) for i in range(4)] + [(30, "http://b.org/x", page("<div>one</div>"))]
+    got = {r["page_id"]: r["text"] for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard=shard).collect()}
+    assert got == dict(enumerate(want)) | {20 + i: f"{article} part {i}" for i in range(4)} | {30: "one"}
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(2)
     page_of = np.repeat(np.arange(12), 60)
