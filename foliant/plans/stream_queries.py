@@ -76,9 +76,14 @@ SQL["stream_retention"] = "SELECT event_id FROM events WHERE ts >= TIMESTAMP '20
 @query
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "limit")
-    over = streams.stream_rate_limit(stream_of(spark, sf_dir, "events"), "user_id", 1, "1 hour")
-    finished(over.writeStream.format("parquet").option("path", f"{folder}/over").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    return spark.read.schema(over.schema).parquet(f"{folder}/over").withColumn("window_start", v.stamp("window_start"))
+    events = stream_of(spark, sf_dir, "events")
+    finished(streams.stream_rate_limit(events, f"{folder}/counts", "user_id", f"{folder}/checkpoint", "1 hour"))
+    return streams.over_limit(spark, f"{folder}/counts", "user_id", events.schema["user_id"].dataType.simpleString(), 1).withColumn("window_start", v.stamp("window_start"))
+
+
+SQL["stream_rate_limit"] = (
+    f"SELECT {v.sql_stamp('h')} AS window_start, user_id, n, n - 1 AS rejected FROM (SELECT date_trunc('hour', ts)::timestamp AS h, user_id, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL) WHERE n > 1"
+)
 
 
 @query

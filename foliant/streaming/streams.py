@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,10 +32,24 @@ def retain(spark: SparkSession, source: str, target: str, as_of: Column, days: i
     return spark.read.parquet(target)
 
 
-def stream_rate_limit(calls: DataFrame, key: str, limit: int = 10, window: str = "1 minute", delay: str = "5 minutes") -> DataFrame:
-    """Windows of a key with more requests than the limit, and how many were rejected. A window is given once the watermark has passed it."""
-    counts = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), key).agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > limit).select(F.col("window.start").alias("window_start"), key, "n", (F.col("n") - limit).alias("rejected"))
+def stream_rate_limit(calls: DataFrame, folder: str, key: str, checkpoint: str, window: str = "1 minute") -> StreamingQuery:
+    """Counts the requests of each window of a key: every micro-batch writes what it adds, folder/batch=N with window_start, the key and n; over_limit reads the sums.
+
+    No row is too late, so neither the last windows nor rows in any order are lost. A batch that runs again writes the same counts again.
+    """
+    rows = calls.select(F.window(F.col("ts").cast("timestamp"), window)["start"].alias("window_start"), key)
+
+    def add(batch: DataFrame, n: int) -> None:
+        batch.groupBy("window_start", key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def over_limit(spark: SparkSession, folder: str, key: str, kind: str, limit: int = 10) -> DataFrame:
+    """Windows of a key (a column of type kind) with more requests than the limit in all batches so far, and how many were rejected."""
+    added = spark.read.schema(f"window_start timestamp, `{key}` {kind}, n long, batch int").parquet(folder)
+    counts = added.groupBy("window_start", key).agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") > limit).withColumn("rejected", F.col("n") - limit)
 
 
 class _Recent(StatefulProcessor):
@@ -71,11 +86,26 @@ def stream_recent(views: DataFrame, n: int = 12) -> DataFrame:
 def stream_entries(requests: DataFrame, folder: str, entries: DataFrame, checkpoint: str) -> StreamingQuery:
     """Upserts a stream of entry requests: each micro-batch reads the table of the batch before and writes the next one, folder/batch=N.
 
-    A batch that runs again writes the same table again, so requests count once.
+    Requests are kept in folder-log. Users of whom a batch brings a request that is no later than their last one are replayed from the start, so the table is that of
+    all requests in order (ts, request_id), in whatever batches they came. A batch that runs again writes the same table again, so requests count once.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
-        before = entries if n == 0 else batch.sparkSession.read.schema(entries.schema).parquet(f"{folder}/batch={n - 1}")
-        upsert_entries(before, batch).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}-log/batch={n}")
+        log = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}-log")
+        before, new = entries, log.where(F.col("batch") == n).drop("batch")
+        if n:
+            before = spark.read.schema(entries.schema).parquet(f"{folder}/batch={n - 1}")
+            first = new.groupBy(F.col("user_id").alias("__user")).agg(F.min("ts").alias("at"))
+            last = before.groupBy("user_id").agg(F.max("updated_date").alias("last"))
+            late = first.join(last, F.col("__user").eqNullSafe(F.col("user_id"))).where("at <= last").select("__user").persist()
+            split = lambda df, how: df.join(late, F.col("user_id").eqNullSafe(F.col("__user")), how)
+            if not late.isEmpty():
+                new = split(new, "left_anti").unionByName(split(log.where(F.col("batch") <= n).drop("batch"), "left_semi"))
+                before = split(before, "left_anti").unionByName(split(entries, "left_semi"))
+        upsert_entries(before, new).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        if n:
+            late.unpersist()
 
     return requests.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
