@@ -21,7 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 NAMES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
 #: Least standard deviations of the statistics, so that one that is 0 for nearly all documents doesn't reject the few others.
-FLOORS = (0.3, 0.1, 0.5, 1.0, 1.0)
+#: Where a group has no repeated lines, two thirds of them reject alone (4.21 / 0.65 squared is CUTOFF); repeated words are rejected alone by the base rule.
+FLOORS = (0.3, 0.1, 0.5, 0.65, 1.0)
 #: chi-square of 5 degrees of freedom: 1 - 1e-7. CORRECTION makes the scatter of the nearest 75 % that of all.
 CUTOFF, SHARE, CORRECTION, STEPS, LEAST, SCALE = 42.0, 0.75, 1.41, 4, 60, 1000
 #: Groups up to so many are broadcast with their estimates (about 200 bytes each); more are joined by shuffle.

@@ -179,6 +179,18 @@ def test_outliers(spark):
     assert outliers.judged(docs_of(spark, []), ["doc_id"]).count() == 0
 
 
+def test_outlier_of_repeated_lines(spark):
+    """Mostly repeated short lines, in varying order so that few 5-word windows repeat, are rejected in a clean group, whatever else is usual."""
+    rng = random.Random(12)
+    lines = [f"l{i} m{i} n{i}" for i in range(25)]
+    text = "\n".join(rng.choice(lines) for _ in range(450))
+    texts = [*["\n".join(" ".join(f"v{rng.randrange(1000)}" for _ in range(3)) for _ in range(rng.randrange(350, 550))) for _ in range(100)], "\n".join(f"{x} y{i}" if i % 20 == 0 else x for i, x in enumerate(text.split("\n")))]
+    rows = outliers.judged(docs_of(spark, texts).withColumn("source", F.lit("s")), ["doc_id"]).collect()
+    last = max(rows, key=lambda r: r["doc_id"])
+    assert 0.85 * 450 < last["n_dup_lines"]
+    assert {r["doc_id"] for r in rows if not r["kept"]} == {100}
+
+
 # 4
 
 
