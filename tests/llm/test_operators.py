@@ -238,6 +238,16 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_of_a_source_with_one_long_document(spark):
+    """The quota is met wherever the long document's hash falls."""
+    sized = spark.createDataFrame([(i, ["0a"], 50) for i in range(400)] + [(400, ["0a"], 20_000)], "id long, sources array<string>, size long").persist()
+    for seed in range(4):
+        planned = mixing.plan(sized, budget=0.75, seed=seed)
+        rows = mixing.taken(sized, planned, seed).collect()
+        assert {r["target"] for r in rows} == {30_000.0}
+        assert abs(sum(r["taken"] for r in rows) - 30_000) <= 300
+
+
 # 5
 
 PII = ["mail a.b@c-d.org_x@y.z, x@y@z.com", "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 or 010.0.0.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 123", "call +1 (743) 555-3824 now +12 or +1-2-3 +123456789012345678", "é😀 +44 20 7946 0958 é 192.168.0.1,a@b.co", None, "", "4111111111111111 4111111111111111", "1" * 3000, "a" * 5000 + "@x.y"]
