@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +103,6 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 
 def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose texts have about `most` bytes; a longer text is a part of its own."""
-    import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
@@ -114,3 +114,38 @@ def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def member_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap over the first `bits` bits of a column of 64-bit hashes. It is put together from rows of 4 KB, at most 2 ** (bits - 15) of them."""
+    at = F.shiftrightunsigned(column, 64 - bits)
+    maps = keys.groupBy(F.floor(at / 32768).alias("row")).agg(F.bitmap_construct_agg(at % 32768).alias("map")).collect()
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in maps:
+        out[r["row"] * 4096 : (r["row"] + 1) * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def map_bits(count: int, most: int = 27) -> int:
+    """Bits of a bitmap for so many hashes: 64 places or more for each, up to 2 ** most places (16 MB), as a set bit only means that a row is worth a join."""
+    return min(most, max(18, (64 * max(1, count) - 1).bit_length()))
+
+
+def on_map(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes (unsigned) have their bit set."""
+    at = (hashes >> np.uint64(64 - (len(marks) << 3).bit_length() + 1)).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def divided(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among the hashes `k1` of keys, rows whose key may be): a bitmap as a small table tells them apart without a shuffle. A null key is surely not."""
+    bits = map_bits(keys.count())
+    marks = member_map(keys, "k1", bits)
+    size = 4096
+    parts = [(i, bytearray(part.tobytes())) for i in range(len(marks) // size) if (part := marks[i * size : (i + 1) * size]).any()]
+    columns = rows.columns
+    bitmap = F.broadcast(rows.sparkSession.createDataFrame(parts, "__row long, __map binary"))  # of a size that map_bits bounds
+    marked = rows.withColumn("__at", F.shiftrightunsigned(key, 64 - bits)).withColumn("__row", F.floor(F.col("__at") / 32768)).join(bitmap, "__row", "left")
+    byte = F.conv(F.hex(F.substring("__map", (F.floor((F.col("__at") % 32768) / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    marked = marked.withColumn("__maybe", F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1, F.lit(False)))
+    return marked.where(~F.col("__maybe")).select(*columns), marked.where("__maybe").select(*columns)

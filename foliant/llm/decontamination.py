@@ -1,26 +1,28 @@
 """Benchmark decontamination by winnowing.
 
 Test items and documents are cut into words; of every w neighbouring k-gram hashes the least one is kept as a fingerprint. A document and an
-item that share w + k - 1 words in a row share a fingerprint, so with w + k - 1 = window no shared window is missed. Fingerprints of documents are
-joined with those of the items, and each hit is extended to both sides, word by word, into the longest shared run.
+item that share w + k - 1 words in a row share a fingerprint, so with w + k - 1 = window no shared window is missed. Each fingerprint carries the
+window - k words on either side of it. Spark joins the fingerprints of documents and items by hash, and each hit is extended to both sides, word by word:
+where the shared run has a window, its words are hit. A run that is longer than what one fingerprint carries has more fingerprints.
 
-The items are a query set: they are read in blocks of a bounded number of words (BLOCK_WORDS); each block goes over all documents. Documents are
-never shuffled.
+Tokens are read once, where the documents lie: a bitmap of the items' fingerprints (of bounded size) leaves only those that an item may have, so
+documents without one are never shuffled. Fingerprints of an item that have the same words around them are one, and so are equal texts: cost is linear in repeats.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import map_texts, table
-from ._text import ALNUM, Words
+from ._spark import divided, map_bits, map_texts, member_map, on_map, table
+from ._text import ALNUM, Words, mix
 
 WINDOW, K = 10, 5
-#: Words of items in a block; a block takes about 40 bytes a word on the driver and in a task.
-BLOCK_WORDS = 2_000_000
+#: Fingerprints of items up to so many (some 150 bytes each) are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 300_000
+_PRINTS = "array<struct<h:bigint,n:int,p:bigint,l:array<bigint>,r:array<bigint>>>"
 
 
 def winnow(words: Words, k: int, w: int) -> np.ndarray:
@@ -52,126 +54,100 @@ def winnow(words: Words, k: int, w: int) -> np.ndarray:
     return kept[ok[kept]]
 
 
-class Block:
-    """Items as arrays: word hashes one after another, and sorted fingerprints with their positions."""
-
-    def __init__(self, ids: list, texts: list, window: int, k: int):
-        w = Words(pa.array(texts, pa.string()), ALNUM, lower=True)
-        self.window, self.k = window, k
-        self.ids, self.hash, self.at, self.n = list(ids), w.hash, w.at, w.n
-        self.item = w.text_of()
-        self.prints: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        long = self.n >= window
-        self._add(w, winnow(w, k, window - k + 1), long, k, window - k + 1)
-        for n in sorted(set(self.n[(self.n > 0) & ~long].tolist())):  # an item of fewer words is one window: all its words, as one gram
-            self._add(w, w.at[:-1][self.n == n], self.n == n, n, 1)
-
-    def _add(self, w: Words, pos: np.ndarray, which: np.ndarray, k: int, width: int) -> None:
-        pos = pos[which[self.item[pos]]] if len(pos) else pos
-        if len(pos):
-            h = w.grams(k)[0][pos]
-            order = np.argsort(h, kind="stable")
-            self.prints[k, width] = (h[order], pos[order])
-
-    def find(self, w: Words) -> tuple[np.ndarray, list[set]]:
-        """Whether each word of the texts is hit, and the items found in each text."""
-        edges = np.zeros(len(w.hash) + 1, np.int64)
-        found: list[set] = [set() for _ in w.n]
-        texts = w.text_of()
-        for (k, width), (prints, where) in self.prints.items():
-            grams, ok = w.grams(k)
-            pos = winnow(w, k, width) if width > 1 else np.flatnonzero(ok)
-            lo = np.searchsorted(prints, grams[pos], "left")
-            hi = np.searchsorted(prints, grams[pos], "right")
-            hit = hi > lo
-            pos, lo, n = pos[hit], lo[hit], (hi - lo)[hit]
-            if not len(pos):
-                continue
-            p = np.repeat(pos, n)
-            q = where[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            # a shared run is looked at once, whichever fingerprint it was found by: extend all hits to the left first
-            t, i = texts[p], self.item[q]
-            p, q = self._slide(w, p, q, w.at[t], self.at[i], -1)
-            first = np.unique(np.stack([p, q], 1), axis=0)
-            p, q = first[:, 0], first[:, 1]
-            t, i = texts[p], self.item[q]
-            e, _ = self._slide(w, p, q, w.at[t + 1] - 1, self.at[i + 1] - 1, 1)
-            run = e - p + 1
-            good = run >= np.minimum(self.window, self.n[i])
-            np.add.at(edges, p[good], 1)
-            np.add.at(edges, e[good] + 1, -1)
-            for a, b in zip(t[good].tolist(), i[good].tolist(), strict=True):
-                found[a].add(b)
-        return np.cumsum(edges[:-1]) > 0, found
-
-    def _slide(self, w: Words, p: np.ndarray, q: np.ndarray, p_end: np.ndarray, q_end: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-        """Moves pairs of positions as long as the next words agree."""
-        p, q = p.copy(), q.copy()
-        live = np.arange(len(p))
-        while len(live):
-            a, b = p[live] + by, q[live] + by
-            inside = (a <= p_end[live]) & (b <= q_end[live]) if by > 0 else (a >= p_end[live]) & (b >= q_end[live])
-            live, a, b = live[inside], a[inside], b[inside]
-            same = w.hash[a] == self.hash[b]
-            live = live[same]
-            p[live], q[live] = a[same], b[same]
-        return p, q
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int, window: int, k: int):
-    """Blocks of items with at most block_words words (a longer item is a block of its own)."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("words")).where("words is not null")
-    ids, texts, n = [], [], 0
-    for row in items.orderBy("item", "words").toLocalIterator():
-        size = len(row["words"]) // 2 + 1
-        if ids and n + size > block_words:
-            yield Block(ids, texts, window, k)
-            ids, texts, n = [], [], 0
-        ids.append(row["item"])
-        texts.append(row["words"])
-        n += size
-    if ids:
-        yield Block(ids, texts, window, k)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+def fingerprints(w: Words, short: tuple[int, ...], window: int, k: int, marks: np.ndarray | None = None, items: bool = False) -> list[list[dict]]:
+    """Of each text its fingerprints: hash h, words n of the gram, place p, and the hashes of the words to its left (nearest first) and right, window - k at most.
+
+    Items have the fingerprints of their length only: an item of fewer words than a window is one gram of all its words (n < window, nothing beside it). Texts
+    have those of windows, and all grams of the lengths `short`. marks: a bitmap; fingerprints that aren't on it are left out.
+    """
+    out: list[list[dict]] = [[] for _ in w.n]
+    text = w.text_of()
+    signed = w.hash.view(np.int64)
+    for n in (0, *short):
+        if n:
+            h, ok = w.grams(n)
+            pos = np.flatnonzero(ok)
+            if items:
+                pos = pos[w.n[text[pos]] == n]
+        else:
+            pos, h = winnow(w, k, window - k + 1), w.grams(k)[0]
+            pos = pos[w.n[text[pos]] >= window]
+        found = mix(h[pos] ^ np.uint64(n + 1))
+        if marks is not None:
+            on = on_map(marks, found)
+            pos, found = pos[on], found[on]
+        t = text[pos]
+        first, last, side = w.at[t], w.at[t + 1], 0 if n else window - k
+        size = n or k
+        for p, hash_, i, a, b in zip(pos.tolist(), found.view(np.int64).tolist(), t.tolist(), first.tolist(), last.tolist(), strict=True):
+            left, right = signed[max(a, p - side) : p][::-1], signed[p + size : min(b, p + size + side)]
+            out[i].append({"h": hash_, "n": size, "p": p - a, "l": left.tolist(), "r": right.tolist()})
+    return out
+
+
+def _item_prints(benchmark: DataFrame, item_id: str, text: str, window: int, k: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """The distinct fingerprints of items (item, h, n, l, r), and the lengths of items that are shorter than a window."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("__words")).where("__words is not null")
+    sized = map_texts(items, "__words", [], "n long", lambda t: {"n": Words(t, ALNUM, lower=True).n})
+    short = tuple(sorted(r["n"] for r in sized.where(F.col("n").between(1, window - 1)).distinct().collect()))  # window - 1 at most
+    prints = map_texts(items, "__words", ["item"], f"prints {_PRINTS}", lambda t: {"prints": fingerprints(Words(t, ALNUM, lower=True), short, window, k, items=True)})
+    return table(prints.select("item", F.explode("prints").alias("f")).select("item", "f.h", "f.n", "f.l", "f.r").distinct(), "item-prints"), short
+
+
+def _same(a: Column, b: Column) -> Column:
+    """How many words agree from the start of two lists."""
+    agree = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(agree, False)
+    return F.when(first == 0, F.size(agree)).otherwise(first - 1)
+
+
+def _hits(prints: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Of rows with __key and __prints (equal keys have equal ones): __key, __spans and __items of each key with a hit."""
+    once = prints.where(F.size("__prints") > 0).groupBy("__key").agg(F.first("__prints").alias("__prints"))
+    mine = once.select("__key", F.explode("__prints").alias("f")).select("__key", "f.h", "f.p", F.col("f.l").alias("dl"), F.col("f.r").alias("dr"))
+    pairs = mine.join(F.broadcast(items) if items.count() <= MAX_BROADCAST else items, "h")
+    runs = pairs.select("__key", "item", "p", "n", _same(F.col("dl"), F.col("l")).alias("before"), _same(F.col("dr"), F.col("r")).alias("behind"), F.size("l").alias("nl"), F.size("r").alias("nr"))
+    whole = (F.col("before") + F.col("n") + F.col("behind") >= window) | ((F.col("nl") == 0) & (F.col("nr") == 0))
+    hits = table(runs.where(whole).select("__key", "item", (F.col("p") - F.col("before")).alias("start"), (F.col("p") + F.col("n") + F.col("behind")).alias("end")).distinct(), "hits")
+    # overlapping and adjoining ranges of a text become one
+    in_order = Window.partitionBy("__key").orderBy("start", "end")
+    upto = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = hits.select("__key", "start", "end").distinct().withColumn("new", F.coalesce(F.col("start") > upto, F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("__key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))  # no more than a text has words
+    named = hits.groupBy("__key").agg(F.sort_array(F.collect_set("item")).alias("__items"))
+    return table(spans.join(named, "__key"), "hit-texts")
+
+
+def _printed(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, item_id: str, item_text: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs as `keep`, __key (a digest of the text), __n and __prints, distinct fingerprints of the items)."""
+    items, short = _item_prints(benchmark, item_id, item_text, window, k)
+    marks = docs.sparkSession.sparkContext.broadcast(member_map(items, "h", map_bits(items.count())))
+    source = docs.select(*keep, F.col(text).cast("string").alias("__body"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__key"))
+
+    def found(texts: pa.Array) -> dict:
+        w = Words(texts, ALNUM, lower=True)
+        return {"__n": w.n, "__prints": fingerprints(w, short, window, k, marks.value)}
+
+    return map_texts(source, "__body", [*keep, "__key"], f"`__n` long, `__prints` {_PRINTS}", found), items
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """For each row of docs: the columns `keep`, n_words, spans (array of hit word ranges, end exclusive) and items (sorted distinct ids as strings).
 
     Null or empty text: 0 words, no spans. Items without words, and null items, match nothing; an item with a null id counts for spans but isn't
-    listed. Repeated rows are judged alike. An empty benchmark hits nothing. Other columns of docs aren't read, whatever their names.
+    listed. Repeated rows are judged alike. An empty benchmark hits nothing. Other columns of docs aren't read, whatever their names. Texts and items of
+    any length are read whole, and words that repeat cost no more than others.
     """
-    spark = docs.sparkSession
-    source = docs.select(*keep, F.col(text).cast("string").alias("__body"))
-    columns = "`__n` long, `__spans` array<struct<start:long,end:long>>, `__items` array<string>"
-    blocks = _blocks(benchmark, item_id, item_text, block_words, window, k)
-    block, later = next(blocks, Block([], [], window, k)), next(blocks, None)
-    old: list[str] = []
-    while True:
-        shared = spark.sparkContext.broadcast(block)
-        out = map_texts(source, "__body", [*keep, *old, *["__body"] * (later is not None)], columns, lambda t, s=shared: _spans(s.value, t))
-        if old:
-            out = out.withColumns({"__spans": F.concat("__old_spans", "__spans"), "__items": F.array_union("__old_items", "__items")}).drop(*old)
-        if later is None:
-            break
-        old = ["__old_spans", "__old_items"]  # what a block finds goes on beside the text to the next block
-        source = table(out.withColumnsRenamed({"__spans": old[0], "__items": old[1]}).drop("__n"), "decontamination")
-        block, later = later, next(blocks, None)
-    return out.select(*keep, F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.array_sort("__items").alias("items"))
-
-
-def _spans(block: Block, texts: pa.Array) -> dict:
-    w = Words(texts, ALNUM, lower=True)
-    hit, found = block.find(w)
-    spans: list[list] = [[] for _ in w.n]
-    if hit.any():
-        on = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-        for s, e in zip(np.flatnonzero(on == 1).tolist(), np.flatnonzero(on == -1).tolist(), strict=True):
-            while s < e:  # a run may reach over the border of two texts
-                t = int(np.searchsorted(w.at, s, "right")) - 1
-                to = min(e, int(w.at[t + 1]))
-                spans[t].append({"start": s - int(w.at[t]), "end": to - int(w.at[t])})
-                s = to
-    return {"__n": w.n, "__spans": spans, "__items": [sorted({block.ids[i] for i in f if block.ids[i] is not None}) for f in found]}
+    rows, items = _printed(docs, benchmark, keep, text, item_id, item_text, window, k)
+    rows = table(rows, "decontamination")
+    hits = _hits(rows, items, window)
+    spans, names = "array<struct<start:bigint,end:bigint>>", "array<string>"
+    some = F.size("__prints") > 0
+    clean = rows.where(~some).withColumns({"__spans": F.array().cast(spans), "__items": F.array().cast(names)})
+    rest = rows.where(some).join(hits, "__key", "left")
+    both = clean.select(*keep, "__n", "__spans", "__items").unionByName(rest.select(*keep, "__n", F.coalesce("__spans", F.array().cast(spans)).alias("__spans"), F.coalesce("__items", F.array().cast(names)).alias("__items")))
+    return both.select(*keep, F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def hit_words(spans) -> F.Column:
@@ -185,6 +161,10 @@ def hit_words(spans) -> F.Column:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that have a window of an item; all columns stay as they are."""
-    return contamination(docs, benchmark, docs.columns, **options).where(F.size("spans") == 0).select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+    """docs without the documents that have a window of an item; all columns stay as they are. Only rows whose text may be one of the hit ones are shuffled."""
+    rows, items = _printed(docs, benchmark, [], text, item_id, item_text, window, k)
+    hits = _hits(table(rows.where(F.size("__prints") > 0), "decontamination"), items, window)
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    stay, maybe = divided(docs, F.xxhash64(digest), hits.select(F.xxhash64("__key").alias("k1")))
+    return stay.unionByName(maybe.withColumn("__key", digest).join(hits.select("__key"), "__key", "left_anti").select(*docs.columns))

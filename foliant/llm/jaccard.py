@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import drop_table, map_texts, ship, table
+from ._spark import divided, drop_table, map_bits, map_texts, member_map, on_map, ship, table
 from ._text import NON_SPACE, Words, mix
 from .components import components
 
 WIDTH, BIG, SAMPLE_EVERY, FREQUENT, MOST_FREQUENT = 5, 4_000_000, 32, 3, 1_000_000
-#: Bits of the map of names that have a block; a set bit only means that a document's set is worth sending.
-MAP_BITS = 24
 LEAF, FAN = 16, 8
 #: Bytes of text that are shingled at a time.
 SLICE = 500_000
@@ -176,7 +174,7 @@ def _prefix_rows(body: DataFrame, width: int, frequent: np.ndarray, wanted: np.n
                 if names is None:
                     p = long_prefix(s, often)
                     n.append(np.full(len(p), len(s)))
-                elif on_map(names, k1):
+                elif _marked(names, k1):
                     p, first = prefix(s, often)
                     n.append(2 * len(s) + (np.arange(len(p)) < first))
                 else:
@@ -412,19 +410,13 @@ def _across(rows: list[tuple]) -> list[tuple[int, int]]:
     return [(rows[i][0], rows[j][0]) for i, j in links_within([r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows])]
 
 
-def _member_map(blocks: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap over the first `bits` bits of the names that have a block. It is put together from rows of 4 KB, at most 2 ** (bits - 15) of them."""
-    at = F.shiftrightunsigned("k1", 64 - bits)
-    maps = blocks.groupBy(F.floor(at / 32768).alias("row")).agg(F.bitmap_construct_agg(at % 32768).alias("map")).collect()
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in maps:
-        out[r["row"] * 4096 : (r["row"] + 1) * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
-    return out
+def _names_map(names: DataFrame) -> np.ndarray:
+    """A bitmap of the first halves of names; a set bit only means that a document's set is worth sending."""
+    return member_map(names, "k1", map_bits(names.count()))
 
 
-def on_map(names: np.ndarray, k1: int) -> bool:
-    at = (k1 % 2**64) >> (64 - MAP_BITS)
-    return bool((int(names[at >> 3]) >> (at & 7)) & 1)
+def _marked(names: np.ndarray, k1: int) -> bool:
+    return bool(on_map(names, np.array([k1 % 2**64], np.uint64))[0])
 
 
 def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
@@ -433,7 +425,7 @@ def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: in
     classes = light.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("n"))
     frequent = frequent_shingles(body, width)
     stay = table(survivors(body, width, frequent), "survivors")
-    blocks = components(ties(body, width, frequent, _member_map(stay, MAP_BITS))).select(F.col("node").alias("k1"), F.col("root").alias("block"))
+    blocks = components(ties(body, width, frequent, _names_map(stay))).select(F.col("node").alias("k1"), F.col("root").alias("block"))
     blocks = table(blocks, "blocks")
     members = table(classes.join(blocks, "k1").select("k1", "k2", "rep", "n", "block"), "members")
     sums = members.groupBy("block").agg(F.sum("n").alias("sum"))
@@ -445,7 +437,7 @@ def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: in
     some_large = not cuts.isEmpty()
     dealt = table(small.unionByName(chunked) if some_large else small, "dealt")
 
-    wanted = body.sparkSession.sparkContext.broadcast(_member_map(blocks, MAP_BITS))
+    wanted = body.sparkSession.sparkContext.broadcast(_names_map(blocks))
 
     def start():
         new = _each_set(width)
@@ -453,7 +445,7 @@ def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: in
         def fn(texts):
             k1, k2, grams = [], [], []
             for _, (a, b), s in new(texts):
-                if on_map(wanted.value, a):
+                if _marked(wanted.value, a):
                     k1.append(a)
                     k2.append(b)
                     grams.append(s.tobytes())
@@ -513,22 +505,11 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     found = table(near_duplicates(docs, doc_id, text, **options), "components")
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     gone = found.where("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct()
-    gone = table(gone.select("doc_id", F.xxhash64("doc_id").alias("k1")), "gone")
-    marks = _member_map(gone, MAP_BITS)
-    rows_of = 4096
-    spark = docs.sparkSession
-    # the bitmap as a small table: a row for each 32,768 positions, at most 2 ** (MAP_BITS - 15) of them
-    parts = [(i, bytearray(marks[i * rows_of : (i + 1) * rows_of].tobytes())) for i in range(len(marks) // rows_of) if marks[i * rows_of : (i + 1) * rows_of].any()]
-    at = F.shiftrightunsigned(F.xxhash64(F.col(doc_id)), 64 - MAP_BITS)
+    gone = table(gone.select(F.xxhash64("doc_id").alias("k1")), "gone")
     columns = docs.columns
-    bitmap = F.broadcast(spark.createDataFrame(parts, "__row long, __map binary"))
-    marked = docs.withColumn("__at", at).withColumn("__row", F.floor(F.col("__at") / 32768)).join(bitmap, "__row", "left")
-    byte = F.conv(F.hex(F.substring("__map", (F.floor((F.col("__at") % 32768) / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1, F.lit(False)) & F.col(doc_id).isNotNull()
-    marked = marked.withColumn("__maybe", bit)
-    stay = marked.where(~F.col("__maybe")).select(*columns)
+    stay, maybe = divided(docs, F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id))), gone)
     removed = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    maybe = marked.where("__maybe").select(*columns).join(removed, doc_id, "left_anti")
+    maybe = maybe.join(removed, doc_id, "left_anti")
     twice = repeated.withColumnRenamed("doc_id", doc_id)
     first = maybe.join(twice, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*columns)).alias("__first")).select("__first.*")
     return stay.unionByName(maybe.join(twice, doc_id, "left_anti")).unionByName(first)

@@ -112,21 +112,31 @@ def brute_contamination(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block_words", [10**6, 40])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", broadcast)
     texts = some_texts(25)
     rng = random.Random(4)
     items = [(i, " ".join((texts[rng.randrange(8, 80)] or "x").split()[2:30])) for i in range(12)] + [(50, "w1"), (51, "w3 W4"), (52, None), (53, "--"), (None, "w7"), (50, "w9 w9 w9")]
     texts += ["W3, w4!", "a " * 30 + items[0][1] + "-é-", items[1][1] + " " + items[1][1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.contamination(docs_of(spark, texts), bench, ["doc_id"], block_words=block_words)
+    found = decontamination.contamination(docs_of(spark, texts), bench, ["doc_id"])
     got = {r["doc_id"]: (r["n_words"], r["n"], r["items"]) for r in found.select("*", decontamination.hit_words(F.col("spans")).alias("n")).collect()}
     assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items)
-    clean = decontamination.remove_contaminated(docs_of(spark, texts), bench, block_words=block_words)
+    clean = decontamination.remove_contaminated(docs_of(spark, texts), bench)
     assert clean.columns == docs_of(spark, []).columns
     assert {r["doc_id"] for r in clean.collect()} == {i for i, x in enumerate(brute_contamination(texts, items)) if not x[1]}
 
 
+def test_decontamination_of_repeated_words(spark):
+    """A long run of one word on both sides, and of two words in turn, costs what its length does."""
+    n = 20_000
+    texts = ["x " * n, "x y " * (n // 2), "x " * 9, "z " * 40 + "x " * 12, "x " * 9 + "q"]
+    items = spark.createDataFrame([(1, "x " * n), (2, "x y " * (n // 2)), (3, "y x q")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in decontamination.contamination(docs_of(spark, texts), items, ["doc_id"]).collect()}
+    assert got == {0: (n, [(0, n)], ["1"]), 1: (n, [(0, n)], ["2"]), 2: (9, [], []), 3: (52, [(40, 52)], ["1"]), 4: (10, [], [])}
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.remove_contaminated(docs_of(spark, ["a", None]), none).count() == 2
