@@ -510,7 +510,8 @@ def page(body, head=""):
 
 def test_extraction_markup(spark):
     article = page('<header>site</header><article class="ad"><p>not this</p></article><article><h1>A &amp; B</h1><script>"</p>"</script><p>one <b>two</b>\n three<br>four &#233;&nbsp;x<p>five<!-- <p>no</p> --></p><section class="user-comments"><p>reader</p></section><form>f</form></article><aside>side</aside>')
-    assert [t for t, _ in extraction.blocks_of(article)] == ["A & B", "one two three", "four é x", "five"]
+    assert [t for t, state in extraction.blocks_of(article) if state == extraction.PROSE] == ["A & B", "one two three", "four é x", "five"]
+    assert {t for t, state in extraction.blocks_of(article) if state == extraction.OUT} == {"menu", "site", "not this", "reader", "f", "side", "foot"}
     rows = [(1, "http://a.org/1", article, "x"), (2, None, None, "x"), (3, "http://a.org/2", "", "x"), (1, "http://a.org/1", article, "x"), (4, "http://a.org/3", "<article><p>cut off &am", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in extraction.main_text(pages).collect())
@@ -557,6 +558,79 @@ def test_extraction_of_short_pages_and_copies(spark, shard):
     assert got == dict(enumerate(want)) | {20 + i: f"{article} part {i}" for i in range(4)} | {30: "one"}
 
 
+def test_extraction_keeps_what_an_article_holds(spark):
+    """Classes that only look like those of menus and adverts drop nothing inside an article; its own menus, adverts and comments go."""
+    body = '<article><h1>T</h1>{}<p>tail</p></article>'
+    kept = ["widget", "search", "share-story", "notice", "related", "promo", "page-header"]
+    gone = ['class="ad"', 'class="ads-slot"', 'id="comments"', 'role="navigation"', 'class="sidebar left"']
+    rows = [(i, f"http://a{i}.org/", page(body.format(f'<div class="{c}"><p>body text</p>loose</div>'))) for i, c in enumerate(kept)]
+    rows += [(100 + i, f"http://b{i}.org/", page(body.format(f"<div {c}><p>body text</p>loose</div>"))) for i, c in enumerate(gone)]
+    got = {r["page_id"]: r["text"] for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "T\nbody text\nloose\ntail" for i in range(len(kept))} | {100 + i: "T\ntail" for i in range(len(gone))}
+
+
+def brute_pages(pages, length=8, least=3):
+    """Pages of one host without an article, each a list of blocks: a run of `length` tokens goes if it stands on `least` distinct pages and beside `least` different texts."""
+    distinct = sorted({tuple(p) for p in pages})
+    tokens = {p: " ".join(p).split(" ") for p in distinct}
+    where = collections.defaultdict(set)
+    runs = {p: [tuple(t[i : i + length]) for i in range(len(t) - length + 1)] for p, t in tokens.items()}
+    for p, rs in runs.items():
+        for r in rs:
+            where[r].add(p)
+    n = {r: len(ps) if len(ps) >= least else 0 for r, ps in where.items()}
+    beside = collections.defaultdict(set)
+    for p, rs in runs.items():
+        at = [max([n[rs[j]] for j in range(max(0, i - length + 1), min(i, len(rs) - 1) + 1)] or [0]) for i in range(len(tokens[p]))]
+        stretch = [max(at[i : i + length]) for i in range(len(rs))]
+        if rs:
+            own = min(range(len(rs)), key=lambda i: (stretch[i], i))
+            for r in rs:
+                if n[r] > stretch[own]:
+                    beside[r].add(rs[own])
+    gone = {r for r, texts in beside.items() if len(texts) >= least}
+    out = {}
+    for p, rs in runs.items():
+        cut = {j for i, r in enumerate(rs) if r in gone for j in range(i, i + length)}
+        kept, at = [], 0
+        for block in p:
+            w = block.split(" ")
+            if text := " ".join(x for j, x in enumerate(w, at) if j not in cut):
+                kept.append(text)
+            at += len(w)
+        out[p] = "\n".join(kept)
+    return [out[tuple(p)] for p in pages]
+
+
+@pytest.mark.parametrize("shard", [400, 100, 5000])
+def test_extraction_of_a_large_host_against_brute_force(spark, shard):
+    """1,200 pages of one host, where each of 300 lines stands on 4 pages only; beside them copies, short pages and a menu."""
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"u{rng.randrange(10**5)}" for _ in range(n))
+    lines, menu = [words(12) for _ in range(300)], words(9)
+    pages_ = [[*([menu] if i % 7 == 0 else []), words(30), lines[i % 300], words(3)] for i in range(1200)]
+    pages_ += [pages_[5], ["few words"], [lines[3]], [lines[4], lines[5]]]
+    rows = [(i, f"http://a.org/{i}", page("".join(f"<div>{b}</div>" for b in p))) for i, p in enumerate(pages_)]
+    got = {r["page_id"]: r["text"] for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), shard=shard).collect()}
+    # menu and foot of the markup are out, but stand in the stream as tokens
+    want = brute_pages([["menu", *p, "foot"] for p in pages_])
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in ("menu", "foot")) for i, t in enumerate(want)}
+    assert not any(line in t for t in got.values() for line in lines[10:])
+
+
+def test_extraction_of_templates_in_articles(spark):
+    """A paragraph of most of a host's articles goes; one of fewer articles, and the paragraphs of an article's copies, stay."""
+    rng = random.Random(22)
+    words = lambda n: " ".join(f"u{rng.randrange(10**5)}" for _ in range(n))
+    own, extra, template = [words(20) for _ in range(10)], words(15), "<p>sign up <b>now</b></p>"
+    body = lambda t, more="": page(f"<article><h1>{t[:9]}</h1><p>{t}</p>{more}</article>")
+    rows = [(i, f"http://a.org/{i}", body(t, (template if i < 7 else "") + (f"<p>{extra}</p>" if i in (1, 2, 8) else ""))) for i, t in enumerate(own)]
+    rows += [(100 + i, f"http://b.org/{i}", body(own[0], f"<p>part {i}</p>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "\n".join([t[:9].strip(), t, *([extra] if i in (1, 2, 8) else [])]) for i, t in enumerate(own)} | {100 + i: f"{own[0][:9].strip()}\n{own[0]}\npart {i}" for i in range(5)}
+    assert got == want
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(2)
     page_of = np.repeat(np.arange(12), 60)
