@@ -1,11 +1,11 @@
 """DuckDB SQL with the rows of the queries that SQL can express on whole tables.
 
-Left out: learned models (6, 7, 10), estimates by repeated steps (3), graph scores (5) and markup (9).
+Left out: learned models (6, 7, 10), estimates by repeated steps (3), flows (4), graph scores (5) and markup (9); of 3, 4 and 5 it has the columns that SQL can express.
 """
 
 from __future__ import annotations
 
-from .mixing import BUDGET, FILLS, MOST_COPIES, WEIGHTS
+from .mixing import BUDGET, MOST_COPIES, WEIGHTS
 
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,32 +44,47 @@ SELECT w.doc_id, coalesce(names.n, 0) AS n_shingles, coalesce(root, w.doc_id) AS
 """
 
 
-def _fills() -> str:
-    """Each fill takes, for each source, the largest document left that fits."""
-    out, taken, left = "", "first_taken", "first_left"
-    for i in range(FILLS):
-        out += f"""
-best{i} AS (SELECT s, max({{'size': size, 'hash': h, 'id': id}}) AS b FROM d JOIN {left} USING (s) WHERE size > 0 AND size <= rest AND (s, id) NOT IN (SELECT (s, id) FROM {taken}) GROUP BY s),
-taken{i} AS (SELECT s, id FROM {taken} UNION ALL SELECT s, b.id FROM best{i}),
-left{i} AS (SELECT s, rest - coalesce(b.size, 0) AS rest FROM {left} LEFT JOIN best{i} USING (s)),"""
-        taken, left = f"taken{i}", f"left{i}"
-    return out + f"\nchosen AS (SELECT s, id FROM {taken})"
-
-
 #: Shares of quotas: the water level at which targets, none above MOST_COPIES times its source, use up the budget.
-MIXING = f"""
-WITH d AS (SELECT doc_id, coalesce(doc_id::varchar, '') AS id, coalesce('0' || source, '1') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('0:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+TARGETS = f"""
+WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 src AS (SELECT s, sum(size)::bigint AS source_size, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY s) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY s),
 full_from AS (SELECT *, {MOST_COPIES} * source_size / weight AS level FROM src),
 levels AS (SELECT *, sum({MOST_COPIES} * source_size) OVER (ORDER BY level, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS capped, sum(weight) OVER (ORDER BY level DESC, s DESC) AS open_weight FROM full_from),
 water AS (SELECT level, s, {BUDGET} * (SELECT sum(source_size) FROM src)::double - coalesce(capped, 0) AS rest, open_weight FROM levels WHERE ({BUDGET} * (SELECT sum(source_size) FROM src) - coalesce(capped, 0)) / open_weight <= level ORDER BY level, s LIMIT 1),
-goal AS (SELECT f.s, source_size, CASE WHEN f.level < w.level OR (f.level = w.level AND f.s < w.s) THEN {MOST_COPIES} * source_size ELSE w.rest * weight / open_weight END::double AS target FROM full_from f, water w),
-plan AS (SELECT *, round_even(target, 0)::bigint AS quota, CASE WHEN source_size > 0 THEN least({MOST_COPIES}, round_even(target, 0)::bigint // source_size) ELSE 0 END AS copies FROM goal),
-q AS (SELECT s, quota - copies * source_size AS rest FROM plan),
-bins AS (SELECT s, substr(h, 1, 6) AS b, sum(size) AS size FROM d GROUP BY ALL),
-sums AS (SELECT s, b, sum(size) OVER (PARTITION BY s ORDER BY b) AS upto FROM bins),
-cut AS (SELECT s, min(b) FILTER (WHERE upto > rest) AS b, coalesce(max(upto) FILTER (WHERE upto <= rest), 0) AS used FROM sums JOIN q USING (s) GROUP BY s),
-first_taken AS (SELECT s, id FROM d JOIN cut c USING (s) JOIN q USING (s) WHERE rest > 0 AND (c.b IS NULL OR substr(h, 1, 6) < c.b)),
-first_left AS (SELECT s, CASE WHEN rest > 0 THEN rest - used ELSE 0 END AS rest FROM q JOIN cut USING (s)),{_fills()}
-SELECT doc_id, d.size::bigint AS size, source_size, target, (d.size * (copies + CASE WHEN (d.s, d.id) IN (SELECT (s, id) FROM chosen) THEN 1 ELSE 0 END))::bigint AS taken FROM d JOIN plan USING (s)
+goal AS (SELECT f.s, source_size, CASE WHEN f.level < w.level OR (f.level = w.level AND f.s < w.s) THEN {MOST_COPIES} * source_size ELSE w.rest * weight / open_weight END::double AS target FROM full_from f, water w)
+SELECT doc_id, d.size::bigint AS size, source_size, target FROM d JOIN goal USING (s)
+"""
+
+_BASE = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "card": "[0-9](?:[ -]?[0-9])+", "phone": "\\+[0-9][ ().0-9-]+[0-9]"}
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN substr({_DIGITS}, i::int, 1)::int ELSE (2 * substr({_DIGITS}, i::int, 1)::int) // 10 + (2 * substr({_DIGITS}, i::int, 1)::int) % 10 END)) % 10 = 0"
+_VALID = {"email": "true", "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND ('0' || right(p, 4))::int <= 255))", "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", "phone": f"length({_DIGITS}) BETWEEN 10 AND 15"}
+
+
+def _kind(rank: int, kind: str) -> str:
+    """Matches of a kind by row, in order: the gaps between them and they themselves, in turn, give their places."""
+    return f"""
+f{rank} AS (SELECT r, regexp_extract_all(t, '{_BASE[kind]}') AS f, string_split_regex(t, '{_BASE[kind]}') AS g FROM d),
+m{rank} AS (SELECT r, unnest(f) AS v, unnest(g[1:len(f)]) AS gap, unnest(range(len(f))) AS i FROM f{rank}),
+p{rank} AS (SELECT r, v, (sum(length(gap) + length(v)) OVER (PARTITION BY r ORDER BY i))::bigint AS e FROM m{rank}),
+k{rank} AS (SELECT r, {rank} AS rank, '{kind}' AS kind, e - length(v) AS s, e FROM p{rank} WHERE {_VALID[kind]}),"""
+
+
+PERSONAL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),{"".join(_kind(i, k) for i, k in enumerate(_BASE))}
+x AS (FROM k0 UNION ALL FROM k1 UNION ALL FROM k2 UNION ALL FROM k3),
+n AS (SELECT r, {", ".join(f"count(*) FILTER (WHERE rank = {i}) AS n_{k}" for i, k in enumerate(_BASE))}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS l FROM x GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN n USING (r)
+"""
+
+#: Words under repeated 5-word windows: a window that occurs before or after in its text covers five places.
+STATISTICS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i + 1 : i + 5], ' ') AS x FROM d, unnest(range(len(w) - 4)) AS u(i)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, x) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(5) AS u(j) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+b AS (SELECT doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, (len(l) - len(list_distinct(l)))::bigint AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN l USING (r) LEFT JOIN c USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
 """

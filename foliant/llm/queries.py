@@ -34,7 +34,7 @@ def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"), redraw=False)  # its SQL draws once
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
@@ -71,9 +71,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(docs, models, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_mixing that SQL can express: the targets that the flow is to meet."""
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_pii that SQL can express: counts and places of the base entities."""
+    return op5_pii(spark, sf_dir).drop("spans", "n_spans")
+
+
+def outlier_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_outliers that SQL can express: the base statistics."""
+    return op3_outliers(spark, sf_dir).drop("kept", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard, op9_extraction, op10_language)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard, op9_extraction, op10_language, mixing_targets, pii_base, outlier_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op4_mixing": oracles.MIXING, "op8_jaccard": oracles.JACCARD}
+    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD, "mixing_targets": oracles.TARGETS, "pii_base": oracles.PERSONAL, "outlier_statistics": oracles.STATISTICS}

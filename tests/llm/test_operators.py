@@ -204,16 +204,59 @@ def test_outlier_of_repeated_lines(spark):
 # 4
 
 
-def test_targets_and_flow():
+def test_targets():
     assert mixing.targets({"0a": 10, "0b": 1000, "1": 100}, 1110) == {"0a": 20.0, "0b": pytest.approx(1445.0), "1": 200.0}
     assert mixing.targets({}, 0) == {}
-    # two sources share one pattern; a's quota needs the shared tokens, so b's own are repeated
-    given = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 20, "b": 20})
-    assert given == {("a",): 10, ("a", "b"): 10, ("b",): 20} or sum(given.values()) == 40
-    assert all(given[p] <= 20 for p in given)
-    # straight filling gives the shared tokens to a; only giving them back lets b have its quota without repeats
-    given = mixing.route({("a", "b"): 10, ("a",): 10}, {"a": 10, "b": 10}, most=1)
-    assert given == {("a", "b"): 10, ("a",): 10}
+
+
+def brute_flow(words, rows, quota, most=2):
+    """(words that reach sources, least cost) by Bellman-Ford, a word at a time; a pattern's words cost 0 the first time, 1 the second ..."""
+    arcs = []  # from, to, capacity, cost, flow
+
+    def arc(a, b, cap, cost):
+        arcs.append([a, b, cap, cost, 0])
+
+    for p, n in words.items():
+        for k in range(1 + most * sum(x for (q, _), x in rows.items() if q == p) // max(1, n)):
+            arc("S", p, n, k)
+    for (p, s), n in rows.items():
+        arc(p, ("to", s), most * n, 0)
+    for s, n in quota.items():
+        arc(("to", s), "T", n, 0)
+    sent = cost = 0
+    while True:
+        dist, came = {"S": 0}, {}
+        for _ in range(len(words) + len(quota) + 3):
+            for x in arcs:
+                for a, b, room, c, by in ((x[0], x[1], x[2] - x[4], x[3], 1), (x[1], x[0], x[4], -x[3], -1)):
+                    if room > 0 and a in dist and dist[a] + c < dist.get(b, 10**9):
+                        dist[b], came[b] = dist[a] + c, (a, x, by)
+        if "T" not in dist:
+            return sent, cost
+        at = "T"
+        while at != "S":
+            at, x, by = came[at]
+            x[4] += by
+        sent, cost = sent + 1, cost + dist["T"]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_flow_against_brute_force(seed):
+    rng = random.Random(seed)
+    names = "abcd"[: rng.randrange(2, 5)]
+    words, rows = {}, {}
+    for _ in range(rng.randrange(1, 7)):
+        p = tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1))))
+        words[p] = rng.randrange(1, 9)
+        for s in p:
+            rows[p, s] = words[p] * rng.randrange(1, 4)
+    quota = {s: rng.randrange(0, 25) for s in names}
+    flow = mixing.route(words, rows, quota)
+    assert all(0 <= x <= 2 * rows[c] for c, x in flow.items())
+    given = {p: sum(x for (q, _), x in flow.items() if q == p) for p in words}
+    assert all(sum(x for (_, t), x in flow.items() if t == s) <= quota[s] for s in names)
+    cost = sum(sum(range(g // words[p])) * words[p] + (g // words[p]) * (g % words[p]) for p, g in given.items())
+    assert (sum(flow.values()), cost) == brute_flow(words, rows, quota)
 
 
 def test_mix(spark):
@@ -229,7 +272,7 @@ def test_mix(spark):
         total[r[3]] += size[r[0]]
     taken, target = collections.Counter(), {}
     for r in got:
-        s = r["sources"][0]
+        s = r["source"]
         assert r["size"] == size[r["id"]]
         assert r["taken"] in (0, r["size"], 2 * r["size"])
         taken[s] += r["taken"]
@@ -250,14 +293,36 @@ def test_mix(spark):
 
 def test_mix_of_a_source_with_one_long_document(spark):
     """The quota is met wherever the long document's hash falls."""
-    sized = spark.createDataFrame([(i, ["0a"], 50) for i in range(400)] + [(400, ["0a"], 20_000)], "id long, sources array<string>, size long").persist()
-    for seed in range(4):
+    sized = spark.createDataFrame([(str(i), "0a", ["0a"], str(i), 50) for i in range(400)] + [("400", "0a", ["0a"], "400", 20_000)], "row string, source string, sources array<string>, text string, size long").persist()
+    for seed in range(2):
         planned = mixing.plan(sized, budget=0.75, seed=seed)
         rows = mixing.taken(sized, planned, seed).collect()
         assert {r["target"] for r in rows} == {30_000.0}
         assert abs(sum(r["taken"] for r in rows) - 30_000) <= 300
 
 
+def test_mix_of_shared_texts_and_repeated_rows(spark):
+    """Texts that sources share, ids that repeat or are null and whole rows that repeat: targets are met, reruns agree, and a column called copies is left out."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(5, 60)))
+    shared = [text() for _ in range(80)]
+    rows = [(rng.choice([None, 7, i]), rng.choice(shared) if rng.random() < 0.4 else text(), rng.choice("aabc"), 1) for i in range(900)]
+    rows += [(7, "the same row again", "b", 1)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    assert any(len(r["sources"]) > 1 for r in got)
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.01 * mine[0]["target"] + 5
+    key = lambda r: (str(r["id"]), r["source"], r["size"], r["taken"])
+    assert sorted(map(key, mixing.mix(docs.repartition(7)).collect())) == sorted(map(key, got))
+    chosen = mixing.mixed_documents(docs)
+    assert chosen.columns == ["doc_id", "text", "source", "copies"]
+    assert sorted((str(r["doc_id"]), len(r["text"].split()) * r["copies"]) for r in chosen.collect()) == sorted((str(r["id"]), r["taken"]) for r in got if r["taken"])
+
+
 # 5
 
 PII = ["mail a.b@c-d.org_x@y.z, x@y@z.com", "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 or 010.0.0.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 123", "call +1 (743) 555-3824 now +12 or +1-2-3 +123456789012345678", "é😀 +44 20 7946 0958 é 192.168.0.1,a@b.co", None, "", "4111111111111111 4111111111111111", "1" * 3000, "a" * 5000 + "@x.y"]
