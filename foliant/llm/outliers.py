@@ -1,11 +1,11 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, with DataFrame operations only.
 
-Each document gets base statistics, and five transformed ones. For each language and source the location and scatter of the half to three quarters of its
-documents with the least determinant are estimated: starting from medians and median absolute deviations, concentration steps keep the SHARE of
-documents that lie nearest and take mean and covariance anew. A step is two aggregations over a table of five whole numbers a document; both combine
-on the map side, so a source with a third of all rows is no larger than others after it. Statistics are whole thousandths and sums are
-exact, so reruns agree. A document is rejected if its squared Mahalanobis distance to its group, by Cholesky factors written out as column expressions, is
-above CUTOFF.
+Each document gets base statistics, and five transformed ones. For each language and source the location and scatter of the SHARE of its documents with the
+least determinant are sought: from STARTS starts (medians with median absolute deviations, and seeded quarters of the documents) two concentration steps
+each, then on from the start with the least determinant until the subset stays. A step keeps the SHARE of documents that lie nearest and takes
+mean and covariance anew; it is two aggregations over a table of five whole numbers a document; both combine on the map side, so a source with a third
+of all rows is no larger than others after it. Statistics are whole thousandths and sums are exact, so reruns agree. A document is rejected if its squared
+Mahalanobis distance to its group, by Cholesky factors written out as column expressions, is above CUTOFF.
 
 Groups under LEAST documents are pooled by language, and languages whose pool is still smaller are pooled together.
 """
@@ -20,11 +20,13 @@ from ._spark import table
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 NAMES = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
-#: Least standard deviations of the statistics, so that one that is 0 for nearly all documents doesn't reject the few others.
+#: Standard deviations below these count as these: a statistic that is 0 for nearly all documents has none, and would reject all others.
 #: Where a group has no repeated lines, two thirds of them reject alone (4.21 / 0.65 squared is CUTOFF); repeated words are rejected alone by the base rule.
 FLOORS = (0.3, 0.1, 0.5, 0.65, 1.0)
 #: chi-square of 5 degrees of freedom: 1 - 1e-7. CORRECTION makes the scatter of the nearest 75 % that of all.
-CUTOFF, SHARE, CORRECTION, STEPS, LEAST, SCALE = 42.0, 0.75, 1.41, 4, 60, 1000
+CUTOFF, SHARE, CORRECTION, LEAST, SCALE = 42.0, 0.75, 1.41, 60, 1000
+#: Of concentration steps, so many from each start, and at most so many more from the best one (they settle in fewer).
+STARTS, FIRST_STEPS, MORE_STEPS = 5, 2, 12
 #: Groups up to so many are broadcast with their estimates (about 200 bytes each); more are joined by shuffle.
 MAX_BROADCAST = 100_000
 
@@ -62,7 +64,7 @@ def _covered(grams: Column) -> Column:
     return F.aggregate(positions, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).cast("int").alias("n"), i.cast("int").alias("last")), lambda a: a["n"])
 
 
-def _with(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+def _with(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows with what their group has: a broadcast behind a check of the number of groups, else a join that adaptive execution splits where a group is large."""
     return rows.join(F.broadcast(groups) if groups.count() <= MAX_BROADCAST else groups, key, "left")
 
@@ -79,18 +81,27 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _factor_columns(moments: DataFrame) -> DataFrame:
-    """From a group's sums: mean m_i and Cholesky factor l_i_j of its corrected covariance with floors, one column after another."""
+    """From sums by group and start: mean m_i, Cholesky factor l_i_j of the corrected covariance, and the logarithm of its determinant, one column after another.
+
+    A variance below its floor is raised to it; so is what is left of one, to a third of the floor, where statistics go together.
+    """
     p = len(NAMES)
     n = F.col("n").cast("double")
     mean = lambda i: F.col(f"s_{i}").cast("double") / n / SCALE
-    out = moments.select("__group", *[mean(i).alias(f"m_{i}") for i in range(p)], *[((F.col(f"s_{i}_{j}").cast("double") / n / SCALE / SCALE - mean(i) * mean(j)) * CORRECTION + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+
+    def scatter(i: int, j: int) -> Column:
+        c = (F.col(f"s_{i}_{j}").cast("double") / n / SCALE / SCALE - mean(i) * mean(j)) * CORRECTION
+        return F.greatest(c, F.lit(FLOORS[i] ** 2)) if i == j else c
+
+    out = moments.select("__group", "start", *[mean(i).alias(f"m_{i}") for i in range(p)], *[scatter(i, j).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
     for i in range(p):
         for j in range(i + 1):
             s = F.col(f"c_{i}_{j}")
             for k in range(j):
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(1e-9))) if i == j else s / F.col(f"l_{j}_{j}"))
-    return out.select("__group", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[i] ** 2 / 9))) if i == j else s / F.col(f"l_{j}_{j}"))
+    size = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0"))
+    return out.select("__group", "start", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)], F.round(2 * size, 9).alias("determinant"))
 
 
 def _by_factor() -> Column:
@@ -107,34 +118,62 @@ def _by_factor() -> Column:
     return total
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Location and scatter of each `__group` of rows (whole-number statistics): columns m_i and l_i_j."""
+def _moments(rows: DataFrame) -> DataFrame:
+    """Number, sums and sums of products of the statistics by group and start, exact."""
+    p = len(NAMES)
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    return rows.groupBy("__group", "start").agg(F.count("*").alias("n"), *[exact(F.col(a)).alias(f"s_{i}") for i, a in enumerate(NAMES)], *[exact(F.col(NAMES[i]).cast("long") * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Estimates to start from: start 0 from medians, the others from the rows that a hash picks."""
     p = len(NAMES)
     middle = table(rows.groupBy("__group").agg(*[F.percentile(name, 0.5).alias(f"m_{i}") for i, name in enumerate(NAMES)]), "medians")
     spread = _with(rows, middle, "__group").groupBy("__group").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)], *[F.percentile(F.abs(F.col(name) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, name in enumerate(NAMES)])
-    factor = {f"l_{i}_{j}": (F.sqrt(F.pow(1.4826 * F.col(f"d_{i}") / SCALE, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)}
-    now = table(spread.select("__group", *[(F.col(f"m_{i}") / SCALE).alias(f"m_{i}") for i in range(p)], *[c.alias(k) for k, c in factor.items()]), "estimates")
-    for _ in range(steps):
-        # distances as whole steps of their logarithm, so that the quantile's counts stay few
-        near = _with(rows, now, "__group").withColumn("q", F.floor(F.log1p(_by_factor()) * SCALE).cast("int")).select("__group", "q", *NAMES)
-        limit = table(near.groupBy("__group").agg(F.percentile("q", SHARE).alias("limit")), "limits")
-        inside = _with(near, limit, "__group").where("q <= limit")
-        exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-        moments = inside.groupBy("__group").agg(F.count("*").alias("n"), *[exact(F.col(a)).alias(f"s_{i}") for i, a in enumerate(NAMES)], *[exact(F.col(NAMES[i]).cast("long") * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    factor = {f"l_{i}_{j}": (F.greatest(1.4826 * F.col(f"d_{i}") / SCALE, F.lit(FLOORS[i])) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)}
+    first = spread.select("__group", F.lit(0).alias("start"), *[(F.col(f"m_{i}") / SCALE).alias(f"m_{i}") for i in range(p)], *[c.alias(k) for k, c in factor.items()], F.lit(0.0).alias("determinant"))
+    picked = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(1, STARTS)]))).where(F.pmod(F.xxhash64("start", *NAMES), F.lit(4)) == 0)
+    return table(first.unionByName(_factor_columns(_moments(picked))), "starts")
+
+
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """Moments of the SHARE of rows (of __group and start) that lie nearest to their estimate."""
+    key = ["__group", "start"]
+    # distances as whole steps of their logarithm, so that the quantile's counts stay few
+    near = _with(rows, now, key).withColumn("q", F.floor(F.log1p(_by_factor()) * SCALE).cast("int")).select(*key, "q", *NAMES).where("q is not null")
+    limit = table(near.groupBy(*key).agg(F.percentile("q", SHARE).alias("limit")), "limits")
+    return table(_moments(_with(near, limit, key).where("q <= limit")), "moments")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Location and scatter of each `__group` of rows (whole-number statistics): columns m_i and l_i_j, and the logarithm of the determinant."""
+    now = _starts(rows)
+    all_ = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(STARTS)])))
+    for _ in range(FIRST_STEPS):
+        now = table(_factor_columns(_step(all_, now)), "estimates")
+    best = table(now.groupBy("__group").agg(F.min_by("start", F.struct("determinant", "start")).alias("start")), "best")
+    now, one, before = now.join(best, ["__group", "start"], "left_semi"), _with(rows, best, "__group"), None
+    for _ in range(MORE_STEPS):
+        moments = _step(one, now)
         now = table(_factor_columns(moments), "estimates")
-    return now
+        seen = moments.agg(F.sum(F.xxhash64(*moments.columns).cast("decimal(38,0)"))).first()[0]
+        if seen == before:  # the same sums in all groups: the subsets stay
+            break
+        before = seen
+    return now.drop("start")
 
 
 def judged(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
     """`keep`, the base statistics, base_failed, distance (null where there is no estimate) and kept for each row.
 
     A null text counts as empty: no words, base_failed. Null languages and sources are values of their own. Repeated rows are judged alike (each counts in
-    the estimates). A group whose documents all fail has no estimate and keeps none. An empty table gives an empty one.
+    the estimates). A group whose documents all fail has no estimate and keeps none. An empty table gives an empty one. Texts of any length are read whole: a
+    text's words are an array in memory, and repeats in it are found by sorting its windows.
     """
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.col(lang).alias("__lang"), F.col(source).alias("__source"))
     light = table(statistics(rows, [*keep, "__lang", "__source"], "__text"), "statistics")
     light = _grouped(light, least)
     good = light.where(~F.col("base_failed")).select("__group", *NAMES)
-    out = _with(light, estimates(good), "__group").withColumn("distance", _by_factor())
+    out = _with(light, estimates(good).drop("determinant"), "__group").withColumn("distance", _by_factor())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(False))
     return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

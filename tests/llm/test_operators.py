@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -155,19 +156,29 @@ def brute_base(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
-def numpy_estimate(x):
-    """The estimate of outliers.estimates, in numpy."""
-    low = lambda v, q: np.quantile(v, q, axis=0)
-    floors = np.diag(np.array(outliers.FLOORS) ** 2)
-    mean = low(x, 0.5)
-    cov = np.diag((1.4826 * low(np.abs(x - mean), 0.5)) ** 2) + floors
-    for _ in range(outliers.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        q = np.floor(np.log1p(d) * outliers.SCALE)
-        near = x[q <= np.quantile(q, outliers.SHARE)]
-        mean = near.mean(0)
-        cov = ((near.T @ near) / len(near) - np.outer(mean, mean)) * outliers.CORRECTION + floors
-    return mean, cov
+def numpy_scatter(x):
+    """Mean, factor and logarithm of the determinant of some rows, with floors, in numpy."""
+    mean = x.mean(0)
+    cov = ((x.T @ x) / len(x) - np.outer(mean, mean)) * outliers.CORRECTION
+    floors = np.array(outliers.FLOORS)
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), floors**2))
+    p = len(floors)
+    low = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i + 1):
+            v = cov[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = np.sqrt(max(v, floors[i] ** 2 / 9)) if i == j else v / low[j, j]
+    return mean, low, 2 * np.log(np.diag(low)).sum()
+
+
+def distances(x, mean, low):
+    y = np.linalg.solve(low, (x - mean).T)
+    return (y**2).sum(0)
+
+
+def nearest(x, mean, low):
+    q = np.floor(np.log1p(distances(x, mean, low)) * outliers.SCALE)
+    return q <= np.quantile(q, outliers.SHARE)
 
 
 def test_outliers(spark):
@@ -180,15 +191,35 @@ def test_outliers(spark):
     for source in (0, 1):
         ids = [i for i in range(len(texts)) if bool(i % 3) == bool(source)]
         good = [i for i in ids if not brute_base(texts[i])[5]]
-        mean, cov = numpy_estimate(np.array([light[i] for i in good]))
+        # the estimate is that of its own nearest documents, and the distances of all are those to it
+        x, near = np.array([light[i] for i in good]), np.array([rows[i]["distance"] for i in good])
+        q = np.floor(np.log1p(near) * outliers.SCALE)
+        mean, low, _ = numpy_scatter(x[q <= np.quantile(q, outliers.SHARE)])
         for i in ids:
-            v = np.array(light[i]) - mean
-            assert rows[i]["distance"] == pytest.approx(float(v @ np.linalg.inv(cov) @ v), rel=1e-6)
+            assert rows[i]["distance"] == pytest.approx(float(distances(np.array([light[i]]), mean, low)[0]), rel=1e-6)
             assert rows[i]["kept"] == (i in good and rows[i]["distance"] <= outliers.CUTOFF)
     assert not rows[texts.index("!! ".join(f"q{i}##" for i in range(80)))]["kept"]
     assert outliers.judged(docs_of(spark, []), ["doc_id"]).count() == 0
 
 
+def test_least_determinant_against_brute_force(spark):
+    """The estimate's determinant is near the least of all subsets of small groups, and far rows on one side stay out."""
+    rng = np.random.default_rng(5)
+    groups = {}
+    for g in range(4):
+        x = np.round(rng.normal(0, [1.0, 0.3, 1.2, 1.5, 2.0], (14, 5)) * outliers.SCALE)
+        x[:3] += np.array([9.0, 4.0, 8.0, 9.0, 12.0]) * outliers.SCALE
+        groups[str(g)] = x
+    table_ = [(g, *map(int, row)) for g, x in groups.items() for row in x]
+    got = {r["__group"]: r for r in outliers.estimates(spark.createDataFrame(table_, "__group string, " + ", ".join(f"{n} int" for n in outliers.NAMES))).collect()}
+    for g, x in groups.items():
+        x = x / outliers.SCALE
+        h = int(nearest(x, *numpy_scatter(x)[:2]).sum())
+        best = min(numpy_scatter(x[list(c)])[2] for c in itertools.combinations(range(14), h))
+        assert best - 1e-6 <= got[g]["determinant"] <= best + 0.7  # concentration finds a local minimum, near the least and without the far rows
+        assert all(abs(got[g][f"m_{i}"]) < 1.5 for i in range(5))
+
+
 def test_outlier_of_repeated_lines(spark):
     """Mostly repeated short lines, in varying order so that few 5-word windows repeat, are rejected in a clean group, whatever else is usual."""
     rng = random.Random(12)
