@@ -22,9 +22,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset in local mode, as in tests) a new local one."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
@@ -68,9 +70,13 @@ def ddl(fields: str) -> T.StructType:
 
 
 def map_texts(df: DataFrame, text: str, keep: list[str], out: str, fn: Callable[[pa.Array], dict], slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The columns `keep` of df, then the columns `out` (DDL) that fn gives for a slice of texts: a dict of arrays, with "__take" for the rows that stay (indices; absent: all)."""
+    """The columns `keep` of df, then the columns `out` (DDL) that fn gives for a slice of texts: a dict of arrays, with "__take" for the rows that stay (indices; absent: all).
+
+    A kept column whose name (without case) is that of a new one is left out.
+    """
     ship(df.sparkSession)
     new = ddl(out)
+    keep = [c for c in keep if c.lower() not in {f.lower() for f in new.names}]
     among = text in keep and dict(df.dtypes)[text] == "string"
     src = df.select(*keep) if among else df.select(*keep, F.col(text).cast("string").alias("__text"))
     n_keep, text_at = len(keep), keep.index(text) if among else len(keep)

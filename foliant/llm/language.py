@@ -1,13 +1,13 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Spark counts character n-grams (orders 1 to ORDER) of words, each between two spaces, for each language; the counts of a bounded number of training
-documents a language are enough (SAMPLE). The driver turns them into probabilities: an n-gram's discounted count, plus what the discounts leave
+documents a language are enough (SAMPLE). The driver turns them into probabilities: an n-gram's discounted count (a discount for each order and language), plus what the discounts leave
 times the probability of the next shorter n-gram, whose counts are those of different characters before it. They are stored as sorted arrays of
 n-gram hashes with one row of log probabilities a language, and sorted hashes of contexts with one row of back-off weights.
 
 A text's cross-entropy under each language is the mean over its characters; the least wins. Its score is the winner's share of the softmax of the
 log likelihoods for so many characters, at most TEMPER. Texts whose best cross-entropy is above the winner's limit, the RELIABLE quantile of
-training documents, are marked as not accepted.
+sampled documents that weren't counted (one in CALIBRATION) and a tenth more, are marked as not accepted.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_texts
+from ._spark import map_texts, table
 from ._text import mix
 
-ORDER, SAMPLE, TEMPER, RELIABLE = 4, 1_000, 20, 0.999
+ORDER, SAMPLE, TEMPER, RELIABLE, CALIBRATION = 4, 1_000, 20, 0.999, 5
+#: Sampled documents of a language have about so many bytes at most, and none more than a hundredth of it.
+SAMPLE_BYTES = 64_000_000
 _SPACE = 0x20
 _letters: list[np.ndarray] = []
 
@@ -166,8 +168,8 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
         table[row, lang] = n
         first = np.zeros(len(keys), np.int64)
         first[row] = np.arange(len(h))
-        ones, twos = (n == 1).sum(), (n == 2).sum()
-        cut = ones / (ones + 2 * twos) if ones and twos else 0.5
+        ones, twos = (np.bincount(lang[n == k], minlength=size) for k in (1, 2))
+        cut = np.where((ones > 0) & (twos > 0), ones / np.maximum(1, ones + 2 * twos), 0.5)
         ckeys, crow = np.unique(ctx[first], return_inverse=True)
         total, kinds = np.zeros((len(ckeys), size)), np.zeros((len(ckeys), size))
         np.add.at(total, crow, table)
@@ -204,19 +206,27 @@ def _counted(texts: pa.Array, langs: pa.Array, order: int) -> list[tuple[str, in
     return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, sample: int = SAMPLE) -> Models:
-    """Fits the models on rows of docs with a language: of each language about `sample` documents, picked by a hash of the text, for counts need no more."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, sample: int = SAMPLE, key: list[str] | None = None, sample_bytes: int = SAMPLE_BYTES) -> Models:
+    """Fits the models on rows of docs with a language: of each language about `sample` documents, picked by a hash of `key` (doc_id if there is one, else all columns), for counts need no more."""
     from ._spark import ship
+    from .quality import below
 
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    key = key or (["doc_id"] if "doc_id" in docs.columns else [text, lang])
+    rows = docs.select(F.xxhash64(*key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
+    rows = rows.where(F.octet_length("t") <= max(1, sample_bytes // 100))
+    sizes = {r["l"]: (r["n"], r["b"]) for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()}  # a model has a column a language
     langs = sorted(sizes)
     if not langs:
         return Models([])
-    share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, sample / n))) for k, n in sizes.items()])
-    picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000)
+    limit = lambda n, b: min(2**63 - 1, int(min(1.0, sample / n, sample_bytes / max(1, b)) * 2**64) - 2**63)
+    limits = spark.createDataFrame([(k, limit(n, b)) for k, (n, b) in sizes.items()], "l string, most long")
+    sampled = table(rows.join(F.broadcast(limits), "l").where(F.xxhash64("k") <= F.col("most")).select("t", "l", (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(CALIBRATION)) == 0).alias("held")), "language-sample")
+    held = sampled.where("held")
+    picked = sampled.where("not held").select("t", "l")
+    if picked.select("l").distinct().count() < len(langs):  # too few documents of a language to set some aside
+        picked = held = sampled.select("t", "l")
 
     def run(batches):
         for b in batches:
@@ -237,7 +247,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
         at = at[np.lexsort((li[at], h[at]))]
         counts.append((h[at], c[at], s[at], li[at], many[at]))
     models = fit(counts, langs)
-    calibration = predictions(picked, models, ["l"], "t").where("l = lang_pred").groupBy("l").agg(F.percentile_approx("cross_entropy", RELIABLE).alias("q")).collect()
+    calibration = predictions(held, models, ["l"], "t").where("l = lang_pred").groupBy("l").agg(F.percentile_approx("cross_entropy", RELIABLE).alias("q")).collect()
     for r in calibration:
         models.limit[index[r["l"]]] = r["q"] * 1.1
     return models
@@ -246,7 +256,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
 def predictions(docs: DataFrame, models: Models, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, lang_pred, score, cross_entropy (nats a character) and accepted (the calibrated verdict) for each row.
 
-    A null text, and one without a letter, is `und` with score 0; so is every text if no language was learned. Repeated rows are judged alike.
+    A null text, and one without a letter, is `und` with score 0; so is every text if no language was learned. Repeated rows are judged alike; of languages that
+    tie, the first by name wins. Texts of any length are read whole. An empty table gives an empty one. Kept columns with the name of a new one are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     return map_texts(docs, text, keep, "lang_pred string, score double, cross_entropy double, accepted boolean", lambda t: shared.value.predict(t))

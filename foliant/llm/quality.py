@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_texts
+from ._spark import map_texts, table
 from ._text import NON_SPACE, Words, mix, span_hashes
 
 BITS, DIM = 18, 16
 #: At most about so many labelled documents train the model: a hash of the text and id picks them.
 SAMPLE = 1_200
+#: At most so many bytes of text train a model.
+SAMPLE_BYTES = 64_000_000
 _REPEAT = 0
 
 
@@ -143,17 +145,38 @@ def _prior_shift(raw: np.ndarray, labels: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels that train: labelled rows, but for those with crc32(doc_id) mod 4 = 2 and null labels, at most about `sample` of them by hash.
+def below(share: float, *columns: str) -> F.Column:
+    """Whether a row's 64-bit hash is among the first `share` of all hashes."""
+    return F.xxhash64(*columns) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
 
-    Training needs no more than this bound, which is why it may go through the driver. Rows are put in order, so that reruns train alike.
+
+def bounded(rows: DataFrame, text: str, key: list[str], most_bytes: int) -> DataFrame:
+    """A small table's rows in the order of their hash, as long as their texts have `most_bytes` at most in all; a longer text is passed over.
+
+    rows must be bounded in number: only hashes and lengths go to the driver, and the last hash that fits comes back.
+    """
+    sizes = rows.select(F.xxhash64(*key).alias("h"), F.octet_length(text).alias("n")).where(F.col("n") <= most_bytes).orderBy("h", "n").collect()
+    total, last = 0, -(2**63)
+    for r in sizes:
+        if (total := total + r["n"]) > most_bytes:
+            break
+        last = r["h"]
+    else:
+        last = 2**63 - 1
+    return rows.where((F.octet_length(text) <= most_bytes) & (F.xxhash64(*key) <= last))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and labels that train: labelled rows, but for those with crc32(doc_id) mod 4 = 2 and null labels, at most about `sample` of them by hash, with texts of `most_bytes` at most.
+
+    Training needs no more than these bounds, which is why it may go through the driver. Rows are put in order, so that reruns train alike.
     """
     train_rows = labels.where(f"`{label}` in (0, 1)").select("doc_id", F.col(label).cast("int").alias("__y")).where(~held_out("doc_id"))
     n = train_rows.count()
     if n > sample:
-        train_rows = train_rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        train_rows = train_rows.where(below(sample / n, "doc_id"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("__t")).where("__t is not null").join(F.broadcast(train_rows), "doc_id")
-    got = rows.select("__t", "__y").toArrow()
+    got = bounded(table(rows, "labelled"), "__t", ["doc_id"], most_bytes).select("__t", "__y").toArrow()
     texts, y = got.column("__t").to_pylist(), np.array(got.column("__y").to_pylist(), np.int64)
     order = sorted(range(len(texts)), key=lambda i: (hash_of(texts[i]), texts[i], y[i]))
     return [texts[i] for i in order], y[order]
@@ -176,7 +199,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
 def quality_scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` and `score` (0 to 1, the probability of good quality) for each row; null and empty texts get the score of no words.
 
-    Repeated rows score alike; an empty table gives an empty one; a missing label, or labels of one class only, give a constant score.
+    Repeated rows score alike; an empty table gives an empty one; a missing label, or labels of one class only, give a constant score. Texts of any length are
+    read whole; a kept column called `score` is left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, text, keep, "`score` double", lambda t: {"score": shared.value.score(t)})

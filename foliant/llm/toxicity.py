@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens are lower-cased words; a chain is a sentence, or CHAIN tokens of a longer one. A token's features are hashes of its word and of its first 3 to 6
+Tokens are lower-cased words; a chain is a sentence, of any length. A token's features are hashes of its word and of its first 3 to 6
 bytes. Labels come a document at a time, so the tokens that train are labelled first: in toxic documents those whose word or prefix is found in
 several toxic documents and next to never in others, elsewhere none. The field (emission weights and a 2 x 2 transition) is fitted in
 numpy by gradient steps on its likelihood, over a bounded sample of labelled documents. Forward and backward passes give each token's marginal;
@@ -18,7 +18,8 @@ from ._spark import map_texts
 from ._text import ALNUM, Words, mix, span_hashes
 from .quality import labelled_sample
 
-BITS, CHAIN, SAMPLE = 18, 256, 2_500
+#: Longer chains are passed through in parts of PART tokens at a time: the same marginals in fewer steps.
+BITS, PART, SAMPLE = 18, 256, 2_500
 _PREFIXES = (3, 4, 5, 6)
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
@@ -35,11 +36,7 @@ class Tokens(Words):
         if n:
             new[1:] = stops[self.start[1:]] != stops[self.start[:-1]]
             new[self.at[:-1][self.n > 0]] = True
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, n))
-        parts = -(-size // CHAIN)
-        inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.chain = np.append(np.repeat(first, parts) + inner * CHAIN, n)
+        self.chain = np.append(np.flatnonzero(new), n)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Of the distinct words: the index of each token's distinct word, and a row of features (0 for prefixes that the word is too short for)."""
@@ -63,20 +60,57 @@ def _through(x: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.logaddexp(step[0, 1], x + step[1, 1]) - np.logaddexp(step[0, 0], x + step[1, 0])
 
 
-def marginals(e: np.ndarray, chain: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log odds of state 1 for each token by forward and backward passes over all chains at once; and the forward and backward parts."""
-    size = np.diff(chain)
+def _pass(e: np.ndarray, first: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Log odds of state 1 at each token, given those before it (e: emissions): a step a token over all chains at once. start: log odds before each chain's first token, if there are any (nan: none)."""
     order = np.argsort(-size, kind="stable")
-    first, size = chain[:-1][order], size[order]
-    f, b = e.copy(), np.zeros(len(e))
+    first, size = first[order], size[order]
+    f = e.copy()
+    if start is not None:
+        some = ~np.isnan(start[order])
+        f[first[some]] = e[first[some]] + _through(start[order][some], step)
     live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")  # chains with at least so many tokens
     for t in range(1, len(live)):
         at = first[: live[t]] + t
         f[at] = e[at] + _through(f[at - 1], step)
-    back = step.T
-    for t in range(len(live) - 1, 0, -1):
-        at = first[: live[t]] + t
-        b[at - 1] = _through(b[at] + e[at], back)
+    return f
+
+
+def _forward(e: np.ndarray, chain: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """As _pass, with long chains cut into parts. A part turns the log odds before it into those at its end by a 2 x 2 matrix: the matrices of all parts at once, then along the parts of each chain, then the parts."""
+    size = np.diff(chain)
+    if not len(size) or size.max() <= PART:
+        return _pass(e, chain[:-1], size, step)
+    parts = -(-size // PART)
+    of = np.repeat(np.arange(len(size)), parts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = chain[:-1][of] + nth * PART
+    length = np.minimum(PART, chain[1:][of] - first)
+    m = np.repeat(step[None].astype(float), len(first), 0)  # log weights of (state before, state at the part's end)
+    m[:, :, 1] += e[first][:, None]
+    for t in range(1, PART):
+        on = np.flatnonzero(length > t)
+        if not len(on):
+            break
+        a = m[on]
+        m[on, :, 0] = np.logaddexp(a[:, :, 0] + step[0, 0], a[:, :, 1] + step[1, 0])
+        m[on, :, 1] = np.logaddexp(a[:, :, 0] + step[0, 1], a[:, :, 1] + step[1, 1]) + e[first[on] + t][:, None]
+        m[on] -= m[on].max(axis=(1, 2), keepdims=True)
+    start = np.full(len(first), np.nan)
+    at = np.flatnonzero(nth == 0)
+    odds = _pass(e, first[at], length[at], step)[first[at] + length[at] - 1]  # at the end of each chain's first part
+    for k in range(1, int(parts.max())):
+        more = parts[of[at]] > k
+        at, odds = at[more] + 1, odds[more]
+        start[at] = odds
+        odds = np.logaddexp(m[at, 0, 1], odds + m[at, 1, 1]) - np.logaddexp(m[at, 0, 0], odds + m[at, 1, 0])
+    return _pass(e, first, length, step, start)
+
+
+def marginals(e: np.ndarray, chain: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds of state 1 for each token by forward and backward passes over all chains at once; and the forward and backward parts."""
+    f = _forward(e, chain, step)
+    n = len(e)
+    b = _forward(e[::-1], n - chain[::-1], step.T)[::-1] - e  # the same, read from the end
     return f + b, f, b
 
 
@@ -201,7 +235,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def toxicity_scores(docs: DataFrame, field: Field, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, `score` (0 to 1) and `spans` (start and end in code points, end exclusive, and the largest marginal p of each toxic run).
 
-    Whole texts are read. Null and empty texts have no spans and the score of no evidence; repeated rows score alike; an empty table gives an empty one.
+    Whole texts of any length are read. Null and empty texts have no spans and the score of no evidence; repeated rows score alike; an empty table gives an
+    empty one. Kept columns called `score` or `spans` are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     return map_texts(docs, text, keep, "`score` double, `spans` array<struct<start:long,end:long,p:double>>", lambda t: _scored(shared.value, t))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliant.llm import components, decontamination, extraction, jaccard, language, mixing, outliers, pii, quality, toxicity, warc
 from foliant.llm import queries as registered
 from foliant.llm._spark import table
-from foliant.llm._text import ALNUM, NON_SPACE, Words
+from foliant.llm._text import ALNUM, NON_SPACE, Words, fnv, mix, span_hashes
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, rank int, pattern string, k1 long, score double"
@@ -454,32 +454,129 @@ def test_marginals_against_enumeration():
         assert odds[a:b] == pytest.approx(np.log(p[:, 1] / p[:, 0]))
 
 
-def test_kneser_ney_sums_to_one(spark):
-    """Probabilities of all characters after a context sum to 1, but for the floor of unknown characters."""
-    docs = spark.createDataFrame([("ab ba abc cab", "x"), ("bb aa", "x"), ("cc cb", "y")], "text string, lang string")
-    m = language.train(docs)
-    total = 0.0
-    for c in "abc ":
-        word = "ab" + c if c != " " else "ab"
-        chars = language.Chars(pa.array([word]))
-        logs = {}
-        for upto in ("ab", word):
-            ch = language.Chars(pa.array([upto]))
-            logs[upto] = ch
-        n = 3 if c != " " else 3
-        h = [chars.ngrams(k)[0][n] for k in range(1, 5)]
-        p, back = 0.0, 0.0
-        for order in range(4, 0, -1):
-            keys, values = m.grams[order - 1]
-            if order <= n + 1 and (i := np.searchsorted(keys, h[order - 1])) < len(keys) and keys[i] == h[order - 1]:
-                p = float(np.exp(values[i][0] + back))
-                break
-            bk, bw = m.backs[order - 1]
-            ctx = chars.ngrams(order - 1)[0][n - 1] if order > 1 else 0
-            if order > 1 and (j := np.searchsorted(bk, ctx)) < len(bk) and bk[j] == ctx:
-                back += float(bw[j][0])
-        total += p
-    assert 0.9 < total <= 1.01
+def test_marginals_of_long_chains(monkeypatch):
+    """Chains that are passed through in parts have the marginals of whole ones."""
+    rng = np.random.default_rng(3)
+    chain = np.cumsum([0, 1, 2, 700, 5, 256, 257, 3000, 1])
+    e, step = rng.normal(size=chain[-1]) * 2, rng.normal(size=(2, 2))
+    parts = toxicity.marginals(e, chain, step)
+    monkeypatch.setattr(toxicity, "PART", 10**9)
+    for x, y in zip(parts, toxicity.marginals(e, chain, step), strict=True):
+        assert x == pytest.approx(y)
+
+
+def test_quality_score_against_plain_python():
+    """A document's score is the sigmoid of the mean of its features' numbers: words, 3- and 4-grams of their bytes between spaces, repeats."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=1 << quality.BITS), -0.3)
+    texts = [None, "", " \n", "a", "an an an apple", "Zürich über 12 über über ... x", "w " * 5000 + "wort"]
+
+    def brute(text):
+        words, total, n = re.findall(r"[^\x20\x09-\x0D]+", text or ""), 0.0, 0
+        bucket = lambda h: max(1, int(h) >> (64 - quality.BITS))
+        for i, w in enumerate(words):
+            spaced = b" " + w.encode() + b" "
+            grams = [spaced[j : j + k] for k in (3, 4) for j in range(len(spaced) - k + 1)]
+            hashes = [int(mix(np.array([fnv(w)], np.uint64))[0])] + [int(span_hashes(np.frombuffer(g, np.uint8), np.array([0]), np.array([len(g)]))[0]) for g in grams]
+            ids = [bucket(h) for h in hashes] + [0] * (i > 0 and words[i - 1] == w)
+            total, n = total + sum(model.value[x] for x in ids), n + len(ids)
+        return 1 / (1 + np.exp(-(total / max(1, n) + model.bias)))
+
+    assert model.score(pa.array(texts, pa.string())) == pytest.approx([brute(t) for t in texts])
+
+
+def test_toxicity_score_against_plain_python():
+    """Sentences as chains, features of words and prefixes, forward and backward sums, and the document's logistic score."""
+    rng = np.random.default_rng(5)
+    field = toxicity.Field()
+    field.weight, field.bias, field.step, field.scale = rng.normal(size=1 << toxicity.BITS), -1.0, rng.normal(size=(2, 2)), np.array([-1.0, 0.4, 0.7])
+    field.weight[0] = 0.0
+    texts = [None, "", "!?", "One two. Three\nfour five!", "ÄRGER über argerlich " * 30, "w" * 300 + " x"]
+    bucket = lambda h, kind: max(1, int(mix(np.array([h], np.uint64) + np.uint64(kind))[0]) >> (64 - toxicity.BITS))
+
+    def odds(words):
+        e = []
+        for w in words:
+            b = w.encode()
+            spans = [(k, int(span_hashes(np.frombuffer(b[:k], np.uint8), np.array([0]), np.array([k]))[0])) for k in (3, 4, 5, 6) if len(b) > k]
+            e.append(field.bias + field.weight[bucket(fnv(w), 1)] + sum(field.weight[bucket(h, k + 1)] for k, h in spans))
+        w = lambda i, y: np.exp(e[i] * y)
+        t, n = np.exp(field.step), len(e)
+        f, b = [[w(0, 0), w(0, 1)]], [[1.0, 1.0]]
+        for i in range(1, n):
+            f.append([sum(f[-1][a] * t[a, y] for a in (0, 1)) * w(i, y) for y in (0, 1)])
+            b.insert(0, [sum(t[y, z] * w(n - i, z) * b[0][z] for z in (0, 1)) for y in (0, 1)])
+        return [np.log(x[1] * y[1] / (x[0] * y[0])) for x, y in zip(f, b, strict=True)]
+
+    def brute(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        o = [x for s in re.split(r"[\n.!?]", low) if (words := re.findall(r"[0-9a-z\x80-\U0010FFFF]+", s)) for x in odds(words)]
+        most, many = (min(12, max(-12, max(o))), np.log1p(sum(1 / (1 + np.exp(-x)) for x in o))) if o else (-12, 0)
+        return 1 / (1 + np.exp(-(field.scale @ [1, most, many])))
+
+    assert toxicity._scored(field, pa.array(texts, pa.string()))["score"] == pytest.approx([brute(t) for t in texts])
+
+
+def test_cross_entropy_against_plain_python(spark, monkeypatch):
+    """Interpolated Kneser-Ney written out over strings: raw counts of the longest n-grams, continuation counts of shorter ones, a discount an order and language."""
+    monkeypatch.setattr(language, "CALIBRATION", 10**9)
+    docs = [(0, "ab ba abc cab abba cc a b", "x"), (1, "bb aa abab", "x"), (2, "cc cb bc ccc acbc", "y"), (3, "b a c", "y")]
+    models = language.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    use, chars = {}, set()
+    for lang in "xy":
+        raw = {n: collections.Counter() for n in range(1, 5)}
+        for _, t, m in docs:
+            for w in t.split() if m == lang else ():
+                s = f" {w} "
+                for i in range(1, len(s)):
+                    for n in range(1, min(4, i + 1) + 1):
+                        raw[n][s[i - n + 1 : i + 1]] += 1
+        use[lang] = {4: raw[4]} | {n: {g: sum(up[1:] == g for up in raw[n + 1]) or 1 for g in raw[n]} for n in (1, 2, 3)}
+        chars |= set(raw[1])
+
+    def p(lang, g):
+        n = len(g)
+        counts = use[lang][n]
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total, kinds = sum(c for h, c in counts.items() if h[:-1] == g[:-1]), sum(h[:-1] == g[:-1] for h in counts)
+        below_ = p(lang, g[1:]) if n > 1 else 1e-4
+        return max(counts.get(g, 0) - d, 0) / total + d * kinds / total * below_ if total else below_
+
+    texts = ["abc cab", "cc bca 12 acb!", "aaaa", "Ab-BA", None, "??"]
+    got, n_chars = models.entropies(pa.array(texts, pa.string()))
+    for t, row, n in zip(texts, got, n_chars, strict=True):
+        words = re.findall(r"[a-z]+", (t or "").lower())
+        at = [s[max(0, i - 3) : i + 1] for s in (f" {w} " for w in words) for i in range(1, len(s))]
+        assert n == len(at)
+        assert row == pytest.approx([-sum(np.log(p(lang, g)) for g in at) / max(1, n) for lang in "xy"], rel=1e-3)
+    ties = language.predictions(spark.createDataFrame([(1, "q")], "doc_id long, text string"), models, ["doc_id"]).first()
+    assert ties["lang_pred"] == "x"
+
+
+def test_samples_are_bounded(spark):
+    """Hashes are compared as whole numbers, so a share of any smallness picks; texts are taken up to the bytes allowed."""
+    assert spark.range(100_000).where(quality.below(1e-3, "id")).count() in range(50, 200)
+    assert spark.range(1000).where(quality.below(1.0, "id")).count() == 1000
+    assert quality.below(2.5e-10, "id") is not None
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(50, "y" * 10_000)], "doc_id long, t string")
+    assert quality.bounded(rows, "t", ["doc_id"], 1_000).count() == 10
+    assert quality.bounded(rows, "t", ["doc_id"], 10**6).count() == 51
+
+
+def test_scores_of_clashing_columns_and_long_texts(spark):
+    docs, labels = labelled(spark)
+    long = " ".join(f"w{i % 977}" for i in range(100_000))
+    docs = docs.unionByName(spark.createDataFrame([(2000, long, "xx", "s")] * 2, docs.schema)).withColumns({"score": F.lit("mine"), "spans": F.lit(1), "lang_pred": F.lit(1)})
+    for rows in (
+        quality.quality_scores(docs, quality.quality_model(docs, labels), ["doc_id", "score"]), toxicity.toxicity_scores(docs, toxicity.toxicity_model(docs, labels), ["doc_id", "score", "spans"]),
+        language.predictions(docs, language.train(docs), ["doc_id", "score", "lang_pred"]),
+    ):
+        assert len(set(rows.columns)) == len(rows.columns)
+        got = rows.collect()
+        assert len(got) == docs.count()
+        assert len({r["score"] for r in got if r["doc_id"] == 2000}) == 1
+        assert all(0 <= r["score"] <= 1 for r in got)
 
 
 def test_language(spark):
