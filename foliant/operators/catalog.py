@@ -64,12 +64,14 @@ def list_sizes(books: DataFrame, name: str = "list_name") -> DataFrame:
     return books.groupBy(name).agg(F.count("*").alias("n"), (F.count("*") - 1).alias("max"))
 
 
-def chunk_keys(df: DataFrame, column: str = "isbn13", n: int = 30, buckets: int = 64) -> DataFrame:
-    """Distinct ISBNs (without case) as requests of at most n keys: chunk, keys ("ISBN:a,ISBN:b").
+def chunk_keys(df: DataFrame, column: str = "isbn13", n: int = 30) -> DataFrame:
+    """Distinct ISBNs (without case) as requests of at most n keys: bucket, chunk, keys ("ISBN:a,ISBN:b") and their number.
 
-    Numbers run within hash buckets, so there is no global sort; the last chunk of a bucket may be short.
+    Numbers run within hash buckets, ten requests each on average, so there is no global sort; the last chunk of a bucket may be short.
     """
-    keys = df.select(F.upper(column).alias("k")).where("k is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+    keys = df.select(F.upper(column).alias("k")).where("k is not null").distinct()
+    buckets = max(1, -(-keys.count() // (10 * n)))
+    keys = keys.withColumn("bucket", F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long") % buckets)
     numbered = keys.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("k")) - 1) / n))
     return numbered.groupBy("bucket", "chunk").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("ISBN:"), "k"))), ",").alias("keys"), F.count("*").alias("n"))
 

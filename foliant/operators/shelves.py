@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import normalize_identifier
@@ -113,16 +113,65 @@ def _replay(entries: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([rows[i] for i in sorted(rows, key=lambda i: (i < 0, abs(i)))], columns=entries.columns).astype(object)
 
 
+def _key_names(df: DataFrame) -> DataFrame:
+    """Adds `__keys`, the sorted identity keys of a row."""
+    key = lambda kind, value: F.concat(F.lit(kind), value)
+    text = lambda c: F.when(F.length(c) > 0, F.col(c))
+    pair = F.when(text("source").isNotNull() & text("source_book_id").isNotNull(), F.to_json(F.array("source", "source_book_id")))
+    return df.withColumn("__keys", F.array_sort(F.filter(F.array(key("a", text("isbn13")), key("b", text("isbn10")), key("c", pair)), lambda k: k.isNotNull())))
+
+
+def _changing_users(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Users (`__user`) of whom a key stands beside different other keys, or none at all, or of whom two entries have the same keys: there the order of requests decides which entry is meant."""
+    named = entries.select("user_id", "__keys", F.lit(1).alias("entry")).unionByName(requests.select("user_id", "__keys", F.lit(0).alias("entry")))
+    sets = named.groupBy("user_id", "__keys").agg(F.sum("entry").alias("entries"))
+    odd = sets.where((F.size("__keys") == 0) | (F.col("entries") > 1)).select("user_id")
+    mixed = sets.select("user_id", F.explode("__keys").alias("key")).groupBy("user_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("user_id")
+    return odd.unionByName(mixed).distinct().select(F.col("user_id").alias("__user"))
+
+
+def _folded(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Entries after the requests that have the same keys: an entry is the first row of its group, and the rules of _apply are aggregates over the rest."""
+    group, at = ["user_id", "__keys"], ["__new", "ts", "request_id"]
+    old = entries.withColumns({"__new": F.lit(0), "ts": F.lit(None).cast("timestamp"), "request_id": F.lit(None).cast("long"), "__entry": F.struct(*[c for c in entries.columns if c != "__keys"])})
+    new = requests.withColumns({"__new": F.lit(1), "__entry": F.lit(None).cast(old.schema["__entry"].dataType)})
+    shared = [*group, *at, "__entry", *_TEXTS, "isbn10", "isbn13", "status", "page_count", "pages_completed", "percent_completed"]
+    seq = Window.partitionBy(*group).orderBy(*at)
+    into = (F.col("__new") == 1) & (F.col("status") == "Read") & ~F.coalesce(F.lag("status").over(seq) == "Read", F.lit(False))
+    rows = old.select(*shared).unionByName(new.select(*shared)).withColumn("__into", into)
+    order, asked = F.struct(*at), F.col("__new") == 1
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), order))
+    pages = F.when(F.col("__into") & (F.col("page_count") > 0), F.col("page_count")).otherwise(F.col("pages_completed"))
+    percent = F.when(F.col("__into"), F.lit(100)).otherwise(F.col("percent_completed"))
+    said = (*_TEXTS, "isbn10", "isbn13", "status", "page_count")
+    done = rows.groupBy(*group).agg(
+        F.max_by(F.struct(*said), order).alias("r"), F.max(F.when(~asked, F.col("__entry"))).alias("e"), F.max("__new").alias("__changed"), F.min(F.when(asked, F.struct("ts", "request_id"))).alias("first"), F.max(F.when(asked, F.col("ts"))).alias("updated"),
+        last(pages).alias("pages"), last(percent).alias("percent"), F.min(F.when(asked & (F.col("status") == "Reading"), F.col("ts"))).alias("reading"), F.max(F.when(F.col("__into"), F.col("ts"))).alias("read"),
+    )
+    value = {c: F.col(f"r.{c}") for c in said} | {
+        "user_id": F.col("user_id"), "entry_id": F.coalesce("e.entry_id", -F.col("first.request_id")), "created_date": F.when(F.col("e").isNull(), F.col("first.ts")).otherwise(F.col("e.created_date")), "updated_date": F.coalesce("updated", "e.updated_date"),
+        "pages_completed": F.when(F.col("e").isNull(), F.coalesce("pages", F.lit(0))).otherwise(F.col("pages")), "percent_completed": F.when(F.col("e").isNull(), F.coalesce("percent", F.lit(0))).otherwise(F.col("percent")),
+        "start_date": F.coalesce("e.start_date", "reading"), "end_date": F.coalesce("read", "e.end_date"),
+    }
+    names = [c for c in entries.columns if c != "__keys"]
+    types = {f.name: f.dataType for f in entries.schema}
+    return done.select(*[F.when(F.col("__changed") == 0, F.col(f"e.{c}")).otherwise(value.get(c, F.col(f"e.{c}"))).cast(types[c]).alias(c) for c in names])
+
+
 def upsert_entries(entries: DataFrame, requests: DataFrame) -> DataFrame:
     """Entries after valid requests, in order for each user: each updates the least entry that shares any key, or makes one (id: minus the request's).
 
-    Keys may change with a request, so order matters and a user is replayed in one task; users go in parallel. Where keys are stable, windows.fold_entries
-    gives the same without Python.
+    Keys may change with a request, and then order matters: users of whom they do are replayed, a user in one task and users in parallel. All others are
+    folded without Python, by user and keys, so that a user with many requests is many groups.
     """
     ship(entries.sparkSession)
     wanted = [c.split()[0] for c in TABLES["book_entries"].replace("decimal(38,18)", "decimal").split(", ")]
-    e = entries.select(*wanted)
-    return e.groupBy("user_id").cogroup(prepared(requests).groupBy("user_id")).applyInPandas(_replay, e.schema)
+    e, r = _key_names(entries.select(*wanted)), _key_names(prepared(requests))
+    changing = _changing_users(e, r)
+    split = lambda df, how: df.join(changing, F.col("user_id").eqNullSafe(F.col("__user")), how)
+    folded = _folded(split(e, "left_anti"), split(r, "left_anti"))
+    mine, asked = split(e, "left_semi").drop("__keys"), split(r, "left_semi").drop("__keys")
+    return folded.unionByName(mine.groupBy("user_id").cogroup(asked.groupBy("user_id")).applyInPandas(_replay, mine.schema))
 
 
 def update_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

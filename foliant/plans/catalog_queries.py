@@ -54,11 +54,11 @@ def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH k AS (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag = 'A') SELECT {sql_isbn13('p_partkey')} AS isbn13, {v.SQL_PROVIDER} AS provider, CASE WHEN {v.SQL_PROVIDER} IS NOT NULL THEN p_name END AS title, coalesce(p_partkey % 5 BETWEEN 1 AND 3, false) AS is_new "
+    f"WITH k AS (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem) SELECT {sql_isbn13('p_partkey')} AS isbn13, {v.SQL_PROVIDER} AS provider, CASE WHEN {v.SQL_PROVIDER} IS NOT NULL THEN p_name END AS title, coalesce(p_partkey % 5 BETWEEN 1 AND 3, false) AS is_new "
     "FROM k JOIN part USING (p_partkey)"
 )
 def metadata_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(v.isbn13(F.col("l_partkey")).alias("isbn13"))
+    wanted = read(spark, sf_dir, "lineitem").select(v.isbn13(F.col("l_partkey")).alias("isbn13"))
     found, new, missing = joins.resolve_metadata(wanted, *[v.metadata_rows(spark, sf_dir, n) for n in ("cache", "library", "volumes")])
     flags = new.select("isbn13", F.lit(True).alias("is_new"))
     rows = found.select("isbn13", "provider", "title").unionByName(missing.select("isbn13", F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("title")))
@@ -159,14 +159,13 @@ def genre_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes dealt to the genres by key; the genre colours' feed comes in two responses, so it is combined first."""
-    vol = v.volumes(spark, sf_dir).withColumn("genre_slug", F.when(F.col("pos") % 4 == 0, "colours").when(F.col("pos") % 4 == 1, "hardware").when(F.col("pos") % 4 == 2, "sizes"))
-    vol = vol.where("genre_slug is not null")
+    vol = v.volumes(spark, sf_dir).withColumn("genre_slug", F.when(F.col("pos") % 4 == 0, "colours").when(F.col("pos") % 4 == 1, "hardware").otherwise("sizes"))
     return catalog.combine_feeds(vol, vol.where("pos % 8 = 0"), group=["genre_slug"]).drop("src_rank", "identity")
 
 
 _MERGED = f"""
 WITH rules AS ({_RULES}),
-feed AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'colours' WHEN 1 THEN 'hardware' ELSE 'sizes' END AS genre_slug FROM part WHERE p_partkey % 4 < 3),
+feed AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'colours' WHEN 1 THEN 'hardware' ELSE 'sizes' END AS genre_slug FROM part),
 best AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)),
 fits AS (SELECT b.p_partkey, f.genre_slug FROM best b JOIN feed f USING (p_partkey) UNION SELECT p_partkey, genre_slug FROM best, rules WHERE regexp_matches(lower(p_name || ' ' || p_type), pattern)),
 chosen AS (FROM fits UNION SELECT b.p_partkey, a.genre_slug FROM best b JOIN (SELECT DISTINCT genre_slug, p_brand FROM fits JOIN best USING (p_partkey)) a USING (p_brand)),
@@ -190,9 +189,9 @@ def genre_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.genre_listing(curated, merged)
 
 
-@query("SELECT l_returnflag || l_linestatus AS list_name, count(*) AS n, count(*) - 1 AS max FROM lineitem WHERE l_quantity >= 49 GROUP BY 1")
+@query("SELECT l_returnflag || l_linestatus AS list_name, count(*) AS n, count(*) - 1 AS max FROM lineitem GROUP BY 1")
 def list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.list_sizes(read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat("l_returnflag", "l_linestatus").alias("list_name")))
+    return catalog.list_sizes(read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("list_name")))
 
 
 _HAS = lambda c, x: f"(contains(lower({c}), '{x}'))::int"
@@ -214,8 +213,3 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def popular_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     readers = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pos")).agg(F.count("*").alias("readinglog_count"))
     return search.popular_by_subject(v.volumes(spark, sf_dir).join(readers, "pos"), "economy").select(F.col("pos").alias("p_partkey"), "readinglog_count")
-
-
-@query()
-def request_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.chunk_keys(v.volumes(spark, sf_dir).select(F.col("identifiers")[0]["identifier"].alias("isbn13")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -12,6 +9,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..schemas import TABLES
 from ..streaming import streams
 from . import views as v
+from .folders import work_dir
 from .shelf_queries import event_requests
 
 QUERIES, SQL = {}, {}
@@ -23,12 +21,6 @@ def query(f):
     return f
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stream over a table's files, whether the table is a folder or one file."""
     whole = spark.read.parquet(f"{sf_dir}/{name}.parquet")

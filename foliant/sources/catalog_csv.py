@@ -41,10 +41,10 @@ def parse_catalog(content: bytes) -> tuple[list[tuple[int, str, str, str]], list
     return rows, errors
 
 
-def read_catalog_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of all files under a path, one file a row of work; rows: file, row, isbn, title, author; errors: file, row, field, message."""
+def read_catalog_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of all files under a path whose name fits the pattern, one file a row of work; rows: file, row, isbn, title, author; errors: file, row, field, message."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def rows(batches):
         for b in batches:

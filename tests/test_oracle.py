@@ -5,11 +5,12 @@ import math
 import duckdb
 import pytest
 
-from foliant.plans import catalog_queries, shelf_queries, stream_queries
+from foliant.plans import catalog_queries, feed_queries, rule_queries, shelf_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = shelf_queries.QUERIES | catalog_queries.QUERIES | stream_queries.QUERIES
-SQL = shelf_queries.SQL | catalog_queries.SQL | stream_queries.SQL
+MODULES = (shelf_queries, catalog_queries, feed_queries, rule_queries, stream_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
 
 def plain(x):
