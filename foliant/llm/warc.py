@@ -191,34 +191,38 @@ def lookup(spark: SparkSession, keys: DataFrame, index: DataFrame) -> DataFrame:
     """Captures of each distinct key: key, id, file, offset, length.
 
     The first level has a row for each index file, so its size follows the number of tasks; tasks read it from the shared folder as a broadcast of
-    at most that many rows. A key that a range border splits is looked for in each file that may hold it.
+    at most that many rows. A first search over it names the files that may hold a key. A key that many pages share (that of pages without a URL, say) is
+    split over files by the index's ranges, and each of its files is looked up by itself, in the task that has the file's other keys.
     """
     ship(spark)
     files = sorted((r["first_key"], r["file"], r["offset"], r["length"]) for r in index.collect())
     shared = spark.sparkContext.broadcast(files)
-    ordered = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = [x[0] for x in shared.value]
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            spans = [range(max(0, bisect.bisect_left(first, k) - 1), bisect.bisect_right(first, k)) for k in keys]
+            yield _batch([(i, k) for k, span in zip(keys, spans, strict=True) for i in span], ("part", "key"), (pa.int32(), pa.string()))
+
+    placed = keys.select("key").distinct().mapInArrow(places, "part int, key string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
-        first, opened = [x[0] for x in level], {}
+        at, opened = -1, None
         names, kinds = ("key", "id", "file", "offset", "length"), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
         found: list[list] = []
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                i = max(0, bisect.bisect_left(first, key) - 1)
-                while i < len(first) and first[i] <= key:
-                    if i not in opened:
-                        opened.clear()
-                        opened[i] = IndexFile(*level[i][1:])
-                    for line in opened[i].find(key):
-                        found.append(line)
-                        if len(found) == 10_000:
-                            yield _batch(found, names, kinds)
-                            found = []
-                    i += 1
+            for part, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    at, opened = part, IndexFile(*shared.value[part][1:])
+                for line in opened.find(key):
+                    found.append(line)
+                    if len(found) == 10_000:
+                        yield _batch(found, names, kinds)
+                        found = []
         yield _batch(found, names, kinds)
 
-    return ordered.mapInArrow(run, "key string, id string, file string, offset long, length long")
+    return placed.repartitionByRange("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "key string, id string, file string, offset long, length long")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
