@@ -464,18 +464,20 @@ def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: in
 
 def _cross_chunks(sets: DataFrame, cuts: DataFrame, links: DataFrame) -> DataFrame:
     """Adds links between chunks of large blocks: first between one set of each component in each chunk, then in pairs of chunks that hold several components."""
+    light, whole = sets.drop("grams"), sets.select("rep", "grams")  # pairs are chosen without the shingles, which only the sets of chosen ones follow
     for reps_only in (True, False):
         roots = components(links)
-        rows = sets.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        rows = light.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         if reps_only:
-            rows = rows.join(rows.groupBy("block", "class", "part", "label").agg(F.min("rep").alias("rep")), ["block", "class", "part", "label", "rep"], "left_semi")
+            rows = rows.groupBy("block", "class", "part", "label").agg(F.min("rep").alias("rep"))
         # a chunk goes to its own class's later and earlier parts, and to all parts of the next class either way
         other = cuts.select("block", F.col("class").alias("other"), F.col("parts").alias("other_parts"))
         to = rows.join(other, "block").where(F.abs(F.col("other") - F.col("class")) <= 1).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
         me, you = F.struct(F.col("class").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("other_part").alias("p"))
-        pairs = to.where(me != you).select("block", F.to_json(F.least(me, you)).alias("x"), F.to_json(F.greatest(me, you)).alias("y"), "rep", "label", (me > you).cast("int").alias("side"), "grams")
+        pairs = to.where(me != you).select("block", F.to_json(F.least(me, you)).alias("x"), F.to_json(F.greatest(me, you)).alias("y"), "rep", "label", (me > you).cast("int").alias("side"))
         several = pairs.groupBy("block", "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        links = table(links.unionByName(_by_group(pairs.join(several, ["block", "x", "y"], "left_semi"), ["block", "x", "y"], _across)), "links")
+        chosen = pairs.join(several, ["block", "x", "y"], "left_semi").join(whole, "rep")
+        links = table(links.unionByName(_by_group(chosen, ["block", "x", "y"], _across)), "links")
     return links
 
 
