@@ -15,8 +15,9 @@ def comparable(c: Column) -> Column:
 
 
 def decomposed(c: Column) -> Column:
-    """NFKD without combining marks U+0300 to U+036F, by an Arrow UDF: Spark has no such function."""
-    return F.pandas_udf(_without_marks, "string")(c)
+    """NFKD without combining marks U+0300 to U+036F, by an Arrow UDF: Spark has no such function. A text of ASCII only is its own and isn't sent to Python: its row has a null there."""
+    beyond = c.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(F.pandas_udf(_without_marks, "string")(F.when(beyond, c)), c)
 
 
 def _without_marks(texts: pd.Series) -> pd.Series:
@@ -26,7 +27,7 @@ def _without_marks(texts: pd.Series) -> pd.Series:
 def search_text(c: Column) -> Column:
     """Decomposed, marks dropped, other characters than ASCII letters and digits one space, trimmed, lower case.
 
-    For a literal or ASCII-only column use ascii_search_text, which stays in the JVM; here only texts beyond ASCII need Python, but Spark hands over all.
+    For a literal or ASCII-only column use ascii_search_text, which stays in the JVM.
     """
     return ascii_search_text(decomposed(c))
 

@@ -45,6 +45,6 @@ def expire(df: DataFrame, ts: str, as_of: Column, days: int = 90) -> DataFrame:
 
 def rotation(dates: DataFrame, items: DataFrame, epoch: date = date(2024, 1, 1)) -> DataFrame:
     """The item of each date: whole days since the epoch, modulo the number of items (column idx, from 0). Items are a list for people to read; they are counted in Spark."""
-    n = items.agg(F.count("*").alias("__n"))
-    numbered = dates.join(F.broadcast(n)).withColumn("idx", F.pmod(F.datediff("date", F.lit(epoch)), F.col("__n")).cast("int")).drop("__n")
+    n = items.agg(F.count("*")).scalar()
+    numbered = dates.withColumn("idx", F.pmod(F.datediff("date", F.lit(epoch)), n).cast("int"))
     return numbered.join(items, "idx").drop("idx")

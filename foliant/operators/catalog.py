@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.books import GENRE_RULES, genres_of, has_cover, release_date, resolved_cover
 from ..functions.identifiers import book_identity, explode_identifiers, is_blank, normalize_isbn, with_isbn13
 from ..functions.text import comparable
+from ..shared import saved
 from ..sources.feeds import bestsellers_to_volumes
 from .joins import contains_either, resolve_metadata, split_conflicts
-from .windows import compact_positions, keep_first
+from .windows import compact_positions, keep_first, ranked
 
 SECTIONS = ("popular", "upcoming")
 _VOLUME = ("id", "title", "authors", "description", "publisher", "language", "small_thumbnail", "thumbnail", "identifiers", "feed")
@@ -51,8 +52,7 @@ def genre_merge(volumes: DataFrame, bestsellers: DataFrame, rules: dict[str, str
 
 def merge_order(df: DataFrame, group: str = "genre_slug") -> DataFrame:
     """Adds `rank` in each group: with cover first, bestsellers first, then by insertion."""
-    seq = Window.partitionBy(group).orderBy(F.desc(has_cover(F.col("thumbnail"))), "src_rank", "pos")
-    return df.withColumn("rank", F.row_number().over(seq))
+    return ranked(df, [group], [~has_cover(F.col("thumbnail")), "src_rank"], "pos")
 
 
 def merge_totals(df: DataFrame, group: str = "genre_slug") -> DataFrame:
@@ -114,10 +114,11 @@ def _all_said(*errors: Column) -> Column:
     return F.filter(F.array(*errors), lambda x: x.isNotNull())
 
 
-def checked_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def checked_rows(rows: DataFrame, keys: list[str], save: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows with isbn13 and position, errors) of parsed catalogue rows (keys, row, isbn, title, author): required fields, valid ISBN, first of each ISBN.
 
-    Positions count the kept rows of a file in order and aren't closed up after later rejections. All rules are judged in one pass over the rows.
+    Positions count the kept rows of a file in order and aren't closed up after later rejections. All rules are judged in one pass over the rows; with `save` what
+    is judged is written, for callers that use both results.
     """
     blank = lambda c: F.coalesce(F.length(F.trim(c)) == 0, F.lit(True))
     named = with_isbn13(rows, "isbn").withColumn("__good", F.col("is_valid") & ~blank("title") & ~blank("author"))
@@ -126,6 +127,7 @@ def checked_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
         _said(~F.col("is_valid"), 1, 1, "isbn", "Enter a valid ISBN-10 or ISBN-13."), _said(blank("title"), 1, 2, "title", "Title is required."), _said(blank("author"), 1, 3, "author", "Author is required."),
         _said(F.col("__good") & (F.col("__n") > 1), 2, 1, "isbn", "ISBN is duplicated; the first occurrence was kept."),
     ))
+    judged = saved(judged, "checked-rows") if save else judged
     kept = judged.where(F.size("__errors") == 0).drop("__good", "__n", "__errors", "is_valid")
     return compact_positions(kept, keys, ["row"]), _errors(judged, keys)
 
@@ -135,10 +137,11 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
 
     rows: file, slug, section, row, isbn, title, author. published: books (slug, section, isbn13 and book columns) of each slug's published batch. Published books of
     the slug's other section carry over; an imported ISBN that is among them is an error, and neither copy goes into the draft (keep_existing: the
-    published one does). Errors come in the order of stages, rows and rules.
+    published one does). Errors have stage, row and rule to order them by; so does a report when it is shown. Rows are judged once and written to the shared folder.
     """
     keys = ["file", "slug", "section"]
-    good, errors = checked_rows(rows, keys)
+    good, errors = checked_rows(rows, keys, save=True)
+    good = saved(good, "import-rows")
     if file_errors is not None:
         errors = errors.unionByName(file_errors.select(*keys, "row", F.lit(0).alias("stage"), F.lit(0).alias("rule"), "field", "message"))
     resolved, new_rows, _ = resolve_metadata(good, cache, library, volumes)
@@ -154,6 +157,7 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
         _said(known & ~title, 4, 2, "title", F.concat(F.lit("Resolved title '"), F.col("m.title"), F.lit("' does not match the CSV."))),
         _said(known & ~author, 4, 3, "author", F.concat(F.lit("Resolved authors '"), F.array_join("m.authors", ", "), F.lit("' do not match the CSV."))),
     ))
+    judged = saved(judged, "judged-rows")
     books = judged.where(F.size("__errors") == 0).select(
         *keys, "position", "isbn13", "m.source_book_id", "m.title", "m.authors", "m.description", resolved_cover(F.col("m.cover_override_url"), F.col("m.cover_url")).alias("cover_url"), "m.publisher", "m.identifiers", "m.published_date",
         release_date(F.col("section"), F.col("m.published_date")).alias("release_date"),
@@ -165,7 +169,7 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
     carried = filled.withColumn("section", other).join(published, ["slug", "section"])
     if not keep_existing:
         carried = split_conflicts(good.withColumn("section", other), carried, ["file", "slug", "section", "isbn13"])[1]
-    return books.unionByName(carried.select(*books.columns)), errors.orderBy("file", "stage", "row", "rule"), new_rows
+    return books.unionByName(carried.select(*books.columns)), errors, new_rows
 
 
 def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,19 @@ def rate_limit(df: DataFrame, key: str, limit: int = 10, window: str = "1 minute
     rows = df.withColumn("window_start", start)
     number = F.row_number().over(Window.partitionBy(key, "window_start").orderBy(*order))
     return rows.withColumn("request_number", number).withColumn("rejected", F.col("request_number") > limit)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str | Column], pos: str, bucket: int = 10_000, name: str = "rank") -> DataFrame:
+    """Adds the row's number in its group by the columns of order (named, or with an alias) and then by pos, a whole number.
+
+    No group is sorted in one task: rows are numbered within each stretch of `bucket` positions, behind the counts of the stretches before it.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = df.withColumns({f"__o{i}": c for i, c in enumerate(keys)}).withColumn("__stretch", F.floor(F.col(pos) / bucket))
+    stretch = [*group, *[f"__o{i}" for i in range(len(keys))], "__stretch"]
+    sums = rows.groupBy(*stretch).agg(F.count("*").alias("__n"))
+    before = sums.withColumn("__before", F.sum("__n").over(Window.partitionBy(*group).orderBy(*stretch[len(group) :])) - F.col("__n")).drop("__n")
+    inner = rows.withColumn("__inner", F.row_number().over(Window.partitionBy(*stretch).orderBy(pos)))
+    same = [inner[c].eqNullSafe(before[c]) for c in stretch]
+    joined = inner.join(before, reduce(lambda a, b: a & b, same))
+    return joined.select(*[inner[c] for c in df.columns], (F.col("__inner") + F.col("__before")).cast("int").alias(name))

@@ -138,8 +138,8 @@ SELECT n.batch_id, n.section, coalesce((SELECT max(position) FROM rest r WHERE r
 def draft_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = v.catalog_books(spark, sf_dir).select("batch_id", "section", "position", "isbn13", F.lit("cover").alias("cover_url"))
     rest = catalog.remove_books(books, books.where("position = 1"))
-    n_parts = read(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
-    ask = rest.select("batch_id").distinct().join(F.broadcast(n_parts)).select(F.col("batch_id").alias("request_id"), "batch_id", F.when(F.col("batch_id") % 2 == 0, "popular").otherwise("upcoming").alias("section"), v.isbn10(F.col("batch_id") % F.col("n_parts")).alias("isbn"))
+    n_parts = read(spark, sf_dir, "part").agg(F.count("*")).scalar()
+    ask = rest.select("batch_id").distinct().withColumn("k", F.col("batch_id") % n_parts).select(F.col("batch_id").alias("request_id"), "batch_id", F.when(F.col("batch_id") % 2 == 0, "popular").otherwise("upcoming").alias("section"), v.isbn10(F.col("k")).alias("isbn"))
     meta = [v.metadata_rows(spark, sf_dir, n).withColumns({"cover_url": F.lit("cover"), "cover_override_url": F.lit(None).cast("string")}) for n in ("cache", "library", "volumes")]
     draft, _ = catalog.add_books(rest, ask, *meta)
     all_meta = meta[0].unionByName(meta[1]).unionByName(meta[2])
@@ -198,15 +198,17 @@ _HAS = lambda c, x: f"(contains(lower({c}), '{x}'))::int"
 
 
 @query(
-    "WITH f AS (SELECT *, 0 AS src FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'ring') UNION ALL SELECT *, 1 FROM part WHERE contains(lower(p_brand), 'red') AND contains(lower(p_brand), 'ring')), u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY src) = 1), "
+    "WITH f AS ((SELECT *, 0 AS src FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'ring') ORDER BY 'part-' || p_partkey LIMIT 40) UNION ALL (SELECT *, 1 FROM part WHERE contains(lower(p_brand), 'red') AND contains(lower(p_brand), 'ring') ORDER BY 'part-' || p_partkey LIMIT 40)), "
+    "u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY src) = 1), "
     f"s AS (SELECT *, CASE WHEN p_name = 'red ring' THEN 1000 WHEN starts_with(p_name, 'red ring') THEN 600 WHEN contains(p_name, 'red ring') THEN 400 ELSE 0 END + round(({_HAS('p_name', 'red')} + {_HAS('p_name', 'ring')}) / 2 * 200)::int + round(({_HAS('p_brand', 'red')} + {_HAS('p_brand', 'ring')}) / 2 * 180)::int + 20 + CASE WHEN p_size % 3 <> 0 THEN 10 ELSE 0 END AS score FROM u) "
     "SELECT 'part-' || p_partkey AS id, score, row_number() OVER (ORDER BY score DESC, src, 'part-' || p_partkey) AS rank FROM s"
 )
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search as it is shown: the page of each field's results (40 rows at most), ranked together."""
     from pyspark.sql import Window
 
-    found = search.search(v.volumes(spark, sf_dir), "Red  Ring", limit=False)
-    return found.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "pos")).alias("rank"))
+    found = search.search(v.volumes(spark, sf_dir), "Red  Ring")
+    return found.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "pos")).alias("rank"))  # two pages at most
 
 
 @query("SELECT p_partkey, n AS readinglog_count FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_type = 'ECONOMY' ORDER BY n DESC, 'part-' || p_partkey LIMIT 60")

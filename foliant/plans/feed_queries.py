@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import identifier_of
 from ..operators import catalog, search
 from ..schemas import TABLES, VOLUMES
+from ..shared import work_dir
 from ..sources import feeds
 from ..sources.catalog_csv import read_catalog_csv
 from ..sources.tables import load_table, save_table
 from . import views as v
-from .folders import work_dir
 from .views import read, sql_isbn10, sql_isbn13
 
 QUERIES, SQL = {}, {}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..schemas import TABLES
+from ..shared import work_dir
 from ..streaming import streams
 from . import views as v
-from .folders import work_dir
 from .shelf_queries import event_requests
 
 QUERIES, SQL = {}, {}
@@ -59,7 +59,7 @@ def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "retention")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("started_at")).withColumn("day", F.to_date("started_at"))
     rows.write.partitionBy("day").parquet(f"{folder}/log")
-    return streams.retain(spark, f"{folder}/log", f"{folder}/kept", F.lit("2024-04-10").cast("timestamp")).select("event_id")
+    return streams.retain(spark, f"{folder}/log", F.lit("2024-04-10").cast("timestamp")).select("event_id")
 
 
 SQL["stream_retention"] = "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY"
@@ -107,9 +107,8 @@ def stream_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = stream_of(spark, sf_dir, "events")
     empty = spark.createDataFrame([], TABLES["book_entries"])
     finished(streams.stream_entries(event_requests(v.shelf_requests_of(events)), f"{folder}/table", empty, f"{folder}/checkpoint"))
-    rows = spark.read.schema(TABLES["book_entries"] + ", batch int").parquet(f"{folder}/table")
-    latest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(latest), "batch").select("user_id", "source_book_id", "status", "page_count", "pages_completed", "percent_completed")
+    rows = streams.latest_entries(spark, f"{folder}/table", empty)
+    return rows.select("user_id", "source_book_id", "status", "page_count", "pages_completed", "percent_completed")
 
 
 SQL["stream_entries"] = v.FOLDED + "SELECT user_id, k::varchar AS source_book_id, status, page_count, pages_completed, percent_completed FROM folded"

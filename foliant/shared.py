@@ -1,11 +1,11 @@
-"""Folders for what a registered query writes and reads back."""
+"""The folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what several results need is computed once, and survives lost executors."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

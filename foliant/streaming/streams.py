@@ -25,11 +25,24 @@ def stream_audit(calls: DataFrame, sink: str, checkpoint: str) -> StreamingQuery
     return rows.writeStream.format("parquet").partitionBy("day").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def retain(spark: SparkSession, source: str, target: str, as_of: Column, days: int = 90) -> DataFrame:
-    """Writes the rows of a log that are still kept to a new place; whole days are pruned before they are read. Meant to run daily on a schedule."""
-    logs = spark.read.parquet(source).where(F.col("day") >= F.to_date(as_of - F.make_interval(days=F.lit(days))))
-    expire(logs, "started_at", as_of, days).write.mode("overwrite").partitionBy("day").parquet(target)
-    return spark.read.parquet(target)
+def retain(spark: SparkSession, log: str, as_of: Column, days: int = 90) -> DataFrame:
+    """Drops from a log what is no longer kept: days that are over as whole folders, and of the day that the limit falls on the rows before it. Other days aren't read. Meant to run daily on a schedule."""
+    limit = spark.range(1).select((as_of - F.make_interval(days=F.lit(days))).alias("t")).select(F.to_date("t").alias("day")).first()["day"]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(log)
+    store = folder.getFileSystem(conf)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(folder, name)
+    names = [f.getPath().getName() for f in store.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith("day=")]
+    last = f"day={limit.isoformat()}"
+    if last in names:  # written beside the log first, so that a run that fails leaves the day as it was
+        part = spark.read.parquet(f"{log}/{last}")
+        expire(part, "started_at", as_of, days).write.mode("overwrite").parquet(f"{log}/_kept")
+        store.delete(at(last), True)
+        store.rename(at("_kept"), at(last))
+    for name in names:
+        if name < last:
+            store.delete(at(name), True)
+    return spark.read.parquet(log)
 
 
 def stream_rate_limit(calls: DataFrame, folder: str, key: str, checkpoint: str, window: str = "1 minute") -> StreamingQuery:
@@ -84,28 +97,40 @@ def stream_recent(views: DataFrame, n: int = 12) -> DataFrame:
 
 
 def stream_entries(requests: DataFrame, folder: str, entries: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Upserts a stream of entry requests: each micro-batch reads the table of the batch before and writes the next one, folder/batch=N.
+    """Upserts a stream of entry requests: each micro-batch writes the entries of its users, folder/batch=N; latest_entries reads each user's last ones.
 
     Requests are kept in folder-log. Users of whom a batch brings a request that is no later than their last one are replayed from the start, so the table is that of
-    all requests in order (ts, request_id), in whatever batches they came. A batch that runs again writes the same table again, so requests count once.
+    all requests in order (ts, request_id), in whatever batches they came. A batch that runs again writes the same rows again, so requests count once.
     """
 
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}-log/batch={n}")
-        log = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}-log")
-        before, new = entries, log.where(F.col("batch") == n).drop("batch")
+        log = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}-log").where(F.col("batch") <= n)
+        new = log.where(F.col("batch") == n).drop("batch")
+        users = new.groupBy(F.col("user_id").alias("__user")).agg(F.min("ts").alias("at"))
+        among = lambda df, who, how="left_semi": df.join(who, F.col("user_id").eqNullSafe(F.col("__user")), how)
+        before = among(entries, users.select("__user"))
         if n:
-            before = spark.read.schema(entries.schema).parquet(f"{folder}/batch={n - 1}")
-            first = new.groupBy(F.col("user_id").alias("__user")).agg(F.min("ts").alias("at"))
+            before = among(latest_entries(spark, folder, entries, n - 1), users.select("__user"))
             last = before.groupBy("user_id").agg(F.max("updated_date").alias("last"))
-            late = first.join(last, F.col("__user").eqNullSafe(F.col("user_id"))).where("at <= last").select("__user").persist()
-            split = lambda df, how: df.join(late, F.col("user_id").eqNullSafe(F.col("__user")), how)
+            late = users.join(last, F.col("__user").eqNullSafe(F.col("user_id"))).where("at <= last").select("__user").persist()
             if not late.isEmpty():
-                new = split(new, "left_anti").unionByName(split(log.where(F.col("batch") <= n).drop("batch"), "left_semi"))
-                before = split(before, "left_anti").unionByName(split(entries, "left_semi"))
+                new = among(new, late, "left_anti").unionByName(among(log.drop("batch"), late))
+                before = among(before, late, "left_anti").unionByName(among(entries, late))
         upsert_entries(before, new).write.mode("overwrite").parquet(f"{folder}/batch={n}")
         if n:
             late.unpersist()
 
     return requests.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_entries(spark: SparkSession, folder: str, entries: DataFrame, upto: int | None = None) -> DataFrame:
+    """The table after all batches (or those up to one): of each user the rows of the last batch that wrote them, else those of the entries before the stream."""
+    written = spark.read.schema(T.StructType([*entries.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(folder)
+    if upto is not None:
+        written = written.where(F.col("batch") <= upto)
+    last = written.groupBy(F.col("user_id").alias("__user")).agg(F.max("batch").alias("__last"))
+    same = F.col("user_id").eqNullSafe(F.col("__user"))
+    rows = written.join(last, same & (F.col("batch") == F.col("__last")), "left_semi").drop("batch")
+    return rows.unionByName(entries.join(last, same, "left_anti"))
