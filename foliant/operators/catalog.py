@@ -8,14 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.books import GENRE_RULES, genres_of, has_cover, release_date, resolved_cover
-from ..functions.identifiers import book_identity, explode_identifiers, is_blank, normalize_isbn, with_isbn13
-from ..functions.text import comparable
+from ..functions.identifiers import book_identity, with_isbn13
 from ..shared import saved
 from ..sources.feeds import bestsellers_to_volumes
-from .joins import contains_either, resolve_metadata, split_conflicts
+from .joins import expand_by_author, fits_by_isbn, resolve_metadata, split_conflicts, verified
 from .windows import compact_positions, keep_first, ranked
 
 SECTIONS = ("popular", "upcoming")
+# The messages of reports; names in braces stand for a row's values.
+MESSAGES = {
+    "isbn": "Enter a valid ISBN-10 or ISBN-13.",
+    "title": "Title is required.",
+    "author": "Author is required.",
+    "duplicate": "ISBN is duplicated; the first occurrence was kept.",
+    "section": "This ISBN is already in the {section} section.",
+    "metadata": "No book metadata was found for this ISBN.",
+    "other title": "Resolved title '{title}' does not match the CSV.",
+    "other authors": "Resolved authors '{authors}' do not match the CSV.",
+    "empty": "No valid rows were available to preview.",
+    "no draft": "Draft catalog not found.",
+    "in draft": "This ISBN is already in the draft.",
+}
 _VOLUME = ("id", "title", "authors", "description", "publisher", "language", "small_thumbnail", "thumbnail", "identifiers", "feed")
 
 
@@ -36,14 +49,10 @@ def genre_merge(volumes: DataFrame, bestsellers: DataFrame, rules: dict[str, str
     """
     genres = volumes.select("genre_slug").distinct()
     best = bestsellers.withColumn("__key", F.col("pos"))
-    own = best.select("__key", F.explode("isbns").alias("x")).where(~is_blank(F.col("x.identifier"))).select("__key", F.upper(normalize_isbn(F.col("x.identifier"))).alias("isbn"))
-    feed = explode_identifiers(volumes).select("genre_slug", F.upper("identifier").alias("isbn")).distinct()
-    by_isbn = own.join(feed, "isbn").select("__key", "genre_slug")
-    by_rule = best.select("__key", F.explode(genres_of(F.col("title"), F.col("description"), rules)).alias("genre_slug")).join(genres, "genre_slug", "left_semi").select("__key", "genre_slug")
-    fits = by_isbn.unionByName(by_rule).distinct()
-    author = F.lower(F.trim("author"))
-    authors = fits.join(best.select("__key", author.alias("__author")), "__key").where("__author <> ''").select("genre_slug", "__author").distinct()
-    expanded = best.select("__key", author.alias("__author")).join(authors, "__author").select("__key", "genre_slug")
+    by_isbn = fits_by_isbn(best, volumes, "genre_slug", "__key")
+    by_rule = best.select("__key", F.explode(genres_of(F.col("title"), F.col("description"), rules)).alias("genre_slug")).join(genres, "genre_slug", "left_semi")
+    fits = by_isbn.unionByName(by_rule.select("__key", "genre_slug")).distinct()
+    expanded = expand_by_author(fits, best, "genre_slug", "__key")
     chosen = fits.unionByName(expanded).distinct().join(best, "__key")
     left = bestsellers_to_volumes(chosen).select("genre_slug", *_VOLUME, "pos")
     merged = combine_feeds(left, volumes.select("genre_slug", *_VOLUME, "pos"), group=["genre_slug"])
@@ -100,9 +109,10 @@ def publish(batches: DataFrame, requests: DataFrame) -> DataFrame:
     return both.withColumns({"status": status, "published_at": F.when(mine, F.col("__at")).otherwise(F.col("published_at"))}).drop("__id", "__at").select(*batches.columns)
 
 
-def _said(broken: Column, stage: int, rule: int, field: str, message: Column | str) -> Column:
-    """An error as a struct where a row is broken, else null."""
-    text = F.lit(message) if isinstance(message, str) else message
+def _said(broken: Column, stage: int, rule: int, field: str, message: str, value: Column | None = None) -> Column:
+    """An error as a struct where a row is broken, else null. message: a key of MESSAGES; value: what stands for its name in braces."""
+    before, _, behind = MESSAGES[message].partition("{")
+    text = F.lit(before) if value is None else F.concat(F.lit(before), value, F.lit(behind.partition("}")[2]))
     return F.when(broken, F.struct(F.lit(stage).alias("stage"), F.lit(rule).alias("rule"), F.lit(field).alias("field"), text.alias("message")))
 
 
@@ -124,8 +134,8 @@ def checked_rows(rows: DataFrame, keys: list[str], save: bool = False) -> tuple[
     named = with_isbn13(rows, "isbn").withColumn("__good", F.col("is_valid") & ~blank("title") & ~blank("author"))
     ranked = named.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "isbn13", "__good").orderBy("row")))
     judged = ranked.withColumn("__errors", _all_said(
-        _said(~F.col("is_valid"), 1, 1, "isbn", "Enter a valid ISBN-10 or ISBN-13."), _said(blank("title"), 1, 2, "title", "Title is required."), _said(blank("author"), 1, 3, "author", "Author is required."),
-        _said(F.col("__good") & (F.col("__n") > 1), 2, 1, "isbn", "ISBN is duplicated; the first occurrence was kept."),
+        _said(~F.col("is_valid"), 1, 1, "isbn", "isbn"), _said(blank("title"), 1, 2, "title", "title"), _said(blank("author"), 1, 3, "author", "author"),
+        _said(F.col("__good") & (F.col("__n") > 1), 2, 1, "isbn", "duplicate"),
     ))
     judged = saved(judged, "checked-rows") if save else judged
     kept = judged.where(F.size("__errors") == 0).drop("__good", "__n", "__errors", "is_valid")
@@ -150,12 +160,11 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
     meta = resolved.select("isbn13", F.struct(*[c for c in resolved.columns if c != "isbn13"]).alias("m"))
     both = good.withColumn("__other", other).join(there, ["slug", "__other", "isbn13"], "left").join(meta, "isbn13", "left")
     known = F.col("m").isNotNull()
-    title = contains_either(comparable(F.col("m.title")), comparable(F.col("title")))
-    author = F.exists("m.authors", lambda x: contains_either(comparable(x), comparable(F.col("author"))))
+    title, author = verified(F.col("m"), F.col("title"), F.col("author"))
     judged = both.withColumn("__errors", _all_said(
-        _said(F.col("__clash"), 3, 1, "isbn", F.concat(F.lit("This ISBN is already in the "), "__other", F.lit(" section."))), _said(~known, 4, 1, "isbn13", "No book metadata was found for this ISBN."),
-        _said(known & ~title, 4, 2, "title", F.concat(F.lit("Resolved title '"), F.col("m.title"), F.lit("' does not match the CSV."))),
-        _said(known & ~author, 4, 3, "author", F.concat(F.lit("Resolved authors '"), F.array_join("m.authors", ", "), F.lit("' do not match the CSV."))),
+        _said(F.col("__clash"), 3, 1, "isbn", "section", F.col("__other")), _said(~known, 4, 1, "isbn13", "metadata"),
+        _said(known & ~title, 4, 2, "title", "other title", F.col("m.title")),
+        _said(known & ~author, 4, 3, "author", "other authors", F.array_join("m.authors", ", ")),
     ))
     judged = saved(judged, "judged-rows")
     books = judged.where(F.size("__errors") == 0).select(
@@ -164,7 +173,7 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
     )
     files = rows.select(*keys).distinct()
     filled = books.select(*keys).distinct()
-    empty = files.join(filled, keys, "left_anti").select(*keys, F.lit(1).alias("row"), F.lit(5).alias("stage"), F.lit(1).alias("rule"), F.lit("file").alias("field"), F.lit("No valid rows were available to preview.").alias("message"))
+    empty = files.join(filled, keys, "left_anti").select(*keys, F.lit(1).alias("row"), F.lit(5).alias("stage"), F.lit(1).alias("rule"), F.lit("file").alias("field"), F.lit(MESSAGES["empty"]).alias("message"))
     errors = errors.unionByName(_errors(judged, keys)).unionByName(empty)
     carried = filled.withColumn("section", other).join(published, ["slug", "section"])
     if not keep_existing:
@@ -175,20 +184,20 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
 def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(draft, errors): requests (request_id, batch_id, section, isbn) in order; rejected are invalid ISBNs, unknown drafts, ISBNs in the draft and ISBNs without metadata."""
     named = with_isbn13(requests, "isbn")
-    error = lambda df, m: df.select("request_id", F.lit(m).alias("message"))
-    errors = error(named.where(~F.col("is_valid")), "Enter a valid ISBN-10 or ISBN-13.")
+    error = lambda df, m: df.select("request_id", F.lit(MESSAGES[m]).alias("message"))
+    errors = error(named.where(~F.col("is_valid")), "isbn")
     good = named.where("is_valid").drop("is_valid")
     drafts = draft.select("batch_id").distinct()
-    errors = errors.unionByName(error(good.join(drafts, "batch_id", "left_anti"), "Draft catalog not found."))
+    errors = errors.unionByName(error(good.join(drafts, "batch_id", "left_anti"), "no draft"))
     good = good.join(drafts, "batch_id", "left_semi")
     first, again = keep_first(good, ["batch_id", "isbn13"], ["request_id"])
     there = draft.select("batch_id", "isbn13").distinct()
     twice = first.join(there, ["batch_id", "isbn13"], "left_semi").unionByName(again)
-    errors = errors.unionByName(error(twice, "This ISBN is already in the draft."))
+    errors = errors.unionByName(error(twice, "in draft"))
     new = first.join(there, ["batch_id", "isbn13"], "left_anti")
     resolved, _, _ = resolve_metadata(new, cache, library, volumes)
     meta = resolved.withColumn("cover_url", resolved_cover(F.col("cover_override_url"), F.col("cover_url"))).drop("cover_override_url", "provider")
-    errors = errors.unionByName(error(new.join(meta.select("isbn13"), "isbn13", "left_anti"), "No book metadata was found for this ISBN."))
+    errors = errors.unionByName(error(new.join(meta.select("isbn13"), "isbn13", "left_anti"), "metadata"))
     start = next_positions(draft, ["batch_id", "section"])
     seq = Window.partitionBy("batch_id", "section").orderBy("request_id")
     added = new.join(meta, "isbn13").withColumn("n", F.row_number().over(seq)).join(start, ["batch_id", "section"], "left")

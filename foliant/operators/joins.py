@@ -50,18 +50,18 @@ def resolve_metadata(isbns: DataFrame, cache: DataFrame, library: DataFrame, vol
     return resolved.drop("__rank"), resolved.where("__rank > 0").drop("__rank"), found.where("m is null").select("isbn13")
 
 
-def expand_by_author(matches: DataFrame, books: DataFrame, author: str = "author") -> DataFrame:
-    """books whose author (trimmed, without case) wrote any of matches; blank authors match nothing."""
-    key = F.lower(F.trim(author))
-    authors = matches.where(~is_blank(F.col(author))).select(key.alias("__author")).distinct()
-    return books.withColumn("__author", key).join(authors, "__author", "left_semi").drop("__author")
+def expand_by_author(fits: DataFrame, books: DataFrame, group: str, book_id: str, author: str = "author") -> DataFrame:
+    """(book, group) for the books whose author (trimmed, without case) wrote one that fits the group; blank authors match nothing."""
+    named = books.select(book_id, F.lower(F.trim(author)).alias("__author"))
+    authors = fits.join(named, book_id).where("__author <> ''").select(group, "__author").distinct()
+    return named.join(authors, "__author").select(book_id, group)
 
 
-def fits_by_isbn(books: DataFrame, volumes: DataFrame, book_id: str) -> DataFrame:
-    """books (column isbns) with an ISBN among the identifiers of volumes."""
-    feed = explode_identifiers(volumes).select(F.upper("identifier").alias("__isbn")).distinct()
+def fits_by_isbn(books: DataFrame, volumes: DataFrame, group: str, book_id: str) -> DataFrame:
+    """(book, group) for the books (column isbns) with an ISBN among the identifiers of the group's volumes."""
+    feed = explode_identifiers(volumes).select(group, F.upper("identifier").alias("__isbn")).distinct()
     own = books.select(book_id, F.explode("isbns").alias("x")).where(~is_blank(F.col("x.identifier"))).select(book_id, F.upper(normalize_isbn(F.col("x.identifier"))).alias("__isbn"))
-    return books.join(own.join(feed, "__isbn", "left_semi").select(book_id).distinct(), book_id, "left_semi")
+    return own.join(feed, "__isbn").select(book_id, group)
 
 
 def split_conflicts(rows: DataFrame, published_other: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -75,13 +75,10 @@ def contains_either(a: Column, b: Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
-def verify_match(rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    """rows joined with metadata on isbn13, with title_matches and author_matches (any author); columns of metadata get the prefix m_."""
-    meta = metadata.select("isbn13", *[F.col(c).alias(f"m_{c}") for c in metadata.columns if c != "isbn13"])
-    both = rows.join(meta, "isbn13")
-    title = contains_either(comparable(F.col("m_title")), comparable(F.col("title")))
-    author = F.exists("m_authors", lambda a: contains_either(comparable(a), comparable(F.col("author"))))
-    return both.withColumns({"title_matches": title, "author_matches": author})
+def verified(metadata: Column, title: Column, author: Column) -> tuple[Column, Column]:
+    """Whether the title, and any author, of a struct of metadata agrees with what a row says."""
+    same_author = F.exists(metadata["authors"], lambda a: contains_either(comparable(a), comparable(author)))
+    return contains_either(comparable(metadata["title"]), comparable(title)), same_author
 
 
 def user_profiles(users: DataFrame, identities: DataFrame) -> DataFrame:

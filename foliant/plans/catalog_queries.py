@@ -76,8 +76,9 @@ published AS (SELECT file, max(l_partkey) AS k FROM import_rows GROUP BY file),
 clash AS (SELECT t.file, t.row FROM kept t JOIN published p ON t.file = p.file AND t.l_partkey = p.k),
 late AS (SELECT file, row, 3 AS stage, 1 AS rule, 'isbn' AS field, 'This ISBN is already in the ' || CASE WHEN file % 2 = 0 THEN 'upcoming' ELSE 'popular' END || ' section.' AS message FROM clash
   UNION ALL SELECT file, row, 4, 1, 'isbn13', 'No book metadata was found for this ISBN.' FROM kept WHERE l_partkey % 5 = 4
-  UNION ALL SELECT file, row, 4, 2, 'title', 'Resolved title ''' || p_name || ''' does not match the CSV.' FROM kept JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 <> 4 AND title = 'no such title'),
-fine AS (SELECT k.* FROM kept k WHERE l_partkey % 5 <> 4 AND title <> 'no such title' AND NOT EXISTS (FROM clash c WHERE c.file = k.file AND c.row = k.row)),
+  UNION ALL SELECT file, row, 4, 2, 'title', 'Resolved title ''' || p_name || ''' does not match the CSV.' FROM kept JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 <> 4 AND title = 'no such title'
+  UNION ALL SELECT file, row, 4, 3, 'author', 'Resolved authors ''' || p_brand || ''' do not match the CSV.' FROM kept JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 <> 4 AND author = 'Somebody Else'),
+fine AS (SELECT k.* FROM kept k WHERE l_partkey % 5 <> 4 AND title <> 'no such title' AND author <> 'Somebody Else' AND NOT EXISTS (FROM clash c WHERE c.file = k.file AND c.row = k.row)),
 books AS (SELECT file, {_section('file')} AS section, position, isbn13 FROM fine
   UNION ALL SELECT p.file, {_section('p.file + 1')}, 1, {sql_isbn13('p.k')} FROM published p WHERE EXISTS (FROM fine f WHERE f.file = p.file) AND NOT EXISTS (FROM kept k WHERE k.file = p.file AND k.l_partkey = p.k)),
 empty AS (SELECT DISTINCT file, 1 AS row, 5 AS stage, 1 AS rule, 'file' AS field, 'No valid rows were available to preview.' AS message FROM import_rows WHERE file NOT IN (SELECT file FROM fine))
@@ -109,11 +110,19 @@ s AS (SELECT * FROM latest, (VALUES ('popular'), ('upcoming')) x(section))
 @query(_SECTIONED + f"SELECT s.genre_slug, s.batch_id, s.section, {sql_stamp('s.published_at')} AS published_at, coalesce(string_agg(isbn13, ',' ORDER BY position), '') AS isbns FROM s LEFT JOIN catalog_books b ON s.batch_id = b.batch_id AND s.section = b.section GROUP BY ALL")
 def catalog_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = windows.latest_published(v.batches(spark, sf_dir))
-    with_books = joins.batches_with_books(latest.select("batch_id"), v.catalog_books(spark, sf_dir)).where("isbn13 is not null")
+    with_books = joins.batches_with_books(latest.select("batch_id"), v.catalog_books(spark, sf_dir))
     rows = catalog.assemble_sections(latest, with_books)
     return rows.select("genre_slug", "batch_id", "section", stamp("published_at").alias("published_at"), F.array_join(F.transform("books", lambda b: b["isbn13"]), ",").alias("isbns"))
 
 
+@query(f"WITH {v.CATALOG_BOOKS}, {v.BATCHES} SELECT b.batch_id, count(isbn13) AS books, count(isbn13) = 0 AS empty FROM batches b LEFT JOIN (FROM catalog_books WHERE position > 2) c ON b.batch_id = c.batch_id GROUP BY ALL")
+def batch_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of each batch behind the first two of a section; a batch without any stays, with none."""
+    books = v.catalog_books(spark, sf_dir).where("position > 2")
+    rows = joins.batches_with_books(v.batches(spark, sf_dir).select("batch_id"), books)
+    return rows.groupBy("batch_id").agg(F.count("isbn13").alias("books")).select("batch_id", "books", (F.col("books") == 0).alias("empty"))
+
+
 @query(
     f"WITH {v.BATCHES}, p AS (SELECT genre_slug, max(batch_id) AS id FROM batches WHERE status IN ('Draft', 'Published') AND batch_id % 3 = 0 GROUP BY genre_slug) SELECT batch_id, genre_slug, CASE WHEN batch_id = id THEN 'Published' WHEN status = 'Published' THEN 'Archived' ELSE status END AS status, "
     f"{sql_stamp('CASE WHEN batch_id = id THEN TIMESTAMP ' + chr(39) + '2024-06-01' + chr(39) + ' ELSE published_at END')} AS published_at FROM batches LEFT JOIN p USING (genre_slug)"

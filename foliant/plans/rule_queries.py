@@ -218,3 +218,23 @@ def entry_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status": F.when(i % 6 == 0, "Unknown").otherwise(F.col("status")), "pages_completed": F.when(i % 5 == 0, F.col("pages_completed") + 1000).otherwise(F.col("pages_completed")), "source_book_id": F.when(i % 7 != 0, F.col("source_book_id")),
     })
     return validation.validate_entries(rows)[1].select("request_id", "message")
+
+
+_TIMES = "ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-02-10'"
+
+
+@query(f"SELECT 'actor' AS lookup, event_id AS log_id FROM events WHERE user_id = 7 AND {_TIMES} UNION ALL SELECT 'trace', event_id FROM events WHERE event_id % 100 = 42 UNION ALL SELECT 'range', event_id FROM events WHERE {_TIMES}")
+def audit_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log by actor and time, by trace, and by time alone."""
+    from datetime import datetime
+
+    from ..operators import audit
+
+    e = read(spark, sf_dir, "events")
+    logs = e.select(
+        F.col("event_id").alias("log_id"), F.col("ts").cast("timestamp").alias("started_at"), F.col("event_type").alias("api_name"), F.col("user_id").cast("string").alias("actor_id"), F.concat(F.lit("t"), F.col("event_id") % 100).alias("trace_id")
+    )
+    start, end = datetime(2024, 1, 3), datetime(2024, 2, 10)
+    found = {"actor": audit.audit_lookup(logs, start, end, actor_id="7"), "trace": audit.audit_lookup(logs, trace="t42"), "range": audit.audit_lookup(logs, start, end)}
+    rows = [df.select(F.lit(name).alias("lookup"), "log_id") for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -117,13 +117,13 @@ TEST_RULES = {"colours": r"\b(?:red|blue)\b", "hardware": r"\b(?:rings?|bolts?)\
 
 
 def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as catalogue rows, an order a file; the check digit is cut off in line 7; some titles are wrong."""
+    """Line items as catalogue rows, an order a file; the check digit is cut off in line 7; some titles and authors are wrong."""
     line, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     k = F.col("l_partkey")
     full = F.when(F.col("l_suppkey") % 2 == 0, isbn10(k)).otherwise(isbn13(k))
     isbn = F.when(F.col("l_linenumber") == 7, F.substring(full, 1, 9)).otherwise(full)
     rows = line.join(part, k == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("file"), isbn.alias("isbn"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("no such title")).otherwise(F.col("p_name")).alias("title"), F.when(F.col("l_suppkey") % 13 == 0, F.lit(" ")).otherwise(F.col("p_brand")).alias("author"),
+        F.col("l_orderkey").alias("file"), isbn.alias("isbn"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("no such title")).otherwise(F.col("p_name")).alias("title"), F.when(F.col("l_suppkey") % 13 == 0, F.lit(" ")).when(F.col("l_suppkey") % 17 == 0, F.lit("Somebody Else")).otherwise(F.col("p_brand")).alias("author"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("o"),
     )
     from pyspark.sql import Window
@@ -133,7 +133,7 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMPORT_ROWS = f"""
 import_rows AS (SELECT l_orderkey AS file, CASE WHEN l_linenumber = 7 THEN substr(full_isbn, 1, 9) ELSE full_isbn END AS isbn, l_partkey, CASE WHEN l_suppkey % 11 = 0 THEN 'no such title' ELSE p_name END AS title,
-  CASE WHEN l_suppkey % 13 = 0 THEN ' ' ELSE p_brand END AS author, l_linenumber, l_suppkey,
+  CASE WHEN l_suppkey % 13 = 0 THEN ' ' WHEN l_suppkey % 17 = 0 THEN 'Somebody Else' ELSE p_brand END AS author, l_linenumber, l_suppkey,
   1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS row
   FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN {sql_isbn10('l_partkey')} ELSE {sql_isbn13('l_partkey')} END AS full_isbn FROM lineitem JOIN part ON l_partkey = p_partkey))
 """
