@@ -159,13 +159,12 @@ def _ats(value: Column) -> Column:
 def with_mentions(rows: DataFrame, text: str) -> DataFrame:
     """Adds `base` and `sure` (secrets), the seeds, and `loose`, the candidates, of the column text (not null), as mentions. No shuffle."""
     kept, t = rows.columns, F.col(text)
-    some = t.rlike("[0-9@]")
     rows = rows.withColumn("base", _base(t, beside=True))
     rest = t
     for k in KINDS:  # what is valid in itself is covered, kind by kind
         rows = rows.withColumn("__rest", _without(rest, k))
         rest = F.col("__rest")
-    rows = rows.withColumn("sure", F.when(some & rest.rlike("[A-Za-z0-9]{16}"), _mentions(rest, "secret", SECRET)).otherwise(_none()))
+    rows = rows.withColumn("sure", F.when(rest.rlike("[A-Za-z0-9]{16}"), _mentions(rest, "secret", SECRET)).otherwise(_none()))
     rows = rows.withColumn("__rest", F.when(F.size("sure") > 0, _covered(rest, SECRET, lambda v: F.lit(True))).otherwise(rest))
     likely = lambda m: (_digits(m["value"]) >= 4) | (_ats(m["value"]) > 0)
     found = F.filter(F.transform(F.filter(_mentions(rest, None, CANDIDATE), likely), _trimmed), likely).cast(_MENTIONS)
@@ -205,7 +204,7 @@ def _agrees(bounds: dict[str, tuple]) -> Column:
     """Whether a row's candidate is made of as many digits, letters and at signs as seeds of its kind, or up to half or twice as many."""
     out = F.lit(False)
     for kind, (d0, d1, l0, l1, a0, a1) in bounds.items():
-        fits = F.col("digits").between((d0 + 1) // 2, 2 * d1) & F.col("letters").between((l0 + 1) // 2, 2 * l1) & F.col("ats").between(a0, a1)
+        fits = F.col("digits").between(d0 // 2, 2 * d1) & F.col("letters").between(l0 // 2, 2 * l1) & F.col("ats").between(a0, a1)
         out = out | ((F.col("kind") == kind) & fits)
     return out
 
