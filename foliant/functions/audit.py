@@ -23,11 +23,13 @@ def query_names(url: Column) -> Column:
     parts = F.filter(F.split(query, "&"), lambda x: x != "")
     names = F.transform(parts, lambda x: F.coalesce(F.try_url_decode(F.replace(F.split(x, "=", 2)[0], F.lit("+"), F.lit("%2B"))), F.split(x, "=", 2)[0]))
     keyed = F.transform(names, lambda x: F.struct(F.upper(x).alias("k"), x.alias("name")))
-    first = F.filter(F.transform(keyed, lambda x, i: F.struct(x["k"].alias("k"), x["name"].alias("name"), (F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == i + 1).alias("first"))), lambda x: x["first"])
+    first = F.filter(F.transform(keyed, lambda x, i: F.struct(x["k"].alias("k"), x["name"].alias("name"),
+        (F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == i + 1).alias("first"))), lambda x: x["first"])
     return F.when(F.coalesce(query, F.lit("")) != "", F.array_join(F.transform(F.sort_array(first), lambda x: x["name"]), ","))
 
 
-def actor(authenticated: Column, client_id: Column, azp: Column, user_id: Column, email: Column, name: Column, has_context: Column, service: str = "service") -> Column:
+def actor(authenticated: Column, client_id: Column, azp: Column, user_id: Column, email: Column, name: Column, has_context: Column,
+    service: str = "service") -> Column:
     """struct(actor_type, actor_id); without a request context the service itself acts."""
     pair = lambda kind, who: F.struct(F.lit(kind).alias("actor_type"), who.alias("actor_id"))
     client = F.coalesce(client_id, azp)

@@ -11,7 +11,8 @@ from .identifiers import is_blank
 GENRE_RULES = {
     "horror": r"\b(horror|haunted|haunting|ghosts?|vampires?|demons?|demonic|occult|possess(?:ed|ion)|supernatural|gothic|undead)\b",
     "fantasy": r"\b(fantasy|litrpg|dungeons?|dragons?|magic|magical|mages?|wizards?|witches?|sorcer(?:er|ess|y)|fae|fairy|fairies|elves?|kingdoms?|quests?|enchanted|mythic(?:al)?|gods?|goddesses?)\b",
-    "science-fiction": r"\b(science fiction|sci-fi|space(?:ship|craft)?|aliens?|galactic|dystopi(?:a|an)|time travel|androids?|robots?|extraterrestrial|futuristic)\b",
+    "science-fiction": r"\b(science fiction|sci-fi|space(?:ship|craft)?|aliens?|galactic|dystopi(?:a|an)|time "
+        r"travel|androids?|robots?|extraterrestrial|futuristic)\b",
     "mystery": r"\b(mystery|mysteries|detectives?|whodunit|murder investigation|investigates?|disappearance|missing person|unsolved)\b",
     "thriller": r"\b(thriller|conspirac(?:y|ies)|assassins?|espionage|spies?|kidnapped|hostages?|serial killer|race against time)\b",
     "romance": r"\b(romance|romantic|love story|falls? in love|lovers?|soulmates?|wedding|marriage of convenience)\b",
@@ -69,4 +70,5 @@ def valid_cover_url(c: Column) -> Column:
     """https, absolute, at most 2,000 characters, no user info."""
     url = F.trim(c)
     part = lambda name: F.try_parse_url(url, F.lit(name))
-    return F.coalesce(~is_blank(c) & (F.length(c) <= 2000) & (F.lower(part("PROTOCOL")) == "https") & part("HOST").isNotNull() & part("USERINFO").isNull(), F.lit(False))
+    return F.coalesce(~is_blank(c) & (F.length(c) <= 2000) & (F.lower(part("PROTOCOL")) == "https") & part("HOST").isNotNull()
+        & part("USERINFO").isNull(), F.lit(False))

@@ -20,16 +20,20 @@ def audit_project(calls: DataFrame, service: str = "service") -> DataFrame:
     cut = lambda c, n: F.substring(c, 1, n)
     path = F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit("unknown"))
     return calls.withColumn("__who", who).select(
-        "started_at", api_name(F.col("url")).alias("api_name"), F.lit("outbound").alias("direction"), "method", cut(F.when(path == "", "/").otherwise(path), 512).alias("route"), F.coalesce("status_code", F.lit(500)).alias("status_code"), "duration_ms",
-        F.col("__who.actor_type").alias("actor_type"), cut(F.col("__who.actor_id"), 255).alias("actor_id"), cut(query_names(F.col("url")), 512).alias("query_parameter_names"), "client_ip", cut(F.col("user_agent"), 512).alias("user_agent"), "trace_id",
+        "started_at", api_name(F.col("url")).alias("api_name"), F.lit("outbound").alias("direction"), "method",
+            cut(F.when(path == "", "/").otherwise(path), 512).alias("route"), F.coalesce("status_code", F.lit(500)).alias("status_code"), "duration_ms",
+        F.col("__who.actor_type").alias("actor_type"), cut(F.col("__who.actor_id"), 255).alias("actor_id"), cut(query_names(F.col("url")), 512).alias(
+            "query_parameter_names"), "client_ip", cut(F.col("user_agent"), 512).alias("user_agent"), "trace_id",
         "error_type", F.when(F.col("error_type").isNotNull(), "Outbound request failed.").alias("error_message"),
     )
 
 
-def audit_lookup(logs: DataFrame, start: datetime | None = None, end: datetime | None = None, api: str | None = None, actor_id: str | None = None, trace: str | None = None) -> DataFrame:
+def audit_lookup(logs: DataFrame, start: datetime | None = None, end: datetime | None = None, api: str | None = None, actor_id: str | None = None,
+    trace: str | None = None) -> DataFrame:
     """Log rows of a time range [start, end), an API, an actor or a trace. On a log partitioned by `day` the range also prunes partitions."""
     out = logs
-    for column, value, op in (("started_at", start, "ge"), ("started_at", end, "lt"), ("api_name", api, "eq"), ("actor_id", actor_id, "eq"), ("trace_id", trace, "eq")):
+    for column, value, op in (("started_at", start, "ge"), ("started_at", end, "lt"), ("api_name", api, "eq"), ("actor_id", actor_id, "eq"),
+        ("trace_id", trace, "eq")):
         if value is not None:
             c, v = F.col(column), F.lit(value)
             out = out.where({"ge": c >= v, "lt": c < v, "eq": c == v}[op])

@@ -50,7 +50,8 @@ def genre_merge(volumes: DataFrame, bestsellers: DataFrame, rules: dict[str, str
     genres = volumes.select("genre_slug").distinct()
     best = bestsellers.withColumn("__key", F.col("pos"))
     by_isbn = fits_by_isbn(best, volumes, "genre_slug", "__key")
-    by_rule = best.select("__key", F.explode(genres_of(F.col("title"), F.col("description"), rules)).alias("genre_slug")).join(genres, "genre_slug", "left_semi")
+    by_rule = best.select("__key", F.explode(genres_of(F.col("title"), F.col("description"), rules)).alias("genre_slug")).join(genres, "genre_slug",
+        "left_semi")
     fits = by_isbn.unionByName(by_rule.select("__key", "genre_slug")).distinct()
     expanded = expand_by_author(fits, best, "genre_slug", "__key")
     chosen = fits.unionByName(expanded).distinct().join(best, "__key")
@@ -82,12 +83,14 @@ def chunk_keys(df: DataFrame, column: str = "isbn13", n: int = 30) -> DataFrame:
     buckets = max(1, -(-keys.count() // (10 * n)))
     keys = keys.withColumn("bucket", F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long") % buckets)
     numbered = keys.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("k")) - 1) / n))
-    return numbered.groupBy("bucket", "chunk").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("ISBN:"), "k"))), ",").alias("keys"), F.count("*").alias("n"))
+    return numbered.groupBy("bucket", "chunk").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("ISBN:"), "k"))), ",").alias("keys"),
+        F.count("*").alias("n"))
 
 
 def assemble_sections(batches: DataFrame, books: DataFrame) -> DataFrame:
     """For each batch (batch_id, genre_slug, published_at) both sections in order, each with its books by position; empty sections are kept."""
-    both = batches.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("section_order"), F.lit(s).alias("section")) for i, s in enumerate(SECTIONS)]))).select("batch_id", "genre_slug", "published_at", "s.*")
+    both = batches.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("section_order"), F.lit(s).alias("section")) for i,
+        s in enumerate(SECTIONS)]))).select("batch_id", "genre_slug", "published_at", "s.*")
     fields = [c for c in books.columns if c not in ("batch_id", "section", "position")]
     lists = books.groupBy("batch_id", "section").agg(F.sort_array(F.collect_list(F.struct("position", *fields))).alias("books"))
     return both.join(lists, ["batch_id", "section"], "left").withColumn("books", F.coalesce("books", F.array()))
@@ -102,11 +105,13 @@ def publish(batches: DataFrame, requests: DataFrame) -> DataFrame:
     """Batches after publishing (genre_slug, batch_id, at): a draft or published batch becomes Published at the time, the slug's others that were published become
     Archived. Unknown and archived ids change nothing."""
     ok = requests.join(batches.where(F.col("status").isin("Draft", "Published")).select("batch_id", "genre_slug"), ["batch_id", "genre_slug"], "left_semi")
-    new = ok.groupBy("genre_slug").agg(F.max_by(F.struct("batch_id", "at"), F.struct("at", "batch_id")).alias("p")).select("genre_slug", F.col("p.batch_id").alias("__id"), F.col("p.at").alias("__at"))
+    new = ok.groupBy("genre_slug").agg(F.max_by(F.struct("batch_id", "at"), F.struct("at", "batch_id")).alias("p")).select("genre_slug",
+        F.col("p.batch_id").alias("__id"), F.col("p.at").alias("__at"))
     both = batches.join(new, "genre_slug", "left")
     mine = F.coalesce(F.col("batch_id") == F.col("__id"), F.lit(False))
     status = F.when(mine, "Published").when(F.col("__id").isNotNull() & (F.col("status") == "Published"), "Archived").otherwise(F.col("status"))
-    return both.withColumns({"status": status, "published_at": F.when(mine, F.col("__at")).otherwise(F.col("published_at"))}).drop("__id", "__at").select(*batches.columns)
+    return both.withColumns({"status": status, "published_at": F.when(mine, F.col("__at")).otherwise(F.col("published_at"))}).drop("__id",
+        "__at").select(*batches.columns)
 
 
 def _said(broken: Column, stage: int, rule: int, field: str, message: str, value: Column | None = None) -> Column:
@@ -142,7 +147,8 @@ def checked_rows(rows: DataFrame, keys: list[str], save: bool = False) -> tuple[
     return compact_positions(kept, keys, ["row"]), _errors(judged, keys)
 
 
-def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame, published: DataFrame, keep_existing: bool = False, file_errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame, published: DataFrame, keep_existing: bool = False,
+    file_errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(draft, errors, new metadata) of many catalogue files at once.
 
     rows: file, slug, section, row, isbn, title, author. published: books (slug, section, isbn13 and book columns) of each slug's published batch. Published books of
@@ -168,12 +174,14 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
     ))
     judged = saved(judged, "judged-rows")
     books = judged.where(F.size("__errors") == 0).select(
-        *keys, "position", "isbn13", "m.source_book_id", "m.title", "m.authors", "m.description", resolved_cover(F.col("m.cover_override_url"), F.col("m.cover_url")).alias("cover_url"), "m.publisher", "m.identifiers", "m.published_date",
+        *keys, "position", "isbn13", "m.source_book_id", "m.title", "m.authors", "m.description", resolved_cover(F.col("m.cover_override_url"),
+            F.col("m.cover_url")).alias("cover_url"), "m.publisher", "m.identifiers", "m.published_date",
         release_date(F.col("section"), F.col("m.published_date")).alias("release_date"),
     )
     files = rows.select(*keys).distinct()
     filled = books.select(*keys).distinct()
-    empty = files.join(filled, keys, "left_anti").select(*keys, F.lit(1).alias("row"), F.lit(5).alias("stage"), F.lit(1).alias("rule"), F.lit("file").alias("field"), F.lit(MESSAGES["empty"]).alias("message"))
+    empty = files.join(filled, keys, "left_anti").select(*keys, F.lit(1).alias("row"), F.lit(5).alias("stage"), F.lit(1).alias("rule"),
+        F.lit("file").alias("field"), F.lit(MESSAGES["empty"]).alias("message"))
     errors = errors.unionByName(_errors(judged, keys)).unionByName(empty)
     carried = filled.withColumn("section", other).join(published, ["slug", "section"])
     if not keep_existing:
@@ -201,7 +209,8 @@ def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library:
     start = next_positions(draft, ["batch_id", "section"])
     seq = Window.partitionBy("batch_id", "section").orderBy("request_id")
     added = new.join(meta, "isbn13").withColumn("n", F.row_number().over(seq)).join(start, ["batch_id", "section"], "left")
-    added = added.withColumns({"position": (F.coalesce("next_position", F.lit(1)) + F.col("n") - 1).cast("int"), "release_date": release_date(F.col("section"), F.col("published_date"))})
+    added = added.withColumns({"position": (F.coalesce("next_position", F.lit(1)) + F.col("n") - 1).cast("int"), "release_date": release_date(
+        F.col("section"), F.col("published_date"))})
     return draft.unionByName(added.select(*[F.col(c) if c in added.columns else F.lit(None).alias(c) for c in draft.columns])), errors
 
 

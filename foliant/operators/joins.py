@@ -15,7 +15,8 @@ def _entry_keys(df: DataFrame, id_column: str) -> DataFrame:
     source, book = F.trim("source"), F.trim("source_book_id")
     pair = F.when(~is_blank(source) & ~is_blank(book), F.to_json(F.array(source, book)))
     keys = F.array(key("isbn13", normalize_identifier(F.col("isbn13"))), key("isbn10", normalize_identifier(F.col("isbn10"))), key("source", pair))
-    return df.select(F.col(id_column).alias("__id"), F.col("user_id").alias("__user"), F.explode(F.filter(keys, lambda k: k["value"].isNotNull())).alias("k")).select("__id", "__user", "k.kind", "k.value")
+    return df.select(F.col(id_column).alias("__id"), F.col("user_id").alias("__user"),
+        F.explode(F.filter(keys, lambda k: k["value"].isNotNull())).alias("k")).select("__id", "__user", "k.kind", "k.value")
 
 
 def match_entries(left: DataFrame, entries: DataFrame, left_id: str = "request_id") -> DataFrame:
@@ -41,7 +42,8 @@ def resolve_metadata(isbns: DataFrame, cache: DataFrame, library: DataFrame, vol
     wanted = isbns.select("isbn13").distinct()
     ranked = None
     for rank, df in enumerate((cache, library, volumes)):
-        one = df.select(*METADATA, F.col("cover_override_url") if "cover_override_url" in df.columns else F.lit(None).cast("string").alias("cover_override_url"), F.lit(rank).alias("__rank"))
+        one = df.select(*METADATA, F.col("cover_override_url") if "cover_override_url" in df.columns else F.lit(None).cast("string").alias(
+            "cover_override_url"), F.lit(rank).alias("__rank"))
         ranked = one if ranked is None else ranked.unionByName(one)
     row = F.struct(*[c for c in ranked.columns if c != "isbn13"])
     best = ranked.join(wanted, "isbn13", "left_semi").groupBy("isbn13").agg(F.min_by(row, F.struct("__rank", "source_book_id", "title")).alias("m"))
@@ -60,7 +62,8 @@ def expand_by_author(fits: DataFrame, books: DataFrame, group: str, book_id: str
 def fits_by_isbn(books: DataFrame, volumes: DataFrame, group: str, book_id: str) -> DataFrame:
     """(book, group) for the books (column isbns) with an ISBN among the identifiers of the group's volumes."""
     feed = explode_identifiers(volumes).select(group, F.upper("identifier").alias("__isbn")).distinct()
-    own = books.select(book_id, F.explode("isbns").alias("x")).where(~is_blank(F.col("x.identifier"))).select(book_id, F.upper(normalize_isbn(F.col("x.identifier"))).alias("__isbn"))
+    own = books.select(book_id, F.explode("isbns").alias("x")).where(~is_blank(F.col("x.identifier"))).select(book_id,
+        F.upper(normalize_isbn(F.col("x.identifier"))).alias("__isbn"))
     return own.join(feed, "__isbn").select(book_id, group)
 
 
@@ -92,8 +95,10 @@ def batches_with_books(batches: DataFrame, books: DataFrame) -> DataFrame:
 def goal_status(goals: DataFrame, completed: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """user_id, year, target_book_count (0 without a goal) and completed_book_count (0 without books) for keys, or for all users and years of either side."""
     g, c = goals.select("user_id", "year", "target_book_count"), completed.select("user_id", "year", "completed_book_count")
-    both = g.join(c, ["user_id", "year"], "full") if keys is None else keys.select("user_id", "year").distinct().join(g, ["user_id", "year"], "left").join(c, ["user_id", "year"], "left")
-    return both.select("user_id", "year", F.coalesce("target_book_count", F.lit(0)).alias("target_book_count"), F.coalesce("completed_book_count", F.lit(0)).alias("completed_book_count"))
+    both = g.join(c, ["user_id", "year"], "full") if keys is None else keys.select("user_id", "year").distinct().join(g, ["user_id", "year"],
+        "left").join(c, ["user_id", "year"], "left")
+    return both.select("user_id", "year", F.coalesce("target_book_count", F.lit(0)).alias("target_book_count"), F.coalesce("completed_book_count",
+        F.lit(0)).alias("completed_book_count"))
 
 
 def genre_listing(curated: DataFrame, merged: DataFrame, genre: str = "genre_slug", always_curated: tuple[str, ...] = ("horror",)) -> DataFrame:
@@ -122,15 +127,18 @@ def erase_users(tables: dict[str, DataFrame], user_ids: DataFrame) -> dict[str,
 def taken_emails(candidates: DataFrame, identities: DataFrame, email: str = "email") -> DataFrame:
     """candidates with `taken`: the e-mail is in use (without case) or blank."""
     used = identities.where("email is not null").select(F.lower("email").alias("__email")).distinct().withColumn("__used", F.lit(True))
-    return candidates.withColumn("__email", F.lower(email)).join(used, "__email", "left").withColumn("taken", is_blank(F.col(email)) | F.coalesce("__used", F.lit(False))).drop("__email", "__used")
+    return candidates.withColumn("__email", F.lower(email)).join(used, "__email", "left").withColumn("taken", is_blank(F.col(email))
+        | F.coalesce("__used", F.lit(False))).drop("__email", "__used")
 
 
 def apply_cover_overrides(draft: DataFrame, metadata: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(draft, metadata) after overrides (isbn13, url); a blank url takes an override away and brings the base cover back."""
     new = overrides.groupBy("isbn13").agg(F.max("url").alias("__url")).withColumn("__set", F.lit(True))
     url = F.when(~is_blank(F.col("__url")), F.trim("__url"))
-    meta = metadata.join(new, "isbn13", "left").withColumn("cover_override_url", F.when(F.col("__set"), url).otherwise(F.col("cover_override_url"))).drop("__url", "__set")
+    meta = metadata.join(new, "isbn13", "left").withColumn("cover_override_url", F.when(F.col("__set"), url).otherwise(
+        F.col("cover_override_url"))).drop("__url", "__set")
     base = metadata.select("isbn13", F.col("cover_url").alias("__base"))
     changed = draft.join(new, "isbn13", "left").join(base, "isbn13", "left")
-    books = changed.withColumn("cover_url", F.when(F.col("__set") & F.col("__base").isNotNull(), F.coalesce(url, "__base")).otherwise(F.col("cover_url"))).drop("__url", "__set", "__base")
+    books = changed.withColumn("cover_url", F.when(F.col("__set") & F.col("__base").isNotNull(), F.coalesce(url, "__base")).otherwise(
+        F.col("cover_url"))).drop("__url", "__set", "__base")
     return books, meta

@@ -19,9 +19,11 @@ def _has_terms(field: Column, text: str) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(F.lower(field).contains(t), F.lit(False)) for t in text.lower().split()])
 
 
-def field_search(df: DataFrame, text: str | None = None, intitle: str | None = None, inauthor: str | None = None, subject: str | None = None, isbn: str | None = None, limit: bool = True) -> DataFrame:
+def field_search(df: DataFrame, text: str | None = None, intitle: str | None = None, inauthor: str | None = None, subject: str | None = None,
+    isbn: str | None = None, limit: bool = True) -> DataFrame:
     """Volumes in which every term of each given field occurs; at most 1 for an ISBN, else PAGE (the feature's page size), by id."""
-    authors, subjects = F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("categories", F.array().cast("array<string>")), " ")
+    authors, subjects = F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " "), F.array_join(
+        F.coalesce("categories", F.array().cast("array<string>")), " ")
     fields = [(text, F.concat_ws(" ", "title", "description", authors, subjects)), (intitle, F.col("title")), (inauthor, authors), (subject, subjects)]
     given = [_has_terms(c, q) for q, c in fields if q and q.strip()]
     if isbn and isbn.strip():
@@ -61,7 +63,8 @@ def rank_results(df: DataFrame, query: str, order: str = "pos", ascii_only: bool
         in_title = reduce(lambda a, b: a + b, [t.contains(x).cast("int") for x in terms])
         in_author = reduce(lambda a, b: a + b, [_some_has(x) for x in terms])
         score = score + F.round(in_title / len(terms) * 200).cast("int") + F.round(in_author / len(terms) * 180).cast("int")
-    score = score + F.when(F.coalesce(F.size("identifiers"), F.lit(0)) > 0, 20).otherwise(0) + F.when(~(is_blank(F.col("thumbnail")) & is_blank(F.col("small_thumbnail"))), 10).otherwise(0)
+    score = score + F.when(F.coalesce(F.size("identifiers"), F.lit(0)) > 0, 20).otherwise(0) + F.when(~(is_blank(F.col("thumbnail"))
+        & is_blank(F.col("small_thumbnail"))), 10).otherwise(0)
     return rows.withColumn("score", score).drop("__t", "__a").orderBy(F.desc("score"), order)
 
 
@@ -86,13 +89,16 @@ def search_all(df: DataFrame, query: str, limit: bool = True, **options) -> Data
 
 def popular_by_subject(df: DataFrame, subject: str, n: int = 60, language: str = "en") -> DataFrame:
     """The n volumes of a subject and language with the most readers."""
-    return df.where((F.col("language") == language) & F.exists("categories", lambda s: F.lower(s) == subject.lower())).orderBy(F.desc("readinglog_count"), "id").limit(n)
+    return df.where((F.col("language") == language) & F.exists("categories", lambda s: F.lower(s) == subject.lower())).orderBy(
+        F.desc("readinglog_count"), "id").limit(n)
 
 
 def volumes_to_entries(df: DataFrame, status: str) -> DataFrame:
     """Entry requests of search results, without progress."""
     return df.select(
-        F.coalesce("feed", F.lit("volumes")).alias("source"), F.col("id").alias("source_book_id"), "title", F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ", ").alias("authors"),
-        F.coalesce("thumbnail", "small_thumbnail").alias("thumbnail_url"), identifier_of(F.col("identifiers"), "ISBN_10").alias("isbn10"), identifier_of(F.col("identifiers"), "ISBN_13").alias("isbn13"), F.lit(status).alias("status"),
+        F.coalesce("feed", F.lit("volumes")).alias("source"), F.col("id").alias("source_book_id"), "title",
+            F.array_join(F.coalesce("authors", F.array().cast("array<string>")), ", ").alias("authors"),
+        F.coalesce("thumbnail", "small_thumbnail").alias("thumbnail_url"), identifier_of(F.col("identifiers"), "ISBN_10").alias("isbn10"),
+            identifier_of(F.col("identifiers"), "ISBN_13").alias("isbn13"), F.lit(status).alias("status"),
         F.coalesce("page_count", F.lit(0)).alias("page_count"), F.lit(0).alias("pages_completed"), F.lit(0).alias("percent_completed"),
     )

@@ -48,20 +48,24 @@ def completed_by_year(entries: DataFrame) -> DataFrame:
 
 def shelf_counts(entries: DataFrame) -> DataFrame:
     """A row for each user and status, and one for all their books (shelf "All Books"), in one aggregation."""
-    return entries.groupingSets([["user_id", "status"], ["user_id"]], "user_id", "status").agg(F.count("*").alias("n"), F.grouping("status").alias("__all")).select("user_id", F.when(F.col("__all") == 1, "All Books").otherwise(F.col("status")).alias("shelf"), "n")
+    return entries.groupingSets([["user_id", "status"], ["user_id"]], "user_id", "status").agg(F.count("*").alias("n"), F.grouping("status").alias(
+        "__all")).select("user_id", F.when(F.col("__all") == 1, "All Books").otherwise(F.col("status")).alias("shelf"), "n")
 
 
 def backfill_entries(df: DataFrame) -> DataFrame:
     """Entries without a title get the source `legacy`, an id from their own and a stand-in title."""
     old = F.col("title").isNull()
-    return df.withColumns({"source": F.when(old, "legacy").otherwise(F.col("source")), "source_book_id": F.when(old, F.concat(F.lit("entry-"), F.col("entry_id"))).otherwise(F.col("source_book_id")), "title": F.coalesce("title", F.lit("Unknown title"))})
+    return df.withColumns({"source": F.when(old, "legacy").otherwise(F.col("source")), "source_book_id": F.when(old, F.concat(F.lit("entry-"),
+        F.col("entry_id"))).otherwise(F.col("source_book_id")), "title": F.coalesce("title", F.lit("Unknown title"))})
 
 
 def upsert_goals(goals: DataFrame, requests: DataFrame) -> DataFrame:
     """Goals by (user, year) after requests (user_id, year, target_book_count, ts, request_id): the last request wins."""
-    new = requests.groupBy("user_id", "year").agg(F.max_by(F.struct("target_book_count", "ts"), F.struct("ts", "request_id")).alias("n")).select("user_id", "year", F.col("n.target_book_count").alias("t"), F.col("n.ts").alias("at"))
+    new = requests.groupBy("user_id", "year").agg(F.max_by(F.struct("target_book_count", "ts"), F.struct("ts", "request_id")).alias("n")).select(
+        "user_id", "year", F.col("n.target_book_count").alias("t"), F.col("n.ts").alias("at"))
     both = goals.join(new, ["user_id", "year"], "full")
-    return both.select("user_id", "year", F.coalesce("t", "target_book_count").alias("target_book_count"), F.coalesce("at", "updated_date").alias("updated_date"))
+    return both.select("user_id", "year", F.coalesce("t", "target_book_count").alias("target_book_count"), F.coalesce("at", "updated_date").alias(
+        "updated_date"))
 
 
 _TEXTS = ("source", "source_book_id", "title", "authors", "thumbnail_url")
@@ -69,7 +73,8 @@ _TEXTS = ("source", "source_book_id", "title", "authors", "thumbnail_url")
 
 def prepared(requests: DataFrame) -> DataFrame:
     """Requests with canonical status, trimmed texts and normalised identifiers."""
-    return requests.withColumns({**{c: F.trim(c) for c in _TEXTS}, "isbn10": normalize_identifier(F.col("isbn10")), "isbn13": normalize_identifier(F.col("isbn13")), "status": canonical_status(F.col("status"))})
+    return requests.withColumns({**{c: F.trim(c) for c in _TEXTS}, "isbn10": normalize_identifier(F.col("isbn10")), "isbn13": normalize_identifier(
+        F.col("isbn13")), "status": canonical_status(F.col("status"))})
 
 
 def _apply(entry: dict, r: dict) -> None:
@@ -94,7 +99,8 @@ def _keys(x: dict) -> list[tuple]:
 
 def _replay(entries: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
     """One user's requests in order over their entries; keys lead to entries, and follow them when a request changes them."""
-    clean = lambda df: [{k: None if v is pd.NaT or v is None or v != v else v for k, v in row.items()} for row in df.astype(object).to_dict("records")]
+    clean = lambda df: [{k: None if v is pd.NaT or v is None or v != v else v for k, v in row.items()} for row in df.astype(object).to_dict(
+        "records")]
     rows = {e["entry_id"]: e for e in clean(entries)}
     index: dict[tuple, set] = {}
     for i, e in rows.items():
@@ -104,7 +110,8 @@ def _replay(entries: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
         found = set().union(*(index.get(k, set()) for k in _keys(r)))
         i = min(found) if found else -r["request_id"]  # a new entry's id comes from its request: below 0, so no entry has it
         if not found:
-            rows[i] = dict.fromkeys(entries.columns) | {"entry_id": i, "user_id": r["user_id"], "pages_completed": 0, "percent_completed": 0, "created_date": r["ts"]}
+            rows[i] = dict.fromkeys(entries.columns) | {"entry_id": i, "user_id": r["user_id"], "pages_completed": 0, "percent_completed": 0,
+                "created_date": r["ts"]}
         for k in _keys(rows[i]):
             index[k].discard(i)
         _apply(rows[i], r)
@@ -133,7 +140,8 @@ def _changing_users(entries: DataFrame, requests: DataFrame) -> DataFrame:
 def _folded(entries: DataFrame, requests: DataFrame) -> DataFrame:
     """Entries after the requests that have the same keys: an entry is the first row of its group, and the rules of _apply are aggregates over the rest."""
     group, at = ["user_id", "__keys"], ["__new", "ts", "request_id"]
-    old = entries.withColumns({"__new": F.lit(0), "ts": F.lit(None).cast("timestamp"), "request_id": F.lit(None).cast("long"), "__entry": F.struct(*[c for c in entries.columns if c != "__keys"])})
+    old = entries.withColumns({"__new": F.lit(0), "ts": F.lit(None).cast("timestamp"), "request_id": F.lit(None).cast("long"),
+        "__entry": F.struct(*[c for c in entries.columns if c != "__keys"])})
     new = requests.withColumns({"__new": F.lit(1), "__entry": F.lit(None).cast(old.schema["__entry"].dataType)})
     shared = [*group, *at, "__entry", *_TEXTS, "isbn10", "isbn13", "status", "page_count", "pages_completed", "percent_completed"]
     seq = Window.partitionBy(*group).orderBy(*at)
@@ -145,12 +153,16 @@ def _folded(entries: DataFrame, requests: DataFrame) -> DataFrame:
     percent = F.when(F.col("__into"), F.lit(100)).otherwise(F.col("percent_completed"))
     said = (*_TEXTS, "isbn10", "isbn13", "status", "page_count")
     done = rows.groupBy(*group).agg(
-        F.max_by(F.struct(*said), order).alias("r"), F.max(F.when(~asked, F.col("__entry"))).alias("e"), F.max("__new").alias("__changed"), F.min(F.when(asked, F.struct("ts", "request_id"))).alias("first"), F.max(F.when(asked, F.col("ts"))).alias("updated"),
-        last(pages).alias("pages"), last(percent).alias("percent"), F.min(F.when(asked & (F.col("status") == "Reading"), F.col("ts"))).alias("reading"), F.max(F.when(F.col("__into"), F.col("ts"))).alias("read"),
+        F.max_by(F.struct(*said), order).alias("r"), F.max(F.when(~asked, F.col("__entry"))).alias("e"), F.max("__new").alias("__changed"),
+            F.min(F.when(asked, F.struct("ts", "request_id"))).alias("first"), F.max(F.when(asked, F.col("ts"))).alias("updated"),
+        last(pages).alias("pages"), last(percent).alias("percent"), F.min(F.when(asked & (F.col("status") == "Reading"), F.col("ts"))).alias(
+            "reading"), F.max(F.when(F.col("__into"), F.col("ts"))).alias("read"),
     )
     value = {c: F.col(f"r.{c}") for c in said} | {
-        "user_id": F.col("user_id"), "entry_id": F.coalesce("e.entry_id", -F.col("first.request_id")), "created_date": F.when(F.col("e").isNull(), F.col("first.ts")).otherwise(F.col("e.created_date")), "updated_date": F.coalesce("updated", "e.updated_date"),
-        "pages_completed": F.when(F.col("e").isNull(), F.coalesce("pages", F.lit(0))).otherwise(F.col("pages")), "percent_completed": F.when(F.col("e").isNull(), F.coalesce("percent", F.lit(0))).otherwise(F.col("percent")),
+        "user_id": F.col("user_id"), "entry_id": F.coalesce("e.entry_id", -F.col("first.request_id")), "created_date": F.when(F.col("e").isNull(),
+            F.col("first.ts")).otherwise(F.col("e.created_date")), "updated_date": F.coalesce("updated", "e.updated_date"),
+        "pages_completed": F.when(F.col("e").isNull(), F.coalesce("pages", F.lit(0))).otherwise(F.col("pages")), "percent_completed": F.when(
+            F.col("e").isNull(), F.coalesce("percent", F.lit(0))).otherwise(F.col("percent")),
         "start_date": F.coalesce("e.start_date", "reading"), "end_date": F.coalesce("read", "e.end_date"),
     }
     names = [c for c in entries.columns if c != "__keys"]
@@ -184,7 +196,9 @@ def update_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     into = hit & (r("status") == "Read") & ~F.coalesce(F.col("status") == "Read", F.lit(False))
     columns = {c: F.when(hit, r(c)).otherwise(F.col(c)) for c in (*_TEXTS, "isbn10", "isbn13", "status", "page_count")}
     columns |= {
-        "pages_completed": F.when(into & (r("page_count") > 0), r("page_count")).otherwise(F.coalesce(r("pages_completed"), "pages_completed")), "percent_completed": F.when(into, 100).otherwise(F.coalesce(r("percent_completed"), "percent_completed")),
-        "start_date": F.when(hit & (r("status") == "Reading"), F.coalesce("start_date", r("ts"))).otherwise(F.col("start_date")), "end_date": F.when(into, r("ts")).otherwise(F.col("end_date")), "updated_date": F.coalesce(r("ts"), "updated_date"),
+        "pages_completed": F.when(into & (r("page_count") > 0), r("page_count")).otherwise(F.coalesce(r("pages_completed"), "pages_completed")),
+            "percent_completed": F.when(into, 100).otherwise(F.coalesce(r("percent_completed"), "percent_completed")),
+        "start_date": F.when(hit & (r("status") == "Reading"), F.coalesce("start_date", r("ts"))).otherwise(F.col("start_date")),
+            "end_date": F.when(into, r("ts")).otherwise(F.col("end_date")), "updated_date": F.coalesce(r("ts"), "updated_date"),
     }
     return both.withColumns(columns).select(*entries.columns), conflicts

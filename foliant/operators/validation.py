@@ -43,11 +43,14 @@ class Rule:
 
 _INT = 2**31 - 1
 ENTRY_RULES = [
-    Rule("source", most=100), Rule("source_book_id", most=200), Rule("title", required=True, most=500), Rule("authors", most=1000), Rule("thumbnail_url", most=2000), Rule("isbn10", most=20), Rule("isbn13", most=20),
-    Rule("status", required=True, most=50), Rule("page_count", low=0, high=_INT), Rule("pages_completed", low=0, high=_INT), Rule("percent_completed", low=0, high=100),
+    Rule("source", most=100), Rule("source_book_id", most=200), Rule("title", required=True, most=500), Rule("authors", most=1000),
+        Rule("thumbnail_url", most=2000), Rule("isbn10", most=20), Rule("isbn13", most=20),
+    Rule("status", required=True, most=50), Rule("page_count", low=0, high=_INT), Rule("pages_completed", low=0, high=_INT), Rule("percent_completed",
+        low=0, high=100),
 ]
 REGISTRATION_RULES = [
-    Rule("username", required=True, most=64, least=2), Rule("first_name", required=True, most=100), Rule("last_name", required=True, most=100), Rule("email", required=True, most=254, email=True), Rule("password", required=True, most=128, least=8),
+    Rule("username", required=True, most=64, least=2), Rule("first_name", required=True, most=100), Rule("last_name", required=True, most=100),
+        Rule("email", required=True, most=254, email=True), Rule("password", required=True, most=128, least=8),
 ]
 LOGIN_RULES = [Rule("email", required=True, most=254, email=True), Rule("password", required=True, most=128)]
 
@@ -87,12 +90,15 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # Uniqueness and references that the tables must keep.
 UNIQUE = {
-    "book_entries": [["user_id", "source", "source_book_id"]], "reading_goals": [["user_id", "year"]], "catalog_books": [["batch_id", "section", "position"], ["batch_id", "isbn13"]], "book_metadata": [["isbn13"]],
+    "book_entries": [["user_id", "source", "source_book_id"]], "reading_goals": [["user_id", "year"]],
+        "catalog_books": [["batch_id", "section", "position"], ["batch_id", "isbn13"]], "book_metadata": [["isbn13"]],
 }
-REFERENCES = [("users", "identity_user_id", "identities", "id"), ("catalog_books", "batch_id", "catalog_batches", "batch_id"), ("reading_goals", "user_id", "users", "user_id"), ("book_entries", "user_id", "users", "user_id")]
+REFERENCES = [("users", "identity_user_id", "identities", "id"), ("catalog_books", "batch_id", "catalog_batches", "batch_id"),
+    ("reading_goals", "user_id", "users", "user_id"), ("book_entries", "user_id", "users", "user_id")]
 
 
-def audit_constraints(tables: dict[str, DataFrame], unique: dict[str, list[list[str]]] = UNIQUE, references: list[tuple[str, str, str, str]] = REFERENCES) -> DataFrame:
+def audit_constraints(tables: dict[str, DataFrame], unique: dict[str, list[list[str]]] = UNIQUE,
+    references: list[tuple[str, str, str, str]] = REFERENCES) -> DataFrame:
     """A row for each constraint: table_name, constraint_name, violations (keys more than once, rows without their parent). Keys with a null aren't compared."""
     out = None
     for name, keys in ((n, k) for n, many in unique.items() for k in many if n in tables):
@@ -101,7 +107,8 @@ def audit_constraints(tables: dict[str, DataFrame], unique: dict[str, list[list[
         out = _add(out, found, name, "unique(" + ", ".join(keys) + ")")
     for name, key, parent, parent_key in references:
         if name in tables and parent in tables:
-            orphans = tables[name].where(F.col(key).isNotNull()).join(tables[parent].select(F.col(parent_key).alias(key)), key, "left_anti").agg(F.count("*").alias("violations"))
+            orphans = tables[name].where(F.col(key).isNotNull()).join(tables[parent].select(F.col(parent_key).alias(key)), key, "left_anti").agg(
+                F.count("*").alias("violations"))
             out = _add(out, orphans, name, f"{key} in {parent}")
     return out
 

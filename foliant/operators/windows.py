@@ -24,7 +24,8 @@ def compact_positions(df: DataFrame, group: list[str], order: list, position: st
 def latest_published(batches: DataFrame) -> DataFrame:
     """The published batch of each slug (without case) that was published last."""
     row = F.struct(*[F.col(c) for c in batches.columns])
-    best = batches.where("status = 'Published'").groupBy(F.lower("genre_slug").alias("__slug")).agg(F.max_by(row, F.struct("published_at", "batch_id")).alias("r"))
+    best = batches.where("status = 'Published'").groupBy(F.lower("genre_slug").alias("__slug")).agg(
+        F.max_by(row, F.struct("published_at", "batch_id")).alias("r"))
     return best.select("r.*")
 
 
@@ -44,8 +45,10 @@ def fold_entries(requests: DataFrame, entry: list[str], order: list, status: str
     rows = rows.withColumn("__n", F.row_number().over(seq))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__n")))
     return rows.groupBy(*entry).agg(
-        F.max_by(status, "__n").alias("status"), F.max_by("page_count", "__n").alias("page_count"), F.coalesce(last("__pages"), F.lit(0)).alias("pages_completed"), F.coalesce(last("__percent"), F.lit(0)).alias("percent_completed"),
-        F.min(F.when(F.col(status) == "Reading", F.col("ts"))).alias("start_date"), F.max(F.when(F.col("__into"), F.col("ts"))).alias("end_date"), F.min("ts").alias("created_date"), F.max("ts").alias("updated_date"),
+        F.max_by(status, "__n").alias("status"), F.max_by("page_count", "__n").alias("page_count"), F.coalesce(last("__pages"), F.lit(0)).alias(
+            "pages_completed"), F.coalesce(last("__percent"), F.lit(0)).alias("percent_completed"),
+        F.min(F.when(F.col(status) == "Reading", F.col("ts"))).alias("start_date"), F.max(F.when(F.col("__into"), F.col("ts"))).alias("end_date"),
+            F.min("ts").alias("created_date"), F.max("ts").alias("updated_date"),
     )
 
 

@@ -26,15 +26,18 @@ _ORDERED = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_d
 
 
 @query(
-    f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY {_ORDERED}) AS n, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS copies FROM lineitem) "
-    f"SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDERED})::int AS position, CASE WHEN copies > 1 THEN copies END AS n FROM r WHERE n = 1"
+    f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY {_ORDERED}) AS n, count(*) OVER (PARTITION BY l_orderkey, "
+        f"l_partkey) AS copies FROM lineitem) "
+    f"SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDERED})::int AS position, CASE WHEN copies > 1 THEN "
+        f"copies END AS n FROM r WHERE n = 1"
 )
 def import_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
     order = _ORDERED.split(", ")
     kept, _ = windows.keep_first(line, ["l_orderkey", "l_partkey"], order)
     again = validation.duplicates(line, ["l_orderkey", "l_partkey"])
-    return windows.compact_positions(kept, ["l_orderkey"], order).join(again, ["l_orderkey", "l_partkey"], "left").select("l_orderkey", "l_partkey", "position", "n")
+    return windows.compact_positions(kept, ["l_orderkey"], order).join(again, ["l_orderkey", "l_partkey"], "left").select("l_orderkey", "l_partkey",
+        "position", "n")
 
 
 #: Valid rows of the import with their number, and the errors of the first two stages. A cut ISBN of nine digits is never valid.
@@ -54,14 +57,16 @@ def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH k AS (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem) SELECT {sql_isbn13('p_partkey')} AS isbn13, {v.SQL_PROVIDER} AS provider, CASE WHEN {v.SQL_PROVIDER} IS NOT NULL THEN p_name END AS title, coalesce(p_partkey % 5 BETWEEN 1 AND 3, false) AS is_new "
+    f"WITH k AS (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem) SELECT {sql_isbn13('p_partkey')} AS isbn13, {v.SQL_PROVIDER} AS provider, CASE "
+        f"WHEN {v.SQL_PROVIDER} IS NOT NULL THEN p_name END AS title, coalesce(p_partkey % 5 BETWEEN 1 AND 3, false) AS is_new "
     "FROM k JOIN part USING (p_partkey)"
 )
 def metadata_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = read(spark, sf_dir, "lineitem").select(v.isbn13(F.col("l_partkey")).alias("isbn13"))
     found, new, missing = joins.resolve_metadata(wanted, *[v.metadata_rows(spark, sf_dir, n) for n in ("cache", "library", "volumes")])
     flags = new.select("isbn13", F.lit(True).alias("is_new"))
-    rows = found.select("isbn13", "provider", "title").unionByName(missing.select("isbn13", F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("title")))
+    rows = found.select("isbn13", "provider", "title").unionByName(missing.select("isbn13", F.lit(None).cast("string").alias("provider"),
+        F.lit(None).cast("string").alias("title")))
     return rows.join(flags, "isbn13", "left").select("isbn13", "provider", "title", F.coalesce("is_new", F.lit(False)).alias("is_new"))
 
 
@@ -86,18 +91,23 @@ empty AS (SELECT DISTINCT file, 1 AS row, 5 AS stage, 1 AS rule, 'file' AS field
 
 
 @query(
-    _IMPORTED + "SELECT 'book' AS kind, file, section, position AS row, isbn13 AS field, '' AS message FROM books UNION ALL SELECT 'error', file, NULL, row, field, message FROM (FROM early UNION ALL FROM late UNION ALL FROM empty)"
+    _IMPORTED + "SELECT 'book' AS kind, file, section, position AS row, isbn13 AS field, '' AS message FROM books UNION ALL SELECT 'error', file, "
+        "NULL, row, field, message FROM (FROM early UNION ALL FROM late UNION ALL FROM empty)"
 )
 def catalog_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.import_rows(spark, sf_dir).withColumns({"slug": F.col("file").cast("string"), "section": F.when(F.col("file") % 2 == 0, "popular").otherwise("upcoming")})
+    rows = v.import_rows(spark, sf_dir).withColumns({"slug": F.col("file").cast("string"), "section": F.when(F.col("file") % 2 == 0,
+        "popular").otherwise("upcoming")})
     other = F.when(F.col("file") % 2 == 0, "upcoming").otherwise("popular")
     k = F.col("k")
     published = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.max("l_partkey").alias("k")).select(
-        F.col("file").cast("string").alias("slug"), other.alias("section"), F.lit(1).alias("position"), v.isbn13(k).alias("isbn13"), F.lit("").alias("source_book_id"), F.lit("").alias("title"), F.array(F.lit("")).alias("authors"), F.lit("").alias("description"),
-        F.lit("").alias("cover_url"), F.lit("").alias("publisher"), v.named_identifiers(v.isbn10(k), v.isbn13(k)).alias("identifiers"), F.lit("").alias("published_date"), F.lit(None).cast("date").alias("release_date"),
+        F.col("file").cast("string").alias("slug"), other.alias("section"), F.lit(1).alias("position"), v.isbn13(k).alias("isbn13"),
+            F.lit("").alias("source_book_id"), F.lit("").alias("title"), F.array(F.lit("")).alias("authors"), F.lit("").alias("description"),
+        F.lit("").alias("cover_url"), F.lit("").alias("publisher"), v.named_identifiers(v.isbn10(k), v.isbn13(k)).alias("identifiers"),
+            F.lit("").alias("published_date"), F.lit(None).cast("date").alias("release_date"),
     )
     draft, errors, _ = catalog.import_catalog(rows, *[v.metadata_rows(spark, sf_dir, n) for n in ("cache", "library", "volumes")], published)
-    books = draft.select(F.lit("book").alias("kind"), "file", "section", F.col("position").alias("row"), F.col("isbn13").alias("field"), F.lit("").alias("message"))
+    books = draft.select(F.lit("book").alias("kind"), "file", "section", F.col("position").alias("row"), F.col("isbn13").alias("field"),
+        F.lit("").alias("message"))
     return books.unionByName(errors.select(F.lit("error").alias("kind"), "file", F.lit(None).cast("string").alias("section"), "row", "field", "message"))
 
 
@@ -107,15 +117,18 @@ s AS (SELECT * FROM latest, (VALUES ('popular'), ('upcoming')) x(section))
 """
 
 
-@query(_SECTIONED + f"SELECT s.genre_slug, s.batch_id, s.section, {sql_stamp('s.published_at')} AS published_at, coalesce(string_agg(isbn13, ',' ORDER BY position), '') AS isbns FROM s LEFT JOIN catalog_books b ON s.batch_id = b.batch_id AND s.section = b.section GROUP BY ALL")
+@query(_SECTIONED + f"SELECT s.genre_slug, s.batch_id, s.section, {sql_stamp('s.published_at')} AS published_at, coalesce(string_agg(isbn13, ',' "
+    f"ORDER BY position), '') AS isbns FROM s LEFT JOIN catalog_books b ON s.batch_id = b.batch_id AND s.section = b.section GROUP BY ALL")
 def catalog_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = windows.latest_published(v.batches(spark, sf_dir))
     with_books = joins.batches_with_books(latest.select("batch_id"), v.catalog_books(spark, sf_dir))
     rows = catalog.assemble_sections(latest, with_books)
-    return rows.select("genre_slug", "batch_id", "section", stamp("published_at").alias("published_at"), F.array_join(F.transform("books", lambda b: b["isbn13"]), ",").alias("isbns"))
+    return rows.select("genre_slug", "batch_id", "section", stamp("published_at").alias("published_at"),
+        F.array_join(F.transform("books", lambda b: b["isbn13"]), ",").alias("isbns"))
 
 
-@query(f"WITH {v.CATALOG_BOOKS}, {v.BATCHES} SELECT b.batch_id, count(isbn13) AS books, count(isbn13) = 0 AS empty FROM batches b LEFT JOIN (FROM catalog_books WHERE position > 2) c ON b.batch_id = c.batch_id GROUP BY ALL")
+@query(f"WITH {v.CATALOG_BOOKS}, {v.BATCHES} SELECT b.batch_id, count(isbn13) AS books, count(isbn13) = 0 AS empty FROM batches b LEFT JOIN (FROM "
+    f"catalog_books WHERE position > 2) c ON b.batch_id = c.batch_id GROUP BY ALL")
 def batch_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of each batch behind the first two of a section; a batch without any stays, with none."""
     books = v.catalog_books(spark, sf_dir).where("position > 2")
@@ -124,8 +137,11 @@ def batch_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {v.BATCHES}, p AS (SELECT genre_slug, max(batch_id) AS id FROM batches WHERE status IN ('Draft', 'Published') AND batch_id % 3 = 0 GROUP BY genre_slug) SELECT batch_id, genre_slug, CASE WHEN batch_id = id THEN 'Published' WHEN status = 'Published' THEN 'Archived' ELSE status END AS status, "
-    f"{sql_stamp('CASE WHEN batch_id = id THEN TIMESTAMP ' + chr(39) + '2024-06-01' + chr(39) + ' ELSE published_at END')} AS published_at FROM batches LEFT JOIN p USING (genre_slug)"
+    f"WITH {v.BATCHES}, p AS (SELECT genre_slug, max(batch_id) AS id FROM batches WHERE status IN ('Draft', 'Published') AND batch_id % 3 = 0 GROUP "
+        f"BY genre_slug) SELECT batch_id, genre_slug, CASE WHEN batch_id = id THEN 'Published' WHEN status = 'Published' THEN 'Archived' ELSE status "
+        f"END AS status, "
+    f"{sql_stamp('CASE WHEN batch_id = id THEN TIMESTAMP ' + chr(39) + '2024-06-01' + chr(39) + ' ELSE published_at END')} AS published_at FROM "
+        f"batches LEFT JOIN p USING (genre_slug)"
 )
 def catalog_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = v.batches(spark, sf_dir)
@@ -148,8 +164,10 @@ def draft_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = v.catalog_books(spark, sf_dir).select("batch_id", "section", "position", "isbn13", F.lit("cover").alias("cover_url"))
     rest = catalog.remove_books(books, books.where("position = 1"))
     n_parts = read(spark, sf_dir, "part").agg(F.count("*")).scalar()
-    ask = rest.select("batch_id").distinct().withColumn("k", F.col("batch_id") % n_parts).select(F.col("batch_id").alias("request_id"), "batch_id", F.when(F.col("batch_id") % 2 == 0, "popular").otherwise("upcoming").alias("section"), v.isbn10(F.col("k")).alias("isbn"))
-    meta = [v.metadata_rows(spark, sf_dir, n).withColumns({"cover_url": F.lit("cover"), "cover_override_url": F.lit(None).cast("string")}) for n in ("cache", "library", "volumes")]
+    ask = rest.select("batch_id").distinct().withColumn("k", F.col("batch_id") % n_parts).select(F.col("batch_id").alias("request_id"), "batch_id",
+        F.when(F.col("batch_id") % 2 == 0, "popular").otherwise("upcoming").alias("section"), v.isbn10(F.col("k")).alias("isbn"))
+    meta = [v.metadata_rows(spark, sf_dir, n).withColumns({"cover_url": F.lit("cover"), "cover_override_url": F.lit(None).cast("string")})
+        for n in ("cache", "library", "volumes")]
     draft, _ = catalog.add_books(rest, ask, *meta)
     all_meta = meta[0].unionByName(meta[1]).unionByName(meta[2])
     parts = read(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(v.isbn13(F.col("p_partkey")).alias("isbn13"), F.lit(" new cover ").alias("url"))
@@ -185,13 +203,15 @@ merged AS (SELECT genre_slug, src, pos, identity, row_number() OVER (PARTITION B
 """
 
 
-@query(_MERGED + "SELECT genre_slug, CASE src WHEN 0 THEN 'bestsellers' ELSE 'volumes' END AS feed, pos, identity, rank, count(*) OVER (PARTITION BY genre_slug) AS total FROM merged")
+@query(_MERGED + "SELECT genre_slug, CASE src WHEN 0 THEN 'bestsellers' ELSE 'volumes' END AS feed, pos, identity, rank, count(*) OVER (PARTITION BY "
+    "genre_slug) AS total FROM merged")
 def genre_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = catalog.genre_merge(_feed(spark, sf_dir), v.bestsellers(spark, sf_dir), v.TEST_RULES)
     return merged.join(catalog.merge_totals(merged), "genre_slug").select("genre_slug", "feed", "pos", "identity", "rank", "total")
 
 
-@query(_MERGED + "SELECT genre_slug, identity FROM merged WHERE genre_slug <> 'sizes' UNION ALL SELECT 'sizes', " + sql_isbn13("p_partkey") + " FROM part WHERE p_size = 50")
+@query(_MERGED + "SELECT genre_slug, identity FROM merged WHERE genre_slug <> 'sizes' UNION ALL SELECT 'sizes', " + sql_isbn13("p_partkey")
+    + " FROM part WHERE p_size = 50")
 def genre_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = catalog.genre_merge(_feed(spark, sf_dir), v.bestsellers(spark, sf_dir), v.TEST_RULES).select("genre_slug", "identity")
     curated = read(spark, sf_dir, "part").where("p_size = 50").select(F.lit("sizes").alias("genre_slug"), v.isbn13(F.col("p_partkey")).alias("identity"))
@@ -207,9 +227,13 @@ _HAS = lambda c, x: f"(contains(lower({c}), '{x}'))::int"
 
 
 @query(
-    "WITH f AS ((SELECT *, 0 AS src FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'ring') ORDER BY 'part-' || p_partkey LIMIT 40) UNION ALL (SELECT *, 1 FROM part WHERE contains(lower(p_brand), 'red') AND contains(lower(p_brand), 'ring') ORDER BY 'part-' || p_partkey LIMIT 40)), "
+    "WITH f AS ((SELECT *, 0 AS src FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'ring') ORDER BY 'part-' || p_partkey "
+        "LIMIT 40) UNION ALL (SELECT *, 1 FROM part WHERE contains(lower(p_brand), 'red') AND contains(lower(p_brand), 'ring') ORDER BY 'part-' || "
+        "p_partkey LIMIT 40)), "
     "u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY src) = 1), "
-    f"s AS (SELECT *, CASE WHEN p_name = 'red ring' THEN 1000 WHEN starts_with(p_name, 'red ring') THEN 600 WHEN contains(p_name, 'red ring') THEN 400 ELSE 0 END + round(({_HAS('p_name', 'red')} + {_HAS('p_name', 'ring')}) / 2 * 200)::int + round(({_HAS('p_brand', 'red')} + {_HAS('p_brand', 'ring')}) / 2 * 180)::int + 20 + CASE WHEN p_size % 3 <> 0 THEN 10 ELSE 0 END AS score FROM u) "
+    f"s AS (SELECT *, CASE WHEN p_name = 'red ring' THEN 1000 WHEN starts_with(p_name, 'red ring') THEN 600 WHEN contains(p_name, 'red ring') THEN "
+        f"400 ELSE 0 END + round(({_HAS('p_name', 'red')} + {_HAS('p_name', 'ring')}) / 2 * 200)::int + round(({_HAS('p_brand', 'red')} "
+        f"+ {_HAS('p_brand', 'ring')}) / 2 * 180)::int + 20 + CASE WHEN p_size % 3 <> 0 THEN 10 ELSE 0 END AS score FROM u) "
     "SELECT 'part-' || p_partkey AS id, score, row_number() OVER (ORDER BY score DESC, src, 'part-' || p_partkey) AS rank FROM s"
 )
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +244,8 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "pos")).alias("rank"))  # two pages at most
 
 
-@query("SELECT p_partkey, n AS readinglog_count FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey WHERE p_type = 'ECONOMY' ORDER BY n DESC, 'part-' || p_partkey LIMIT 60")
+@query("SELECT p_partkey, n AS readinglog_count FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey "
+    "WHERE p_type = 'ECONOMY' ORDER BY n DESC, 'part-' || p_partkey LIMIT 60")
 def popular_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     readers = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pos")).agg(F.count("*").alias("readinglog_count"))
     return search.popular_by_subject(v.volumes(spark, sf_dir).join(readers, "pos"), "economy").select(F.col("pos").alias("p_partkey"), "readinglog_count")

@@ -42,12 +42,15 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream_of(spark, sf_dir, "events")
     url = F.concat(F.lit("https://"), "event_type", F.lit(".example.org/e/"), "event_id", F.lit("?user="), "user_id", F.lit("&k=1"))
     calls = e.select(
-        F.col("ts").cast("timestamp").alias("started_at"), url.alias("url"), F.lit("GET").alias("method"), F.lit(200).alias("status_code"), F.col("value").alias("duration_ms"), F.lit(True).alias("has_context"), F.lit(True).alias("authenticated"), none.alias("client_id"),
-        none.alias("azp"), F.col("user_id").cast("string").alias("user_id"), none.alias("email"), none.alias("name"), none.alias("client_ip"), none.alias("user_agent"), F.col("event_id").cast("string").alias("trace_id"), none.alias("error_type"),
+        F.col("ts").cast("timestamp").alias("started_at"), url.alias("url"), F.lit("GET").alias("method"), F.lit(200).alias("status_code"),
+            F.col("value").alias("duration_ms"), F.lit(True).alias("has_context"), F.lit(True).alias("authenticated"), none.alias("client_id"),
+        none.alias("azp"), F.col("user_id").cast("string").alias("user_id"), none.alias("email"), none.alias("name"), none.alias("client_ip"),
+            none.alias("user_agent"), F.col("event_id").cast("string").alias("trace_id"), none.alias("error_type"),
     )
     folder = work_dir(spark, "audit")
     finished(streams.stream_audit(calls, f"{folder}/log", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/log").groupBy("day", "api_name").agg(F.count("*").alias("n")).select(F.col("day").cast("string").alias("day"), "api_name", "n")
+    return spark.read.parquet(f"{folder}/log").groupBy("day", "api_name").agg(F.count("*").alias("n")).select(F.col("day").cast("string").alias(
+        "day"), "api_name", "n")
 
 
 SQL["stream_audit"] = "SELECT ts::date::varchar AS day, event_type || '.example.org' AS api_name, count(*) AS n FROM events GROUP BY ALL"
@@ -57,7 +60,8 @@ SQL["stream_audit"] = "SELECT ts::date::varchar AS day, event_type || '.example.
 def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of all events, and what is left of it after the daily sweep of 2024-04-10."""
     folder = work_dir(spark, "retention")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("started_at")).withColumn("day", F.to_date("started_at"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("started_at")).withColumn("day",
+        F.to_date("started_at"))
     rows.write.partitionBy("day").parquet(f"{folder}/log")
     return streams.retain(spark, f"{folder}/log", F.lit("2024-04-10").cast("timestamp")).select("event_id")
 
@@ -70,11 +74,13 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "limit")
     events = stream_of(spark, sf_dir, "events")
     finished(streams.stream_rate_limit(events, f"{folder}/counts", "user_id", f"{folder}/checkpoint", "1 hour"))
-    return streams.over_limit(spark, f"{folder}/counts", "user_id", events.schema["user_id"].dataType.simpleString(), 1).withColumn("window_start", v.stamp("window_start"))
+    return streams.over_limit(spark, f"{folder}/counts", "user_id", events.schema["user_id"].dataType.simpleString(), 1).withColumn("window_start",
+        v.stamp("window_start"))
 
 
 SQL["stream_rate_limit"] = (
-    f"SELECT {v.sql_stamp('h')} AS window_start, user_id, n, n - 1 AS rejected FROM (SELECT date_trunc('hour', ts)::timestamp AS h, user_id, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL) WHERE n > 1"
+    f"SELECT {v.sql_stamp('h')} AS window_start, user_id, n, n - 1 AS rejected FROM (SELECT date_trunc('hour', ts)::timestamp AS h, user_id, count(*) "
+        f"AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL) WHERE n > 1"
 )
 
 
@@ -96,7 +102,8 @@ def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["stream_recent"] = (
-    f"WITH r AS ({v.SHELF_REQUESTS}), l AS (SELECT user_id, k, max(ts) AS ts FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS position FROM l) "
+    f"WITH r AS ({v.SHELF_REQUESTS}), l AS (SELECT user_id, k, max(ts) AS ts FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY "
+        f"user_id ORDER BY ts DESC) AS position FROM l) "
     f"SELECT user_id, k, {v.sql_stamp('ts')} AS ts, position FROM n WHERE position <= 12"
 )
 

@@ -64,14 +64,18 @@ def shelf_requests_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_OF.items() for x in kv]), F.col("event_type"))
     return events.select(
-        F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("int").alias("user_id"), k.alias("k"), status.alias("status"), (k * 3).alias("page_count"),
-        F.when(F.col("event_id") % 2 == 0, F.least(k * 3, F.floor("value").cast("int"))).alias("pages_completed"), F.when(F.col("event_id") % 3 != 0, F.least(F.lit(100), F.floor("value").cast("int"))).alias("percent_completed"),
+        F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("int").alias("user_id"), k.alias("k"), status.alias("status"),
+            (k * 3).alias("page_count"),
+        F.when(F.col("event_id") % 2 == 0, F.least(k * 3, F.floor("value").cast("int"))).alias("pages_completed"), F.when(F.col("event_id") % 3 != 0,
+            F.least(F.lit(100), F.floor("value").cast("int"))).alias("percent_completed"),
     )
 
 
 SHELF_REQUESTS = (
-    f"SELECT event_id AS request_id, ts, user_id::int AS user_id, k, {SQL_STATUS} AS status, k * 3 AS page_count, CASE WHEN event_id % 2 = 0 THEN least(k * 3, floor(value)::int) END AS pages_completed, "
-    "CASE WHEN event_id % 3 <> 0 THEN least(100, floor(value)::int) END AS percent_completed FROM (SELECT *, regexp_extract(props, '\"k\": *([0-9]+)', 1)::int AS k FROM events)"
+    f"SELECT event_id AS request_id, ts, user_id::int AS user_id, k, {SQL_STATUS} AS status, k * 3 AS page_count, CASE WHEN event_id % 2 = 0 THEN "
+        f"least(k * 3, floor(value)::int) END AS pages_completed, "
+    "CASE WHEN event_id % 3 <> 0 THEN least(100, floor(value)::int) END AS percent_completed FROM (SELECT *, regexp_extract(props, '\"k\": "
+        "*([0-9]+)', 1)::int AS k FROM events)"
 )
 
 #: The fold of shelf requests as SQL; entries: user_id, k, status, page_count, pages_completed, percent_completed, start_date, end_date, updated_date.
@@ -86,7 +90,8 @@ folded AS (SELECT user_id, k, arg_max(status, n) AS status, arg_max(page_count,
 
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("reading_goal_id"), F.col("c_custkey").cast("int").alias("user_id"), F.lit(2024).alias("year"), (1 + F.col("c_custkey") % 40).cast("int").alias("target_book_count"), F.lit("2024-01-01").cast("timestamp").alias("updated_date"))
+    return c.select(F.col("c_custkey").alias("reading_goal_id"), F.col("c_custkey").cast("int").alias("user_id"), F.lit(2024).alias("year"),
+        (1 + F.col("c_custkey") % 40).cast("int").alias("target_book_count"), F.lit("2024-01-01").cast("timestamp").alias("updated_date"))
 
 
 GOALS = "SELECT c_custkey::int AS user_id, 2024 AS year, (1 + c_custkey % 40)::int AS target_book_count FROM customer"
@@ -97,8 +102,10 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     cover = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("https://covers.example.org/"), k))
     return read(spark, sf_dir, "part").select(
-        F.concat(F.lit("part-"), k).alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("subtitle"), F.array("p_brand").alias("authors"), F.col("p_type").alias("description"), F.lit("").alias("publisher"),
-        F.lit(None).cast("string").alias("published_date"), F.col("p_size").alias("page_count"), F.lit("en").alias("language"), F.array("p_type").alias("categories"), cover.alias("small_thumbnail"), cover.alias("thumbnail"),
+        F.concat(F.lit("part-"), k).alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("subtitle"),
+            F.array("p_brand").alias("authors"), F.col("p_type").alias("description"), F.lit("").alias("publisher"),
+        F.lit(None).cast("string").alias("published_date"), F.col("p_size").alias("page_count"), F.lit("en").alias("language"),
+            F.array("p_type").alias("categories"), cover.alias("small_thumbnail"), cover.alias("thumbnail"),
         named_identifiers(F.lit(None).cast("string"), isbn13(k)).alias("identifiers"), F.lit("volumes").alias("feed"), k.alias("pos"),
     )
 
@@ -108,8 +115,11 @@ def bestsellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
     sold = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
     odd = F.when(k % 2 == 1, isbn10(k))
-    ids = F.array(F.struct(F.lit("ISBN_10").alias("type"), odd.alias("identifier")), F.struct(F.lit("ISBN_13").alias("type"), isbn13(k).alias("identifier"))).cast(IDENTIFIERS)
-    return part.join(sold, "p_partkey", "left_semi").select(k.alias("pos"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("description"), F.lit("").alias("publisher"), ids.alias("isbns"), F.when(k % 5 != 0, F.lit("https://covers.example.org/b")).alias("book_image"))
+    ids = F.array(F.struct(F.lit("ISBN_10").alias("type"), odd.alias("identifier")), F.struct(F.lit("ISBN_13").alias("type"),
+        isbn13(k).alias("identifier"))).cast(IDENTIFIERS)
+    return part.join(sold, "p_partkey", "left_semi").select(k.alias("pos"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"),
+        F.col("p_type").alias("description"), F.lit("").alias("publisher"), ids.alias("isbns"),
+        F.when(k % 5 != 0, F.lit("https://covers.example.org/b")).alias("book_image"))
 
 
 #: Genre rules over the words of part names.
@@ -123,7 +133,9 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.when(F.col("l_suppkey") % 2 == 0, isbn10(k)).otherwise(isbn13(k))
     isbn = F.when(F.col("l_linenumber") == 7, F.substring(full, 1, 9)).otherwise(full)
     rows = line.join(part, k == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("file"), isbn.alias("isbn"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("no such title")).otherwise(F.col("p_name")).alias("title"), F.when(F.col("l_suppkey") % 13 == 0, F.lit(" ")).when(F.col("l_suppkey") % 17 == 0, F.lit("Somebody Else")).otherwise(F.col("p_brand")).alias("author"),
+        F.col("l_orderkey").alias("file"), isbn.alias("isbn"), F.when(F.col("l_suppkey") % 11 == 0, F.lit("no such title")).otherwise(
+            F.col("p_name")).alias("title"), F.when(F.col("l_suppkey") % 13 == 0, F.lit(" ")).when(F.col("l_suppkey") % 17 == 0,
+            F.lit("Somebody Else")).otherwise(F.col("p_brand")).alias("author"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("o"),
     )
     from pyspark.sql import Window
@@ -144,8 +156,10 @@ def metadata_rows(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     k = F.col("p_partkey")
     rest = {"cache": [0], "library": [1, 2], "volumes": [3]}[which]
     return read(spark, sf_dir, "part").where((k % 5).isin(rest)).select(
-        isbn13(k).alias("isbn13"), F.concat(F.lit(which + "-"), k).alias("source_book_id"), F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_type").alias("description"), F.lit("base").alias("cover_url"),
-        F.when(k % 10 == 0, "override").alias("cover_override_url"), F.lit("").alias("publisher"), named_identifiers(isbn10(k), isbn13(k)).alias("identifiers"), F.lit("2024-05-01").alias("published_date"), F.lit(which).alias("provider"),
+        isbn13(k).alias("isbn13"), F.concat(F.lit(which + "-"), k).alias("source_book_id"), F.col("p_name").alias("title"), F.array("p_brand").alias(
+            "authors"), F.col("p_type").alias("description"), F.lit("base").alias("cover_url"),
+        F.when(k % 10 == 0, "override").alias("cover_override_url"), F.lit("").alias("publisher"), named_identifiers(isbn10(k), isbn13(k)).alias(
+            "identifiers"), F.lit("2024-05-01").alias("published_date"), F.lit(which).alias("provider"),
     )
 
 
@@ -154,12 +168,14 @@ SQL_PROVIDER = "CASE WHEN p_partkey % 5 = 0 THEN 'cache' WHEN p_partkey % 5 <= 2
 
 def catalog_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct parts of each order as a batch's books: even suppliers' are popular, the others upcoming."""
-    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id"), F.col("l_partkey").alias("k")).agg(F.min("l_suppkey").alias("s"), F.min("l_linenumber").alias("n"))
+    line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id"), F.col("l_partkey").alias("k")).agg(
+        F.min("l_suppkey").alias("s"), F.min("l_linenumber").alias("n"))
     from pyspark.sql import Window
 
     section = F.when(F.col("s") % 2 == 0, "popular").otherwise("upcoming")
     rows = line.withColumn("section", section)
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("batch_id", "section").orderBy("n", "k"))).select("batch_id", "section", "position", isbn13(F.col("k")).alias("isbn13"), F.col("k").alias("source_key"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("batch_id", "section").orderBy("n", "k"))).select("batch_id", "section",
+        "position", isbn13(F.col("k")).alias("isbn13"), F.col("k").alias("source_key"))
 
 
 CATALOG_BOOKS = f"""
@@ -170,7 +186,8 @@ catalog_books AS (SELECT batch_id, section, row_number() OVER (PARTITION BY batc
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "Published").when(F.col("o_orderstatus") == "O", "Draft").otherwise("Archived")
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderpriority").alias("genre_slug"), status.alias("status"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp")).alias("published_at"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderpriority").alias("genre_slug"),
+        status.alias("status"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp")).alias("published_at"))
 
 
 BATCHES = """
@@ -184,8 +201,10 @@ def entries_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "Read").when(F.col("o_orderstatus") == "O", "Reading").otherwise("To Be Read")
     return o.select(
-        k.alias("entry_id"), F.col("o_custkey").cast("int").alias("user_id"), F.when(k % 4 != 0, isbn13(k % 500)).alias("isbn13"), F.when(k % 3 == 0, isbn10(k % 300)).alias("isbn10"), F.when(k % 2 == 0, "part").alias("source"),
-        (k % 200).cast("string").alias("source_book_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("end_date"),
+        k.alias("entry_id"), F.col("o_custkey").cast("int").alias("user_id"), F.when(k % 4 != 0, isbn13(k % 500)).alias("isbn13"),
+            F.when(k % 3 == 0, isbn10(k % 300)).alias("isbn10"), F.when(k % 2 == 0, "part").alias("source"),
+        (k % 200).cast("string").alias("source_book_id"), status.alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast(
+            "timestamp")).alias("end_date"),
     )
 
 

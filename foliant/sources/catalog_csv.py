@@ -27,7 +27,8 @@ def parse_catalog(content: bytes) -> tuple[list[tuple[int, str, str, str]], list
         return [], [(1, "file", "The CSV is empty.")]
     header = [v.strip().lower() for v in records[0]]
     known = dict.fromkeys(header)
-    wrong = [("Unknown", [h for h in known if h not in COLUMNS]), ("Missing", [c for c in COLUMNS if c not in known]), ("Duplicate", [h for h in known if header.count(h) > 1])]
+    wrong = [("Unknown", [h for h in known if h not in COLUMNS]), ("Missing", [c for c in COLUMNS if c not in known]),
+        ("Duplicate", [h for h in known if header.count(h) > 1])]
     if errors := [(1, "header", f"{what} columns: {', '.join(names)}.") for what, names in wrong if names]:
         return [], errors
     rows = []
@@ -52,6 +53,8 @@ def read_catalog_csv(spark: SparkSession, path: str, pattern: str = "*.csv") ->
 
     def errors(batches):
         for b in batches:
-            yield pd.DataFrame([(p, *r) for p, c in zip(b["path"], b["content"], strict=True) for r in parse_catalog(c)[1]], columns=["file", "row", "field", "message"])
+            yield pd.DataFrame([(p, *r) for p, c in zip(b["path"], b["content"], strict=True) for r in parse_catalog(c)[1]],
+                columns=["file", "row", "field", "message"])
 
-    return files.mapInPandas(rows, "file string, row int, isbn string, title string, author string"), files.mapInPandas(errors, "file string, row int, field string, message string")
+    return files.mapInPandas(rows, "file string, row int, isbn string, title string, author string"), files.mapInPandas(errors, "file string, row "
+        "int, field string, message string")

@@ -22,7 +22,8 @@ def stream_audit(calls: DataFrame, sink: str, checkpoint: str) -> StreamingQuery
     A batch that fails is tried again from the checkpoint. The file sink's own log makes each batch count once.
     """
     rows = audit_project(calls).withColumn("day", F.to_date("started_at"))
-    return rows.writeStream.format("parquet").partitionBy("day").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.format("parquet").partitionBy("day").option("path", sink).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
 
 
 def retain(spark: SparkSession, log: str, as_of: Column, days: int = 90) -> DataFrame:
@@ -106,7 +107,8 @@ def stream_entries(requests: DataFrame, folder: str, entries: DataFrame, checkpo
     def upsert(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}-log/batch={n}")
-        log = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}-log").where(F.col("batch") <= n)
+        log = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}-log").where(
+            F.col("batch") <= n)
         new = log.where(F.col("batch") == n).drop("batch")
         users = new.groupBy(F.col("user_id").alias("__user")).agg(F.min("ts").alias("at"))
         among = lambda df, who, how="left_semi": df.join(who, F.col("user_id").eqNullSafe(F.col("__user")), how)
