@@ -90,7 +90,8 @@ def _item_prints(benchmark: DataFrame, item_id: str, text: str, window: int, k:
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("__words")).where("__words is not null")
     sized = map_texts(items, "__words", [], "n long", lambda t: {"n": Words(t, ALNUM, lower=True).n})
     short = tuple(sorted(r["n"] for r in sized.where(F.col("n").between(1, window - 1)).distinct().collect()))  # window - 1 at most
-    prints = map_texts(items, "__words", ["item"], f"prints {_PRINTS}", lambda t: {"prints": fingerprints(Words(t, ALNUM, lower=True), short, window, k, items=True)})
+    prints = map_texts(items, "__words", ["item"], f"prints {_PRINTS}", lambda t: {"prints": fingerprints(Words(t, ALNUM, lower=True), short, window,
+        k, items=True)})
     return table(prints.select("item", F.explode("prints").alias("f")).select("item", "f.h", "f.n", "f.l", "f.r").distinct(), "item-prints"), short
 
 
@@ -106,20 +107,24 @@ def _hits(prints: DataFrame, items: DataFrame, window: int) -> DataFrame:
     once = prints.where(F.size("__prints") > 0).groupBy("__key").agg(F.first("__prints").alias("__prints"))
     mine = once.select("__key", F.explode("__prints").alias("f")).select("__key", "f.h", "f.p", F.col("f.l").alias("dl"), F.col("f.r").alias("dr"))
     pairs = mine.join(F.broadcast(items) if items.count() <= MAX_BROADCAST else items, "h")
-    runs = pairs.select("__key", "item", "p", "n", _same(F.col("dl"), F.col("l")).alias("before"), _same(F.col("dr"), F.col("r")).alias("behind"), F.size("l").alias("nl"), F.size("r").alias("nr"))
+    runs = pairs.select("__key", "item", "p", "n", _same(F.col("dl"), F.col("l")).alias("before"), _same(F.col("dr"), F.col("r")).alias("behind"),
+        F.size("l").alias("nl"), F.size("r").alias("nr"))
     whole = (F.col("before") + F.col("n") + F.col("behind") >= window) | ((F.col("nl") == 0) & (F.col("nr") == 0))
-    hits = table(runs.where(whole).select("__key", "item", (F.col("p") - F.col("before")).alias("start"), (F.col("p") + F.col("n") + F.col("behind")).alias("end")).distinct(), "hits")
+    hits = table(runs.where(whole).select("__key", "item", (F.col("p") - F.col("before")).alias("start"), (F.col("p") + F.col("n")
+        + F.col("behind")).alias("end")).distinct(), "hits")
     # overlapping and adjoining ranges of a text become one
     in_order = Window.partitionBy("__key").orderBy("start", "end")
     upto = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     marked = hits.select("__key", "start", "end").distinct().withColumn("new", F.coalesce(F.col("start") > upto, F.lit(True)).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("__key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = marked.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("__key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"))
     spans = runs.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))  # no more than a text has words
     named = hits.groupBy("__key").agg(F.sort_array(F.collect_set("item")).alias("__items"))
     return table(spans.join(named, "__key"), "hit-texts")
 
 
-def _printed(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, item_id: str, item_text: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+def _printed(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str, item_id: str, item_text: str, window: int, k: int) -> tuple[
+    DataFrame, DataFrame]:
     """(rows of docs as `keep`, __key (a digest of the text), __n and __prints, distinct fingerprints of the items)."""
     items, short = _item_prints(benchmark, item_id, item_text, window, k)
     marks = docs.sparkSession.sparkContext.broadcast(member_map(items, "h", map_bits(items.count())))
@@ -132,7 +137,8 @@ def _printed(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str,
     return map_texts(source, "__body", [*keep, "__key"], f"`__n` long, `__prints` {_PRINTS}", found), items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, k: int = K) -> DataFrame:
     """For each row of docs: the columns `keep`, n_words, spans (array of hit word ranges, end exclusive) and items (sorted distinct ids as strings).
 
     Null or empty text: 0 words, no spans. Items without words, and null items, match nothing; an item with a null id counts for spans but isn't
@@ -146,7 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     some = F.size("__prints") > 0
     clean = rows.where(~some).withColumns({"__spans": F.array().cast(spans), "__items": F.array().cast(names)})
     rest = rows.where(some).join(hits, "__key", "left")
-    both = clean.select(*keep, "__n", "__spans", "__items").unionByName(rest.select(*keep, "__n", F.coalesce("__spans", F.array().cast(spans)).alias("__spans"), F.coalesce("__items", F.array().cast(names)).alias("__items")))
+    both = clean.select(*keep, "__n", "__spans", "__items").unionByName(rest.select(*keep, "__n", F.coalesce("__spans", F.array().cast(spans)).alias(
+        "__spans"), F.coalesce("__items", F.array().cast(names)).alias("__items")))
     return both.select(*keep, F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
@@ -156,12 +163,14 @@ def hit_words(spans) -> F.Column:
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     return F.aggregate(
         ordered, zero,
-        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).cast("long").alias("n"), F.greatest(a["to"], s["end"]).cast("long").alias("to")),
+        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["to"], s["start"]))).cast("long").alias("n"),
+            F.greatest(a["to"], s["end"]).cast("long").alias("to")),
         lambda a: a["n"],
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, k: int = K) -> DataFrame:
     """docs without the documents that have a window of an item; all columns stay as they are. Only rows whose text may be one of the hit ones are shuffled."""
     rows, items = _printed(docs, benchmark, [], text, item_id, item_text, window, k)
     hits = _hits(table(rows.where(F.size("__prints") > 0), "decontamination"), items, window)

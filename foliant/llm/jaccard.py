@@ -103,7 +103,8 @@ def named(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         both = [name or (None, None) for name in names_of(sets)]
         return {"n_shingles": np.array([len(s) for s in sets], np.int64), "k1": [x[0] for x in both], "k2": [x[1] for x in both]}
 
-    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], "n_shingles long, k1 long, k2 long", names, SLICE)
+    return map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], "n_shingles long, k1 long, k2 long",
+        names, SLICE)
 
 
 def frequent_shingles(body: DataFrame, width: int, every: int = SAMPLE_EVERY, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -422,7 +423,8 @@ def _marked(names: np.ndarray, k1: int) -> bool:
 def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
     """Edges a, b between least document ids of classes, enough to span all components of links. light: named(docs) as a table."""
     body = docs.select(F.col(text).cast("string").alias("text"))
-    classes = light.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("n"))
+    classes = light.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep"),
+        F.first("n_shingles").alias("n"))
     frequent = frequent_shingles(body, width)
     stay = table(survivors(body, width, frequent), "survivors")
     blocks = components(ties(body, width, frequent, _names_map(stay))).select(F.col("node").alias("k1"), F.col("root").alias("block"))
@@ -430,10 +432,13 @@ def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: in
     members = table(classes.join(blocks, "k1").select("k1", "k2", "rep", "n", "block"), "members")
     sums = members.groupBy("block").agg(F.sum("n").alias("sum"))
     # chunks of a large block: size classes of 4/3, each cut by hash
-    large = members.join(sums.where(F.col("sum") > big).select("block"), "block", "left_semi").withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    large = members.join(sums.where(F.col("sum") > big).select("block"), "block", "left_semi").withColumn("class",
+        F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
     cuts = table(large.groupBy("block", "class").agg(F.ceil(F.sum("n") / (big / 2)).cast("int").alias("parts")), "cuts")
-    chunked = large.join(cuts, ["block", "class"]).withColumn("part", F.pmod(F.xxhash64("k2"), F.col("parts")).cast("int")).select("k1", "k2", "rep", "block", "class", "part")
-    small = members.join(sums.where(F.col("sum") <= big).select("block"), "block", "left_semi").select("k1", "k2", "rep", "block", F.lit(0).alias("class"), F.lit(0).alias("part"))
+    chunked = large.join(cuts, ["block", "class"]).withColumn("part", F.pmod(F.xxhash64("k2"), F.col("parts")).cast("int")).select("k1", "k2", "rep",
+        "block", "class", "part")
+    small = members.join(sums.where(F.col("sum") <= big).select("block"), "block", "left_semi").select("k1", "k2", "rep", "block",
+        F.lit(0).alias("class"), F.lit(0).alias("part"))
     some_large = not cuts.isEmpty()
     dealt = table(small.unionByName(chunked) if some_large else small, "dealt")
 
@@ -472,9 +477,11 @@ def _cross_chunks(sets: DataFrame, cuts: DataFrame, links: DataFrame) -> DataFra
             rows = rows.groupBy("block", "class", "part", "label").agg(F.min("rep").alias("rep"))
         # a chunk goes to its own class's later and earlier parts, and to all parts of the next class either way
         other = cuts.select("block", F.col("class").alias("other"), F.col("parts").alias("other_parts"))
-        to = rows.join(other, "block").where(F.abs(F.col("other") - F.col("class")) <= 1).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+        to = rows.join(other, "block").where(F.abs(F.col("other") - F.col("class")) <= 1).withColumn("other_part",
+            F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
         me, you = F.struct(F.col("class").alias("c"), F.col("part").alias("p")), F.struct(F.col("other").alias("c"), F.col("other_part").alias("p"))
-        pairs = to.where(me != you).select("block", F.to_json(F.least(me, you)).alias("x"), F.to_json(F.greatest(me, you)).alias("y"), "rep", "label", (me > you).cast("int").alias("side"))
+        pairs = to.where(me != you).select("block", F.to_json(F.least(me, you)).alias("x"), F.to_json(F.greatest(me, you)).alias("y"), "rep", "label",
+            (me > you).cast("int").alias("side"))
         several = pairs.groupBy("block", "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
         chosen = pairs.join(several, ["block", "x", "y"], "left_semi").join(whole, "rep")
         links = table(links.unionByName(_by_group(chosen, ["block", "x", "y"], _across)), "links")

@@ -206,7 +206,8 @@ def _counted(texts: pa.Array, langs: pa.Array, order: int) -> list[tuple[str, in
     return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, sample: int = SAMPLE, key: list[str] | None = None, sample_bytes: int = SAMPLE_BYTES) -> Models:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, sample: int = SAMPLE, key: list[str] | None = None,
+    sample_bytes: int = SAMPLE_BYTES) -> Models:
     """Fits the models on rows of docs with a language: of each language about `sample` documents, picked by a hash of `key` (doc_id if there is one, else all columns), for counts need no more."""
     from ._spark import ship
     from .quality import below
@@ -214,15 +215,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     spark = docs.sparkSession
     ship(spark)
     key = key or (["doc_id"] if "doc_id" in docs.columns else [text, lang])
-    rows = docs.select(F.xxhash64(*key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
+    rows = docs.select(F.xxhash64(*key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(
+        "t is not null and l is not null")
     rows = rows.where(F.octet_length("t") <= max(1, sample_bytes // 100))
-    sizes = {r["l"]: (r["n"], r["b"]) for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()}  # a model has a column a language
+    sizes = {r["l"]: (r["n"], r["b"]) for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect(
+        )}  # a model has a column a language
     langs = sorted(sizes)
     if not langs:
         return Models([])
     limit = lambda n, b: min(2**63 - 1, int(min(1.0, sample / n, sample_bytes / max(1, b)) * 2**64) - 2**63)
     limits = spark.createDataFrame([(k, limit(n, b)) for k, (n, b) in sizes.items()], "l string, most long")
-    sampled = table(rows.join(F.broadcast(limits), "l").where(F.xxhash64("k") <= F.col("most")).select("t", "l", (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(CALIBRATION)) == 0).alias("held")), "language-sample")
+    sampled = table(rows.join(F.broadcast(limits), "l").where(F.xxhash64("k") <= F.col("most")).select("t", "l",
+        (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(CALIBRATION)) == 0).alias("held")), "language-sample")
     held = sampled.where("held")
     picked = sampled.where("not held").select("t", "l")
     if picked.select("l").distinct().count() < len(langs):  # too few documents of a language to set some aside
@@ -231,7 +235,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     def run(batches):
         for b in batches:
             for name, n, h, ctx, short, many in _counted(b.column(0), b.column(1), order):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), *[pa.array(x.view(np.int64)) for x in (h, ctx, short)], pa.array(many)], names=["l", "n", "h", "c", "s", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)),
+                    *[pa.array(x.view(np.int64)) for x in (h, ctx, short)], pa.array(many)], names=["l", "n", "h", "c", "s", "many"])
 
     grams = picked.mapInArrow(run, "l string, n int, h long, c long, s long, many long").groupBy("l", "n", "h", "c", "s").agg(F.sum("many").alias("many"))
     got = grams.toArrow()
@@ -247,7 +252,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
         at = at[np.lexsort((li[at], h[at]))]
         counts.append((h[at], c[at], s[at], li[at], many[at]))
     models = fit(counts, langs)
-    calibration = predictions(held, models, ["l"], "t").where("l = lang_pred").groupBy("l").agg(F.percentile_approx("cross_entropy", RELIABLE).alias("q")).collect()
+    calibration = predictions(held, models, ["l"], "t").where("l = lang_pred").groupBy("l").agg(F.percentile_approx("cross_entropy", RELIABLE).alias(
+        "q")).collect()
     for r in calibration:
         models.limit[index[r["l"]]] = r["q"] * 1.1
     return models

@@ -55,10 +55,12 @@ goal AS (SELECT f.s, source_size, CASE WHEN f.level < w.level OR (f.level = w.le
 SELECT doc_id, d.size::bigint AS size, source_size, target FROM d JOIN goal USING (s)
 """
 
-_BASE = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "card": "[0-9](?:[ -]?[0-9])+", "phone": "\\+[0-9][ ().0-9-]+[0-9]"}
+_BASE = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+", "card": "[0-9](?:[ -]?[0-9])+",
+    "phone": "\\+[0-9][ ().0-9-]+[0-9]"}
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN substr({_DIGITS}, i::int, 1)::int ELSE (2 * substr({_DIGITS}, i::int, 1)::int) // 10 + (2 * substr({_DIGITS}, i::int, 1)::int) % 10 END)) % 10 = 0"
-_VALID = {"email": "true", "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND ('0' || right(p, 4))::int <= 255))", "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", "phone": f"length({_DIGITS}) BETWEEN 10 AND 15"}
+_VALID = {"email": "true", "ip": "list_bool_and(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND ('0' || right(p, "
+    "4))::int <= 255))", "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", "phone": f"length({_DIGITS}) BETWEEN 10 AND 15"}
 
 
 def _kind(rank: int, kind: str) -> str:

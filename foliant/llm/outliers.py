@@ -35,16 +35,19 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the transformed statistics, in one pass without a shuffle."""
     long = lambda c: c.cast("long")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*keep, body.alias("__body"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("__words"), F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)).alias("__lines"))
+    rows = docs.select(*keep, body.alias("__body"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("__words"), F.filter(F.split(body, "\n"),
+        lambda x: x.rlike(WORD)).alias("__lines"))
     n = F.size("__words")
     word = lambda i: F.get("__words", i)
-    grams = F.when(n >= 5, F.transform(F.sequence(F.lit(0), F.greatest(n - 5, F.lit(0))), lambda i: F.xxhash64(*[word(i + j) for j in range(5)]))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(n >= 5, F.transform(F.sequence(F.lit(0), F.greatest(n - 5, F.lit(0))),
+        lambda i: F.xxhash64(*[word(i + j) for j in range(5)]))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select(
         *keep, long(n).alias("n_words"), long(F.length(F.translate("__body", " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
         long(F.length("__body") - F.length(F.translate("__body", SYMBOLS, ""))).alias("n_symbols"), F.size("__lines").alias("__n_lines"),
         long(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"), grams.alias("__grams"),
     )
-    rows = rows.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"), long(_covered(F.col("__grams")))).otherwise(F.lit(0).cast("long"))).drop("__grams")
+    rows = rows.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"),
+        long(_covered(F.col("__grams")))).otherwise(F.lit(0).cast("long"))).drop("__grams")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     some = F.greatest(F.col("n_words"), F.lit(1))
     x = (
@@ -61,7 +64,8 @@ def _covered(grams: Column) -> Column:
     once = F.array(F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     positions = F.element_at(F.transform(once, repeated), 1)
     start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last"))
-    return F.aggregate(positions, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).cast("int").alias("n"), i.cast("int").alias("last")), lambda a: a["n"])
+    return F.aggregate(positions, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["last"])).cast("int").alias("n"),
+        i.cast("int").alias("last")), lambda a: a["n"])
 
 
 def _with(rows: DataFrame, groups: DataFrame, key: str | list[str]) -> DataFrame:
@@ -75,7 +79,8 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     own, lang = name("__lang", "__source"), name("__lang")
     sizes = rows.where(~F.col("base_failed")).groupBy(own.alias("__own"), lang.alias("__pool")).agg(F.count("*").alias("n"))
     pools = sizes.where(F.col("n") < least).groupBy("__pool").agg(F.sum("n").alias("m"))
-    best = sizes.join(pools, "__pool", "left").select("__own", F.when(F.col("n") >= least, F.col("__own")).when(F.col("m") >= least, F.col("__pool")).otherwise(F.lit("all")).alias("__group"))
+    best = sizes.join(pools, "__pool", "left").select("__own", F.when(F.col("n") >= least, F.col("__own")).when(F.col("m") >= least,
+        F.col("__pool")).otherwise(F.lit("all")).alias("__group"))
     best = table(best, "groups")
     return _with(rows.withColumn("__own", own), best, "__own").withColumn("__group", F.coalesce("__group", F.lit("all"))).drop("__own")
 
@@ -93,7 +98,8 @@ def _factor_columns(moments: DataFrame) -> DataFrame:
         c = (F.col(f"s_{i}_{j}").cast("double") / n / SCALE / SCALE - mean(i) * mean(j)) * CORRECTION
         return F.greatest(c, F.lit(FLOORS[i] ** 2)) if i == j else c
 
-    out = moments.select("__group", "start", *[mean(i).alias(f"m_{i}") for i in range(p)], *[scatter(i, j).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    out = moments.select("__group", "start", *[mean(i).alias(f"m_{i}") for i in range(p)], *[scatter(i, j).alias(f"c_{i}_{j}") for i in range(p)
+        for j in range(i + 1)])
     for i in range(p):
         for j in range(i + 1):
             s = F.col(f"c_{i}_{j}")
@@ -101,7 +107,8 @@ def _factor_columns(moments: DataFrame) -> DataFrame:
                 s = s - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[i] ** 2 / 9))) if i == j else s / F.col(f"l_{j}_{j}"))
     size = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0"))
-    return out.select("__group", "start", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)], F.round(2 * size, 9).alias("determinant"))
+    return out.select("__group", "start", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)],
+        F.round(2 * size, 9).alias("determinant"))
 
 
 def _by_factor() -> Column:
@@ -122,16 +129,19 @@ def _moments(rows: DataFrame) -> DataFrame:
     """Number, sums and sums of products of the statistics by group and start, exact."""
     p = len(NAMES)
     exact = lambda c: F.sum(c.cast("decimal(20,0)"))
-    return rows.groupBy("__group", "start").agg(F.count("*").alias("n"), *[exact(F.col(a)).alias(f"s_{i}") for i, a in enumerate(NAMES)], *[exact(F.col(NAMES[i]).cast("long") * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    return rows.groupBy("__group", "start").agg(F.count("*").alias("n"), *[exact(F.col(a)).alias(f"s_{i}") for i, a in enumerate(NAMES)],
+        *[exact(F.col(NAMES[i]).cast("long") * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
 
 
 def _starts(rows: DataFrame) -> DataFrame:
     """Estimates to start from: start 0 from medians, the others from the rows that a hash picks."""
     p = len(NAMES)
     middle = table(rows.groupBy("__group").agg(*[F.percentile(name, 0.5).alias(f"m_{i}") for i, name in enumerate(NAMES)]), "medians")
-    spread = _with(rows, middle, "__group").groupBy("__group").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)], *[F.percentile(F.abs(F.col(name) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, name in enumerate(NAMES)])
+    spread = _with(rows, middle, "__group").groupBy("__group").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)],
+        *[F.percentile(F.abs(F.col(name) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, name in enumerate(NAMES)])
     factor = {f"l_{i}_{j}": (F.greatest(1.4826 * F.col(f"d_{i}") / SCALE, F.lit(FLOORS[i])) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)}
-    first = spread.select("__group", F.lit(0).alias("start"), *[(F.col(f"m_{i}") / SCALE).alias(f"m_{i}") for i in range(p)], *[c.alias(k) for k, c in factor.items()], F.lit(0.0).alias("determinant"))
+    first = spread.select("__group", F.lit(0).alias("start"), *[(F.col(f"m_{i}") / SCALE).alias(f"m_{i}") for i in range(p)],
+        *[c.alias(k) for k, c in factor.items()], F.lit(0.0).alias("determinant"))
     picked = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(1, STARTS)]))).where(F.pmod(F.xxhash64("start", *NAMES), F.lit(4)) == 0)
     return table(first.unionByName(_factor_columns(_moments(picked))), "starts")
 
@@ -163,7 +173,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     return now.drop("start")
 
 
-def judged(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, cutoff: float = CUTOFF) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST,
+    cutoff: float = CUTOFF) -> DataFrame:
     """`keep`, the base statistics, base_failed, distance (null where there is no estimate) and kept for each row.
 
     A null text counts as empty: no words, base_failed. Null languages and sources are values of their own. Repeated rows are judged alike (each counts in

@@ -194,7 +194,8 @@ def _instance(value: Column) -> Column:
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """`keep`, `th` (a digest of the text), `base`, `sure` and `loose` as spans, and `edges`: kind (null for candidates), instance, value and patterns of each mention. No shuffle."""
     rows = with_mentions(docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t")), "__t")
-    known = lambda m: F.struct(m["kind"].alias("kind"), _instance(m["value"]).alias("instance"), m["value"].alias("value"), _patterns(m).alias("patterns"))
+    known = lambda m: F.struct(m["kind"].alias("kind"), _instance(m["value"]).alias("instance"), m["value"].alias("value"),
+        _patterns(m).alias("patterns"))
     every = F.concat("base", "sure", "loose")
     rows = rows.withColumn("edges", F.when(F.size(every) > 0, F.transform(every, known)))
     return rows.withColumns({"base": _plain(F.col("base")), "sure": _plain(F.col("sure")), "loose": _plain(F.col("loose")), "th": F.md5("__t")}).drop("__t")
@@ -211,8 +212,10 @@ def _agrees(bounds: dict[str, tuple]) -> Column:
 
 def graph(scanned: DataFrame) -> DataFrame:
     """The distinct edges of patterns and instances: pattern, kind (null for candidates), instance, digits, letters, ats. Summed on the map side."""
-    rows = scanned.where("edges is not null").select(F.explode("edges").alias("e")).select("e.kind", "e.instance", F.col("e.value").alias("v"), F.explode("e.patterns").alias("pattern"))
-    return rows.groupBy("pattern", "kind", "instance").agg(F.min(_digits(F.col("v"))).alias("digits"), F.min(_letters(F.col("v"))).alias("letters"), F.min(_ats(F.col("v"))).alias("ats"))
+    rows = scanned.where("edges is not null").select(F.explode("edges").alias("e")).select("e.kind", "e.instance", F.col("e.value").alias("v"),
+        F.explode("e.patterns").alias("pattern"))
+    return rows.groupBy("pattern", "kind", "instance").agg(F.min(_digits(F.col("v"))).alias("digits"), F.min(_letters(F.col("v"))).alias("letters"),
+        F.min(_ats(F.col("v"))).alias("ats"))
 
 
 def accepted_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +234,8 @@ def accepted_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support:
         if scores is not None:
             gained = open_.join(scores, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
             now, won = able.join(gained, ["pattern", "kind"], "left"), F.coalesce("gained", F.lit(0.0))
-        good = table(now.select("pattern", "kind", F.round((F.col("seeds") + won) / F.col("n"), 9).alias("confidence")).where(F.col("confidence") >= confidence), "pii-patterns")
+        good = table(now.select("pattern", "kind", F.round((F.col("seeds") + won) / F.col("n"), 9).alias("confidence")).where(
+            F.col("confidence") >= confidence), "pii-patterns")
         scores = table(open_.join(good, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("confidence").alias("score")), "pii-scores")
         count = scores.count()
         if count == before:
@@ -268,7 +272,8 @@ def added_spans(scanned: DataFrame, found: DataFrame) -> DataFrame:
     texts = scanned.where(F.size("loose") > 0).groupBy("th").agg(F.first("loose").alias("loose"))
     mentions = texts.select("th", F.explode("loose").alias("s")).withColumn("instance", _instance(F.col("s.value"))).join(found, "instance")
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(LISTED) for x in (k, i)])
-    span = F.struct(F.col("s.start").alias("start"), rank[F.col("found")].alias("rank"), F.col("s.end").alias("end"), F.col("found").alias("kind"), F.col("s.value").alias("value"))
+    span = F.struct(F.col("s.start").alias("start"), rank[F.col("found")].alias("rank"), F.col("s.end").alias("end"), F.col("found").alias("kind"),
+        F.col("s.value").alias("value"))
     return mentions.groupBy("th").agg(F.collect_list(span).cast(_SPANS).alias("added"))  # no more than a text has
 
 
@@ -289,7 +294,8 @@ def masked(text: Column, spans: Column) -> Column:
     def pieces(upto: Column, blocks: Column) -> Column:
         """upto: the greatest end of the spans up to each; a span that begins before it belongs to the same run."""
         before = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0))
-        runs = F.filter(F.transform(spans, lambda s, i: F.struct(before(i).alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda r: r["start"] >= r["from"])
+        runs = F.filter(F.transform(spans, lambda s, i: F.struct(before(i).alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))),
+            lambda r: r["start"] >= r["from"])
         piece = lambda r: F.concat(cut(blocks, r["from"], r["start"]), F.lit("["), F.upper(r["kind"]), F.lit("]"))
         return F.concat(F.array_join(F.transform(runs, piece), ""), cut(blocks, F.element_at(upto, -1), F.length(text)))
 
@@ -305,10 +311,12 @@ def mask_documents(docs: DataFrame, text: str = "text", length: str | None = Non
     added = table(added_spans(scanned, table(discovered(scanned, **options), "pii-found")), "pii-added")
     whole = F.struct(*columns).alias("__doc")
     rows = with_mentions(docs.select(whole, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t")), "__t")
-    rows = rows.withColumn("__sure", F.concat(_plain(F.col("base")), _plain(F.col("sure")))).withColumn("__open", F.size("loose") > 0).drop("base", "sure", "loose")
+    rows = rows.withColumn("__sure", F.concat(_plain(F.col("base")), _plain(F.col("sure")))).withColumn("__open", F.size("loose") > 0).drop("base",
+        "sure", "loose")
     known = added.select(F.col("th").alias("__th"), F.col("added").alias("__added"))
     plain = rows.where(~F.col("__open")).withColumn("__all", F.sort_array("__sure"))
-    rest = rows.where("__open").withColumn("__th", F.md5("__t")).join(known, "__th", "left").withColumn("__all", F.sort_array(F.concat("__sure", F.coalesce("__added", F.array().cast(_SPANS)))))
+    rest = rows.where("__open").withColumn("__th", F.md5("__t")).join(known, "__th", "left").withColumn("__all",
+        F.sort_array(F.concat("__sure", F.coalesce("__added", F.array().cast(_SPANS)))))
     both = plain.select("__doc", "__t", "__all").unionByName(rest.select("__doc", "__t", "__all"))
     hidden = F.when(F.col(f"__doc.`{text}`").isNotNull(), masked(F.col("__t"), F.col("__all")))
     out = both.select("__doc.*", hidden.alias("__hidden")).withColumn(text, F.col("__hidden")).drop("__hidden").select(*columns)

@@ -209,4 +209,5 @@ def quality_scores(docs: DataFrame, model: Model, keep: list[str], text: str = "
 def remove_low_quality(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, text, docs.columns, "`__ok` boolean", lambda t: {"__ok": (take := np.flatnonzero(shared.value.score(t) >= threshold)) >= 0, "__take": take}).drop("__ok")
+    return map_texts(docs, text, docs.columns, "`__ok` boolean", lambda t: {"__ok": (take := np.flatnonzero(shared.value.score(t) >= threshold)) >= 0,
+        "__take": take}).drop("__ok")

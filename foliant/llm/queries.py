@@ -20,13 +20,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     _, index = warc.archive(pages)
     rows = warc.read_back(pages, index)
-    return rows.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return rows.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias(
+        "refers_to"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
     n_hit = decontamination.hit_words(F.col("spans"))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","),
+        256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,20 +43,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.found_spans(_read(spark, sf_dir, "documents"), ["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     field = toxicity.toxicity_model(docs, _read(spark, sf_dir, "labels"))
     rows = toxicity.toxicity_scores(docs, field, ["doc_id"])
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality.quality_model(docs, _read(spark, sf_dir, "labels"))
-    return quality.quality_scores(docs, model, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return quality.quality_scores(docs, model, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +92,10 @@ def outlier_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard, op9_extraction, op10_language, mixing_targets, pii_base, outlier_statistics)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard,
+        op9_extraction, op10_language, mixing_targets, pii_base, outlier_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD, "mixing_targets": oracles.TARGETS, "pii_base": oracles.PERSONAL, "outlier_statistics": oracles.STATISTICS}
+    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD,
+        "mixing_targets": oracles.TARGETS, "pii_base": oracles.PERSONAL, "outlier_statistics": oracles.STATISTICS}

@@ -58,11 +58,14 @@ def deduplicated(pages: DataFrame, smallest: int = 0) -> DataFrame:
     by adaptive execution (the digests' side is unique).
     """
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"), url_key(F.col("url").cast("string")).alias("key"))
-    same = rows.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"), url_key(F.col("url").cast("string")).alias("key"))
+    same = rows.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"),
+        F.count("*").alias("n")).where("n > 1").drop("n")
     both = rows.join(same, "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return both.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    return both.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to",
+        F.when(revisit, F.col("first_id"))).drop("first_id")
 
 
 def _record(page_id, url: str, html: bytes, sha: str, kind: str, refers_to) -> bytes:
@@ -97,7 +100,8 @@ def _one_line(url: str) -> str:
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Writes each task's rows of deduplicated() as an archive. Returns the captures: key, page_id, file, offset, length."""
     ship(rows.sparkSession)
-    source = rows.select(F.col("page_id").cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("url"), "html", "key", "payload_digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"))
+    source = rows.select(F.col("page_id").cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("url"), "html", "key", "payload_digest",
+        "record_type", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, name = None, 0, f"{folder}/{uuid.uuid4().hex}.warc.gz"
@@ -109,7 +113,8 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                         store, path = _opened(name)
                         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                         out = store.open_output_stream(path, compression=None)
-                    data = _gzip(_record("" if r["id"] is None else r["id"], _one_line(r["url"]), r["html"].encode(), r["payload_digest"], r["record_type"], r["refers_to"]))
+                    data = _gzip(_record("" if r["id"] is None else r["id"], _one_line(r["url"]), r["html"].encode(), r["payload_digest"],
+                        r["record_type"], r["refers_to"]))
                     out.write(data)
                     found.append((r["key"], r["id"], name, at, len(data)))
                     at += len(data)
@@ -156,7 +161,8 @@ def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
         data = zlib.compress(json.dumps(directory).encode())
         out.write(data)
         out.close()
-        yield _batch([(name, directory[0][0], at, len(data), n)], ("file", "first_key", "offset", "length", "n"), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))
+        yield _batch([(name, directory[0][0], at, len(data), n)], ("file", "first_key", "offset", "length", "n"), (pa.string(), pa.string(),
+            pa.int64(), pa.int64(), pa.int64()))
 
     return ordered.mapInArrow(run, "file string, first_key string, offset long, length long, n long")
 
@@ -222,7 +228,8 @@ def lookup(spark: SparkSession, keys: DataFrame, index: DataFrame) -> DataFrame:
                         found = []
         yield _batch(found, names, kinds)
 
-    return placed.repartitionByRange("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "key string, id string, file string, offset long, length long")
+    return placed.repartitionByRange("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "key string, id string, file string, offset "
+        "long, length long")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
