@@ -492,7 +492,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles and component_id (the least doc_id that links reach) for each row of docs.
 
     Null texts and texts without words have empty sets, link with nothing and are their own component. Rows with the same text are linked; rows that
-    repeat an id and text are listed each. Texts whose rows all have a null id get a null component and don't link others. An empty table gives an
+    repeat an id and text are listed each. Texts of any length are shingled whole; a set is an array in the memory of one task. Texts whose rows all have a null id get a null component and don't link others. An empty table gives an
     empty one; other columns aren't read.
     """
     light = table(named(docs, doc_id, text, width), "names")

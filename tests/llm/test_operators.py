@@ -290,6 +290,13 @@ def test_flow_against_brute_force(seed):
     assert (sum(flow.values()), cost) == brute_flow(words, rows, quota)
 
 
+def test_flow_of_a_text_of_many_copies():
+    """A text that a source holds a million times takes few rounds."""
+    a, ab = ("a",), ("a", "b")
+    flow = mixing.route({a: 3, ab: 2}, {(a, "a"): 3_000_000, (ab, "a"): 2_000_000, (ab, "b"): 2}, {"a": 10_000_000, "b": 4})
+    assert flow == {(a, "a"): 6_000_000, (ab, "a"): 4_000_000, (ab, "b"): 4}
+
+
 def test_mix(spark):
     rng = random.Random(5)
     texts = [None, "", *[" ".join("w" * (1 + i % 5) for _ in range(rng.randrange(1, 300))) for i in range(600)]]
