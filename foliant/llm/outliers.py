@@ -146,26 +146,28 @@ def _starts(rows: DataFrame) -> DataFrame:
     return table(first.unionByName(_factor_columns(_moments(picked))), "starts")
 
 
-def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
-    """Moments of the SHARE of rows (of __group and start) that lie nearest to their estimate."""
-    key = ["__group", "start"]
+def _step(rows: DataFrame, now: DataFrame, few: bool) -> DataFrame:
+    """Moments of the SHARE of rows (of __group and start) that lie nearest to their estimate. few: whether the estimates may be broadcast."""
+    key, small = ["__group", "start"], F.broadcast if few else lambda df: df
     # distances as whole steps of their logarithm, so that the quantile's counts stay few
-    near = _with(rows, now, key).withColumn("q", F.floor(F.log1p(_by_factor()) * SCALE).cast("int")).select(*key, "q", *NAMES).where("q is not null")
-    limit = table(near.groupBy(*key).agg(F.percentile("q", SHARE).alias("limit")), "limits")
-    return table(_moments(_with(near, limit, key).where("q <= limit")), "moments")
+    near = rows.join(small(now), key).withColumn("q", F.floor(F.log1p(_by_factor()) * SCALE).cast("int")).select(*key, "q", *NAMES)
+    limit = near.groupBy(*key).agg(F.percentile("q", SHARE).alias("limit"))
+    return table(_moments(near.join(small(limit), key).where("q <= limit")), "moments")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """Location and scatter of each `__group` of rows (whole-number statistics): columns m_i and l_i_j, and the logarithm of the determinant."""
     now = _starts(rows)
+    few = now.count() <= MAX_BROADCAST
     all_ = rows.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(STARTS)])))
     for _ in range(FIRST_STEPS):
-        now = table(_factor_columns(_step(all_, now)), "estimates")
+        now = _factor_columns(_step(all_, now, few))
     best = table(now.groupBy("__group").agg(F.min_by("start", F.struct("determinant", "start")).alias("start")), "best")
-    now, one, before = now.join(best, ["__group", "start"], "left_semi"), _with(rows, best, "__group"), None
+    now, before = now.join(best, ["__group", "start"], "left_semi"), None
+    one = rows.join(F.broadcast(best) if few else best, "__group")
     for _ in range(MORE_STEPS):
-        moments = _step(one, now)
-        now = table(_factor_columns(moments), "estimates")
+        moments = _step(one, now, few)
+        now = _factor_columns(moments)
         seen = moments.agg(F.sum(F.xxhash64(*moments.columns).cast("decimal(38,0)"))).first()[0]
         if seen == before:  # the same sums in all groups: the subsets stay
             break
