@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, jaccard, language, mixing, oracles, outliers, pii, quality, toxicity, warc
+from . import decontamination, extraction, jaccard, language, mixing, oracles, outliers, pii, quality, token_files, toxicity, warc
 from .quality import held_out
 
 
@@ -76,6 +76,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(docs, models, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    docs = _read(spark, sf_dir, "documents")
+    files = token_files.write_ids(docs, path("word_bpe_49k.json"), end=1)
+    return token_files.read_ids(files, docs.schema["doc_id"].dataType).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "ids_ok")
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op4_mixing that SQL can express: the targets that the flow is to meet."""
     return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
@@ -93,7 +101,7 @@ def outlier_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard,
-        op9_extraction, op10_language, mixing_targets, pii_base, outlier_statistics)}
+        op9_extraction, op10_language, op13_tokens, mixing_targets, pii_base, outlier_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
