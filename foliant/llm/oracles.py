@@ -90,3 +90,16 @@ b AS (SELECT doc_id, len(w)::bigint AS n_words, coalesce(list_sum(list_transform
   FROM d JOIN l USING (r) LEFT JOIN c USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
 """
+
+_TERMS = "regexp_extract_all(" + _LOWER.format(c="coalesce(text, '')") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+size AS (SELECT r, doc_id, len(w)::bigint AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS length FROM size),
+tf AS (SELECT r, t, count(*)::bigint AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+asked AS (SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM tf, total WHERE t IN (SELECT t FROM asked) GROUP BY t),
+scores AS (SELECT q, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::bigint AS score FROM asked JOIN tf USING (t) JOIN weights USING (t) JOIN size USING (r), total GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r))::int AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
