@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, jaccard, language, lexical, mixing, oracles, outliers, pii, quality, token_files, toxicity, warc
+from . import decontamination, extraction, hard_negatives, jaccard, language, lexical, mixing, oracles, outliers, pii, quality, token_files, toxicity, warc
 from .quality import held_out
 
 
@@ -76,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(docs, models, ["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -105,9 +110,9 @@ def outlier_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_outliers, op4_mixing, op5_pii, op6_toxicity, op7_quality, op8_jaccard,
-        op9_extraction, op10_language, op12_search, op13_tokens, mixing_targets, pii_base, outlier_statistics)}
+        op9_extraction, op10_language, op11_negatives, op12_search, op13_tokens, mixing_targets, pii_base, outlier_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD, "op12_search": oracles.SEARCH,
+    return {"op1_warc": oracles.WARC, "op2_decontamination": oracles.DECONTAMINATION, "op8_jaccard": oracles.JACCARD, "op11_negatives": oracles.NEGATIVES, "op12_search": oracles.SEARCH,
         "mixing_targets": oracles.TARGETS, "pii_base": oracles.PERSONAL, "outlier_statistics": oracles.STATISTICS}

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_same_rows(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registered.queries()[name](spark, SF)
     got = c.execute(registered.oracle_sql()[name])
