@@ -35,7 +35,7 @@ from ._spark import new_path, ship, slices, table
 BLOCK, FILE_BYTES = 1 << 16, 16 << 20
 MAGIC = b"PLANES01"
 #: Words that a worker remembers before it starts anew, the longest of them in bytes, and how much of a text is looked at at once.
-WORDS_KEPT, WORD_BYTES, PIECE_BYTES = 1_000_000, 64, 1 << 20
+WORDS_KEPT, WORD_BYTES, PIECE_BYTES = 1_500_000, 64, 1 << 20
 
 
 @functools.cache
@@ -51,22 +51,38 @@ def id_bytes(path: str, end: int) -> int:
     return 2 if max([end, *_tokenizer(path).get_vocab().values()]) < 1 << 16 else 4
 
 
+#: A stop behind a letter is a token of its own, so a word is encoded without it.
+_STOPS, _LETTERS = frozenset(b".,"), frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 class Encoder:
-    """Ids of texts, as bytes. For tokenizers that drop white space and join nothing over it: a text's ids are then those of its words, and each word is encoded once."""
+    """Ids of texts, as bytes. For tokenizers that drop white space and join nothing over it: a text's ids are then those of its words, and each word is encoded once.
+
+    Case is lowered first if the tokenizer does so (but in texts that may hold a special token), and words are encoded without a stop behind them.
+    """
 
     def __init__(self, path: str, width: int):
         self.tokenizer, self.code = _tokenizer(path), "H" if width == 2 else "I"
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.known: dict[bytes, bytes] = {}
 
     def _piece(self, text: bytes) -> bytes:
         if len(self.known) > WORDS_KEPT:
             self.known = {}
+        if self.lowers and b"<|" not in text:
+            text = text.lower()
         words = text.split()  # at ASCII white space only
         known, odd = self.known, {}
-        if new := list(set(words).difference(known)):
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, got, strict=True):
+        if new := set(words).difference(known):
+            stopped = [w for w in new if w[-1] in _STOPS and len(w) > 1 and w[-2] in _LETTERS]
+            bare = new.difference(stopped)
+            bare.update([w[:-1] for w in stopped], [b".", b","])
+            bare = list(bare.difference(known))
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in bare], add_special_tokens=False)
+            for w, e in zip(bare, got, strict=True):
                 (known if len(w) <= WORD_BYTES else odd)[w] = array.array(self.code, e.ids).tobytes()
+            for w in stopped:
+                (known if len(w) <= WORD_BYTES else odd)[w] = (known if len(w) <= WORD_BYTES + 1 else odd)[w[:-1]] + known[w[-1:]]
         return b"".join([known[w] if w in known else odd[w] for w in words] if odd else map(known.__getitem__, words))
 
     def __call__(self, text: bytes) -> bytes:
