@@ -36,21 +36,25 @@ def finished(q: StreamingQuery) -> None:
         raise q.exception()
 
 
-@query
-def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audited(spark: SparkSession, calls: DataFrame, folder: str) -> None:
+    """Streams events as outbound calls into the log under folder."""
     none = F.lit(None).cast("string")
-    e = stream_of(spark, sf_dir, "events")
     url = F.concat(F.lit("https://"), "event_type", F.lit(".example.org/e/"), "event_id", F.lit("?user="), "user_id", F.lit("&k=1"))
-    calls = e.select(
+    calls = calls.select(
         F.col("ts").cast("timestamp").alias("started_at"), url.alias("url"), F.lit("GET").alias("method"), F.lit(200).alias("status_code"),
             F.col("value").alias("duration_ms"), F.lit(True).alias("has_context"), F.lit(True).alias("authenticated"), none.alias("client_id"),
         none.alias("azp"), F.col("user_id").cast("string").alias("user_id"), none.alias("email"), none.alias("name"), none.alias("client_ip"),
             none.alias("user_agent"), F.col("event_id").cast("string").alias("trace_id"), none.alias("error_type"),
     )
-    folder = work_dir(spark, "audit")
     finished(streams.stream_audit(calls, f"{folder}/log", f"{folder}/checkpoint"))
-    return spark.read.parquet(f"{folder}/log").groupBy("day", "api_name").agg(F.count("*").alias("n")).select(F.col("day").cast("string").alias(
-        "day"), "api_name", "n")
+
+
+@query
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "audit")
+    audited(spark, stream_of(spark, sf_dir, "events"), folder)
+    return streams.audit_log(spark, f"{folder}/log").read().groupBy("day", "api_name").agg(F.count("*").alias("n")).select(F.col("day").cast(
+        "string").alias("day"), "api_name", "n")
 
 
 SQL["stream_audit"] = "SELECT ts::date::varchar AS day, event_type || '.example.org' AS api_name, count(*) AS n FROM events GROUP BY ALL"
@@ -58,24 +62,30 @@ SQL["stream_audit"] = "SELECT ts::date::varchar AS day, event_type || '.example.
 
 @query
 def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of all events, and what is left of it after the daily sweep of 2024-04-10."""
+    """The log that a stream of the events writes, and what is left of it after the daily sweep of 2024-04-10."""
     folder = work_dir(spark, "retention")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("started_at")).withColumn("day",
-        F.to_date("started_at"))
-    rows.write.partitionBy("day").parquet(f"{folder}/log")
-    return streams.retain(spark, f"{folder}/log", F.lit("2024-04-10").cast("timestamp")).select("event_id")
+    audited(spark, stream_of(spark, sf_dir, "events"), folder)
+    return streams.retain(spark, f"{folder}/log", F.lit("2024-04-10").cast("timestamp")).select(F.col("trace_id").cast("long").alias("event_id"))
 
 
 SQL["stream_retention"] = "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY"
 
 
-@query
-def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests beyond one an hour of a user, of events whose files may come in any order within two months."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     folder = work_dir(spark, "limit")
     events = stream_of(spark, sf_dir, "events")
-    finished(streams.stream_rate_limit(events, f"{folder}/counts", "user_id", f"{folder}/checkpoint", "1 hour"))
-    return streams.over_limit(spark, f"{folder}/counts", "user_id", events.schema["user_id"].dataType.simpleString(), 1).withColumn("window_start",
-        v.stamp("window_start"))
+    finished(streams.stream_rate_limit(events, f"{folder}/out", "user_id", f"{folder}/checkpoint", 1, "1 hour", "60 days", "event_id"))
+    rows = streams.rejected(spark, f"{folder}/out", "user_id", events.schema["user_id"].dataType.simpleString())
+    return rows.withColumn("window_start", F.col("window_end") - F.expr("interval 1 hour"))
+
+
+@query
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with more requests than one, and how many were rejected."""
+    counts = limited(spark, sf_dir).groupBy("window_start", "user_id").agg(F.count("*").alias("rejected"))
+    return counts.select(v.stamp("window_start").alias("window_start"), "user_id", (F.col("rejected") + 1).alias("n"), "rejected")
 
 
 SQL["stream_rate_limit"] = (
@@ -84,6 +94,18 @@ SQL["stream_rate_limit"] = (
 )
 
 
+@query
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request that the limit rejects, once."""
+    return limited(spark, sf_dir).select(v.stamp("window_start").alias("window_start"), "user_id", v.stamp("ts").alias("ts"), F.col("request_id").alias("event_id"))
+
+
+SQL["stream_rejected"] = (
+    f"SELECT {v.sql_stamp('h')} AS window_start, user_id, {v.sql_stamp('ts')} AS ts, event_id FROM (SELECT *, date_trunc('hour', ts)::timestamp AS h FROM events WHERE ts IS NOT NULL) "
+    "QUALIFY row_number() OVER (PARTITION BY user_id, h ORDER BY ts, event_id) > 1"
+)
+
+
 @query
 def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -114,7 +136,7 @@ def stream_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = stream_of(spark, sf_dir, "events")
     empty = spark.createDataFrame([], TABLES["book_entries"])
     finished(streams.stream_entries(event_requests(v.shelf_requests_of(events)), f"{folder}/table", empty, f"{folder}/checkpoint"))
-    rows = streams.latest_entries(spark, f"{folder}/table", empty)
+    rows = streams.latest_entries(spark, f"{folder}/table")
     return rows.select("user_id", "source_book_id", "status", "page_count", "pages_completed", "percent_completed")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,57 +14,108 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.audit import audit_project, expire
 from ..operators.shelves import upsert_entries
+from ..schemas import TABLES
 from ..shipping import ship
+from .deltas import DeltaTable
 
 
-def stream_audit(calls: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Projects a stream of outbound calls and appends micro-batches to Parquet partitioned by day. maxFilesPerTrigger of the source bounds a batch.
+def audit_log(spark: SparkSession, log: str) -> DeltaTable:
+    """The log that stream_audit writes: a folder a day."""
+    columns = [f"{c} {t}" for c, t in (f.split(" ", 1) for f in re.split(r", (?![0-9])", TABLES["api_request_logs"])) if c != "log_id"]
+    return DeltaTable(spark, log, "day", T._parse_datatype_string(", ".join(columns)))
 
-    A batch that fails is tried again from the checkpoint. The file sink's own log makes each batch count once.
+
+def stream_audit(calls: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Projects a stream of outbound calls and appends micro-batches to a log by day (audit_log reads it). maxFilesPerTrigger of the source bounds a batch.
+
+    A batch that fails is tried again from the checkpoint and takes the place of what it wrote before, so each call counts once. The log keeps no list
+    of files: days may be dropped and rewritten while the stream goes on.
     """
-    rows = audit_project(calls).withColumn("day", F.to_date("started_at"))
-    return rows.writeStream.format("parquet").partitionBy("day").option("path", sink).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    names = audit_log(calls.sparkSession, log).schema.names
+
+    def append(batch: DataFrame, n: int) -> None:
+        rows = audit_project(batch).select(*names).withColumn("day", F.to_date("started_at"))
+        audit_log(batch.sparkSession, log).add(rows, n)
+
+    return calls.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retain(spark: SparkSession, log: str, as_of: Column, days: int = 90) -> DataFrame:
-    """Drops from a log what is no longer kept: days that are over as whole folders, and of the day that the limit falls on the rows before it. Other days aren't read. Meant to run daily on a schedule."""
-    limit = spark.range(1).select((as_of - F.make_interval(days=F.lit(days))).alias("t")).select(F.to_date("t").alias("day")).first()["day"]
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(log)
-    store = folder.getFileSystem(conf)
-    at = lambda name: jvm.org.apache.hadoop.fs.Path(folder, name)
-    names = [f.getPath().getName() for f in store.listStatus(folder) if f.isDirectory() and f.getPath().getName().startswith("day=")]
-    last = f"day={limit.isoformat()}"
-    if last in names:  # written beside the log first, so that a run that fails leaves the day as it was
-        part = spark.read.parquet(f"{log}/{last}")
-        expire(part, "started_at", as_of, days).write.mode("overwrite").parquet(f"{log}/_kept")
-        store.delete(at(last), True)
-        store.rename(at("_kept"), at(last))
-    for name in names:
-        if name < last:
-            store.delete(at(name), True)
-    return spark.read.parquet(log)
-
-
-def stream_rate_limit(calls: DataFrame, folder: str, key: str, checkpoint: str, window: str = "1 minute") -> StreamingQuery:
-    """Counts the requests of each window of a key: every micro-batch writes what it adds, folder/batch=N with window_start, the key and n; over_limit reads the sums.
-
-    No row is too late, so neither the last windows nor rows in any order are lost. A batch that runs again writes the same counts again.
+    """Drops from a log of stream_audit what is no longer kept, and returns the rest. Meant to run daily on a schedule, beside the stream.
+
+    Days that are over go as whole folders. The day that the limit falls on is rewritten without the rows before it, and the rewrite comes into force
+    by one rename: a run that fails, wherever, loses nothing that is kept, and the next one goes on. Other days aren't read.
     """
-    rows = calls.select(F.window(F.col("ts").cast("timestamp"), window)["start"].alias("window_start"), key)
+    limit = spark.range(1).select(F.to_date(as_of - F.make_interval(days=F.lit(days))).alias("day")).first()["day"].isoformat()
+    table = audit_log(spark, log)
+    for day in table.parts():
+        if day < limit:
+            table.drop(day)
+        elif day == limit:
+            table.rewrite(day, lambda rows: expire(rows, "started_at", as_of, days))
+    return table.read()
+
+
+class _Window(StatefulProcessor):
+    """Of a window of a key keeps its first `limit` requests so far; a request that falls out of them is rejected, whatever still comes. Goes when the watermark passes its end."""
 
-    def add(batch: DataFrame, n: int) -> None:
-        batch.groupBy("window_start", key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+    def __init__(self, limit: int):
+        self.limit = limit
 
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first, self.handle = handle.getListState("first", "ts timestamp, id long"), handle
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        end = int(key[1].timestamp() * 1000)
+        now = timerValues.getCurrentWatermarkInMs()
+        old = [(pd.Timestamp(t), i) for t, i in self.first.get()] if end > now else []
+        for df in rows:
+            if end <= now:
+                yield pd.DataFrame({"key": key[0], "window_end": key[1], "ts": df["ts"], "request_id": df["request_id"], "late": True})
+                continue
+            merged = sorted([*old, *zip(df["ts"], df["request_id"], strict=True)])
+            old, out = merged[: self.limit], merged[self.limit :]
+            yield pd.DataFrame([(key[0], key[1], t, i, False) for t, i in out], columns=["key", "window_end", "ts", "request_id", "late"])
+        if end > now:
+            self.first.put([(t.to_pydatetime(), int(i)) for t, i in old])
+            if not list(self.handle.listTimers()):
+                self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.first.clear()
+        yield pd.DataFrame(columns=["key", "window_end", "ts", "request_id", "late"])
 
-def over_limit(spark: SparkSession, folder: str, key: str, kind: str, limit: int = 10) -> DataFrame:
-    """Windows of a key (a column of type kind) with more requests than the limit in all batches so far, and how many were rejected."""
-    added = spark.read.schema(f"window_start timestamp, `{key}` {kind}, n long, batch int").parquet(folder)
-    counts = added.groupBy("window_start", key).agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") > limit).withColumn("rejected", F.col("n") - limit)
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(calls: DataFrame, folder: str, key: str, checkpoint: str, limit: int = 10, window: str = "1 minute", delay: str = "10 minutes",
+                      request: str = "request_id") -> StreamingQuery:
+    """Writes the requests beyond the limit in their fixed window of a key, each once, to folder/rejected, as soon as it is sure: window_end, key, ts and request_id (whole numbers).
+
+    Requests are told apart by (ts, request), so files may come in any order within `delay`. State is `limit` requests of each open window, and goes when the watermark (the last
+    window's end less the delay) passes the window's end. Requests of windows that are closed by then go to folder/late. A micro-batch that runs again writes the
+    same files again. Needs the RocksDB provider; a request without a time has no window and is left out.
+    """
+    ship(calls.sparkSession)
+    stamp = F.col("ts").cast("timestamp")
+    rows = calls.select(F.col(key).alias("key"), stamp.alias("ts"), F.col(request).cast("long").alias("request_id"), F.window(stamp, window)["end"].alias("end"))
+    # The watermark is that of window ends; the copy that groups carries no mark, so that Spark hands late rows over instead of dropping them.
+    marked = rows.where("end is not null").withWatermark("end", delay).select("key", "ts", "request_id", F.timestamp_micros(F.unix_micros("end")).alias("window_end"))
+    kind = rows.schema["key"].dataType.simpleString()
+    out = marked.groupBy("key", "window_end").transformWithStateInPandas(_Window(limit), f"key {kind}, window_end timestamp, ts timestamp, request_id long, late boolean", "Append", "EventTime")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumnRenamed("key", key).withColumn("kind", F.when(F.col("late"), "late").otherwise("rejected")).drop("late").withColumn("batch", F.lit(n)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(folder)
+
+    return out.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rejected(spark: SparkSession, folder: str, key: str, kind: str, late: bool = False) -> DataFrame:
+    """The rejected (or late) requests that stream_rate_limit has written, for a key of type kind."""
+    rows = spark.read.schema(f"window_end timestamp, `{key}` {kind}, ts timestamp, request_id long, kind string, batch long").parquet(folder)
+    return rows.where(F.col("kind") == ("late" if late else "rejected")).drop("kind", "batch")
 
 
 class _Recent(StatefulProcessor):
@@ -97,42 +149,74 @@ def stream_recent(views: DataFrame, n: int = 12) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(_Recent(n), "user_id long, book string, ts timestamp, position int", "Update", "None")
 
 
-def stream_entries(requests: DataFrame, folder: str, entries: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Upserts a stream of entry requests: each micro-batch writes the entries of its users, folder/batch=N; latest_entries reads each user's last ones.
-
-    Requests are kept in folder-log. Users of whom a batch brings a request that is no later than their last one are replayed from the start, so the table is that of
-    all requests in order (ts, request_id), in whatever batches they came. A batch that runs again writes the same rows again, so requests count once.
-    """
-
-    def upsert(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}-log/batch={n}")
-        log = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}-log").where(
-            F.col("batch") <= n)
-        new = log.where(F.col("batch") == n).drop("batch")
+#: Buckets of users; deltas of a bucket before they are put together.
+BUCKETS, MOST_DELTAS = 64, 8
+
+
+class EntryTable:
+    """The entries of all users in buckets of users, as a stream of requests leaves them: entries by their last delta, the requests themselves, and the entries before the stream."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        requests, entries = (spark.createDataFrame([], TABLES[n]).schema for n in ("entry_requests", "book_entries"))
+        self.buckets, self.spark = buckets, spark
+        self.entries = DeltaTable(spark, f"{folder}/entries", "bucket", entries)
+        self.requests = DeltaTable(spark, f"{folder}/requests", "bucket", requests)
+        self.before = DeltaTable(spark, f"{folder}/before", "bucket", entries)
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)))
+
+    def begin(self, entries: DataFrame) -> None:
+        """Puts the entries before the stream into their buckets, once."""
+        if not self.entries.parts() and not self.before.parts():
+            self.before.add(self.bucketed(entries.select(*self.before.schema.names)), 0)
+
+    def current(self, parts: list[str] | None = None, before: int | None = None) -> DataFrame:
+        """Entries (with bucket) of some buckets or all, after all batches or those before one: of each user the rows of the last delta that has them."""
+        written, old = self.entries.read(parts, before), self.before.read(parts).drop("batch")
+        last = written.groupBy(F.col("user_id").alias("__user")).agg(F.max("batch").alias("__last"))
+        same = F.col("user_id").eqNullSafe(F.col("__user"))
+        rows = written.join(last, same & (F.col("batch") == F.col("__last")), "left_semi").drop("batch")
+        return rows.unionByName(old.join(last, same, "left_anti"))
+
+    def compact(self, parts: list[str], before: int, most: int) -> None:
+        """Puts the deltas of buckets together that have too many: entries of each user's last delta, and all requests."""
+        newest = lambda rows: rows.join(rows.groupBy(F.col("user_id").alias("__user")).agg(F.max("batch").alias("__last")), F.col("user_id").eqNullSafe(F.col("__user")) & (
+            F.col("batch") == F.col("__last")), "left_semi")
+        for part in parts:
+            for table, change in ((self.entries, newest), (self.requests, lambda rows: rows)):
+                if len([d for d in table.live(part) if d[1] < before]) > most:
+                    table.rewrite(part, change, before)
+
+    def apply(self, batch: DataFrame, n: int, most: int = MOST_DELTAS) -> None:
+        """Upserts a micro-batch: reads and writes only the buckets that it has users of. If it runs again, its deltas are the same."""
+        self.requests.add(self.bucketed(batch.select(*self.requests.schema.names)), n)
+        parts = [str(r["bucket"]) for r in self.bucketed(batch.select("user_id")).select("bucket").distinct().collect()]
+        self.compact(parts, n, most)
+        new = self.requests.read(parts).where(F.col("batch") == n).drop("batch", "bucket")
         users = new.groupBy(F.col("user_id").alias("__user")).agg(F.min("ts").alias("at"))
         among = lambda df, who, how="left_semi": df.join(who, F.col("user_id").eqNullSafe(F.col("__user")), how)
-        before = among(entries, users.select("__user"))
-        if n:
-            before = among(latest_entries(spark, folder, entries, n - 1), users.select("__user"))
-            last = before.groupBy("user_id").agg(F.max("updated_date").alias("last"))
-            late = users.join(last, F.col("__user").eqNullSafe(F.col("user_id"))).where("at <= last").select("__user").persist()
-            if not late.isEmpty():
-                new = among(new, late, "left_anti").unionByName(among(log.drop("batch"), late))
-                before = among(before, late, "left_anti").unionByName(among(entries, late))
-        upsert_entries(before, new).write.mode("overwrite").parquet(f"{folder}/batch={n}")
-        if n:
-            late.unpersist()
+        before = among(self.current(parts, n), users.select("__user")).drop("bucket")
+        last = before.groupBy("user_id").agg(F.max("updated_date").alias("last"))
+        late = users.join(last, F.col("__user").eqNullSafe(F.col("user_id"))).where("at <= last").select("__user").persist()
+        if not late.isEmpty():
+            new = among(new, late, "left_anti").unionByName(among(self.requests.read(parts, n + 1).drop("batch", "bucket"), late))
+            before = among(before, late, "left_anti").unionByName(among(self.before.read(parts).drop("batch", "bucket"), late))
+        self.entries.add(self.bucketed(upsert_entries(before, new)), n)
+        late.unpersist()
+
 
+def stream_entries(requests: DataFrame, folder: str, entries: DataFrame, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Upserts a stream of entry requests into an EntryTable that begins with entries; latest_entries reads it. A folder keeps its number of buckets.
+
+    Users of whom a batch brings a request that is no later than their last one are replayed from the start, out of their buckets' requests, so the table is that of
+    all requests in order (ts, request_id), in whatever batches they came. A batch that runs again writes the same rows again, so requests count once.
+    """
+    EntryTable(requests.sparkSession, folder, buckets).begin(entries)
+    upsert = lambda batch, n: EntryTable(batch.sparkSession, folder, buckets).apply(batch, n)
     return requests.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_entries(spark: SparkSession, folder: str, entries: DataFrame, upto: int | None = None) -> DataFrame:
-    """The table after all batches (or those up to one): of each user the rows of the last batch that wrote them, else those of the entries before the stream."""
-    written = spark.read.schema(T.StructType([*entries.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(folder)
-    if upto is not None:
-        written = written.where(F.col("batch") <= upto)
-    last = written.groupBy(F.col("user_id").alias("__user")).agg(F.max("batch").alias("__last"))
-    same = F.col("user_id").eqNullSafe(F.col("__user"))
-    rows = written.join(last, same & (F.col("batch") == F.col("__last")), "left_semi").drop("batch")
-    return rows.unionByName(entries.join(last, same, "left_anti"))
+def latest_entries(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> DataFrame:
+    """The table of stream_entries after all batches."""
+    return EntryTable(spark, folder, buckets).current().drop("bucket")
