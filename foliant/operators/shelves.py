@@ -5,11 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identifiers import normalize_identifier
 from ..functions.shelves import canonical_status
 from ..schemas import TABLES
+from ..shared import saved
 from ..shipping import ship
+from .components import components
 from .joins import update_conflicts
 
 
@@ -98,9 +101,10 @@ def _keys(x: dict) -> list[tuple]:
 
 
 def _replay(entries: pd.DataFrame, requests: pd.DataFrame) -> pd.DataFrame:
-    """One user's requests in order over their entries; keys lead to entries, and follow them when a request changes them."""
+    """One component's requests in order over its entries; keys lead to entries, and follow them when a request changes them."""
     clean = lambda df: [{k: None if v is pd.NaT or v is None or v != v else v for k, v in row.items()} for row in df.astype(object).to_dict(
         "records")]
+    entries = entries.drop(columns="__part")
     rows = {e["entry_id"]: e for e in clean(entries)}
     index: dict[tuple, set] = {}
     for i, e in rows.items():
@@ -170,20 +174,44 @@ def _folded(entries: DataFrame, requests: DataFrame) -> DataFrame:
     return done.select(*[F.when(F.col("__changed") == 0, F.col(f"e.{c}")).otherwise(value.get(c, F.col(f"e.{c}"))).cast(types[c]).alias(c) for c in names])
 
 
+def _with_parts(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with `__part`: rows of a user that share a key, or are linked by rows that do, have the same one. A row without keys is a part of its own."""
+    node = lambda key: F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("null")), F.lit(" "), key)
+    sets = entries.select("user_id", "__keys").unionByName(requests.select("user_id", "__keys")).where(F.size("__keys") > 1).distinct()
+    roots = components(sets.select(node(F.col("__keys")[0]).alias("a"), F.explode(F.slice("__keys", 2, 2)).alias("k"), "user_id").select("a", node(F.col("k")).alias("b")))
+    out = []
+    for df, own in ((entries, F.concat(F.lit("e"), "entry_id")), (requests, F.concat(F.lit("r"), "request_id"))):
+        named = df.withColumn("__node", node(F.try_element_at("__keys", F.lit(1))))
+        named = named.join(roots.withColumnRenamed("node", "__node"), "__node", "left")
+        out.append(named.withColumn("__part", F.coalesce("root", "__node", own)).drop("root", "__node"))
+    return tuple(out)
+
+
 def upsert_entries(entries: DataFrame, requests: DataFrame) -> DataFrame:
     """Entries after valid requests, in order for each user: each updates the least entry that shares any key, or makes one (id: minus the request's).
 
-    Keys may change with a request, and then order matters: users of whom they do are replayed, a user in one task and users in parallel. All others are
-    folded without Python, by user and keys, so that a user with many requests is many groups.
+    Keys may change with a request, and then order matters. Users of whom they don't are folded without Python, by user and keys. The others' keys are put
+    together into connected components: requests of one never touch an entry of another, so each component whose keys change is replayed by itself, and the rest
+    folded. A user with many requests is many groups either way; only requests that are linked by keys stay together, as each decides over the next.
     """
     ship(entries.sparkSession)
     wanted = [c.split()[0] for c in TABLES["book_entries"].replace("decimal(38,18)", "decimal").split(", ")]
     e, r = _key_names(entries.select(*wanted)), _key_names(prepared(requests))
-    changing = _changing_users(e, r)
+    changing = saved(_changing_users(e, r), "changing-users")
+    if changing.isEmpty():
+        return _folded(e, r)
     split = lambda df, how: df.join(changing, F.col("user_id").eqNullSafe(F.col("__user")), how)
     folded = _folded(split(e, "left_anti"), split(r, "left_anti"))
-    mine, asked = split(e, "left_semi").drop("__keys"), split(r, "left_semi").drop("__keys")
-    return folded.unionByName(mine.groupBy("user_id").cogroup(asked.groupBy("user_id")).applyInPandas(_replay, mine.schema))
+    mine, asked = (saved(df, "parts") for df in _with_parts(split(e, "left_semi"), split(r, "left_semi")))
+    sets = mine.select("user_id", "__part", "__keys", F.lit(1).alias("entry")).unionByName(asked.select("user_id", "__part", "__keys", F.lit(0).alias("entry")))
+    sets = sets.groupBy("user_id", "__part", "__keys").agg(F.sum("entry").alias("entries"))
+    odd = sets.groupBy("user_id", "__part").agg(F.count("*").alias("n"), F.max("entries").alias("entries"), F.min(F.size("__keys")).alias("keys"))
+    odd = odd.where("n > 1 OR entries > 1 OR keys = 0").select("__part").distinct()
+    part = lambda df, how: df.join(odd, "__part", how)
+    folded = folded.unionByName(_folded(part(mine, "left_anti").drop("__part"), part(asked, "left_anti").drop("__part")))
+    mine, asked = part(mine, "left_semi").drop("__keys"), part(asked, "left_semi").drop("__keys")
+    schema = T.StructType([f for f in mine.schema.fields if f.name != "__part"])
+    return folded.unionByName(mine.groupBy("__part").cogroup(asked.groupBy("__part")).applyInPandas(_replay, schema))
 
 
 def update_entries(entries: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

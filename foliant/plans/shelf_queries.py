@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.audit import next_weekly_refresh
 from ..functions.identifiers import with_isbn13
-from ..functions.shelves import goal_percentage
+from ..functions.shelves import STATUSES, goal_percentage
 from ..functions.text import comparable
 from ..functions.text import search_text as normalized_text
 from ..functions.identifiers import fallback_id
@@ -124,6 +124,29 @@ def entry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "start_date"), stamp("end_date").alias("end_date"))
 
 
+def changing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a customer's orders as entry requests, whose ISBNs (of 30 and 40) and source ids (of 25) repeat in different combinations; every seventh part has ISBNs alone."""
+    k = F.col("request_id") % 10_000_000
+    rows = _order_requests(spark, sf_dir).withColumn("k", k)
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (k % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "request_id", F.timestamp_seconds(1_704_067_200 + k * 7_919 % 100_003).alias("ts"), "user_id", F.lit(None).cast("long").alias("entry_id"), F.when(k % 7 != 0,
+            F.col("source")).alias("source"), F.when(k % 7 != 0, (k % 25).cast("string")).alias("source_book_id"), F.concat(F.lit("Book "), k).alias("title"), none.alias("authors"),
+        none.alias("thumbnail_url"), F.when(k % 2 == 0, v.isbn10(k % 30)).alias("isbn10"), F.when(k % 5 != 0, v.isbn13(k % 40)).alias("isbn13"), status.alias("status"), (k % 400).cast("int").alias("page_count"), F.when(k % 3 == 0, (k % 90).cast("int")).alias("pages_completed"),
+        F.lit(None).cast("int").alias("percent_completed"),
+    )
+
+
+@query()
+def entry_rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries after requests that change their keys; order decides, which SQL can't express: tests compare with a plain replay."""
+    valid, _ = validation.validate_entries(changing_requests(spark, sf_dir))
+    out = shelves.upsert_entries(spark.createDataFrame([], TABLES["book_entries"]), valid)
+    return out.select("user_id", "entry_id", "isbn10", "isbn13", "source_book_id", "status", "page_count", "pages_completed", "percent_completed", stamp("start_date").alias("start_date"),
+        stamp("end_date").alias("end_date"))
+
+
 @query(
     f"WITH g AS ({v.GOALS}), r AS (SELECT o_custkey::int AS user_id, year(o_orderdate)::int AS year, arg_max((1 + o_orderkey % 50)::int, "
         f"(o_orderdate, o_orderkey)) AS t FROM orders GROUP BY ALL) "
