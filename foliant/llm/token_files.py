@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -30,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import new_path, ship, slices, table
+from ._text import LOWER, utf8
 
 #: Ids in a block; bytes of text in a file, about.
 BLOCK, FILE_BYTES = 1 << 16, 16 << 20
 MAGIC = b"PLANES01"
-#: Words that a worker remembers before it starts anew, the longest of them in bytes, and how much of a text is looked at at once.
-WORDS_KEPT, WORD_BYTES, PIECE_BYTES = 1_500_000, 64, 1 << 20
+#: Words that a worker remembers before it starts anew, the longest of them in bytes, and bytes of text that are looked at at once.
+WORDS_KEPT, WORD_BYTES, SLICE_BYTES = 1_500_000, 64, 4 << 20
 
 
 @functools.cache
@@ -56,50 +58,51 @@ _STOPS, _LETTERS = frozenset(b".,"), frozenset(b"abcdefghijklmnopqrstuvwxyzABCDE
 
 
 class Encoder:
-    """Ids of texts, as bytes. For tokenizers that drop white space and join nothing over it: a text's ids are then those of its words, and each word is encoded once.
+    """Ids of texts, as bytes, each text's followed by `end`. For tokenizers that drop white space and join nothing over it: a text's ids are then those of its words.
 
-    Case is lowered first if the tokenizer does so (but in texts that may hold a special token), and words are encoded without a stop behind them.
+    A slice of texts is cut at ASCII white space and its different words are looked up, or encoded where they are new. Case is lowered first if the tokenizer does so
+    (but for slices that may hold a special token), and words are encoded without a stop behind them.
     """
 
-    def __init__(self, path: str, width: int):
-        self.tokenizer, self.code = _tokenizer(path), "H" if width == 2 else "I"
+    def __init__(self, path: str, width: int, end: int):
+        self.tokenizer, self.width, self.end = _tokenizer(path), width, end.to_bytes(width, "little")
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.known: dict[bytes, bytes] = {}
 
-    def _piece(self, text: bytes) -> bytes:
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > WORDS_KEPT:
             self.known = {}
-        if self.lowers and b"<|" not in text:
-            text = text.lower()
-        words = text.split()  # at ASCII white space only
-        known, odd = self.known, {}
+        known, odd, code = self.known, {}, "H" if self.width == 2 else "I"
         if new := set(words).difference(known):
-            stopped = [w for w in new if w[-1] in _STOPS and len(w) > 1 and w[-2] in _LETTERS]
+            stopped = [w for w in new if len(w) > 1 and w[-1] in _STOPS and w[-2] in _LETTERS]
             bare = new.difference(stopped)
             bare.update([w[:-1] for w in stopped], [b".", b","])
             bare = list(bare.difference(known))
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in bare], add_special_tokens=False)
             for w, e in zip(bare, got, strict=True):
-                (known if len(w) <= WORD_BYTES else odd)[w] = array.array(self.code, e.ids).tobytes()
+                (known if len(w) <= WORD_BYTES else odd)[w] = array.array(code, e.ids).tobytes()
             for w in stopped:
                 (known if len(w) <= WORD_BYTES else odd)[w] = (known if len(w) <= WORD_BYTES + 1 else odd)[w[:-1]] + known[w[-1:]]
-        return b"".join([known[w] if w in known else odd[w] for w in words] if odd else map(known.__getitem__, words))
-
-    def __call__(self, text: bytes) -> bytes:
-        if len(text) <= PIECE_BYTES:
-            return self._piece(text)
-        return b"".join(map(self._piece, pieces(text, PIECE_BYTES)))
-
-
-def pieces(text: bytes, most: int) -> Iterator[bytes]:
-    """Parts of a text that end at a space or a line's end, where there is one within `most` bytes; else at the next one."""
-    at = 0
-    while at < len(text):
-        cut = max(text.rfind(b" ", at, at + most), text.rfind(b"\n", at, at + most)) if at + most < len(text) else len(text)
-        if cut <= at:
-            cut = min((x for x in (text.find(b" ", at + 1), text.find(b"\n", at + 1)) if x > 0), default=len(text))
-        yield text[at:cut]
-        at = cut
+        return [known[w] if w in known else odd[w] for w in words] if odd else list(map(known.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        buf, off = utf8(texts)
+        if self.lowers and b"<|" not in buf.tobytes():
+            buf = LOWER[buf]
+        texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(buf.tobytes())])
+        lists = pc.ascii_split_whitespace(texts)
+        edges = np.asarray(lists.offsets, dtype=np.int64)
+        words = lists.flatten().dictionary_encode()
+        ids = [*self._ids_of(words.dictionary.cast(pa.large_binary()).to_pylist()), self.end]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]) // self.width
+        data = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        ends = edges[1:] - edges[0]
+        codes = np.insert(words.indices.to_numpy(), ends, len(ids) - 1)  # the end id behind the last word of each text
+        sizes = np.diff(starts)[codes]
+        after = np.cumsum(sizes)
+        out = data[np.repeat(starts[codes] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+        offsets = np.concatenate([[0], after[ends + np.arange(len(ends))]]) * self.width
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def _turned(x: np.ndarray) -> np.ndarray:
@@ -242,7 +245,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, id: str = "doc_id", tex
 
     Documents are in ascending order of id, null last; those that share an id in order of their texts' hashes. Documents are dealt into ranges before they are
     encoded, so only ids are shuffled, once. Documents with the same id and text are dealt over all ranges that such a group spans. A null or empty text has the
-    end id alone. An empty table gives no file. Other columns aren't read; a text of any length is encoded in pieces that end at white space.
+    end id alone. An empty table gives no file. Other columns aren't read; texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -253,18 +256,17 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, id: str = "doc_id", tex
     encoded = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("id", kind), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, at, count = Encoder(tokenizer, width), end.to_bytes(width, "little"), places.value, 0
+        encoder, at, count = Encoder(tokenizer, width, end), places.value, 0
         for batch in batches:
-            for part in slices(batch, 2):
-                parts, out = [], []
-                for key, tie, text_ in zip(*(c.to_pylist() for c in part.columns[:2]), part.column(2).cast(pa.large_binary()), strict=True):
+            for part in slices(batch, 2, SLICE_BYTES):
+                parts = []
+                for key, tie in zip(*(c.to_pylist() for c in part.columns[:2]), strict=True):
                     place = _place(key, tie)
                     lo = bisect.bisect_left(at, place)
                     hi = bisect.bisect_right(at, place, lo)
                     parts.append(lo + count % (hi - lo + 1) if hi - lo > 1 else hi)  # cuts that equal it: its group spans these ranges
                     count += 1
-                    out.append(encoder(text_.as_py()) + last)
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), part.column(0), part.column(1), pa.array(out, pa.binary())], names=encoded.names)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), part.column(0), part.column(1), encoder(part.column(2)).cast(pa.binary())], names=encoded.names)
 
     dealt = rows.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, encoded).repartition(len(places.value) + 1, "part")
     ordered = dealt.sortWithinPartitions("part", F.col("id").asc_nulls_last(), "tie")

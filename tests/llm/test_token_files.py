@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,8 +38,8 @@ WORDS = ["a", "The", "it's", "ÄRGER", "é", "Σας", "ΟΔΟΣ", "́", "<|end
 @given(st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(["", " ", "\n", "\t \r", "  "])), max_size=12), st.text(max_size=20))
 def test_words_alone_give_the_ids_of_whole_texts(parts, rest):
     text = "".join(w + s for w, s in parts) + rest
-    got = tf.Encoder(PATH, 2)(text.encode())
-    assert np.frombuffer(got, "<u2").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    got = tf.Encoder(PATH, 2, 1)(pa.array(["Äa b", text, "x", "", text.upper(), "<|"][: 2 + len(parts) % 5]).slice(1)).to_pylist()
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*plain(t), 1] for t in [text, "x", "", text.upper(), "<|"][: len(got)]]
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -46,13 +47,12 @@ TOKENIZER = Tokenizer.from_file(PATH)
 
 def test_long_words_and_forgotten_ones(monkeypatch):
     monkeypatch.setattr(tf, "WORDS_KEPT", 5)
-    monkeypatch.setattr(tf, "PIECE_BYTES", 50)
-    encoder = tf.Encoder(PATH, 4)
+    encoder = tf.Encoder(PATH, 4, 1)
     rng = random.Random(2)
     for _ in range(30):
-        text = " ".join("".join(rng.choice("abcé.") for _ in range(rng.choice([1, 3, 90]))) for _ in range(rng.randrange(40)))
-        assert np.frombuffer(encoder(text.encode()), "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert b"".join(tf.pieces(text.encode(), 7)) == text.encode()
+        texts = [" ".join("".join(rng.choice("abcé.") for _ in range(rng.choice([1, 3, 63, 64, 65, 90]))) for _ in range(rng.randrange(40))) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(pa.array(texts)).to_pylist()] == [[*plain(t), 1] for t in texts]
+    assert encoder(pa.array([], pa.string())).to_pylist() == []
 
 
 @pytest.mark.parametrize("bits", [True, False])
