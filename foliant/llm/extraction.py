@@ -1,7 +1,8 @@
 """Main text of web pages with a suffix array over each host.
 
-A small scanner cuts a page into blocks. Paragraphs and headings inside the article element are its prose. What elements, roles and a few classes name as menu,
-header, footer, sidebar, notice, advert, form or comment is out, and so is, where a page has an article, what stands outside it. All else is open: blocks of
+A small scanner cuts a page into blocks. Paragraphs and headings inside the article element are its prose. What elements and roles name as menu, header, footer, sidebar, notice,
+advert, form or comment is out, and so is, where a page has an article, what stands outside it. What only a word in a class or id names so is named: the host's
+array judges it, and what it doesn't find repeated (comments, say) goes by its name, unless `names` is off. All else is open: blocks of
 pages without an article, and loose blocks inside one. Open blocks are judged by the host: substrings of LENGTH tokens or more that stand on LEAST distinct
 pages of it or more are boilerplate; covered tokens go, unique runs stay.
 
@@ -39,7 +40,7 @@ LENGTH, LEAST, SHARD = 8, 3, 400
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|select|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
+    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*>",  # a tag ends at the next <, so broken ones cost no more
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -58,30 +59,32 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 
 
-PROSE, OPEN, OUT = 0, 1, 2
+PROSE, OPEN, OUT, NAMED = 0, 1, 2, 3
 
 
-def _out(attrs: str, inside: bool) -> bool:
-    """Whether an element's role, class or id says that it holds no main text."""
-    names = _NAMES if inside else _NAMES | _OUTSIDE
+def _out(attrs: str, inside: bool) -> int:
+    """OUT if an element's role says that it holds no main text, NAMED if a word in its class or id does, else 0."""
+    names, found = _NAMES if inside else _NAMES | _OUTSIDE, 0
     for m in _ATTRIBUTE.finditer(attrs):
         words = re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())
-        if not (_ROLES if m[1].lower() == "role" else names).isdisjoint(words):
-            return True
-    return False
+        if m[1].lower() == "role" and not _ROLES.isdisjoint(words):
+            return OUT
+        if m[1].lower() != "role" and not names.isdisjoint(words):
+            found = NAMED
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
-    """The blocks of a page in order: text, and whether it is prose, open or out."""
+    """The blocks of a page in order: text, and whether it is prose, open, out by its element, role or place, or named by a class or id (what is out inside it, too)."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    skip, depth, inside, prose = "", 0, 0, ""
+    skip, depth, inside, prose, why = "", 0, 0, "", OUT
 
     def flush():
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((text, OUT if skip else PROSE if inside and prose else OPEN, inside > 0 and not skip))
+            out.append((text, why if skip else PROSE if inside and prose else OPEN, inside > 0 and not skip))
 
     at = 0
     for m in _TAG.finditer(page):
@@ -103,8 +106,8 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                 continue
         flush()
         if tag in ("article", "main"):
-            if not close and _out(m["attrs"], inside > 0):
-                skip, depth = tag, 1
+            if not close and (said := _out(m["attrs"], inside > 0)):
+                skip, depth, why = tag, 1, said
             else:
                 inside, prose = max(0, inside + (-1 if close else 1)), ""
         elif tag in _PROSE:
@@ -112,16 +115,16 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         elif tag == "br":
             pass
         elif not close and tag not in _VOID and tag not in ("html", "body"):
-            if tag in _DROPPED or tag == "header" and not inside or _out(m["attrs"], inside > 0):
-                skip, depth = tag, 1
+            if said := OUT if tag in _DROPPED or tag == "header" and not inside else _out(m["attrs"], inside > 0):
+                skip, depth, why = tag, 1, said
             else:
                 prose = ""
-        if tag in _PROSE and not close and _out(m["attrs"], inside > 0):
-            skip, depth = tag, 1
+        if tag in _PROSE and not close and (said := _out(m["attrs"], inside > 0)):
+            skip, depth, why = tag, 1, said
     parts.append(page[at:])
     flush()
     article = any(b[2] for b in out)  # an article with text: what stands outside isn't it
-    return [(text, OUT if article and not within else state) for text, state, within in out]
+    return [(text, OUT if article and not within and state != NAMED else state) for text, state, within in out]
 
 
 def host_of(url: Column) -> Column:
@@ -235,7 +238,7 @@ def _cuts(key: tuple, streams: pd.DataFrame, runs: pd.DataFrame, length: int) ->
     gone = _covered(starts[np.isin(names, runs["run"].to_numpy(np.int64))], len(tokens), length)
     at, cuts = np.searchsorted(page, np.arange(len(streams) + 1)), []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        some = (gone[a:b] & (state[a:b] != OUT)).any()
+        some = (gone[a:b] & (state[a:b] != OUT) & (state[a:b] != NAMED)).any()
         cuts.append(np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).tolist() if some else [])
     out = pd.DataFrame({"host": key[0], "page": streams["page"], "prose": streams["prose"], "cut": cuts})
     return out[out["cut"].map(len) > 0]
@@ -275,8 +278,8 @@ def _remaining(length: int):
     return run
 
 
-def main_text(pages: DataFrame, length: int = LENGTH, least: int = LEAST, shard: int = SHARD) -> DataFrame:
-    """page_id, url and the text of each row of pages.
+def main_text(pages: DataFrame, length: int = LENGTH, least: int = LEAST, shard: int = SHARD, names: bool = True) -> DataFrame:
+    """page_id, url and the text of each row of pages. names: whether classes and ids say what goes; else the host judges those blocks like other open ones.
 
     A null or empty html has an empty text; a null url is a host of its own (""). Repeated rows get the same text. An empty table gives an empty one. Other
     columns aren't read. Pages are shuffled as hashes of their blocks and with their words outside articles; whole texts only of pages from which the host takes words.
@@ -284,7 +287,7 @@ def main_text(pages: DataFrame, length: int = LENGTH, least: int = LEAST, shard:
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         F.xxhash64(host_of(F.col("url"))).alias("host"))
     kind = "`text` string, `page` long, `paragraphs` array<struct<at:int,hash:long,size:int>>, `pieces` array<struct<at:int,piece:string,state:int>>"
-    rows = table(map_texts(source, "html", ["page_id", "url", "host"], kind, _parsed), "blocks")
+    rows = table(map_texts(source, "html", ["page_id", "url", "host"], kind, lambda texts: _parsed(texts, names)), "blocks")
     cuts = _judged(_streams(rows, length, least, shard), length, least)
     whole = F.xxhash64("host", "page")
     stay, maybe = divided(rows, whole, cuts.select(whole.alias("k1")))
@@ -316,8 +319,8 @@ def _streams(rows: DataFrame, length: int, least: int, shard: int) -> DataFrame:
     )
 
 
-def _judged(streams: DataFrame, length: int, least: int) -> DataFrame:
-    """host, page, prose and `cut` of each distinct page of a host from which tokens go."""
+def _runs(streams: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The streams, and for each part of a host the runs that go and stand in it, as tables."""
     ship(streams.sparkSession)
     parts = table(streams, "streams")
     by = lambda df: df.groupBy("host", "part")
@@ -327,24 +330,54 @@ def _judged(streams: DataFrame, length: int, least: int) -> DataFrame:
     drop_table(counted)
     beside = by(parts).cogroup(by(often)).applyInPandas(lambda key, p, r: _beside(key, p, r, length, least), "run long, text long")
     goes = table(beside.groupBy("run").agg(F.count_distinct("text").alias("texts")).where(F.col("texts") >= least).select("run"), "goes")
-    found = by(parts).cogroup(by(often.join(goes, "run", "left_semi"))).applyInPandas(lambda key, p, r: _cuts(key, p, r, length), "host long, page "
-        "long, prose array<int>, cut array<int>")
+    going = table(often.join(goes, "run", "left_semi"), "going")
+    drop_table(often)
+    drop_table(goes)
+    return parts, going
+
+
+def _judged(streams: DataFrame, length: int, least: int) -> DataFrame:
+    """host, page, prose and `cut` of each distinct page of a host from which tokens go."""
+    parts, going = _runs(streams, length, least)
+    by = lambda df: df.groupBy("host", "part")
+    found = by(parts).cogroup(by(going)).applyInPandas(lambda key, p, r: _cuts(key, p, r, length), "host long, page long, prose array<int>, cut array<int>")
     cuts = table(found, "cuts")
-    for done in (parts, often, goes):
-        drop_table(done)
+    drop_table(parts)
+    drop_table(going)
     return cuts
 
 
+def _tally(key: tuple, streams: pd.DataFrame, runs: pd.DataFrame, length: int) -> pd.DataFrame:
+    tokens, page, state = _tokens(streams)
+    starts, names = _starts(key[0], tokens, page, length)
+    gone = _covered(starts[np.isin(names, runs["run"].to_numpy(np.int64))], len(tokens), length)
+    return pd.DataFrame({"state": np.arange(4), "tokens": np.bincount(state, minlength=4), "repeated": np.bincount(state[gone], minlength=4)})
+
+
+def array_report(pages: DataFrame, length: int = LENGTH, least: int = LEAST, shard: int = SHARD) -> DataFrame:
+    """What the hosts' arrays find, whatever the markup says: state (prose, open, out, named), tokens that the arrays read, and how many stand in runs that go."""
+    source = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64(host_of(F.col("url"))).alias("host"))
+    kind = "`text` string, `page` long, `paragraphs` array<struct<at:int,hash:long,size:int>>, `pieces` array<struct<at:int,piece:string,state:int>>"
+    rows = table(map_texts(source, "html", ["host"], kind, lambda texts: _parsed(texts, True)), "blocks")
+    parts, going = _runs(_streams(rows, length, least, shard), length, least)
+    by = lambda df: df.groupBy("host", "part")
+    found = by(parts).cogroup(by(going)).applyInPandas(lambda key, p, r: _tally(key, p, r, length), "state int, tokens long, repeated long")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("prose", "open", "out", "named")]), F.col("state") + 1)
+    return found.groupBy(name.alias("state")).agg(F.sum("tokens").alias("tokens"), F.sum("repeated").alias("repeated"))
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _parsed(texts: pa.Array) -> dict:
-    """Of each page: its text as the markup tells it, a hash of all blocks, its paragraphs (prose) and its other blocks."""
+def _parsed(texts: pa.Array, names: bool) -> dict:
+    """Of each page: its text as the markup tells it, a hash of all blocks, its paragraphs (prose) and its other blocks. Without `names`, blocks named by classes are open."""
     out: dict[str, list] = {"text": [], "page": [], "paragraphs": [], "pieces": []}
     for html in texts.to_pylist():
         blocks = blocks_of(html or "")
-        out["text"].append("\n".join(t for t, state in blocks if state != OUT))
+        if not names:
+            blocks = [(t, OPEN if state == NAMED else state) for t, state in blocks]
+        out["text"].append("\n".join(t for t, state in blocks if state in (PROSE, OPEN)))
         out["page"].append(_hash("\n".join(f"{state}{t}" for t, state in blocks)))
         out["paragraphs"].append([{"at": i, "hash": _hash(t), "size": len(t)} for i, (t, state) in enumerate(blocks) if state == PROSE])
         out["pieces"].append([{"at": i, "piece": t, "state": state} for i, (t, state) in enumerate(blocks) if state != PROSE])

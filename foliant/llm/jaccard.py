@@ -420,11 +420,10 @@ def _marked(names: np.ndarray, k1: int) -> bool:
     return bool(on_map(names, np.array([k1 % 2**64], np.uint64))[0])
 
 
-def class_links(docs: DataFrame, light: DataFrame, text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
-    """Edges a, b between least document ids of classes, enough to span all components of links. light: named(docs) as a table."""
+def class_links(docs: DataFrame, classes: DataFrame, text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
+    """Edges a, b between the numbers of classes, enough to span all components of links. classes: a table of k1, k2, n (shingles) and rep (a number of its own) of each set."""
     body = docs.select(F.col(text).cast("string").alias("text"))
-    classes = light.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("rep"),
-        F.first("n_shingles").alias("n"))
+    classes = classes.select("k1", "k2", "rep", "n")
     frequent = frequent_shingles(body, width)
     stay = table(survivors(body, width, frequent), "survivors")
     blocks = components(ties(body, width, frequent, _names_map(stay))).select(F.col("node").alias("k1"), F.col("root").alias("block"))
@@ -488,37 +487,70 @@ def _cross_chunks(sets: DataFrame, cuts: DataFrame, links: DataFrame) -> DataFra
     return links
 
 
+def _judged(docs: DataFrame, doc_id: str, text: str, width: int, big: int) -> tuple[DataFrame, DataFrame]:
+    """(named(docs), the classes of equal sets with the component_id of each), as tables."""
+    light = table(named(docs, doc_id, text, width), "names")
+    classes = light.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
+    classes = table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    links = class_links(docs.select(F.col(text).alias("text")), classes, "text", width, big)
+    roots = table(components(links), "roots")
+    found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    # as a table, so that the next join has two plain inputs, and a class with a third of all rows is split
+    return light, table(found.join(least, "root").select("k1", "k2", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) for each row of docs.
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) for each row of docs. Ids are of any type that sorts.
 
     Null texts and texts without words have empty sets, link with nothing and are their own component. Rows with the same text are linked; rows that
-    repeat an id and text are listed each. Texts of any length are shingled whole; a set is an array in the memory of one task. Texts whose rows all have a null id get a null component and don't link others. An empty table gives an
-    empty one; other columns aren't read.
+    repeat an id are listed each, and rows of one id with texts that don't link stay in components of their own. Texts of any length are shingled whole; a set is an array
+    in the memory of one task. A component whose rows all have a null id gets a null component_id. An empty table gives an empty one; other columns aren't read.
     """
-    light = table(named(docs, doc_id, text, width), "names")
-    links = class_links(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), light, "text", width, big)
-    roots = table(components(links), "roots")
-    classes = light.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
-    found = table(found, "classes")  # so that the next join has two plain inputs, and a class with a third of all rows is split
+    light, found = _judged(docs, doc_id, text, width, big)
     rows = light.join(found, ["k1", "k2"], "left")
     return rows.select(F.col("doc_id"), "n_shingles", F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs, all columns, with one row of each component: that with the least id, the first by its other columns where an id is repeated.
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
+    """docs, all columns, with one row of each component: that with the least id; where several rows have it, one of them, by the sets and then the columns.
 
-    Only rows whose id may have to go are shuffled: a bitmap of hashed ids, of fixed size, tells the others, which stay where they are. Rows with a null id
-    stay, as nothing tells them apart.
+    Rows without a word link with nothing and all stay. Whether a row goes is decided by its id and its set, so rows of one id with different texts are judged
+    apart. Only rows whose id may have to go are shuffled: a bitmap of hashed ids, of fixed size, tells the others, which stay where they are. Rows
+    whose id is null or repeated have their sets named again, and follow these names.
     """
-    found = table(near_duplicates(docs, doc_id, text, **options), "components")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    gone = found.where("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct()
-    gone = table(gone.select(F.xxhash64("doc_id").alias("k1")), "gone")
+    light, found = _judged(docs, doc_id, text, width, big)
+    # A component keeps its least id's least set; where all ids are null, there is a component for each (k1, k2).
+    rows = light.where("k1 is not null").join(found, ["k1", "k2"])
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    keep = first.where("component_id is not null").select(F.col("component_id").alias("__id"), "k.k1", "k.k2")
+    nameless = found.where("component_id is null").select("k1", "k2")
+    several = table(light.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    single = rows.where("doc_id is not null and doc_id <> component_id").select("doc_id")
+    gone = table(single.distinct(), "gone")
     columns = docs.columns
-    stay, maybe = divided(docs, F.when(F.col(doc_id).isNotNull(), F.xxhash64(F.col(doc_id))), gone)
-    removed = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    maybe = maybe.join(removed, doc_id, "left_anti")
-    twice = repeated.withColumnRenamed("doc_id", doc_id)
-    first = maybe.join(twice, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*columns)).alias("__first")).select("__first.*")
-    return stay.unionByName(maybe.join(twice, doc_id, "left_anti")).unionByName(first)
+    touched = gone.unionByName(several).select(F.xxhash64("doc_id").alias("k1")).distinct()
+    stay, maybe = divided(docs.where(F.col(doc_id).isNotNull()), F.xxhash64(F.col(doc_id)), table(touched, "touched"))
+    of = lambda ids: ids.select(F.col("doc_id").alias("__id"))
+    is_id = F.col(doc_id) == F.col("__id")
+    once = maybe.join(of(gone.unionByName(several)), is_id, "left_anti")
+    again = maybe.join(of(several), is_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull()))
+    renamed = [f"c{i}" for i in range(len(columns))]  # names of sets clash with nothing
+    plain = again.toDF(*renamed)
+    mine, words = (renamed[[c.lower() for c in columns].index(c.lower())] for c in (doc_id, text))
+    both = _named_rows(plain, words, width)
+    chosen = both.join(keep, (both[mine] == F.col("__id")) & (both["k1"] == keep["k1"]) & (both["k2"] == keep["k2"]), "left_semi")
+    chosen = chosen.unionByName(both.where(F.col(mine).isNull()).join(nameless, ["k1", "k2"], "left_semi").select(both.columns))
+    kept = chosen.groupBy(F.col(mine).alias("__id"), "k1", "k2").agg(F.min_by(F.struct(*renamed), F.to_json(F.struct(*renamed))).alias("r")).select("r.*")
+    kept = kept.unionByName(both.where("k1 is null").select(*renamed))
+    return stay.unionByName(once).unionByName(kept.toDF(*columns))
+
+
+def _named_rows(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """rows, with the name k1, k2 of each row's set."""
+
+    def names(texts: pa.Array) -> dict:
+        both = [name or (None, None) for name in names_of(sets_of(texts, width))]
+        return {"k1": [x[0] for x in both], "k2": [x[1] for x in both]}
+
+    return map_texts(rows, text, rows.columns, "k1 long, k2 long", names, SLICE)

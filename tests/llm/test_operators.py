@@ -732,7 +732,7 @@ def test_near_duplicates_of_odd_ids(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(7, 3), (7, 3), (None, 3), (3, 3), (None, None), (9, 9), (9, 9)], key=str)
     kept = [r["doc_id"] for r in jaccard.without_near_duplicates(docs).collect()]
-    assert sorted(map(str, kept)) == ["3", "9", "None", "None"]
+    assert sorted(map(str, kept)) == ["3", "9", "9", "None"]  # empty texts link with nothing
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -924,3 +924,55 @@ def test_registered_queries_cover_their_tables(spark, name):
     key = "page_id" if "page_id" in rows.columns else "doc_id"
     want = spark.read.parquet(f"{SF}/{'pages' if key == 'page_id' else 'documents'}.parquet").select(key).collect()
     assert sorted(r[0] for r in rows.select(key).collect()) == sorted(r[0] for r in want)
+
+
+def test_broken_markup_costs_no_more():
+    """Ten megabytes of tags that never end, in a few seconds."""
+    import time
+
+    for tag in ("<div class='", "<a ", "<!", '<a "', "<p title='x' y=", "<script", "<!--"):
+        began = time.perf_counter()
+        extraction.blocks_of(tag * (10_000_000 // len(tag)))
+        assert time.perf_counter() - began < 60
+
+
+def test_the_array_judges_what_classes_name(spark):
+    """A menu that only a class names goes by the array where names are off, if it stands beside three texts; what doesn't repeat goes by its name alone."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(n))
+    menu, own = say(20), [say(60) for _ in range(12)]
+    html = [f"<article><p>{t}</p><div class='sidebar'>{menu}</div><div class='comments'>{say(15)}</div></article>" for t in own]
+    pages = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    by_name = {r["page_id"]: r["text"] for r in extraction.main_text(pages).collect()}
+    assert by_name == dict(enumerate(own))
+    by_array = {r["page_id"]: r["text"] for r in extraction.main_text(pages, names=False, shard=3).collect()}
+    assert all(own[i] in t and menu not in t and len(t.split()) == 75 for i, t in by_array.items())
+    found = {r["state"]: (r["tokens"], r["repeated"]) for r in extraction.array_report(pages).collect()}
+    assert found["named"] == (12 * 35, 12 * 20)
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Ids that repeat over different texts, text ids, a map column: one row of each group of linked texts, whatever its id."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    texts = edited(rng, words, 40, 6) + edited(rng, words, 60, 6) + [" ".join(rng.choice(words) for _ in range(30)) for _ in range(12)] + ["", None, "x"]
+    want = brute_components(texts)
+    rows = [(rng.choice(["a", "b", "c", "d", None]) if rng.random() < 0.7 else f"id{i}", i, {"k": i}, t) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, 900, None, texts[0]), (None, 901, {}, "only null ids have this text here"), (None, 902, {}, "only null ids have this text here")]
+    docs = spark.createDataFrame(rows, "doc_id string, n int, m map<string,int>, text string").repartition(3)
+    kept = jaccard.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    group = {i: c[1] for i, c in enumerate(want)} | {900: want[0][1], 901: 901, 902: 901}
+    empty = {i for i, c in enumerate(want) if c[0] == 0}
+    got = [(r["doc_id"], r["n"]) for r in kept.collect()]
+    assert sorted(n for _, n in got if n in empty) == sorted(r[1] for r in rows if r[1] in empty)
+    assert sorted(group[n] for _, n in got if n not in empty) == sorted({g for n, g in group.items() if n not in empty})
+    ids = {}
+    for i, n, *_ in rows:
+        ids.setdefault(group[n], []).append(i)
+    least = {g: min((x for x in v if x is not None), default=None) for g, v in ids.items()}
+    assert all(i == least[group[n]] for i, n in got if n not in empty)
+    by_id = {}
+    for r, (i, n, *_) in zip(jaccard.near_duplicates(docs.orderBy("n")).orderBy("doc_id").collect(), sorted(rows, key=lambda r: (r[0] is not None, r[0] or "")), strict=True):
+        by_id.setdefault(i, []).append(r["component_id"])
+    assert {i: sorted(map(str, v)) for i, v in by_id.items()} == {i: sorted(str(i if n in empty else least[group[n]]) for j, n, *_ in rows if j == i) for i in by_id}
