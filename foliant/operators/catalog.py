@@ -25,6 +25,7 @@ MESSAGES = {
     "metadata": "No book metadata was found for this ISBN.",
     "other title": "Resolved title '{title}' does not match the CSV.",
     "other authors": "Resolved authors '{authors}' do not match the CSV.",
+    "no books": "The CSV contains no books.",
     "empty": "No valid rows were available to preview.",
     "no draft": "Draft catalog not found.",
     "in draft": "This ISBN is already in the draft.",
@@ -153,7 +154,8 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
 
     rows: file, slug, section, row, isbn, title, author. published: books (slug, section, isbn13 and book columns) of each slug's published batch. Published books of
     the slug's other section carry over; an imported ISBN that is among them is an error, and neither copy goes into the draft (keep_existing: the
-    published one does). Errors have stage, row and rule to order them by; so does a report when it is shown. Rows are judged once and written to the shared folder.
+    published one does). A file of whose rows none is valid stops there with an error, one of which none is imported has another; files without any row have
+    theirs from read_catalog_csv (file_errors). Errors have stage, row and rule to order them by. Rows are judged once and written to the shared folder.
     """
     keys = ["file", "slug", "section"]
     good, errors = checked_rows(rows, keys, save=True)
@@ -178,10 +180,13 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
             F.col("m.cover_url")).alias("cover_url"), "m.publisher", "m.identifiers", "m.published_date",
         release_date(F.col("section"), F.col("m.published_date")).alias("release_date"),
     )
-    files = rows.select(*keys).distinct()
     filled = books.select(*keys).distinct()
-    empty = files.join(filled, keys, "left_anti").select(*keys, F.lit(1).alias("row"), F.lit(5).alias("stage"), F.lit(1).alias("rule"),
-        F.lit("file").alias("field"), F.lit(MESSAGES["empty"]).alias("message"))
+    # Of each file that had rows: whether any was valid, and whether any was imported.
+    state = rows.select(*keys, F.lit(0).alias("__state")).unionByName(good.select(*keys, F.lit(1).alias("__state"))).unionByName(filled.select(*keys, F.lit(2).alias("__state")))
+    state = state.groupBy(*keys).agg(F.max("__state").alias("__state")).where("__state < 2")
+    none, message = F.col("__state") == 0, lambda m: F.lit(MESSAGES[m])
+    empty = state.select(*keys, F.lit(1).alias("row"), F.when(none, 2).otherwise(5).alias("stage"), F.when(none, 2).otherwise(1).alias("rule"), F.lit("file").alias("field"),
+        F.when(none, message("no books")).otherwise(message("empty")).alias("message"))
     errors = errors.unionByName(_errors(judged, keys)).unionByName(empty)
     carried = filled.withColumn("section", other).join(published, ["slug", "section"])
     if not keep_existing:
@@ -189,29 +194,31 @@ def import_catalog(rows: DataFrame, cache: DataFrame, library: DataFrame, volume
     return books.unionByName(carried.select(*books.columns)), errors, new_rows
 
 
-def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(draft, errors): requests (request_id, batch_id, section, isbn) in order; rejected are invalid ISBNs, unknown drafts, ISBNs in the draft and ISBNs without metadata."""
+def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame, batches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(draft, errors): requests (request_id, batch_id, section, isbn) in order; rejected are invalid ISBNs, unknown drafts, ISBNs in the draft and ISBNs without metadata.
+
+    batches (batch_id, status) says which drafts there are, also those without books; without it they are those of the books. Of several requests for a book the first adds
+    it; where there is no metadata, each says so.
+    """
     named = with_isbn13(requests, "isbn")
-    error = lambda df, m: df.select("request_id", F.lit(MESSAGES[m]).alias("message"))
-    errors = error(named.where(~F.col("is_valid")), "isbn")
-    good = named.where("is_valid").drop("is_valid")
-    drafts = draft.select("batch_id").distinct()
-    errors = errors.unionByName(error(good.join(drafts, "batch_id", "left_anti"), "no draft"))
-    good = good.join(drafts, "batch_id", "left_semi")
-    first, again = keep_first(good, ["batch_id", "isbn13"], ["request_id"])
-    there = draft.select("batch_id", "isbn13").distinct()
-    twice = first.join(there, ["batch_id", "isbn13"], "left_semi").unionByName(again)
-    errors = errors.unionByName(error(twice, "in draft"))
-    new = first.join(there, ["batch_id", "isbn13"], "left_anti")
-    resolved, _, _ = resolve_metadata(new, cache, library, volumes)
+    drafts = draft.select("batch_id") if batches is None else batches.where("status = 'Draft'").select("batch_id")
+    resolved, _, _ = resolve_metadata(named.where("is_valid"), cache, library, volumes)
     meta = resolved.withColumn("cover_url", resolved_cover(F.col("cover_override_url"), F.col("cover_url"))).drop("cover_override_url", "provider")
-    errors = errors.unionByName(error(new.join(meta.select("isbn13"), "isbn13", "left_anti"), "metadata"))
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    seen = Window.partitionBy("batch_id", "isbn13", "is_valid").orderBy("request_id")
+    judged = named.join(flag(drafts, "__draft"), "batch_id", "left").join(flag(draft.select("batch_id", "isbn13"), "__there"), ["batch_id", "isbn13"], "left")
+    judged = judged.join(meta.select("isbn13", F.struct(*[c for c in meta.columns if c != "isbn13"]).alias("m")), "isbn13", "left").withColumn("__n", F.row_number().over(seen))
+    known = F.col("m").isNotNull()
+    error = F.when(~F.col("is_valid"), MESSAGES["isbn"]).when(F.col("__draft").isNull(), MESSAGES["no draft"])
+    error = error.when(F.col("__there") | known & (F.col("__n") > 1), MESSAGES["in draft"]).when(~known, MESSAGES["metadata"])
+    judged = saved(judged.withColumn("message", error), "added-books")
     start = next_positions(draft, ["batch_id", "section"])
     seq = Window.partitionBy("batch_id", "section").orderBy("request_id")
-    added = new.join(meta, "isbn13").withColumn("n", F.row_number().over(seq)).join(start, ["batch_id", "section"], "left")
-    added = added.withColumns({"position": (F.coalesce("next_position", F.lit(1)) + F.col("n") - 1).cast("int"), "release_date": release_date(
-        F.col("section"), F.col("published_date"))})
-    return draft.unionByName(added.select(*[F.col(c) if c in added.columns else F.lit(None).alias(c) for c in draft.columns])), errors
+    added = judged.where("message is null").select("request_id", "batch_id", "section", "isbn13", "m.*").withColumn("n", F.row_number().over(seq))
+    added = added.join(start, ["batch_id", "section"], "left").withColumns({"position": (F.coalesce("next_position", F.lit(1)) + F.col("n") - 1).cast("int"),
+        "release_date": release_date(F.col("section"), F.col("published_date"))})
+    added = added.select(*[F.col(c) if c in added.columns else F.lit(None).alias(c) for c in draft.columns])
+    return draft.unionByName(added), judged.where("message is not null").select("request_id", "message")
 
 
 def remove_books(draft: DataFrame, requests: DataFrame) -> DataFrame:

@@ -132,13 +132,17 @@ def taken_emails(candidates: DataFrame, identities: DataFrame, email: str = "ema
 
 
 def apply_cover_overrides(draft: DataFrame, metadata: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(draft, metadata) after overrides (isbn13, url); a blank url takes an override away and brings the base cover back."""
-    new = overrides.groupBy("isbn13").agg(F.max("url").alias("__url")).withColumn("__set", F.lit(True))
-    url = F.when(~is_blank(F.col("__url")), F.trim("__url"))
-    meta = metadata.join(new, "isbn13", "left").withColumn("cover_override_url", F.when(F.col("__set"), url).otherwise(
-        F.col("cover_override_url"))).drop("__url", "__set")
-    base = metadata.select("isbn13", F.col("cover_url").alias("__base"))
-    changed = draft.join(new, "isbn13", "left").join(base, "isbn13", "left")
-    books = changed.withColumn("cover_url", F.when(F.col("__set") & F.col("__base").isNotNull(), F.coalesce(url, "__base")).otherwise(
-        F.col("cover_url"))).drop("__url", "__set", "__base")
-    return books, meta
+    """(draft, metadata) after overrides (request_id, batch_id, isbn13, url) in order; a url is taken as it is, a blank one takes an override away and brings the base cover back.
+
+    An override counts only where its draft holds the book and metadata knows it. It changes the book in that draft, and the metadata for whoever imports it next.
+    """
+    books = draft.select("batch_id", "isbn13").distinct()
+    good = overrides.join(books, ["batch_id", "isbn13"], "left_semi").join(metadata.select("isbn13").distinct(), "isbn13", "left_semi")
+    url = F.when(~is_blank(F.col("url")), F.col("url"))
+    last = lambda *keys: good.groupBy(*keys).agg(F.max_by(F.struct(url.alias("url")), "request_id").alias("__new"))
+    meta = metadata.join(last("isbn13"), "isbn13", "left")
+    meta = meta.withColumn("cover_override_url", F.when(F.col("__new").isNotNull(), F.col("__new.url")).otherwise(F.col("cover_override_url"))).drop("__new")
+    base = metadata.groupBy("isbn13").agg(F.min("cover_url").alias("__base"))
+    changed = draft.join(last("batch_id", "isbn13"), ["batch_id", "isbn13"], "left").join(base, "isbn13", "left")
+    cover = F.when(F.col("__new").isNotNull(), F.coalesce("__new.url", "__base")).otherwise(F.col("cover_url"))
+    return changed.withColumn("cover_url", cover).select(*draft.columns), meta.select(*metadata.columns)

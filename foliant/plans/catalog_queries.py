@@ -86,7 +86,8 @@ late AS (SELECT file, row, 3 AS stage, 1 AS rule, 'isbn' AS field, 'This ISBN is
 fine AS (SELECT k.* FROM kept k WHERE l_partkey % 5 <> 4 AND title <> 'no such title' AND author <> 'Somebody Else' AND NOT EXISTS (FROM clash c WHERE c.file = k.file AND c.row = k.row)),
 books AS (SELECT file, {_section('file')} AS section, position, isbn13 FROM fine
   UNION ALL SELECT p.file, {_section('p.file + 1')}, 1, {sql_isbn13('p.k')} FROM published p WHERE EXISTS (FROM fine f WHERE f.file = p.file) AND NOT EXISTS (FROM kept k WHERE k.file = p.file AND k.l_partkey = p.k)),
-empty AS (SELECT DISTINCT file, 1 AS row, 5 AS stage, 1 AS rule, 'file' AS field, 'No valid rows were available to preview.' AS message FROM import_rows WHERE file NOT IN (SELECT file FROM fine))
+empty AS (SELECT DISTINCT file, 1 AS row, 5 AS stage, 1 AS rule, 'file' AS field, 'No valid rows were available to preview.' AS message FROM kept WHERE file NOT IN (SELECT file FROM fine)
+  UNION ALL SELECT DISTINCT file, 1, 2, 2, 'file', 'The CSV contains no books.' FROM import_rows WHERE file NOT IN (SELECT file FROM kept))
 """
 
 
@@ -154,13 +155,13 @@ WITH {v.CATALOG_BOOKS}, gone AS (SELECT batch_id, section, source_key FROM catal
 rest AS (SELECT b.batch_id, b.section, row_number() OVER (PARTITION BY b.batch_id, b.section ORDER BY b.position) AS position, b.isbn13 FROM catalog_books b WHERE b.position > 1),
 ask AS (SELECT DISTINCT batch_id, CASE WHEN batch_id % 2 = 0 THEN 'popular' ELSE 'upcoming' END AS section, batch_id % (SELECT count(*) FROM part) AS k FROM rest),
 new AS (SELECT a.batch_id, a.section, {sql_isbn13('a.k')} AS isbn13 FROM ask a WHERE a.k % 5 <> 4 AND NOT EXISTS (FROM rest r WHERE r.batch_id = a.batch_id AND r.isbn13 = {sql_isbn13('a.k')}))
-SELECT batch_id, section, position, isbn13, CASE WHEN isbn13 IN (SELECT {sql_isbn13('p_partkey')} FROM part WHERE p_partkey % 50 = 0) THEN 'new cover' ELSE 'cover' END AS cover_url FROM (FROM rest UNION ALL
+SELECT batch_id, section, position, isbn13, CASE WHEN isbn13 IN (SELECT {sql_isbn13('p_partkey')} FROM part WHERE p_partkey % 50 = 0) THEN ' new cover ' ELSE 'cover' END AS cover_url FROM (FROM rest UNION ALL
 SELECT n.batch_id, n.section, coalesce((SELECT max(position) FROM rest r WHERE r.batch_id = n.batch_id AND r.section = n.section), 0) + 1, n.isbn13 FROM new n)
 """
 
 
-@query(_SQL_DRAFT)
-def draft_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(draft, errors, metadata) after the first books are taken out, a book is asked for in each draft, and covers of every fiftieth part are set where drafts hold it."""
     books = v.catalog_books(spark, sf_dir).select("batch_id", "section", "position", "isbn13", F.lit("cover").alias("cover_url"))
     rest = catalog.remove_books(books, books.where("position = 1"))
     n_parts = read(spark, sf_dir, "part").agg(F.count("*")).scalar()
@@ -168,10 +169,50 @@ def draft_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("batch_id") % 2 == 0, "popular").otherwise("upcoming").alias("section"), v.isbn10(F.col("k")).alias("isbn"))
     meta = [v.metadata_rows(spark, sf_dir, n).withColumns({"cover_url": F.lit("cover"), "cover_override_url": F.lit(None).cast("string")})
         for n in ("cache", "library", "volumes")]
-    draft, _ = catalog.add_books(rest, ask, *meta)
+    draft, errors = catalog.add_books(rest, ask, *meta)
     all_meta = meta[0].unionByName(meta[1]).unionByName(meta[2])
     parts = read(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(v.isbn13(F.col("p_partkey")).alias("isbn13"), F.lit(" new cover ").alias("url"))
-    return joins.apply_cover_overrides(draft, all_meta, parts)[0].select("batch_id", "section", "position", "isbn13", "cover_url")
+    asked = rest.select("batch_id").distinct().join(draft.select("batch_id", "isbn13").join(parts, "isbn13"), "batch_id").withColumn("request_id", F.col("batch_id"))
+    blank = asked.select("batch_id", "isbn13", F.lit(" ").alias("url"), (F.col("request_id") - 1).alias("request_id"))  # taken away before it is set
+    nowhere = parts.select(F.lit(-1).cast("long").alias("batch_id"), "isbn13", F.lit("no draft has it").alias("url"), F.lit(2**60).alias("request_id"))
+    return *joins.apply_cover_overrides(draft, all_meta, asked.unionByName(blank).unionByName(nowhere)), errors
+
+
+@query(_SQL_DRAFT)
+def draft_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)[0].select("batch_id", "section", "position", "isbn13", "cover_url")
+
+
+@query(
+    _SQL_DRAFT[: _SQL_DRAFT.index("SELECT batch_id, section, position")] + f"SELECT {sql_isbn13('p_partkey')} AS isbn13, CASE WHEN p_partkey % 50 = 0 AND {sql_isbn13('p_partkey')} IN (SELECT isbn13 FROM rest "
+        f"UNION SELECT isbn13 FROM new) THEN ' new cover ' END AS cover_override_url FROM part WHERE p_partkey % 5 <> 4"
+)
+def cover_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata after the overrides: only books of a draft have one."""
+    return _edited(spark, sf_dir)[1].select("isbn13", "cover_override_url")
+
+
+@query(
+    f"WITH {v.CATALOG_BOOKS}, {v.BATCHES}, ask AS (SELECT l_orderkey * 100 + l_partkey % 7 * 10 + l_linenumber AS request_id, l_orderkey AS batch_id, l_partkey + l_linenumber // 3 AS k, l_linenumber FROM "
+        f"(SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY l_partkey) = 1), "
+    f"named AS (SELECT *, l_linenumber <> 7 AS valid, {sql_isbn13('k')} AS isbn13, k % 5 <> 4 AND EXISTS (FROM part WHERE p_partkey = k) AS known, EXISTS (FROM batches b WHERE b.batch_id = a.batch_id AND status = 'Draft') "
+        f"AS is_draft FROM ask a), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY batch_id, k, valid ORDER BY request_id) AS n, EXISTS (FROM catalog_books c WHERE c.batch_id = a.batch_id AND c.isbn13 = a.isbn13) AS there FROM named a) "
+    "SELECT request_id, CASE WHEN NOT valid THEN 'Enter a valid ISBN-10 or ISBN-13.' WHEN NOT is_draft THEN 'Draft catalog not found.' WHEN there OR known AND n > 1 THEN 'This ISBN is already in the draft.' ELSE "
+        "'No book metadata was found for this ISBN.' END AS message FROM n WHERE NOT valid OR NOT is_draft OR there OR n > 1 OR NOT known"
+)
+def draft_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of books that are asked for: parts of orders and their neighbours, with cut ISBNs (line 7)."""
+    from pyspark.sql import Window
+
+    books = v.catalog_books(spark, sf_dir).select("batch_id", "section", "position", "isbn13", F.lit("cover").alias("cover_url"))
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    ask = line.withColumn("request_id", F.col("l_orderkey") * 100 + F.col("l_partkey") % 7 * 10 + F.col("l_linenumber"))
+    ask = ask.withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("l_partkey"))).where("n = 1")
+    full = v.isbn13((F.col("l_partkey") + F.floor(F.col("l_linenumber") / 3)).cast("long"))
+    ask = ask.select("request_id", F.col("l_orderkey").alias("batch_id"), F.lit("popular").alias("section"), F.when(F.col("l_linenumber") == 7, F.substring(full, 1, 9)).otherwise(full).alias("isbn"))
+    meta = [v.metadata_rows(spark, sf_dir, n) for n in ("cache", "library", "volumes")]
+    return catalog.add_books(books, ask, *meta, batches=v.batches(spark, sf_dir))[1]
 
 
 _RULES = " UNION ALL ".join(f"SELECT '{g}' AS genre_slug, '{p}' AS pattern" for g, p in v.TEST_RULES.items())

@@ -2,9 +2,12 @@
 
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.functions import audit as audit_functions
@@ -13,7 +16,7 @@ from foliant.operators import audit, catalog, joins, search, validation, windows
 from foliant.operators import shelves as shelf_ops
 from foliant.schemas import TABLES
 from foliant.sources import feeds
-from foliant.sources.catalog_csv import parse_catalog, read_catalog_csv
+from foliant.sources.catalog_csv import csv_records, parse_catalog, read_catalog_csv
 from foliant.sources.tables import load_table, save_table
 
 
@@ -108,7 +111,11 @@ def test_catalog_csv(spark, tmp_path):
     assert errors == [(4, "row", "Expected 3 columns but found 2.")]
     assert parse_catalog(b"") == ([], [(1, "file", "The CSV is empty.")])
     assert [e[2] for e in parse_catalog(b"isbn,isbn,genre\n")[1]] == ["Unknown columns: genre.", "Missing columns: title, author.", "Duplicate columns: isbn."]
-    assert parse_catalog(b'isbn,title,author\n"open,1,2')[1][0][1] == "file"
+    assert parse_catalog(b"isbn,title,author\n\n ,,\n1,2\n")[1] == [(4, "row", "Expected 3 columns but found 2."), (1, "file", "The CSV contains no books.")]
+    assert [e[2] for e in parse_catalog(b"\n")[1]] == ["Unknown columns: .", "Missing columns: isbn, title, author."]
+    assert parse_catalog(b'isbn,title,author\n"open,1,2')[1] == [(1, "file", "The CSV contains an unclosed quoted field.")]
+    long = "x, \n" * 260_000
+    assert parse_catalog(f'isbn,title,author\n1,"{long}",c'.encode())[0] == [(2, "1", long.strip(), "c")]
     assert parse_catalog(b"isbn,title,author\n\xff,1,2")[1][0][:2] == (1, "file")
     (tmp_path / "a.csv").write_text(CSV)
     (tmp_path / "b.csv").write_text("isbn\n")
@@ -244,3 +251,32 @@ def test_rotation_and_lookup(spark):
     items = spark.createDataFrame([(i, f"n{i}") for i in range(3)], "idx int, name string")
     dates = spark.createDataFrame([("2024-01-01",), ("2024-01-05",), ("2023-12-31",)], "d string").select(F.to_date("d").alias("date"))
     assert {str(r["date"]): r["name"] for r in audit.rotation(dates, items).collect()} == {"2024-01-01": "n0", "2024-01-05": "n1", "2023-12-31": "n2"}
+
+
+def toggled(text):
+    """Records by tokens: a quoted stretch, a comma, a line's end, other characters."""
+    records, record, field = [], [], ""
+    for t in re.findall(r'"(?:[^"]|"")*"|\r\n|[\r\n,]|[^"\r\n,]+|"', text):
+        if t == '"':
+            raise ValueError
+        if t[0] == '"':
+            field += t[1:-1].replace('""', '"')
+        elif t[0] not in ",\r\n":
+            field += t
+        else:
+            record, field = [*record, field], ""
+            if t != ",":
+                records, record = [*records, record], []
+    return [*records, [*record, field]] if field or record else records
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet='a,"\r\n', max_size=12))
+def test_quotes_anywhere(text):
+    try:
+        want = toggled(text)
+    except ValueError:
+        with pytest.raises(ValueError, match="unclosed"):
+            csv_records(text)
+    else:
+        assert csv_records(text) == want
