@@ -488,7 +488,7 @@ def _cross_chunks(sets: DataFrame, cuts: DataFrame, links: DataFrame) -> DataFra
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str, width: int, big: int) -> tuple[DataFrame, DataFrame]:
-    """(named(docs), the classes of equal sets with the component_id of each), as tables."""
+    """(named(docs), the classes of equal sets with the number of each one's component, root, and its component_id), as tables."""
     light = table(named(docs, doc_id, text, width), "names")
     classes = light.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
     classes = table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
@@ -497,7 +497,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, width: int, big: int) -> tu
     found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
     # as a table, so that the next join has two plain inputs, and a class with a third of all rows is split
-    return light, table(found.join(least, "root").select("k1", "k2", "component_id"), "components")
+    return light, table(found.join(least, "root").select("k1", "k2", "root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, big: int = BIG) -> DataFrame:
@@ -520,11 +520,10 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     whose id is null or repeated have their sets named again, and follow these names.
     """
     light, found = _judged(docs, doc_id, text, width, big)
-    # A component keeps its least id's least set; where all ids are null, there is a component for each (k1, k2).
+    # A component keeps its least id's least set. An id may be the least one of several components.
     rows = light.where("k1 is not null").join(found, ["k1", "k2"])
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    keep = first.where("component_id is not null").select(F.col("component_id").alias("__id"), "k.k1", "k.k2")
-    nameless = found.where("component_id is null").select("k1", "k2")
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("component_id").alias("__id"))
+    keep, nameless = first.where("__id is not null").select("__id", "k.k1", "k.k2"), first.where("__id is null").select("k.k1", "k.k2")
     several = table(light.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     single = rows.where("doc_id is not null and doc_id <> component_id").select("doc_id")
     gone = table(single.distinct(), "gone")
