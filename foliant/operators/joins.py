@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import explode_identifiers, is_blank, normalize_identifier, normalize_isbn
 from ..functions.text import author_key, comparable
+from ..shared import saved, work_dir
 
 
 def _entry_keys(df: DataFrame, id_column: str) -> DataFrame:
@@ -52,6 +55,33 @@ def resolve_metadata(isbns: DataFrame, cache: DataFrame, library: DataFrame, vol
     return resolved.drop("__rank"), resolved.where("__rank > 0").drop("__rank"), found.where("m is null").select("isbn13")
 
 
+class MetadataCache:
+    """Metadata by isbn13 in a table whose files are buckets of ISBNs, so that a join on isbn13 doesn't shuffle it. What an import finds is saved, also if its rows are rejected later."""
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 16):
+        self.spark, self.name, self.buckets = spark, name or f"book_metadata_{uuid.uuid4().hex}", buckets
+        self.columns = [*METADATA, "cover_override_url"]
+
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.name)
+
+    def read(self) -> DataFrame:
+        """The cache; it must have been saved to once."""
+        return self.spark.table(self.name)
+
+    def save(self, rows: DataFrame) -> None:
+        """Adds the rows whose isbn13 isn't there, one for each. Saving again adds nothing."""
+        override = F.col("cover_override_url") if "cover_override_url" in rows.columns else F.lit(None).cast("string").alias("cover_override_url")
+        rows = rows.select(*METADATA, override).where("isbn13 is not null")
+        if self.exists():
+            rows = rows.join(self.read().select("isbn13"), "isbn13", "left_anti")
+        rest = F.struct(*[c for c in self.columns if c != "isbn13"])
+        one = rows.groupBy("isbn13").agg(F.min_by(rest, F.struct("source_book_id", "title")).alias("m")).select("isbn13", "m.*")
+        one = saved(one.select(*self.columns), "new-metadata")  # the cache can't be read while it is written
+        writer = one.repartition(self.buckets, "isbn13").write.mode("append").bucketBy(self.buckets, "isbn13").sortBy("isbn13").format("parquet")
+        (writer if self.exists() else writer.option("path", work_dir(self.spark, "book-metadata"))).saveAsTable(self.name)
+
+
 def expand_by_author(fits: DataFrame, books: DataFrame, group: str, book_id: str, author: str = "author") -> DataFrame:
     """(book, group) for the books whose author (trimmed, without case) wrote one that fits the group; blank authors match nothing."""
     named = books.select(book_id, F.lower(F.trim(author)).alias("__author"))

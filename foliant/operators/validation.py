@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,20 +100,25 @@ REFERENCES = [("users", "identity_user_id", "identities", "id"), ("catalog_books
 
 def audit_constraints(tables: dict[str, DataFrame], unique: dict[str, list[list[str]]] = UNIQUE,
     references: list[tuple[str, str, str, str]] = REFERENCES) -> DataFrame:
-    """A row for each constraint: table_name, constraint_name, violations (keys more than once, rows without their parent). Keys with a null aren't compared."""
+    """A row for each constraint: table_name, constraint_name, violations (keys more than once, rows without their parent). Keys with a null aren't compared.
+
+    Each table is read once: a row is stacked as the keys that it has in each constraint, as child or as parent, and all are counted in one aggregation.
+    """
+    rules = [(n, k, None) for n, many in unique.items() for k in many if n in tables]
+    rules += [(n, [k], (parent, pk)) for n, k, parent, pk in references if n in tables and parent in tables]
+    text = lambda keys: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))
+    key = lambda i, keys, parent: F.struct(F.lit(i).alias("rule"), text(keys).alias("key"), F.lit(int(not parent)).alias("child"), F.lit(int(parent)).alias("parent"))
     out = None
-    for name, keys in ((n, k) for n, many in unique.items() for k in many if n in tables):
-        rows = tables[name].dropna(subset=keys)
-        found = duplicates(rows, keys).agg(F.count("*").alias("violations"))
-        out = _add(out, found, name, "unique(" + ", ".join(keys) + ")")
-    for name, key, parent, parent_key in references:
-        if name in tables and parent in tables:
-            orphans = tables[name].where(F.col(key).isNotNull()).join(tables[parent].select(F.col(parent_key).alias(key)), key, "left_anti").agg(
-                F.count("*").alias("violations"))
-            out = _add(out, orphans, name, f"{key} in {parent}")
-    return out
-
-
-def _add(out: DataFrame | None, found: DataFrame, table: str, what: str) -> DataFrame:
-    row = found.select(F.lit(table).alias("table_name"), F.lit(what).alias("constraint_name"), "violations")
-    return row if out is None else out.unionByName(row)
+    for name, df in tables.items():
+        stacks = [key(i, keys, False) for i, (n, keys, _) in enumerate(rules) if n == name] + [key(i, [of[1]], True) for i, (*_, of) in enumerate(rules) if of and of[0] == name]
+        if stacks:
+            rows = df.select(F.explode(F.array(*stacks)).alias("k")).select("k.*").where("key is not null")
+            out = rows if out is None else out.unionByName(rows)
+    names = [(i, n, f"{keys[0]} in {of[0]}" if of else "unique(" + ", ".join(keys) + ")", bool(of)) for i, (n, keys, of) in enumerate(rules)]
+    if out is None:
+        raise ValueError("no table has a constraint")
+    named = out.sparkSession.createDataFrame(names, "rule int, table_name string, constraint_name string, reference boolean")
+    counts = out.groupBy("rule", "key").agg(F.sum("child").alias("n"), F.max("parent").alias("parent"))
+    broken = counts.groupBy("rule").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.when(F.col("parent") == 0, F.col("n"))).alias("orphans"))
+    return named.join(broken, "rule", "left").select("table_name", "constraint_name", F.coalesce(F.when(F.col("reference"), F.col("orphans")).otherwise(F.col("repeated")), F.lit(0).cast(
+        "long")).alias("violations"))

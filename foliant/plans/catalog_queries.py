@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, joins, search, validation, windows
+from ..shared import saved
 from . import views as v
 from .views import read, sql_isbn10, sql_isbn13, sql_stamp, stamp
 
@@ -225,6 +226,33 @@ def genre_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(v.volumes(spark, sf_dir), v.TEST_RULES).select(F.col("pos").alias("p_partkey"), "genre_slug")
 
 
+@query(f"WITH rules AS ({_RULES}) SELECT p_partkey, genre_slug FROM part, rules WHERE regexp_matches(lower(p_name || ' ' || p_type), pattern)")
+def genre_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same classes by rules that are a table of terms."""
+    from ..functions.books import classify_by_terms, terms_of
+
+    rules = spark.createDataFrame([(g, t) for g, p in v.TEST_RULES.items() for t in terms_of(p)], "genre_slug string, term string")
+    return classify_by_terms(v.volumes(spark, sf_dir), rules, ["pos"]).select(F.col("pos").alias("p_partkey"), "genre_slug")
+
+
+@query(
+    f"WITH k AS (SELECT DISTINCT l_partkey AS p_partkey FROM lineitem) SELECT {sql_isbn13('p_partkey')} AS isbn13, {v.SQL_PROVIDER} AS provider, p_partkey % 5 BETWEEN 1 AND 3 AS is_new, false AS new_again "
+    "FROM k JOIN part USING (p_partkey) WHERE p_partkey % 5 < 4"
+)
+def metadata_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata found by a first import, saved, and found by a second one: all come from the cache then."""
+    wanted = read(spark, sf_dir, "lineitem").select(v.isbn13(F.col("l_partkey")).alias("isbn13"))
+    cached, library, volumes = (v.metadata_rows(spark, sf_dir, n) for n in ("cache", "library", "volumes"))
+    cache = joins.MetadataCache(spark)
+    cache.save(cached)
+    found, new, _ = joins.resolve_metadata(wanted, cache.read(), library, volumes)
+    rows = saved(found.join(new.select("isbn13", F.lit(True).alias("is_new")), "isbn13", "left").select("isbn13", "provider", F.coalesce("is_new", F.lit(False)).alias("is_new")), "found")
+    cache.save(new)
+    again, new, _ = joins.resolve_metadata(wanted, cache.read(), library, volumes)
+    flags = again.select("isbn13", "provider").join(new.select("isbn13", F.lit(True).alias("new_again")), "isbn13", "left")
+    return rows.join(flags, ["isbn13", "provider"]).select("isbn13", "provider", "is_new", F.coalesce("new_again", F.lit(False)).alias("new_again"))
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volumes dealt to the genres by key; the genre colours' feed comes in two responses, so it is combined first."""
     vol = v.volumes(spark, sf_dir).withColumn("genre_slug", F.when(F.col("pos") % 4 == 0, "colours").when(F.col("pos") % 4 == 1, "hardware").otherwise("sizes"))

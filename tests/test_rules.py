@@ -280,3 +280,52 @@ def test_quotes_anywhere(text):
             csv_records(text)
     else:
         assert csv_records(text) == want
+
+
+def test_rules_as_a_table(spark):
+    """Terms of the genre patterns find what the patterns find; ten thousand more rules change nothing for books without them."""
+    rng = random.Random(3)
+    terms = [(g, t) for g, p in books.GENRE_RULES.items() for t in books.terms_of(p)]
+    assert {"sci-fi", "coming-of-age", "spaceship", "possession", "life of"} <= {t for _, t in terms} and "" not in {t for _, t in terms}
+    some = [t for _, t in terms] + ["the", "x", "ghostly", "sci", "fi", "_magic", "ÉLVES", "Science  Fiction", "9gods"]
+    rows = [(i, None if i % 9 == 0 else rng.choice(["", " ", "-", ", ", "é"]).join(rng.choice(some) for _ in range(rng.randrange(5))), None if i % 5 == 0 else rng.choice(some).upper() + rng.choice(["", "!", "s"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, title string, description string")
+    want = sorted((r["id"], r["genre_slug"]) for r in books.classify(df).collect())
+    more = [(f"g{i % 50}", f"zz{i} yy{i % 7}") for i in range(10_000)]
+    rules = spark.createDataFrame(terms + more + [("none", None), ("none", " "), ("horror", "ghost")], "genre_slug string, term string")
+    got = sorted((r["id"], r["genre_slug"]) for r in books.classify_by_terms(df, rules, ["id"]).collect())
+    assert got == want and len(got) > 300
+    one = spark.createDataFrame([(1, "A ZZ77 YY0 b", None)], "id int, title string, description string")
+    assert [tuple(r) for r in books.classify_by_terms(one, rules, ["id"]).collect()] == [(1, "g27")]
+
+
+def test_the_cache_is_joined_without_a_shuffle(spark):
+    cache = joins.MetadataCache(spark, buckets=4)
+    row = {c: "x" for c in joins.METADATA} | {"authors": ["a"], "identifiers": []}
+    schema = TABLES["book_metadata"]
+    frame = lambda ids: spark.createDataFrame([tuple((row | {"isbn13": i}).get(f.name) for f in spark.createDataFrame([], schema).schema) for i in ids], schema)
+    cache.save(frame(["1", "2", "2", None]))
+    cache.save(frame(["2", "3"]))
+    cache.save(frame(["3"]))
+    assert sorted(r["isbn13"] for r in cache.read().collect()) == ["1", "2", "3"]
+    wanted = spark.range(100).selectExpr("cast(id as string) isbn13").repartition(4, "isbn13")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = wanted.join(cache.read(), "isbn13")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_constraints_read_each_table_once(spark, tmp_path):
+    one = lambda name, ddl, rows: (spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    tables = {
+        "users": one("users", "user_id int, identity_user_id string", [(1, "a"), (2, "zz"), (3, None)]), "identities": one("identities", "id string", [("a",)]),
+        "reading_goals": one("reading_goals", "user_id int, year int", [(1, 2024), (1, 2024), (1, 2025), (9, 2024), (9, 2023)]),
+        "book_entries": one("book_entries", "user_id int, source string, source_book_id string", [(1, "s", "b"), (1, "s", "b"), (1, "s", None), (1, "s", None)]),
+    }
+    out = validation.audit_constraints(tables)
+    got = {(r["table_name"], r["constraint_name"]): r["violations"] for r in out.collect()}
+    assert got == {("book_entries", "unique(user_id, source, source_book_id)"): 1, ("reading_goals", "unique(user_id, year)"): 1, ("users", "identity_user_id in identities"): 1,
+        ("reading_goals", "user_id in users"): 2, ("book_entries", "user_id in users"): 0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 4
