@@ -208,14 +208,15 @@ def _counted(texts: pa.Array, langs: pa.Array, order: int) -> list[tuple[str, in
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, sample: int = SAMPLE, key: list[str] | None = None,
     sample_bytes: int = SAMPLE_BYTES) -> Models:
-    """Fits the models on rows of docs with a language: of each language about `sample` documents, picked by a hash of `key` (doc_id if there is one, else all columns), for counts need no more."""
+    """Fits the models on rows of docs with a language: of each language about `sample` documents, picked by a hash of `key` (doc_id if there is one) and text, for counts need no more. Of these a part is set aside to calibrate; only a
+    language with too few documents for that calibrates on those it counts."""
     from ._spark import ship
     from .quality import below
 
     spark = docs.sparkSession
     ship(spark)
     key = key or (["doc_id"] if "doc_id" in docs.columns else [text, lang])
-    rows = docs.select(F.xxhash64(*key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(
+    rows = docs.select(F.xxhash64(*key, text).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(
         "t is not null and l is not null")
     rows = rows.where(F.octet_length("t") <= max(1, sample_bytes // 100))
     sizes = {r["l"]: (r["n"], r["b"]) for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect(
@@ -227,10 +228,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     limits = spark.createDataFrame([(k, limit(n, b)) for k, (n, b) in sizes.items()], "l string, most long")
     sampled = table(rows.join(F.broadcast(limits), "l").where(F.xxhash64("k") <= F.col("most")).select("t", "l",
         (F.pmod(F.xxhash64("k", F.lit(1)), F.lit(CALIBRATION)) == 0).alias("held")), "language-sample")
-    held = sampled.where("held")
-    picked = sampled.where("not held").select("t", "l")
-    if picked.select("l").distinct().count() < len(langs):  # too few documents of a language to set some aside
-        picked = held = sampled.select("t", "l")
+    parts = sampled.groupBy("l").agg(F.count_if("held").alias("h"), F.count_if(~F.col("held")).alias("p")).where("h = 0 or p = 0")
+    few = F.col("l").isin([r["l"] for r in parts.collect()])  # languages with too few documents to set some aside
+    held, picked = (sampled.where(few | F.col("held") if of_held else few | ~F.col("held")).select("t", "l") for of_held in (True, False))
 
     def run(batches):
         for b in batches:

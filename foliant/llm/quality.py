@@ -150,33 +150,34 @@ def below(share: float, *columns: str) -> F.Column:
     return F.xxhash64(*columns) <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
 
 
-def bounded(rows: DataFrame, text: str, key: list[str], most_bytes: int) -> DataFrame:
-    """A small table's rows in the order of their hash, as long as their texts have `most_bytes` at most in all; a longer text is passed over.
+def bounded(rows: DataFrame, text: str, key: list[str], most_bytes: int, most_rows: int) -> DataFrame:
+    """Different rows (by key and text) in the order of their hash, most_rows at most, as long as their texts have `most_bytes` at most in all; a longer text is passed over.
 
-    rows must be bounded in number: only hashes and lengths go to the driver, and the last hash that fits comes back.
+    Only hashes and lengths of most_rows rows go to the driver, whatever ids or texts repeat.
     """
-    sizes = rows.select(F.xxhash64(*key).alias("h"), F.octet_length(text).alias("n")).where(F.col("n") <= most_bytes).orderBy("h", "n").collect()
-    total, last = 0, -(2**63)
+    named = rows.where(F.octet_length(text) <= most_bytes).withColumn("__h", F.xxhash64(*key, text)).dropDuplicates(["__h"])
+    sizes = named.select("__h", F.octet_length(text).alias("n")).orderBy("__h").limit(most_rows).collect()
+    total, last = 0, None
     for r in sizes:
         if (total := total + r["n"]) > most_bytes:
             break
-        last = r["h"]
-    else:
-        last = 2**63 - 1
-    return rows.where((F.octet_length(text) <= most_bytes) & (F.xxhash64(*key) <= last))
+        last = r["__h"]
+    return named.where(F.lit(False) if last is None else F.col("__h") <= last).drop("__h")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels that train: labelled rows, but for those with crc32(doc_id) mod 4 = 2 and null labels, at most about `sample` of them by hash, with texts of `most_bytes` at most.
+    """Texts and labels that train: labelled rows, but for those with crc32(doc_id) mod 4 = 2 and null labels, at most about `sample` ids by hash, with 2 * sample different texts
+    and `most_bytes` of them at most. Rows that agree in id, text and label train once; an id with both labels trains both.
 
     Training needs no more than these bounds, which is why it may go through the driver. Rows are put in order, so that reruns train alike.
     """
-    train_rows = labels.where(f"`{label}` in (0, 1)").select("doc_id", F.col(label).cast("int").alias("__y")).where(~held_out("doc_id"))
+    train_rows = labels.where(f"`{label}` in (0, 1)").select("doc_id", F.col(label).cast("int").alias("__y")).where(~held_out("doc_id")).distinct()
     n = train_rows.count()
     if n > sample:
         train_rows = train_rows.where(below(sample / n, "doc_id"))
+    # about `sample` rows: at most two for an id, and ids are chosen by hash
     rows = docs.select("doc_id", F.col("text").cast("string").alias("__t")).where("__t is not null").join(F.broadcast(train_rows), "doc_id")
-    got = bounded(table(rows, "labelled"), "__t", ["doc_id"], most_bytes).select("__t", "__y").toArrow()
+    got = bounded(table(rows, "labelled"), "__t", ["doc_id", "__y"], most_bytes, 2 * sample).select("__t", "__y").toArrow()
     texts, y = got.column("__t").to_pylist(), np.array(got.column("__y").to_pylist(), np.int64)
     order = sorted(range(len(texts)), key=lambda i: (hash_of(texts[i]), texts[i], y[i]))
     return [texts[i] for i in order], y[order]

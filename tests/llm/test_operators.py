@@ -635,8 +635,9 @@ def test_samples_are_bounded(spark):
     assert spark.range(1000).where(quality.below(1.0, "id")).count() == 1000
     assert quality.below(2.5e-10, "id") is not None
     rows = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(50, "y" * 10_000)], "doc_id long, t string")
-    assert quality.bounded(rows, "t", ["doc_id"], 1_000).count() == 10
-    assert quality.bounded(rows, "t", ["doc_id"], 10**6).count() == 51
+    assert quality.bounded(rows, "t", ["doc_id"], 1_000, 100).count() == 10
+    assert quality.bounded(rows, "t", ["doc_id"], 10**6, 7).count() == 7
+    assert quality.bounded(rows, "t", ["doc_id"], 10**6, 100).count() == 51
 
 
 def test_scores_of_clashing_columns_and_long_texts(spark):
@@ -976,3 +977,24 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     for r, (i, n, *_) in zip(jaccard.near_duplicates(docs.orderBy("n")).orderBy("doc_id").collect(), sorted(rows, key=lambda r: (r[0] is not None, r[0] or "")), strict=True):
         by_id.setdefault(i, []).append(r["component_id"])
     assert {i: sorted(map(str, v)) for i, v in by_id.items()} == {i: sorted(str(i if n in empty else least[group[n]]) for j, n, *_ in rows if j == i) for i in by_id}
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """One id on all rows, and a label that many rows repeat."""
+    docs = spark.range(20_000).selectExpr("1 doc_id", "concat('text number ', id, repeat(' x', 40)) text")
+    labels = spark.range(3_000).selectExpr("1 doc_id", "1 quality", "0 toxic")
+    texts, y = quality.labelled_sample(docs, labels, "quality", 500, 50_000)
+    assert 300 < len(texts) <= 1_000 and sum(len(t.encode()) for t in texts) <= 50_000 and set(y) == {1}
+    assert len(quality.labelled_sample(docs, labels, "quality", 100, 10**9)[0]) == 200
+    assert quality.labelled_sample(docs, labels, "quality", 100, 10)[0] == []
+
+
+def test_a_language_of_one_document(spark):
+    """It calibrates on that document; the others still on documents that they didn't count."""
+    rng = random.Random(6)
+    say = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(30))
+    rows = [(None if i % 4 == 0 else 5, say("abcde" if i % 2 else "uvwxy"), "one" if i % 2 else "two") for i in range(400)] + [(None, say("klmno"), "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.train(docs)
+    got = {r["lang"]: r["ok"] for r in language.predictions(docs, models, ["lang"]).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("ok")).collect()}
+    assert got["few"] == 1 and min(got.values()) > 0.95
