@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, joins, search, validation, windows
-from ..shared import saved
+from ..operators.search_index import SearchIndex
+from ..shared import saved, work_dir
 from . import views as v
 from .views import read, sql_isbn10, sql_isbn13, sql_stamp, stamp
 
@@ -313,6 +314,38 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "pos")).alias("rank"))  # two pages at most
 
 
+_MANY = """
+WITH ask AS (SELECT DISTINCT 'name ' || split_part(p_name, ' ', 1) AS query_id, split_part(p_name, ' ', 1) AS q FROM part UNION SELECT DISTINCT 'brand ' || p_brand, p_brand FROM part UNION SELECT 'two', 'red ring'),
+t AS (SELECT query_id, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS q, string_split(lower(q), ' ') AS terms FROM ask),
+b AS (SELECT 'part-' || p_partkey AS id, lower(p_name) AS title, lower(p_brand) AS author, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS na, p_size FROM part),
+f AS (SELECT query_id, id, 0 AS src FROM t, b WHERE len(list_filter(terms, lambda x: NOT contains(title, x))) = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 40
+  UNION ALL SELECT query_id, id, 1 FROM t, b WHERE len(list_filter(terms, lambda x: NOT contains(author, x))) = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 40),
+u AS (SELECT query_id, id, min(src) AS src FROM f GROUP BY ALL),
+w AS (SELECT u.*, q, nt, na, p_size, string_split(q, ' ') AS ws FROM u JOIN t USING (query_id) JOIN b USING (id)),
+s AS (SELECT *, CASE WHEN nt = q THEN 1000 WHEN starts_with(nt, q) THEN 600 WHEN contains(nt, q) THEN 400 ELSE 0 END + CASE WHEN na = q THEN 900 WHEN starts_with(na, q) THEN 550 WHEN contains(na, q) THEN 350 ELSE 0 END
+  + round(len(list_filter(ws, lambda x: contains(nt, x))) / len(ws) * 200)::int + round(len(list_filter(ws, lambda x: contains(na, x))) / len(ws) * 180)::int + 20 + CASE WHEN p_size % 3 <> 0 THEN 10 ELSE 0 END AS score FROM w)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, id) AS rank FROM s
+"""
+
+
+@query(_MANY)
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for the first word of each part's name and for each brand, which are the authors, all in one plan."""
+    part = read(spark, sf_dir, "part")
+    word = F.split("p_name", " ")[0]
+    ask = part.select(F.concat(F.lit("name "), word).alias("query_id"), word.alias("query")).union(part.select(F.concat(F.lit("brand "), "p_brand"), F.col("p_brand"))).distinct()
+    ask = ask.union(spark.createDataFrame([("two", "red ring")], "query_id string, query string"))
+    return search.search_many(v.volumes(spark, sf_dir), ask)
+
+
+@query("SELECT 'part-' || p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_brand), 'bra')")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by title and author through the trigram index."""
+    index = SearchIndex(spark, work_dir(spark, "search-index"))
+    index.build(v.volumes(spark, sf_dir), rows=1000)
+    return index.search(intitle="ring", inauthor="bra", limit=False).select("id", "title")
+
+
 @query("SELECT p_partkey, n AS readinglog_count FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey "
     "WHERE p_type = 'ECONOMY' ORDER BY n DESC, 'part-' || p_partkey LIMIT 60")
 def popular_subject(spark: SparkSession, sf_dir: str) -> DataFrame:

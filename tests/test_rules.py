@@ -14,6 +14,7 @@ from foliant.functions import audit as audit_functions
 from foliant.functions import books, identifiers, shelves, text
 from foliant.operators import audit, catalog, joins, search, validation, windows
 from foliant.operators import shelves as shelf_ops
+from foliant.operators.search_index import SearchIndex
 from foliant.schemas import TABLES
 from foliant.sources import feeds
 from foliant.sources.catalog_csv import csv_records, parse_catalog, read_catalog_csv
@@ -329,3 +330,21 @@ def test_constraints_read_each_table_once(spark, tmp_path):
     assert got == {("book_entries", "unique(user_id, source, source_book_id)"): 1, ("reading_goals", "unique(user_id, year)"): 1, ("users", "identity_user_id in identities"): 1,
         ("reading_goals", "user_id in users"): 2, ("book_entries", "user_id in users"): 0}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 4
+
+
+def test_most_buckets_of_an_index_are_not_read(spark, tmp_path):
+    """Searches through the index give the rows of a scan; rare terms read few buckets."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 4, 6]))) for _ in range(300)]
+    row = lambda i: (f"v{i}", " ".join(rng.choice(words) for _ in range(4)) if i % 9 else None, "d", [rng.choice(words), None] if i % 4 else None, ["Sub Ject"] if i % 2 else [])
+    rows = [row(i) for i in range(600)] + [("rare", "A Zanzibar Journey", None, ["Q"], None)] + [("same", "x y", None, None, None)] * 30
+    df = spark.createDataFrame(rows, "id string, title string, description string, authors array<string>, categories array<string>").coalesce(2)
+    index = SearchIndex(spark, str(tmp_path))
+    index.build(df, rows=20)
+    ids = lambda found: sorted(r["id"] for r in found.collect())
+    for asked in ({"intitle": "zanzibar journey"}, {"text": f"{words[3]} {words[5]}"}, {"intitle": words[7], "subject": "ject sub"}, {"inauthor": words[2]}, {"text": "x"}, {"intitle": "nowhere at all"}):
+        assert ids(index.search(**asked, limit=False)) == ids(search.field_search(df, **asked, limit=False))
+    assert len(index.buckets(intitle="zanzibar")) == 1 and index.buckets(intitle="nowhere") == [] and index.buckets(text="x") is None
+    all_files = len(spark.read.parquet(f"{tmp_path}/volumes").inputFiles())
+    scan = index.search(intitle="zanzibar")._jdf.queryExecution().executedPlan().toString()
+    assert all_files > 20 and "PartitionFilters: [isnotnull(bucket" in scan.replace("#", " #").replace(" #", "#") or "bucket#" in scan
