@@ -63,15 +63,15 @@ class DeltaTable:
         rows = self.spark.read.schema(kind).option("basePath", self.folder).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
         return rows.withColumn("batch", F.split("delta", "_")[1].cast("long")).drop("delta")
 
-    def rewrite(self, part: str, change: Callable[[DataFrame], DataFrame], before: int | None = None) -> None:
-        """Puts what `change` makes of a part's rows (of batches before one) in their place. Batches that come meanwhile stay as they are."""
+    def rewrite(self, part: str, change: Callable[[DataFrame], DataFrame], before: int | None = None, options: dict[str, str] | None = None) -> None:
+        """Puts what `change` makes of a part's rows (of batches before one) in their place, written with options of Parquet. Batches that come meanwhile stay as they are."""
         live = _uncovered([d for d in self.deltas(part) if before is None or d[1] < before])
         if not live:
             return
         first, last = min(d[0] for d in live), max(d[1] for d in live)
         turn = 1 + max(d[2] for d in self.deltas(part) if d[:2] == (first, last)) if any(d[:2] == (first, last) for d in live) else 0
         aside = f"{self.folder}/_{uuid.uuid4().hex}"
-        change(self.read([part], before)).select(*self.schema.names).write.parquet(aside)
+        change(self.read([part], before)).select(*self.schema.names).write.options(**options or {}).parquet(aside)
         self._commit(aside, self._at(part, (first, last, turn)))
         self.clean(part)
 

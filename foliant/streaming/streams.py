@@ -56,6 +56,12 @@ def retain(spark: SparkSession, log: str, as_of: Column, days: int = 90) -> Data
     return table.read()
 
 
+def cluster(spark: SparkSession, log: str, day: str, files: int = 8) -> None:
+    """Rewrites a day of the log for lookups: sorted by API and time over some files, so that a lookup of an API reads its row groups alone, with bloom filters of traces and actors."""
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("trace_id", "actor_id")}
+    audit_log(spark, log).rewrite(day, lambda rows: rows.repartitionByRange(files, "api_name", "started_at").sortWithinPartitions("api_name", "started_at"), options=blooms)
+
+
 class _Window(StatefulProcessor):
     """Of a window of a key keeps its first `limit` requests so far; a request that falls out of them is rejected, whatever still comes. Goes when the watermark passes its end."""
 

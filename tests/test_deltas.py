@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.operators.audit import audit_lookup
 from foliant.operators.shelves import upsert_entries
 from foliant.plans.stream_queries import ROCKS, finished
 from foliant.schemas import TABLES
@@ -115,3 +116,29 @@ def test_rejected_and_late_requests(spark, tmp_path):
     state = q.lastProgress["stateOperators"][0] if isinstance(q.lastProgress, dict) else q.lastProgress.stateOperators[0]
     rows = state["numRowsTotal"] if isinstance(state, dict) else state.numRowsTotal
     assert rows <= 2 + 1 + 2, "only the open window's requests and its timer"
+
+
+def test_lookups_of_a_clustered_day(spark, tmp_path):
+    """Rows stay, and lookups of an API or of a trace that isn't there read few of them."""
+    log = str(tmp_path / "log")
+    table = streams.audit_log(spark, log)
+    names = {f.name for f in table.schema}
+    rows = spark.range(4_000).selectExpr("timestamp '2024-03-01' + make_interval(0, 0, 0, 0, 0, 0, id) started_at", "concat('api', pmod(hash(id), 20)) api_name", "concat('trace ', id * 2) trace_id", "concat('actor ', id % 7) actor_id")
+    rows = rows.select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in rows.columns]).withColumn("day", F.to_date("started_at"))
+    assert names < set(rows.columns)
+    for n in range(4):
+        table.add(rows.where(F.pmod(F.xxhash64("trace_id"), F.lit(4)) == n), n)
+
+    def read(**wanted):
+        found = audit_lookup(table.read(), **wanted)
+        got = sorted(r["trace_id"] for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        return got, plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    asked = [{"api": "api3"}, {"trace": "trace 2001"}, {"trace": "trace 2000"}, {"actor_id": "actor 3"}]
+    before = [read(**a) for a in asked]
+    streams.cluster(spark, log, "2024-03-01", files=8)
+    after = [read(**a) for a in asked]
+    assert [got for got, _ in after] == [got for got, _ in before]
+    assert before[0][1] == 4_000 and after[0][1] <= 1_500
+    assert after[1] == ([], 0) and after[2][1] <= 1_500
