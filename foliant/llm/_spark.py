@@ -11,23 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import shipping
-from ..shared import saved, work_dir
+from ..shared import drop_saved, saved, work_dir
 
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 1_000_000
 
 
-#: A new folder under the shared one, and a table in it: cutting the lineage there also survives lost executors.
-new_path, table = work_dir, saved
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A new folder under the shared one, a table in it, and its end: cutting the lineage there also survives lost executors.
+new_path, table, drop_table = work_dir, saved, drop_saved
 
 
 #: Texts may be long: batches of fewer rows than Spark's usual 10,000 keep the buffers of JVM and Python small.

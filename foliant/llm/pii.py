@@ -251,6 +251,25 @@ def discovered(scanned: DataFrame, **options) -> DataFrame:
     return scores.groupBy("instance").agg(F.max_by("kind", F.struct("score", order[F.col("kind")])).alias("found"))
 
 
+def held_back(docs: DataFrame, text: str = "text", share: float = 0.05, **options) -> DataFrame:
+    """How well contexts find what expressions don't know: of each kind a share of the seeds (by hash) loses its kind, and the rest bootstraps. What is hidden counts against
+    its patterns, so a share near 1 - CONFIDENCE or above it hides all contexts too.
+
+    kind, seeds, hidden, reachable (hidden ones that stand in a context which the other seeds get accepted) and found (hidden ones that are accepted as their kind).
+    """
+    edges = table(graph(scan(docs, [], text)), "pii-edges")
+    hide = F.col("kind").isNotNull() & (F.pmod(F.xxhash64("kind", "instance"), F.lit(1_000)) < int(share * 1_000))
+    blind = edges.withColumn("kind", F.when(~hide, F.col("kind")))
+    blind = blind.groupBy("pattern", "kind", "instance").agg(*[F.min(c).alias(c) for c in ("digits", "letters", "ats")])
+    good, scores = accepted_patterns(table(blind, "pii-blind"), **options)
+    seeds = edges.where("kind is not null").select("kind", "instance", hide.alias("hidden")).distinct()
+    near = edges.where(hide).join(good.select("pattern", "kind"), ["pattern", "kind"], "left_semi").select("kind", "instance").distinct()
+    yes = lambda df, name: df.select("kind", "instance").distinct().withColumn(name, F.lit(True))
+    both = seeds.join(yes(near, "near"), ["kind", "instance"], "left").join(yes(scores, "won"), ["kind", "instance"], "left")
+    count = lambda c, name: F.count_if(F.col("hidden") & c).alias(name)
+    return both.groupBy("kind").agg(F.count("*").alias("seeds"), count(F.lit(True), "hidden"), count(F.col("near"), "reachable"), count(F.col("won"), "found"))
+
+
 def found_spans(docs: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
     """`keep`, base (array of spans) and spans (base ones, secrets and discovered ones; start, rank, end, kind, value; by start, then kind, then end).
 
