@@ -22,7 +22,7 @@ def unsorted(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["stream_audit", "stream_retention", "stream_rate_limit", "stream_rejected", "stream_recent", "stream_entries"])
+@pytest.mark.parametrize("name", ["stream_audit", "stream_rate_limit", "stream_rejected", "stream_recent", "stream_entries"])
 def test_unsorted_files(spark, unsorted, name):
     df = stream_queries.QUERIES[name](spark, unsorted)
     c = duckdb.connect()
