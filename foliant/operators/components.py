@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..shared import drop_saved, saved
 
 
+#: Edges that a task writes, about: steps over few edges have few tasks, however many partitions shuffles have.
+PART = 250_000
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node and root (the least node that it is connected with) for each node of edges (columns a, b).
 
@@ -16,14 +20,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Null ends are left out; an empty table gives an empty one.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    mark, parts = None, now.count() // PART + 1
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(parts), "edges")
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v")
-        new = saved(small.distinct(), "edges")
+        new = saved(small.distinct().coalesce(parts), "edges")
         drop_saved(now)
         drop_saved(large)
         now = new
