@@ -3,8 +3,9 @@
 A text that several sources hold overlaps: its membership pattern is the set of its sources. Patterns are summed up (words of different texts, and words
 of each source's documents). On the driver, a flow network routes each pattern's words to the quotas of its sources: the first use of a text is
 free, each further one, by whatever source, costs more (convex), so repetition is used only where single uses can't fill a quota, and a source takes
-shared texts only where others don't need them more. Patterns, not documents, go to the driver: the MAX_PATTERNS largest of up to MOST_SOURCES sources; the documents of any others count as their own
-source's alone, which still meets all quotas. More than MAX_SOURCES sources are an error, as a network of that size needs another solver.
+shared texts only where others don't need them more. All patterns take part, however many there are and however many sources hold a text. The driver gets a
+few numbers for each cell (pattern and source), never documents or texts; rows carry the digest of their pattern, not its sources. More than MAX_SOURCES
+sources are an error, as a network of that size needs another solver.
 
 The documents of a pattern in a source are a cell. All of a cell take its whole copies; those below a threshold on a seeded hash take one more. The
 threshold comes from two histograms of sizes over hash digits (never a sorted group). What the cells of a source fall short of goes to the one with most room, whose rest is
@@ -15,8 +16,8 @@ one is kept. What a document takes depends on its own row and its cell's thresho
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from itertools import cycle
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 
 from ._spark import divided, table
 
-WEIGHTS, BUDGET, MOST_COPIES, MAX_PATTERNS, MOST_SOURCES, MAX_SOURCES, FILLS = (3.0, 1.0, 2.0), 1.5, 2, 5_000, 64, 50_000, 4
+WEIGHTS, BUDGET, MOST_COPIES, MAX_SOURCES, FILLS = (3.0, 1.0, 2.0), 1.5, 2, 50_000, 4
+#: Plans of up to so many cells are broadcast (about 150 bytes each); more are joined by shuffle.
+MAX_BROADCAST = 100_000
 #: The part of its quota that a source may be short of without another search.
 TOLERANCE = 0.01
 _DIGITS = 3
@@ -68,125 +71,188 @@ Pattern = tuple[str, ...]
 
 
 def route(words: dict[Pattern, int], rows: dict[tuple[Pattern, str], int], quota: dict[str, int], most: int = MOST_COPIES) -> dict[tuple[Pattern, str], int]:
-    """Min-cost flow from patterns to sources: the words that each cell (pattern and source) gives.
+    """flows() by names: words of a pattern's different texts, words of a cell's documents, and the words that each cell (pattern and source) gives."""
+    patterns, sources, cells = {p: i for i, p in enumerate(words)}, {s: i for i, s in enumerate(quota)}, list(rows)
+    got = flows(list(words.values()), list(quota.values()), [patterns[p] for p, _ in cells], [sources[s] for _, s in cells], list(rows.values()), most)
+    return dict(zip(cells, got, strict=True))
+
+
+def flows(words: list[int], quota: list[int], pattern: list[int], source: list[int], rows: list[int], most: int = MOST_COPIES) -> list[int]:
+    """Min-cost flow from patterns to sources: the words that each cell, numbered like its pattern, source and rows, gives.
 
     words: of a pattern's different texts; a pattern's first so many words cost nothing, each further lot one more than the lot before. rows: words of a cell's
     documents, which give `most` times as much at most. From STEPS lots on, costs rise with each doubling only, so that a text which is repeated a million times takes few
-    rounds. Costs grow with the lot and are the same for all patterns, so cheapest paths first means: raise every pattern's supply by one lot at a time, and find augmenting paths (breadth first, over given-back flow too) until there are none.
+    rounds. Costs grow with the lot and are the same for all patterns, so cheapest paths first means: raise every pattern's supply by one lot at a time, and send along
+    shortest augmenting paths (over given-back flow too) until there are none. All paths of one length go at once (blocking flows), so the work is cells times lengths.
     """
-    flow = dict.fromkeys(rows, 0)
-    given = dict.fromkeys(words, 0)
-    need = dict(quota)
-    room = dict.fromkeys(words, 0)
-    holders: dict[str, list[Pattern]] = defaultdict(list)
-    for (p, s), n in rows.items():
-        room[p] += most * n
-        if len(p) > 1:
-            holders[s].append(p)
-    lots, live = 0, [p for p in words if words[p] > 0 and room[p] > 0]
-    while live and any(x > 0 for x in need.values()):
+    most_of = [most * n for n in rows]
+    flow, given, need, room = [0] * len(rows), [0] * len(words), list(quota), [0] * len(words)
+    of_pattern: list[list[int]] = [[] for _ in words]
+    of_source: list[list[int]] = [[] for _ in quota]
+    for c, (p, s) in enumerate(zip(pattern, source, strict=True)):
+        of_pattern[p].append(c)
+        of_source[s].append(c)
+        room[p] += most_of[c]
+    lots, live = 0, [p for p, n in enumerate(words) if n > 0 and room[p] > 0]
+    spare = [0] * len(words)
+    while live and any(x > 0 for x in need):
         lots = lots + 1 if lots < STEPS else 2 * lots
-        for p in live:  # straight paths
-            for s in p:
-                if (x := min(lots * words[p] - given[p], need.get(s, 0), most * rows[p, s] - flow[p, s])) > 0:
-                    flow[p, s] += x
-                    given[p] += x
-                    need[s] -= x
-        while path := _path([p for p in live if given[p] < lots * words[p]], rows, need, flow, most, holders):
-            first, last = path[0][0], path[-1][1]
-            back = [flow[path[i + 1][0], path[i][1]] for i in range(len(path) - 1)]
-            x = min(lots * words[first] - given[first], need[last], *(most * rows[c] - flow[c] for c in path), *back)
-            given[first] += x
-            need[last] -= x
-            for i, (p, s) in enumerate(path):
-                flow[p, s] += x
-                if i + 1 < len(path):
-                    flow[path[i + 1][0], s] -= x
-        if all(given[p] < lots * words[p] for p in live):
+        for p in live:
+            spare[p] = lots * words[p] - given[p]
+        while near := _distances(spare, need, pattern, source, most_of, flow, of_pattern, of_source):
+            _send(*near, spare, need, given, pattern, source, most_of, flow, of_pattern, of_source)
+        if all(spare[p] > 0 for p in live):
             break  # more supply would help none
         live = [p for p in live if given[p] < room[p]]
     return flow
 
 
-def _path(start: list[Pattern], rows, need, flow, most: int, holders) -> list[tuple[Pattern, str]] | None:
-    """A shortest augmenting path as cells: the first gives more, and each next one gives elsewhere what it gave to the source before."""
-    came: dict = {p: None for p in start if any(holders.get(s) for s in p)}
-    queue, seen = deque(came), {}
-    while queue:
-        p = queue.popleft()
-        for s in p:
-            if s in seen or flow[p, s] >= most * rows[p, s]:
-                continue
-            seen[s] = p
-            if need.get(s, 0) > 0:
-                path = [(p, s)]
-                while (before := came[path[0][0]]) is not None:
-                    path.insert(0, (seen[before], before))
-                return path
-            for other in holders.get(s, ()):
-                if flow[other, s] > 0 and other not in came:
-                    came[other] = s
-                    queue.append(other)
+def _distances(spare, need, pattern, source, most_of, flow, of_pattern, of_source) -> tuple[dict[int, int], dict[int, int], list[int]] | None:
+    """Lengths of the shortest paths of patterns and of sources to a need, as far as the first patterns with spare words, and those patterns; None if none gets there."""
+    at_source = {s: 0 for s, n in enumerate(need) if n > 0}
+    at_pattern: dict[int, int] = {}
+    edge, length = list(at_source), 0
+    while edge:
+        reached = []
+        for s in edge:
+            for c in of_source[s]:
+                if (p := pattern[c]) not in at_pattern and flow[c] < most_of[c]:
+                    at_pattern[p] = length + 1
+                    reached.append(p)
+        if first := sorted(p for p in reached if spare[p] > 0):
+            return at_pattern, at_source, first
+        edge = []
+        for p in reached:
+            for c in of_pattern[p]:
+                if (s := source[c]) not in at_source and flow[c] > 0:
+                    at_source[s] = length + 2
+                    edge.append(s)
+        length += 2
     return None
 
 
-def cell_of(sources: Column, source: Column) -> Column:
-    """One string for a cell: its source, and the sorted sources of its pattern."""
-    return F.to_json(F.concat(F.array(source), F.array_sort(F.array_distinct(sources))))
+def _send(at_pattern, at_source, first, spare, need, given, pattern, source, most_of, flow, of_pattern, of_source) -> None:
+    """A blocking flow: along shortest paths until each is cut. A path is cells by turns: one gives more, the next gives back what its source had of another pattern."""
+    next_p, next_s = dict.fromkeys(at_pattern, 0), dict.fromkeys(at_source, 0)
+    for start in first:
+        path: list[int] = []
+        while spare[start] > 0:
+            if len(path) % 2 == 0:  # at a pattern, which looks for a source that is nearer
+                p = pattern[path[-1]] if path else start
+                cells, i = of_pattern[p], next_p[p]
+                while i < len(cells) and not (flow[c := cells[i]] < most_of[c] and at_source.get(source[c], -1) == at_pattern[p] - 1):
+                    i += 1
+                next_p[p] = i
+                if i < len(cells):
+                    path.append(cells[i])
+                elif path:
+                    path.pop()
+                    next_s[source[path[-1]]] += 1
+                else:
+                    break
+                continue
+            s = source[path[-1]]
+            if at_source[s] == 0:
+                if need[s] <= 0:
+                    next_p[pattern[path.pop()]] += 1
+                    continue
+                x = min(spare[start], need[s], *(flow[c] if i % 2 else most_of[c] - flow[c] for i, c in enumerate(path)))
+                for i, c in enumerate(path):
+                    flow[c] += -x if i % 2 else x
+                spare[start] -= x
+                given[start] += x
+                need[s] -= x
+                path = []
+                continue
+            cells, i = of_source[s], next_s[s]
+            while i < len(cells) and not (flow[c := cells[i]] > 0 and at_pattern.get(pattern[c], -1) == at_source[s] - 1):
+                i += 1
+            next_s[s] = i
+            if i < len(cells):
+                path.append(cells[i])
+            else:
+                next_p[pattern[path.pop()]] += 1
+
+
+def pattern_of(sources: Column) -> Column:
+    """A digest of the set of sources that hold a text; null if it is only one."""
+    return F.when(F.size(F.array_distinct(sources)) > 1, F.md5(F.to_json(F.array_sort(F.array_distinct(sources)))))
+
+
+def cell_of(pattern: Column, source: Column) -> Column:
+    """One string for a cell: its source, and the digest of its pattern."""
+    return F.to_json(F.array(source, F.coalesce(pattern, F.lit(""))))
+
+
+def _with_cell(sized: DataFrame, seed: int) -> DataFrame:
+    pattern = F.col("pattern") if "pattern" in sized.columns else pattern_of(F.col("sources"))
+    return sized.withColumn("pattern", pattern).withColumn("cell", cell_of(F.col("pattern"), F.col("source"))).withColumns(dict(zip(("hash", "h1", "h2"),
+        _digits(seed), strict=True)))
+
+
+def _small(cells: DataFrame, n: int) -> DataFrame:
+    """A table with a row for each of n cells as the side of a join: broadcast if it is small."""
+    return F.broadcast(cells) if n <= MAX_BROADCAST else cells
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES, seed: int = 0, redraw: bool = True) -> DataFrame:
-    """Of a table with columns row (what tells rows apart), source, sources (the keys of all sources that hold the text), text (its digest) and size: a row for each cell with what its documents take.
+    """Of a table with columns row (what tells rows apart), source, pattern (or sources, the keys of all sources that hold the text), text (its digest) and size: a row for each cell with what its documents take.
 
     Columns: cell, source_size, target, copies, d1, d2 (hash digits below which one copy more is taken), extra (rows' digests with one
     more), more (size limits, each with hash digits of its own, below which documents up to the limit take one more). Without `redraw` no choice is drawn again (see above).
     """
     spark = sized.sparkSession
-    base = sized.select("source", F.array_sort(F.array_distinct("sources")).alias("sources"), "text", "size", cell_of(F.col("sources"),
-        F.col("source")).alias("cell"), *_digits(seed))
-    cells = base.groupBy("cell").agg(F.first("source").alias("source"), F.first("sources").alias("sources"), F.sum("size").alias("size")).collect(
-        )  # bounded by with_sources
-    texts = base.where("text is not null").groupBy("text", "sources").agg(F.max("size").alias("size"))
-    words = {tuple(r["sources"]): 0 for r in cells} | {tuple(r["sources"]): r["size"] for r in texts.groupBy("sources").agg(
-        F.sum("size").alias("size")).collect()}
-    name = {(tuple(r["sources"]), r["source"]): r["cell"] for r in cells}
-    rows_of = {(tuple(r["sources"]), r["source"]): r["size"] for r in cells}
+    base = _with_cell(sized, seed).select("source", "pattern", "text", "size", "cell", "hash", "h1", "h2")
+    cells = base.groupBy("cell").agg(F.first("source").alias("source"), F.first("pattern").alias("pattern"), F.sum("size").alias("size")).orderBy("cell").toArrow()
+    texts = base.where("text is not null").groupBy("text", F.coalesce("pattern", F.concat(F.lit("="), "source")).alias("pattern")).agg(F.max("size").alias("size"))
+    different = texts.groupBy("pattern").agg(F.sum("size").alias("size")).toArrow()
+    names, source_of, size_of = (cells[c].to_pylist() for c in ("cell", "source", "size"))
+    pattern_of_cell = [p or f"={s}" for p, s in zip(cells["pattern"].to_pylist(), source_of, strict=True)]
+    words = dict.fromkeys(pattern_of_cell, 0) | dict(zip(different["pattern"].to_pylist(), different["size"].to_pylist(), strict=True))
+    rows_of, source = dict(zip(names, size_of, strict=True)), dict(zip(names, source_of, strict=True))
     sizes: dict[str, int] = defaultdict(int)
-    for (_, s), size in rows_of.items():
+    for s, size in zip(source_of, size_of, strict=True):
         sizes[s] += size
     goal = targets(sizes, sum(sizes.values()), weights, budget, most)
-    flow = route(words, rows_of, {s: round(t) for s, t in goal.items()}, most)
+    number, place = {p: i for i, p in enumerate(words)}, {s: i for i, s in enumerate(sizes)}
+    flow = dict(zip(names, flows(list(words.values()), [round(goal.get(s, 0.0)) for s in sizes], [number[p] for p in pattern_of_cell], [place[s] for s in source_of],
+        size_of, most), strict=True))
     rows: dict[str, list] = {}
-    got: dict[tuple, int] = {}
-    by_source: dict[str, list[tuple]] = defaultdict(list)
+    got: dict[str, int] = {}
+    by_source: dict[str, list[str]] = defaultdict(list)
     for c in sorted(rows_of, key=lambda c: (flow[c] - most * rows_of[c], -rows_of[c], c)):
-        by_source[c[1]].append(c)  # the cell with most room first
+        by_source[source[c]].append(c)  # the cell with most room first
 
     schema = "cell string, source_size long, target double, copies int, d1 int, d2 int, left long, extra array<string>, more array<struct<cap:long,d1:int,d2:int>>"
 
-    def small() -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(k, *v) for k, v in rows.items()], schema))  # a row a cell
+    def small(names: Iterable[str]) -> DataFrame:
+        some = [(k, *rows[k]) for k in names]
+        return _small(spark.createDataFrame(some, schema), len(some))  # a row a cell
 
-    def settle(given: dict[tuple, int], close: bool) -> None:
+    def settle(given: dict[str, int], close: bool) -> None:
         """Lets cells give so many words, as near as whole documents allow; a cell that closes its source goes on with fills and finer searches."""
         single = {}
         for c, x in given.items():
             size = rows_of[c]
             copies = min(most, x // size) if size else 0
-            single[name[c]] = x - copies * size if copies < most else 0
-            rows[name[c]] = [sizes[c[1]], goal.get(c[1], 0.0), copies, 0, 0, single[name[c]], [], []]
-        mine = base.join(F.broadcast(spark.createDataFrame([(k,) for k in single], "cell string")), "cell", "left_semi")
-        _thresholds(mine, rows, small)
+            single[c] = x - copies * size if copies < most else 0
+            rows[c] = [sizes[source[c]], goal.get(source[c], 0.0), copies, 0, 0, single[c], [], []]
+        some = [c for c in given if single[c] > 0]  # the others take whole copies only
+        if not some:
+            got.update({c: x - rows[c][5] for c, x in given.items()})
+            return
+        mine = base.join(_small(spark.createDataFrame([(k,) for k in some], "cell string"), len(some)), "cell", "left_semi")
+        _thresholds(mine, rows, lambda: small(some))
         if close:
             for _ in range(FILLS):
-                later = mine.join(small(), "cell").where((F.col("size") > 0) & (F.col("size") <= F.col("left")) & ~_chosen())
+                later = mine.join(small(some), "cell").where((F.col("size") > 0) & (F.col("size") <= F.col("left")) & ~_chosen())
                 for r in later.groupBy("cell").agg(F.max(F.struct("size", "hash")).alias("best")).collect():
                     row = rows[r["cell"]]
                     row[5] -= r["best"]["size"]
                     row[6].append(r["best"]["hash"])
-            _refine(mine, rows, small, single, {name[c]: round(goal[c[1]]) for c in given}, redraw)
+            _refine(mine, rows, small, single, {c: round(goal[source[c]]) for c in some}, redraw)
         for c, x in given.items():
-            got[c] = x - rows[name[c]][5]
+            got[c] = x - rows[c][5]
 
     if shared := {c: flow[c] for cs in by_source.values() for c in cs[1:]}:
         settle(shared, close=False)
@@ -222,7 +288,7 @@ def _walked(by_cell: DataFrame) -> DataFrame:
         a["left"].alias("left"))).otherwise(F.struct(F.lit(-1).alias("h"), (a["left"] - b["size"]).alias("left")))).alias("at"))
 
 
-def _refine(base: DataFrame, rows: dict[str, list], small: Callable[[], DataFrame], single: dict[str, int], quota: dict[str, int], redraw: bool) -> None:
+def _refine(base: DataFrame, rows: dict[str, list], small: Callable[[Iterable[str]], DataFrame], single: dict[str, int], quota: dict[str, int], redraw: bool) -> None:
     """Goes on with cells whose source is short of their quota by more than TOLERANCE; `single` is what their documents are to give once more."""
     short = {p for p in quota if rows[p][5] > TOLERANCE * quota[p]}
     if not short:
@@ -234,7 +300,7 @@ def _refine(base: DataFrame, rows: dict[str, list], small: Callable[[], DataFram
     before = {p: list(rows[p]) for p in short}
     for p in short:
         rows[p][3:] = [0, 0, single[p], [], []]
-    first = base.join(small(), "cell").where(F.col("cell").isin(*short) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+    first = base.join(small(sorted(short)), "cell").where((F.col("size") > 0) & (F.col("size") <= F.col("left")))
     for r in first.groupBy("cell").agg(F.max(F.struct("size", "hash")).alias("best")).collect():
         rows[r["cell"]][5] -= r["best"]["size"]
         rows[r["cell"]][6] = [r["best"]["hash"]]
@@ -244,17 +310,17 @@ def _refine(base: DataFrame, rows: dict[str, list], small: Callable[[], DataFram
             rows[p][:] = before[p]
 
 
-def _more(base: DataFrame, rows: dict[str, list], small: Callable[[], DataFrame], names: set[str], quota: dict[str, int]) -> None:
+def _more(base: DataFrame, rows: dict[str, list], small: Callable[[Iterable[str]], DataFrame], names: set[str], quota: dict[str, int]) -> None:
     """Sets thresholds anew over the documents that fit into what is left, until what is left is within TOLERANCE or no round adds any."""
     going = {p for p in names if rows[p][5] > TOLERANCE * quota[p]}
     while going:
         left = {p: rows[p][5] for p in going}
-        fits = base.join(small(), "cell").where(F.col("cell").isin(*going) & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
+        fits = base.join(small(sorted(going)), "cell").where((F.col("size") > 0) & (F.col("size") <= F.col("left"))
             & ~_chosen()).select("cell", "size", "h1", "h2")
         at: dict[str, list[int]] = {}
         for level in (1, 2):
             spark = base.sparkSession
-            now = F.broadcast(spark.createDataFrame([(p, at.get(p, [0])[0], rows[p][5]) for p in going], "cell string, at1 int, left long"))
+            now = _small(spark.createDataFrame([(p, at.get(p, [0])[0], rows[p][5]) for p in sorted(going)], "cell string, at1 int, left long"), len(going))
             inside = fits.join(now, "cell")
             if level == 2:
                 inside = inside.where(F.col("h1") == F.col("at1"))
@@ -281,11 +347,10 @@ def _chosen() -> Column:
 
 
 def taken(sized: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
-    """Rows of sized (row, source, sources, size, and any other columns) with source_size, target, n_copies and taken. The plan has a row a cell, of a bounded number, and is broadcast."""
-    rows = sized.withColumn("cell", cell_of(F.col("sources"), F.col("source"))).withColumns(dict(zip(("hash", "h1", "h2"), _digits(seed), strict=True)))
+    """Rows of sized (row, source, pattern or sources, size, and any other columns) with source_size, target, n_copies and taken. The plan has a row a cell."""
     copies = F.when(F.col("size") > 0, F.col("copies") + _chosen().cast("int")).otherwise(F.lit(0))
-    return rows.join(F.broadcast(planned), "cell").withColumn("n_copies", copies).withColumn("taken", F.col("size") * F.col("n_copies")).drop("cell",
-        "hash", "h1", "h2", "copies", "d1", "d2", "left", "extra", "more")
+    return _with_cell(sized, seed).join(_small(planned, planned.count()), "cell").withColumn("n_copies", copies).withColumn("taken", F.col("size") * F.col(
+        "n_copies")).drop("cell", "pattern", "hash", "h1", "h2", "copies", "d1", "d2", "left", "extra", "more")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -315,45 +380,41 @@ def _sized(docs: DataFrame, kept: list[Column]) -> DataFrame:
 
 
 def shared_texts(sized: DataFrame) -> DataFrame:
-    """text and sources (a sorted array) of the texts that several sources hold, MOST_SOURCES at most, and of the MAX_PATTERNS patterns with most words. Sums are made on the map side; a set has MAX_SOURCES keys at most."""
-    held = sized.where("text is not null").groupBy("text").agg(F.array_sort(F.collect_set("source")).alias("sources"),
-        F.max("size").alias("size")).where(F.size("sources").between(2, MOST_SOURCES))
-    held = table(held, "shared")
-    patterns = held.groupBy("sources").agg(F.sum("size").alias("size"))
-    if patterns.count() > MAX_PATTERNS:
-        held = held.join(patterns.orderBy(F.desc("size"), "sources").limit(MAX_PATTERNS).select("sources"), "sources", "left_semi")
-    return held.select("text", "sources")
-
-
-def with_sources(sized: DataFrame, shared: DataFrame) -> DataFrame:
-    """Adds `sources` to rows with source and text: those of a shared text, else its own. Only rows whose text may be a shared one are shuffled."""
+    """text, sources (a sorted array) and pattern of the texts that several sources hold. Sums are made on the map side; a set has MAX_SOURCES keys at most."""
+    held = sized.where("text is not null").groupBy("text").agg(F.array_sort(F.collect_set("source")).alias("sources")).where(F.size("sources") > 1)
+    return held.withColumn("pattern", pattern_of(F.col("sources")))
+
+
+def with_patterns(sized: DataFrame, shared: DataFrame) -> DataFrame:
+    """Adds `pattern` to rows with source and text: that of a shared text, else null. Only rows whose text may be a shared one are shuffled."""
     own, maybe = divided(sized, F.xxhash64("text"), shared.select(F.xxhash64("text").alias("k1")))
-    alone = F.array("source")
-    return own.withColumn("sources", alone).unionByName(maybe.join(shared, "text", "left").withColumn("sources", F.coalesce("sources", alone)))
+    return own.withColumn("pattern", F.lit(None).cast("string")).unionByName(maybe.join(shared.select("text", "pattern"), "text", "left"))
 
 
 def _planned(sized: DataFrame, seed: int, redraw: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with row and sources, the plan, the shared texts) of rows of _sized, without their `__`."""
+    """(rows with row and pattern, the plan, the shared texts) of rows of _sized, without their `__`."""
     n = sized.agg(F.count_distinct("source")).first()[0]
     if n > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: too many for the flow network")
     shared = table(shared_texts(sized), "shared-texts")
-    rows = table(with_sources(_numbered(sized), shared), "mixing-rows")
+    rows = table(with_patterns(_numbered(sized), shared), "mixing-rows")
     return rows, plan(rows, seed=seed, redraw=redraw), shared
 
 
 _NAMES = {"__source": "source", "__text": "text", "__size": "size"}
 
 
-def mix(docs: DataFrame, seed: int = 0, redraw: bool = True) -> DataFrame:
-    """What a mix takes of each document: id, source (its key), sources, size, source_size, target, n_copies, taken.
+def mix(docs: DataFrame, seed: int = 0, redraw: bool = True, names: bool = True) -> DataFrame:
+    """What a mix takes of each document: id, source (its key), size, source_size, target, n_copies, taken and, with `names`, sources (of all that hold its text).
 
     A null or empty text has size 0 and is never taken. A null source is a source of its own, the last. Rows are told apart by all their columns, and whole
     rows that repeat by a number, so repeated and null ids are taken apart like others. An empty table gives an empty one. Very long texts are one document
     like others, taken whole or not.
     """
     sized = table(_sized(docs, [F.col("doc_id").alias("id")]).withColumnsRenamed(_NAMES), "mixing")
-    rows, planned, _ = _planned(sized, seed, redraw)
+    rows, planned, shared = _planned(sized, seed, redraw)
+    if names:
+        rows = rows.join(shared.select("text", "sources"), "text", "left").withColumn("sources", F.coalesce("sources", F.array("source")))
     return taken(rows, planned, seed).drop("row", "text", "digest")
 
 
@@ -363,5 +424,5 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     light = table(_sized(docs, []).withColumnsRenamed(_NAMES), "mixing")
     _, planned, shared = _planned(light, seed)
     whole = F.struct(*columns).alias("doc")
-    rows = with_sources(_numbered(_sized(docs, [whole]).withColumnsRenamed(_NAMES)), shared)
+    rows = with_patterns(_numbered(_sized(docs, [whole]).withColumnsRenamed(_NAMES)), shared)
     return taken(rows, planned, seed).where(F.col("taken") > 0).select("doc.*", F.col("n_copies").alias("copies"))

@@ -36,7 +36,7 @@ def op3_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), names=False)
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

@@ -361,6 +361,40 @@ def test_mix_of_shared_texts_and_repeated_rows(spark):
     assert sorted((str(r["doc_id"]), len(r["text"].split()) * r["copies"]) for r in chosen.collect()) == sorted((str(r["id"]), r["taken"]) for r in got if r["taken"])
 
 
+def test_mix_of_a_text_in_seventy_sources(spark):
+    """A text that very many sources hold is one supply: sources that can do with their own texts leave it to those that need all they have."""
+    rows = [(s, f"own{s} t{i} " + "w " * 8, f"s{s:02}") for s in range(70) for i in range(100)] + [(100 + s, "wide " * 100, f"s{s:02}") for s in range(70)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    full = {r["source"] for r in got if r["target"] == 2 * r["source_size"]}
+    assert 0 < len(full) < 70
+    wide = [r for r in got if r["size"] == 100]
+    assert all(len(r["sources"]) == 70 and r["n_copies"] == (2 if r["source"] in full else 0) for r in wide)
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.01 * mine[0]["target"]
+
+
+def test_mix_of_six_thousand_patterns(spark):
+    """All patterns are routed, however many: uses of texts cost as little as whole documents allow."""
+    pairs = list(itertools.combinations([f"s{i:03}" for i in range(111)], 2))
+    docs = spark.createDataFrame([(i, f"t{i} " + "w " * 9, s) for i, pair in enumerate(pairs) for s in pair], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 2 * len(pairs) and all(len(r["sources"]) == 2 for r in got)
+    uses, quota, taken = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        uses[r["id"]] += r["n_copies"]
+        quota[r["source"]] = round(r["target"])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - quota[s]) <= 0.01 * quota[s] for s in quota)
+    cells = {(tuple(p), s): 10 for p in ([f"0{a}", f"0{b}"] for a, b in pairs) for s in p}
+    flow = mixing.route(dict.fromkeys([p for p, _ in cells], 10), cells, quota)
+    given = collections.Counter()
+    for (p, _), x in flow.items():
+        given[p] += x
+    least = sum(sum(range(g // 10)) * 10 + (g // 10) * (g % 10) for g in given.values())
+    assert sum(sum(range(n)) * 10 for n in uses.values()) <= 1.02 * least
+
+
 # 5
 
 PII = ["mail a.b@c-d.org_x@y.z, x@y@z.com", "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 or 010.0.0.1", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 123", "call +1 (743) 555-3824 now +12 or +1-2-3 +123456789012345678", "é😀 +44 20 7946 0958 é 192.168.0.1,a@b.co", None, "", "4111111111111111 4111111111111111", "1" * 3000, "a" * 5000 + "@x.y"]
