@@ -220,6 +220,26 @@ def test_least_determinant_against_brute_force(spark):
         assert all(abs(got[g][f"m_{i}"]) < 1.5 for i in range(5))
 
 
+def test_subsets_that_go_round(spark):
+    """Where the steps of a group come back to an earlier subset, of that round the one with the least determinant counts."""
+    groups = {}
+    for seed in (29, 33):  # rounds of two
+        rng = np.random.default_rng(seed)
+        x = rng.normal(0, [0.6, 0.05, 0, 0, 0], (6000, 5)) + [6, 1.6, 0, 0, 0]
+        groups[str(seed)] = np.round(np.maximum(x, 0) * outliers.SCALE).astype(int)
+    table_ = [(g, *row) for g, x in groups.items() for row in x.tolist()]
+    got = {r["__group"]: r for r in outliers.estimates(spark.createDataFrame(table_, "__group string, " + ", ".join(f"{n} int" for n in outliers.NAMES))).collect()}
+    for g, x in groups.items():
+        x, r = x / outliers.SCALE, got[g]
+        at = (np.array([r[f"m_{i}"] for i in range(5)]), np.array([[r[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)]))
+        seen = []
+        for _ in range(2):
+            *at, d = numpy_scatter(x[nearest(x, *at)])
+            seen.append(d)
+        assert abs(seen[0] - seen[1]) > 1e-5
+        assert seen[1] == pytest.approx(r["determinant"], abs=1e-7) and seen[1] == min(seen)
+
+
 def test_outlier_of_repeated_lines(spark):
     """Mostly repeated short lines, in varying order so that few 5-word windows repeat, are rejected in a clean group, whatever else is usual."""
     rng = random.Random(12)
