@@ -17,6 +17,7 @@ import functools
 import itertools
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ BLOCK, FILE_BYTES = 1 << 16, 16 << 20
 MAGIC = b"PLANES01"
 #: Words that a worker remembers before it starts anew, the longest of them in bytes, and how much of a text is looked at at once.
 WORDS_KEPT, WORD_BYTES, PIECE_BYTES = 1_500_000, 64, 1 << 20
+#: Words that are encoded as one text.
+AT_ONCE = 2_000
 
 
 @functools.cache
@@ -51,44 +54,111 @@ def id_bytes(path: str, end: int) -> int:
     return 2 if max([end, *_tokenizer(path).get_vocab().values()]) < 1 << 16 else 4
 
 
-#: A stop behind a letter is a token of its own, so a word is encoded without it.
-_STOPS, _LETTERS = frozenset(b".,"), frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: ASCII marks, and the letters and digits beside which words may be cut: those of ASCII and U+00C0 to U+00FF.
+_MARKS = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+_BESIDE = [c for c in map(chr, range(256)) if c.isalnum() and (c.isascii() or c >= "\u00c0")]
 
 
 class Encoder:
     """Ids of texts, as bytes. For tokenizers that drop white space and join nothing over it: a text's ids are then those of its words, and each word is encoded once.
 
-    Case is lowered first if the tokenizer does so (but in texts that may hold a special token), and words are encoded without a stop behind them.
+    Case is lowered first if the tokenizer does so, and words are cut where the pre-tokenizer always cuts between a letter or digit and a mark; neither in texts that may hold a
+    special token. If the tokenizer marks the ends of words, words of letters alone are encoded many at once and told apart by their ends.
     """
 
     def __init__(self, path: str, width: int):
-        self.tokenizer, self.code = _tokenizer(path), "H" if width == 2 else "I"
+        self.tokenizer, self.code, self.width = _tokenizer(path), "H" if width == 2 else "I", width
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        special = [self._lowered(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = os.path.commonprefix(special) if special else None  # what holds it may hold a special token
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.is_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # bits of a byte as the left and as the right one of two: 1 if a letter or digit is cut from the mark behind it, 2 if from the mark before it
+        self.left, self.right = np.zeros((2, 256), np.uint8)
+        for c in _BESIDE:
+            if c.isascii():
+                self.left[ord(c)], self.right[ord(c)] = 1, 2
+        for m in _MARKS:
+            self.right[ord(m)] = 1 if all(self._pieces(c + m + x)[:1] == [(0, 1)] for c in _BESIDE for x in ("", c)) else 0
+            self.left[ord(m)] = 2 if all(self._pieces(x + m + c)[-1:] == [(len(x) + 1, len(x) + 2)] for c in _BESIDE for x in ("", c)) else 0
         self.known: dict[bytes, bytes] = {}
 
-    def _piece(self, text: bytes) -> bytes:
+    def _pieces(self, text: str) -> list[tuple[int, int]]:
+        """Where the pre-tokenizer's pieces of a text are."""
+        return [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer else []
+
+    def _lowered(self, text: bytes) -> bytes:
+        return text.lower() if self.lowers else text
+
+    def _words(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The words of each text, parted at ASCII white space and where words are cut."""
+        data = self._lowered(b" ".join(texts))
+        if self.special is not None and self.special in data:
+            return [t.split() if self.special in self._lowered(t) else self._words([t])[0] for t in texts]
+        raw = np.frombuffer(data, np.uint8)
+        left = self.left[raw]
+        wide = np.flatnonzero(raw[:-1] == 0xC3) + 1  # letters of two bytes
+        left[wide[(raw[wide] != 0x97) & (raw[wide] != 0xB7)]] = 1
+        at = np.flatnonzero(left[:-1] & self.right[raw[1:]]) + 1
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        data = np.insert(raw, at, 32).tobytes()
+        return [data[lo:hi].split() for lo, hi in itertools.pairwise([0, *(ends + np.searchsorted(at, ends)).tolist()])]
+
+    def _alone(self, words: list[bytes]) -> Iterator[bytes]:
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return (array.array(self.code, e.ids).tobytes() for e in got)
+
+    def _together(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of words of letters, each of which is one piece to the pre-tokenizer; should one not be, all are encoded alone."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, f"u{self.width}")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1) * self.width
+        if len(ends) != len(words):
+            return self._alone(words)
+        data = ids.tobytes()
+        return (data[lo:hi] for lo, hi in itertools.pairwise([0, *ends.tolist()]))
+
+    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in words if _letters(w)] if self.is_end.any() else []
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(plain), AT_ONCE):
+            out.update(zip(plain[i : i + AT_ONCE], self._together(plain[i : i + AT_ONCE]), strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._alone(rest), strict=True))
+        return out
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts that have PIECE_BYTES together, about."""
         if len(self.known) > WORDS_KEPT:
             self.known = {}
-        if self.lowers and b"<|" not in text:
-            text = text.lower()
-        words = text.split()  # at ASCII white space only
-        known, odd = self.known, {}
-        if new := set(words).difference(known):
-            stopped = [w for w in new if w[-1] in _STOPS and len(w) > 1 and w[-2] in _LETTERS]
-            bare = new.difference(stopped)
-            bare.update([w[:-1] for w in stopped], [b".", b","])
-            bare = list(bare.difference(known))
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in bare], add_special_tokens=False)
-            for w, e in zip(bare, got, strict=True):
-                (known if len(w) <= WORD_BYTES else odd)[w] = array.array(self.code, e.ids).tobytes()
-            for w in stopped:
-                (known if len(w) <= WORD_BYTES else odd)[w] = (known if len(w) <= WORD_BYTES + 1 else odd)[w[:-1]] + known[w[-1:]]
-        return b"".join([known[w] if w in known else odd[w] for w in words] if odd else map(known.__getitem__, words))
+        split = self._words(texts)
+        ids = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(found) if x is None] for found in ids]
+        if new := {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}:
+            encoded = self._encoded(new)
+            for words, found, gap in zip(split, ids, gaps, strict=True):
+                for i in gap:
+                    found[i] = encoded[words[i]]
+            self.known.update((w, x) for w, x in encoded.items() if len(w) <= WORD_BYTES)
+        return list(map(b"".join, ids))
 
     def __call__(self, text: bytes) -> bytes:
-        if len(text) <= PIECE_BYTES:
-            return self._piece(text)
-        return b"".join(map(self._piece, pieces(text, PIECE_BYTES)))
+        return b"".join(self.many([p])[0] for p in (pieces(text, PIECE_BYTES) if len(text) > PIECE_BYTES else [text]))
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters alone, also when it is normalized and lowered."""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, width: int, job: str) -> Encoder:
+    """A worker's encoder, which remembers words from task to task of one job; the next job begins anew."""
+    return Encoder(path, width)
 
 
 def pieces(text: bytes, most: int) -> Iterator[bytes]:
@@ -253,17 +323,18 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, id: str = "doc_id", tex
     encoded = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("id", kind), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, at, count = Encoder(tokenizer, width), end.to_bytes(width, "little"), places.value, 0
+        encoder, last, at, count = _encoder(tokenizer, width, folder), end.to_bytes(width, "little"), places.value, 0
         for batch in batches:
             for part in slices(batch, 2):
-                parts, out = [], []
-                for key, tie, text_ in zip(*(c.to_pylist() for c in part.columns[:2]), part.column(2).cast(pa.large_binary()), strict=True):
+                parts = []
+                for key, tie in zip(*(c.to_pylist() for c in part.columns[:2]), strict=True):
                     place = _place(key, tie)
                     lo = bisect.bisect_left(at, place)
                     hi = bisect.bisect_right(at, place, lo)
                     parts.append(lo + count % (hi - lo + 1) if hi - lo > 1 else hi)  # cuts that equal it: its group spans these ranges
                     count += 1
-                    out.append(encoder(text_.as_py()) + last)
+                texts = part.column(2).cast(pa.large_binary()).to_pylist()
+                out = [ids + last for ids in (encoder.many(texts) if len(texts) > 1 else map(encoder, texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), part.column(0), part.column(1), pa.array(out, pa.binary())], names=encoded.names)
 
     dealt = rows.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, encoded).repartition(len(places.value) + 1, "part")

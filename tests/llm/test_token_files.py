@@ -1,6 +1,7 @@
 """Files of token ids: round trips against the tokenizer's own ids of whole texts."""
 
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -90,3 +91,59 @@ def test_text_ids_and_empty_tables(spark):
     got = tf.read_ids(tf.write_ids(docs, PATH, 1), "string").orderBy("start").collect()
     assert [r["id"] for r in got] == ["a", "b", "ä", None]
     assert tf.read_ids(tf.write_ids(docs.limit(0), PATH, 1), "string").count() == 0
+
+
+def bert():
+    """A tokenizer of another kind: marks alone, no ends of words, special tokens in brackets, `_` within words."""
+    from tokenizers import Regex, models, normalizers, pre_tokenizers
+
+    letters = [chr(i) for i in range(33, 256) if chr(i).isprintable()]
+    vocab = {t: i for i, t in enumerate(["[UNK]", "[MASK]", *letters, *("##" + c for c in letters), "foo", "##oo"])}
+    out = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]"))
+    out.normalizer = normalizers.Lowercase()
+    out.pre_tokenizer = pre_tokenizers.Split(Regex(r"\w+|[^\w\s]"), "removed", invert=True)
+    out.add_special_tokens(["[MASK]", "[UNK]"])
+    return out
+
+
+MARKED = ["a", "Foo", "É", "ñ", "ß", "7", "12", "'", "'s", "'ll", "'LL", "n't", "_", ".", ",%%%", "=", "≠", "̸", "́", "×", "-", '"', "(", "[MASK]", "[mask]", "|>", "<|", "<|endoftext|>", "<|EndOfText|>", "\xa0", "\x1c", "語", "ﬁ", "İ", "ִי", "²"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(MARKED + [" ", "\n"]), max_size=14).map("".join), max_size=5))
+def test_words_cut_at_marks_give_the_ids_of_whole_texts(texts):
+    for path, whole in ((PATH, TOKENIZER), (OTHER, Tokenizer.from_file(OTHER))):
+        got = ENCODERS[path].many([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+OTHER = f"{tempfile.mkdtemp()}/bert.json"
+bert().save(OTHER)
+ENCODERS = {path: tf.Encoder(path, 2) for path in (PATH, OTHER)}
+
+
+def test_a_worker_encodes_a_word_once_whatever_marks_are_beside_it(monkeypatch):
+    tf._encoder.cache_clear()
+    asked = []
+
+    class Counting:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.append([w for t in texts for w in t.split()])
+            return self.real.encode_batch_fast(texts, **how)
+
+    real = tf._tokenizer
+    monkeypatch.setattr(tf, "_tokenizer", lambda path: Counting(real(path)))
+    words = [a + b + c for a in "klmno" for b in "aeiou" for c in "prst"]
+    texts = [" ".join(left + w + right for w in words).encode() for left in ("", '"', "(") for right in ("", ".", ",%%%", '")', "&&&")]
+    for text in texts:
+        assert np.frombuffer(tf._encoder(PATH, 2, "a job").many([text])[0], "<u2").tolist() == TOKENIZER.encode(text.decode(), add_special_tokens=False).ids
+    assert tf._encoder(PATH, 2, "a job") is not tf._encoder(PATH, 2, "the next")
+    assert sorted(w for ws in asked for w in ws if w.isalpha()) == sorted(words)
+    assert len(asked[0]) == len(words), "new words are encoded in one text"
+    tf._encoder.cache_clear()
