@@ -41,16 +41,19 @@ METADATA = ("isbn13", "source_book_id", "title", "authors", "description", "cove
 
 
 def resolve_metadata(isbns: DataFrame, cache: DataFrame, library: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(resolved, new_rows, unresolved) for distinct isbn13: cached first, then the library feed, then the volume feed. Of several rows of a source, the least counts."""
-    wanted = isbns.select("isbn13").distinct()
-    ranked = None
+    """(resolved, new_rows, unresolved) for distinct isbn13: cached first, then the library feed, then the volume feed. Of several rows of a source, the least counts.
+
+    Sources are grouped and joined one by one, as Spark 4.1 may group a union of joins where its sides lie, which adaptive execution then changes: rows of an ISBN don't meet
+    there. The joins are merges, as files of metadata are much smaller than their rows in a broadcast.
+    """
+    found, places = isbns.select("isbn13").distinct(), []
     for rank, df in enumerate((cache, library, volumes)):
-        one = df.select(*METADATA, F.col("cover_override_url") if "cover_override_url" in df.columns else F.lit(None).cast("string").alias(
-            "cover_override_url"), F.lit(rank).alias("__rank"))
-        ranked = one if ranked is None else ranked.unionByName(one)
-    row = F.struct(*[c for c in ranked.columns if c != "isbn13"])
-    best = ranked.join(wanted, "isbn13", "left_semi").groupBy("isbn13").agg(F.min_by(row, F.struct("__rank", "source_book_id", "title")).alias("m"))
-    found = wanted.join(best, "isbn13", "left")
+        one = df.select(*METADATA, F.col("cover_override_url") if "cover_override_url" in df.columns else F.lit(None).cast("string").alias("cover_override_url"), F.lit(rank).alias("__rank"))
+        row = F.struct(*[c for c in one.columns if c != "isbn13"])
+        best = one.where("isbn13 is not null").groupBy("isbn13").agg(F.min_by(row, F.struct("source_book_id", "title")).alias(f"__m{rank}"))
+        found = found.join(best.hint("merge"), "isbn13", "left")
+        places.append(f"__m{rank}")
+    found = found.select("isbn13", F.coalesce(*places).alias("m"))
     resolved = found.where("m is not null").select("isbn13", "m.*")
     return resolved.drop("__rank"), resolved.where("__rank > 0").drop("__rank"), found.where("m is null").select("isbn13")
 
@@ -74,7 +77,7 @@ class MetadataCache:
         override = F.col("cover_override_url") if "cover_override_url" in rows.columns else F.lit(None).cast("string").alias("cover_override_url")
         rows = rows.select(*METADATA, override).where("isbn13 is not null")
         if self.exists():
-            rows = rows.join(self.read().select("isbn13"), "isbn13", "left_anti")
+            rows = rows.join(self.read().select("isbn13").hint("merge"), "isbn13", "left_anti")
         rest = F.struct(*[c for c in self.columns if c != "isbn13"])
         one = rows.groupBy("isbn13").agg(F.min_by(rest, F.struct("source_book_id", "title")).alias("m")).select("isbn13", "m.*")
         one = saved(one.select(*self.columns), "new-metadata")  # the cache can't be read while it is written
