@@ -242,7 +242,7 @@ def genre_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def metadata_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata found by a first import, saved, and found by a second one: all come from the cache then."""
-    wanted = read(spark, sf_dir, "lineitem").select(v.isbn13(F.col("l_partkey")).alias("isbn13"))
+    wanted = saved(read(spark, sf_dir, "lineitem").select("l_partkey").distinct().select(v.isbn13(F.col("l_partkey")).alias("isbn13")), "wanted")
     cached, library, volumes = (v.metadata_rows(spark, sf_dir, n) for n in ("cache", "library", "volumes"))
     cache = joins.MetadataCache(spark)
     cache.save(cached)
