@@ -123,11 +123,12 @@ def search_many(df: DataFrame, queries: DataFrame, page: int = PAGE) -> DataFram
     """
     fields = search_fields()
     asked = queries.select("query_id", F.lower("query").alias("low"), ascii_search_text(F.col("query")).alias("q")).withColumn("terms", F.filter(F.split(F.trim("low"), r"\s+"), lambda t: t != ""))
-    asked = asked.where(F.size("terms") > 0).withColumn("words", F.filter(F.split("q", " "), lambda t: t != ""))
+    asked = saved(asked.where(F.size("terms") > 0).withColumn("words", F.filter(F.split("q", " "), lambda t: t != "")), "asked")
     gram = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
     keys = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("terms", gram)))).alias("gram"))
     sizes = [r["n"] for r in keys.select(F.length("gram").alias("n")).distinct().collect()]  # 1, 2 or 3
-    books = saved(df.where("id <> ''").withColumn("__row", F.monotonically_increasing_id()), "searched")
+    bonus = F.when(F.coalesce(F.size("identifiers"), F.lit(0)) > 0, 20).otherwise(0) + F.when(~(is_blank(F.col("thumbnail")) & is_blank(F.col("small_thumbnail"))), 10).otherwise(0)
+    books = saved(df.where("id <> ''").select("id", "title", "authors", bonus.alias("__bonus"), F.monotonically_increasing_id().alias("__row")), "searched")
     sides = F.array(*[F.struct(F.lit(i).alias("src"), F.lower(F.coalesce(fields[f], F.lit(""))).alias("text")) for i, f in enumerate(("intitle", "inauthor"))])
     texts = books.select("__row", "id", F.explode(sides).alias("s")).select("__row", "id", "s.*")
     own = F.flatten(F.array(*[grams_of(F.col("text"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
@@ -139,13 +140,13 @@ def search_many(df: DataFrame, queries: DataFrame, page: int = PAGE) -> DataFram
     paged = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "src").orderBy("id", "__row"))).where(F.col("n") <= page)
     once = paged.groupBy("query_id", "id").agg(F.min(F.struct("src", "__row")).alias("m")).select("query_id", "id", "m.*")
     authors = F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: ascii_search_text(F.coalesce(a, F.lit(""))))
-    rows = once.join(books.drop("id"), "__row").join(asked.select("query_id", "q", "words"), "query_id").withColumns({"__t": ascii_search_text(F.coalesce("title", F.lit(""))), "__a": authors})
+    found_books = books.drop("id").hint("merge")  # never a broadcast: files of books are much smaller than their rows
+    rows = once.join(found_books, "__row").join(asked.select("query_id", "q", "words"), "query_id").withColumns({"__t": ascii_search_text(F.coalesce("title", F.lit(""))), "__a": authors})
     t, q, n = F.col("__t"), F.col("q"), F.greatest(F.size("words"), F.lit(1))
     some = lambda f: F.exists("__a", f)
     score = F.when(t == q, 1000).when(t.startswith(q), 600).when(t.contains(q), 400).otherwise(0)
     score = score + F.when(some(lambda a: a == q), 900).when(some(lambda a: a.startswith(q)), 550).when(some(lambda a: a.contains(q)), 350).otherwise(0)
     share = lambda has, most: F.round(F.size(F.filter("words", has)) / n * most).cast("int")
-    score = score + share(lambda w: t.contains(w), 200) + share(lambda w: F.exists("__a", lambda a: a.contains(w)), 180)
-    score = score + F.when(F.coalesce(F.size("identifiers"), F.lit(0)) > 0, 20).otherwise(0) + F.when(~(is_blank(F.col("thumbnail")) & is_blank(F.col("small_thumbnail"))), 10).otherwise(0)
+    score = score + share(lambda w: t.contains(w), 200) + share(lambda w: F.exists("__a", lambda a: a.contains(w)), 180) + F.col("__bonus")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "src", "id")  # two pages at most
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(best)).select("query_id", "id", "score", "rank")
