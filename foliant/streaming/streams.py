@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,30 +63,30 @@ def cluster(spark: SparkSession, log: str, day: str, files: int = 8) -> None:
     audit_log(spark, log).rewrite(day, lambda rows: rows.repartitionByRange(files, "api_name", "started_at").sortWithinPartitions("api_name", "started_at"), options=blooms)
 
 
-class _Window(StatefulProcessor):
-    """Of a window of a key keeps its first `limit` requests so far; a request that falls out of them is rejected, whatever still comes. Goes when the watermark passes its end."""
+class _Windows(StatefulProcessor):
+    """Of one window and all keys of a part keeps each key's first `limit` requests so far; a request that falls out of them is rejected, whatever still comes. Goes when the watermark passes its end."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first, self.handle = handle.getListState("first", "ts timestamp, id long"), handle
+        self.first, self.handle = handle.getListState("first", "key string, ts long, id long"), handle
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        end = int(key[1].timestamp() * 1000)
-        now = timerValues.getCurrentWatermarkInMs()
-        old = [(pd.Timestamp(t), i) for t, i in self.first.get()] if end > now else []
-        for df in rows:
-            if end <= now:
-                yield pd.DataFrame({"key": key[0], "window_end": key[1], "ts": df["ts"], "request_id": df["request_id"], "late": True})
-                continue
-            merged = sorted([*old, *zip(df["ts"], df["request_id"], strict=True)])
-            old, out = merged[: self.limit], merged[self.limit :]
-            yield pd.DataFrame([(key[0], key[1], t, i, False) for t, i in out], columns=["key", "window_end", "ts", "request_id", "late"])
-        if end > now:
-            self.first.put([(t.to_pydatetime(), int(i)) for t, i in old])
-            if not list(self.handle.listTimers()):
-                self.handle.registerTimer(end)
+        end = int(key[0])
+        if end // 1000 <= timerValues.getCurrentWatermarkInMs():
+            for df in rows:
+                yield _requests(end, df["key"].to_numpy(object), df["ts"].to_numpy(), df["request_id"].to_numpy(), True)
+            return
+        kept = list(self.first.get())
+        new, old = not kept, _columns(kept)
+        for more in _gathered(rows, len(kept)):
+            old, out = _split([np.concatenate(x) for x in zip(old, more, strict=True)], self.limit)
+            if len(out[0]):
+                yield _requests(end, *out, False)
+        self.first.put([(k, int(t), int(i)) for k, t, i in zip(*old, strict=True)])
+        if new:
+            self.handle.registerTimer(end // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.first.clear()
@@ -95,25 +96,68 @@ class _Window(StatefulProcessor):
         pass
 
 
+def _columns(rows: list[tuple]) -> list[np.ndarray]:
+    """Keys, times and ids of requests."""
+    keys = np.empty(len(rows), object)
+    keys[:] = [r[0] for r in rows]
+    return [keys, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)]
+
+
+def _gathered(rows: Iterator[pd.DataFrame], least: int) -> Iterator[list[np.ndarray]]:
+    """Requests of several frames together, about as many as are kept, so that what is kept isn't sorted again for each frame."""
+    frames, n = [], 0
+    for df in rows:
+        frames.append([df["key"].to_numpy(object), df["ts"].to_numpy(np.int64), df["request_id"].to_numpy(np.int64)])
+        n += len(df)
+        if n >= max(least, 50_000):
+            yield [np.concatenate(x) for x in zip(*frames, strict=True)]
+            least, frames, n = least + n, [], 0
+    if frames:
+        yield [np.concatenate(x) for x in zip(*frames, strict=True)]
+
+
+def _split(requests: list[np.ndarray], limit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(the first `limit` requests of each key by time and id, all others)."""
+    codes = pd.factorize(requests[0], use_na_sentinel=False)[0]
+    order = np.lexsort((requests[2], requests[1], codes))
+    codes, at = codes[order], np.arange(len(order))
+    begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(order) else at
+    first = at - np.repeat(begins, np.diff(np.r_[begins, len(order)])) < limit
+    return [x[order[first]] for x in requests], [x[order[~first]] for x in requests]
+
+
+def _requests(end: int, keys: np.ndarray, ts: np.ndarray, ids: np.ndarray, late: bool) -> pd.DataFrame:
+    return pd.DataFrame({"key": keys, "window_end": end, "ts": ts, "request_id": ids, "late": late})
+
+
+#: Parts of the keys of a window, whose requests are handled together.
+PARTS = 16
+
+
 def stream_rate_limit(calls: DataFrame, folder: str, key: str, checkpoint: str, limit: int = 10, window: str = "1 minute", delay: str = "10 minutes",
-                      request: str = "request_id") -> StreamingQuery:
+                      request: str = "request_id", parts: int = PARTS) -> StreamingQuery:
     """Writes the requests beyond the limit in their fixed window of a key, each once, to folder/rejected, as soon as it is sure: window_end, key, ts and request_id (whole numbers).
 
-    Requests are told apart by (ts, request), so files may come in any order within `delay`. State is `limit` requests of each open window, and goes when the watermark (the last
+    Requests are told apart by (ts, request), so files may come in any order within `delay`. State is `limit` requests of each key in each open window, and goes when the watermark (the last
     window's end less the delay) passes the window's end. Requests of windows that are closed by then go to folder/late. A micro-batch that runs again writes the
     same files again. Needs the RocksDB provider; a request without a time has no window and is left out.
+
+    The keys of a window are dealt into parts, each of which is a group with one call of Python and one list of state: a group for each key and window costs far more than its few
+    requests. A checkpoint keeps its number of parts. Python has keys as text, so they must be of a type that a cast to text and back keeps.
     """
     ship(calls.sparkSession)
     stamp = F.col("ts").cast("timestamp")
     rows = calls.select(F.col(key).alias("key"), stamp.alias("ts"), F.col(request).cast("long").alias("request_id"), F.window(stamp, window)["end"].alias("end"))
     # The watermark is that of window ends; the copy that groups carries no mark, so that Spark hands late rows over instead of dropping them.
-    marked = rows.where("end is not null").withWatermark("end", delay).select("key", "ts", "request_id", F.timestamp_micros(F.unix_micros("end")).alias("window_end"))
-    kind = rows.schema["key"].dataType.simpleString()
-    out = marked.groupBy("key", "window_end").transformWithStateInPandas(_Window(limit), f"key {kind}, window_end timestamp, ts timestamp, request_id long, late boolean", "Append", "EventTime")
+    marked = rows.where("end is not null").withWatermark("end", delay).select(F.col("key").cast("string").alias("key"), F.unix_micros("ts").alias("ts"), "request_id",
+        F.unix_micros("end").alias("window_end"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+    kind = rows.schema["key"].dataType
+    out = marked.groupBy("window_end", "part").transformWithStateInPandas(_Windows(limit), "key string, window_end long, ts long, request_id long, late boolean", "Append", "EventTime")
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumnRenamed("key", key).withColumn("kind", F.when(F.col("late"), "late").otherwise("rejected")).drop("late").withColumn("batch", F.lit(n)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(folder)
+        found = batch.select(F.col("key").cast(kind).alias(key), F.timestamp_micros("window_end").alias("window_end"), F.timestamp_micros("ts").alias("ts"), "request_id",
+            F.when(F.col("late"), "late").otherwise("rejected").alias("kind"), F.lit(n).alias("batch"))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(folder)
 
     return out.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
