@@ -222,9 +222,9 @@ def add_books(draft: DataFrame, requests: DataFrame, cache: DataFrame, library:
 
 
 def remove_books(draft: DataFrame, requests: DataFrame) -> DataFrame:
-    """The draft without (batch_id, isbn13) pairs; positions of the sections they leave are closed up."""
-    gone = requests.select("batch_id", "isbn13").distinct()
-    touched = draft.join(gone, ["batch_id", "isbn13"], "left_semi").select("batch_id", "section").distinct().withColumn("__t", F.lit(True))
-    rest = draft.join(gone, ["batch_id", "isbn13"], "left_anti").join(touched, ["batch_id", "section"], "left")
-    seq = Window.partitionBy("batch_id", "section").orderBy("position", "isbn13")
-    return rest.withColumn("position", F.when(F.col("__t"), F.row_number().over(seq)).otherwise(F.col("position")).cast("int")).select(*draft.columns)
+    """The draft without (batch_id, isbn13) pairs; positions of the sections they leave are closed up. One join and one window over the draft."""
+    gone = requests.select("batch_id", "isbn13").distinct().withColumn("__gone", F.lit(True))
+    rows = draft.join(gone, ["batch_id", "isbn13"], "left").withColumn("__gone", F.coalesce("__gone", F.lit(False)))
+    section = Window.partitionBy("batch_id", "section")
+    rows = rows.withColumns({"__n": F.row_number().over(section.orderBy("__gone", "position", "isbn13")), "__t": F.max("__gone").over(section)})
+    return rows.where(~F.col("__gone")).withColumn("position", F.when(F.col("__t"), F.col("__n")).otherwise(F.col("position")).cast("int")).select(*draft.columns)

@@ -176,6 +176,6 @@ def apply_cover_overrides(draft: DataFrame, metadata: DataFrame, overrides: Data
     meta = metadata.join(last("isbn13"), "isbn13", "left")
     meta = meta.withColumn("cover_override_url", F.when(F.col("__new").isNotNull(), F.col("__new.url")).otherwise(F.col("cover_override_url"))).drop("__new")
     base = metadata.groupBy("isbn13").agg(F.min("cover_url").alias("__base"))
-    changed = draft.join(last("batch_id", "isbn13"), ["batch_id", "isbn13"], "left").join(base, "isbn13", "left")
+    changed = draft.join(last("batch_id", "isbn13").join(base, "isbn13", "left"), ["batch_id", "isbn13"], "left")
     cover = F.when(F.col("__new").isNotNull(), F.coalesce("__new.url", "__base")).otherwise(F.col("cover_url"))
     return changed.withColumn("cover_url", cover).select(*draft.columns), meta.select(*metadata.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, joins, search, validation, windows
 from ..operators.search_index import SearchIndex
-from ..shared import saved, work_dir
+from ..shared import drop_saved, saved, work_dir
 from . import views as v
 from .views import read, sql_isbn10, sql_isbn13, sql_stamp, stamp
 
@@ -164,17 +164,21 @@ SELECT n.batch_id, n.section, coalesce((SELECT max(position) FROM rest r WHERE r
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(draft, errors, metadata) after the first books are taken out, a book is asked for in each draft, and covers of every fiftieth part are set where drafts hold it."""
-    books = v.catalog_books(spark, sf_dir).select("batch_id", "section", "position", "isbn13", F.lit("cover").alias("cover_url"))
-    rest = catalog.remove_books(books, books.where("position = 1"))
+    kept = saved(v.catalog_books(spark, sf_dir).select("batch_id", "section", "position", "source_key"), "books")
+    books = kept.select("batch_id", "section", "position", v.isbn13(F.col("source_key")).alias("isbn13"), F.lit("cover").alias("cover_url"))
+    rest = saved(catalog.remove_books(books, books.where("position = 1")), "rest")
+    drop_saved(kept)
     n_parts = read(spark, sf_dir, "part").agg(F.count("*")).scalar()
     ask = rest.select("batch_id").distinct().withColumn("k", F.col("batch_id") % n_parts).select(F.col("batch_id").alias("request_id"), "batch_id",
         F.when(F.col("batch_id") % 2 == 0, "popular").otherwise("upcoming").alias("section"), v.isbn10(F.col("k")).alias("isbn"))
     meta = [v.metadata_rows(spark, sf_dir, n).withColumns({"cover_url": F.lit("cover"), "cover_override_url": F.lit(None).cast("string")})
         for n in ("cache", "library", "volumes")]
     draft, errors = catalog.add_books(rest, ask, *meta)
+    draft = saved(draft, "draft")
+    drop_saved(rest)
     all_meta = meta[0].unionByName(meta[1]).unionByName(meta[2])
     parts = read(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(v.isbn13(F.col("p_partkey")).alias("isbn13"), F.lit(" new cover ").alias("url"))
-    asked = rest.select("batch_id").distinct().join(draft.select("batch_id", "isbn13").join(parts, "isbn13"), "batch_id").withColumn("request_id", F.col("batch_id"))
+    asked = draft.join(parts, "isbn13").select("batch_id", "isbn13", "url", F.col("batch_id").alias("request_id"))
     blank = asked.select("batch_id", "isbn13", F.lit(" ").alias("url"), (F.col("request_id") - 1).alias("request_id"))  # taken away before it is set
     nowhere = parts.select(F.lit(-1).cast("long").alias("batch_id"), "isbn13", F.lit("no draft has it").alias("url"), F.lit(2**60).alias("request_id"))
     return *joins.apply_cover_overrides(draft, all_meta, asked.unionByName(blank).unionByName(nowhere)), errors
